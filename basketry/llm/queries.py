@@ -60,6 +60,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    done = suffix_dedup(_read(spark, sf_dir, "documents"), length=200)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .best_fit_packing import pack_documents
 
