@@ -20,6 +20,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), digest=True)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, sized
 
@@ -67,6 +73,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordinal_quality import score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    # grades: 0 toxic, 1 poor, 2 good
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    ratings = _read(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    return score(docs, train(docs, ratings, n_grades=3), keep_grade=2)
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .best_fit_packing import pack_documents
 

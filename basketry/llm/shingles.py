@@ -29,13 +29,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
-    """Each text's distinct shingles, sorted; words are split at ASCII white space, A-Z is lower-cased.
+def shingle_sets(texts: list[str | None], width: int = 5, letters: bytes = LOWER) -> list[np.ndarray]:
+    """Each text's distinct shingles, sorted; words are split at ASCII white space, ``letters`` maps bytes (A-Z to lower case).
 
     A text of fewer words is one shingle, a text without words has none. The texts' words form one buffer; a shingle's hash
     is a difference of two prefix sums of a polynomial, so all are computed at once.
     """
-    words = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for t in texts]
+    words = [(t or "").encode("utf-8", "surrogatepass").translate(letters).split() for t in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
     total = int(counts.sum())
     if not total:
