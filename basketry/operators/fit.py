@@ -92,20 +92,28 @@ def first_nonempty(fits: DataFrame, by: list[str], ladder: tuple[float, ...]) ->
     return fits.filter(F.col("nnz") > 0).groupBy(*by).agg(F.min_by(F.struct(*cols), "lam_idx").alias("s")).select(*by, "s.*")
 
 
-def wide_fit(rows: DataFrame, lam_frac: float, steps: int, keep, by: str = "universe") -> DataFrame:
+def wide_fit(rows: DataFrame, lam_frac: float, steps: int, keep, by: str = "universe", power: int = 4, margin: float = 1.5) -> DataFrame:
     """The same problem when a universe has too many assets for one task: accelerated projected gradient on tables.
 
     ``rows``: by, dt, asset, x, y. Each step is two aggregations, X v by date and X'r by asset. ``keep`` writes and rereads the weights of every
-    step, so that lineage stays short. Step sizes come from the trace of the Gram per universe, a bound of its largest eigenvalue.
+    step, so that lineage stays short. Step sizes come from ``power`` steps of power iteration with a margin, and never from more than the Gram's trace.
     """
     c = keep(rows.groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("y")).alias("c"), F.sum(F.col("x") * F.col("x")).alias("xx")))
-    scale = c.groupBy(by).agg(F.greatest(F.max("c"), F.lit(1e-10)).alias("lam_max"), F.sum("xx").alias("size"))
+    scale = c.groupBy(by).agg(F.greatest(F.max("c"), F.lit(1e-10)).alias("lam_max"), F.sum("xx").alias("size"), F.max("xx").alias("largest"))
+    image = lambda v: rows.join(v, [by, "asset"]).groupBy(by, "dt").agg(F.sum(F.col("x") * F.col("v")).alias("f"))
+    back = lambda f: rows.join(f, [by, "dt"]).groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("f")).alias("v"))
+    v = c.select(by, "asset", (F.sqrt("xx") * (F.pmod(F.xxhash64("asset"), F.lit(1999)) / 1000.0 - 1.0)).alias("v"))
+    for _ in range(power):
+        up = keep(back(image(v)))
+        norm = up.groupBy(by).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+        v = keep(up.join(norm, by).select(by, "asset", (F.col("v") / F.col("norm")).alias("v"), "norm"))
+    top = v.groupBy(by).agg((margin * F.max("norm")).alias("top"))
+    scale = scale.join(top, by).withColumn("size", F.least(F.col("size"), F.greatest(F.col("top"), margin * F.col("largest"))))
     at = keep(c.join(scale, by).select(by, "asset", "c", (lam_frac * F.col("lam_max")).alias("lam"), "size", F.lit(0.0).alias("w"), F.lit(0.0).alias("v")))
     t = 1.0
     for _ in range(steps):
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        fitted = rows.join(at.filter("v <> 0").select(by, "asset", "v"), [by, "asset"]).groupBy(by, "dt").agg(F.sum(F.col("x") * F.col("v")).alias("f"))
-        slope = rows.join(fitted, [by, "dt"]).groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("f")).alias("gv"))
+        slope = back(image(at.filter("v <> 0").select(by, "asset", "v"))).withColumnRenamed("v", "gv")
         moved = F.greatest(F.col("v") - (F.coalesce("gv", F.lit(0.0)) - F.col("c") + F.col("lam")) / F.col("size"), F.lit(0.0))
         step = at.join(slope, [by, "asset"], "left").withColumn("new", moved)
         at = keep(step.select(by, "asset", "c", "lam", "size", F.col("new").alias("w"), (F.col("new") + (t - 1) / t2 * (F.col("new") - F.col("w"))).alias("v")))

@@ -54,7 +54,7 @@ def factors(rows: DataFrame, freq: str) -> DataFrame:
     """(dt, mkt_rf, smb, hml, rf): the market, small less big parts, dear less cheap parts, and cash."""
     price = lambda when: F.sum(F.when(when, F.col("e"))) / F.sum(F.when(when, F.col("q")))
     side = rows.groupBy(period(freq).alias("dt")).agg(
-        price(F.lit(True)).alias("m"), price(F.col("size") <= 25).alias("s"), price(F.col("size") > 25).alias("b"), price(F.col("retail") >= 1000).alias("h"), price(F.col("retail") < 1000).alias("l"), (F.avg("tax") / 252).alias("rf")
+        price(F.lit(True)).alias("m"), price(F.col("size") <= 25).alias("s"), price(F.col("size") > 25).alias("b"), price(F.col("retail") >= 950).alias("h"), price(F.col("retail") < 950).alias("l"), (F.avg("tax") / 252).alias("rf")
     )
     by = Window.orderBy("dt")  # one row per period
     r = lambda c: F.col(c) / F.lag(c).over(by) - 1
