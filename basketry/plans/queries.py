@@ -934,13 +934,13 @@ def in_vs_out(spark, sf_dir):
 
 # ---- allocation and reports ------------------------------------------------------------------------
 
-_ACC = """, acc AS (SELECT c_custkey AS account, r_name AS universe, c_acctbal AS capital FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0),
+_ACC = """, acc AS (SELECT c_custkey AS account, r_name AS universe, c_acctbal * 100 AS capital FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0),
 bought AS (SELECT account, universe, asset, w, price, CAST(floor(capital * w / price) AS BIGINT) AS shares FROM acc JOIN w10 USING (universe) JOIN lastp USING (universe, asset) WHERE price > 0) """
 
 
 def _accounts(t: Tables) -> DataFrame:
     rows = t.read("customer").join(t.read("nation"), F.expr("c_nationkey = n_nationkey")).join(t.read("region"), F.expr("n_regionkey = r_regionkey"))
-    return rows.filter("c_acctbal > 0").select(F.col("c_custkey").alias("account"), F.col("r_name").alias("universe"), F.col("c_acctbal").alias("capital"))
+    return rows.filter("c_acctbal > 0").select(F.col("c_custkey").alias("account"), F.col("r_name").alias("universe"), (F.col("c_acctbal") * 100).alias("capital"))
 
 
 @query(_ACC + "SELECT account, universe, asset, shares FROM bought WHERE shares > 0")

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "basketry.shipped"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def session(name: str = "basketry", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,6 +29,8 @@ def ship(spark: SparkSession) -> None:
 
     Operators with Python kernels call it, so that they also work where only the driver has the package on its path.
     """
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default; rows may carry whole texts, so a worker holds fewer at once
+        spark.conf.set(_BATCH, "1000")
     if spark.conf.get(_SHIPPED, "") == spark.sparkContext.applicationId:
         return
     root = Path(__file__).resolve().parent
