@@ -57,7 +57,7 @@ def shingle_sets(texts: list[str | None], width: int = 5, letters: bytes = LOWER
     return [np.unique(x) for x in np.split(hashes, cuts)]
 
 
-def batches(texts: list[str | None], most: int = 2_000_000):
+def batches(texts: list[str | None], most: int = 500_000):
     """Slices of the list with about ``most`` characters each, one text at least."""
     first, size = 0, 0
     for i, t in enumerate(texts):
