@@ -1,0 +1,388 @@
+"""The training-data operators against brute force, and on null, empty, repeated, long and tied rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from basketry.llm import bpe, chat_format, exact_dedup, mixing, near_dedup, pii, quality_rules, queries, suffix_dedup, token_counts
+from basketry.llm.best_fit_packing import best_fit, pack_documents
+from basketry.llm.ordinal_quality import fit, score, train
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, n string, size string, path string"
+BASE = "the of and to in is that for it was on with as by from are be at or an"
+ROWS = [
+    (1, None, "en", "a"),
+    (2, "", "en", "a"),
+    (3, "   \n\t ", None, None),
+    (4, "a b  c", "en", "b"),
+    (5, "a\nbc", "en", "b"),
+    (6, "ab c", "de", "b"),
+    (7, (BASE + " ") * 3, "en", None),
+    (7, (BASE + " ") * 3, "en", None),
+    (None, "only once here", "xx", "c"),
+    (9, "word " * 6000, "en", "c"),
+    (10, "é" * 300 + " <|endoftext|> " + "x" * 5000, "fr", ""),
+    (11, "ha ha é\U0001f600 " * 40, "fr", ""),
+]
+WS = re.compile(r"[\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, len(r[1] or ""), "x", "y", "z", "p") for r in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+
+
+def both(docs, empty):
+    return [(docs, len(ROWS)), (empty, 0)]
+
+
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_chat_format"])
+def test_twins(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.queries()[name](spark, SF)
+    want = c.execute(queries.oracle_sql()[name])
+    cols = [d[0] for d in want.description]
+    assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_exact_dedup(docs, empty):
+    for d, n in both(docs, empty):
+        rows = exact_dedup.exact_dedup(d, digest=True).collect()
+        assert len(rows) == n
+        groups = defaultdict(list)
+        for i, t in [(r[0], r[1] or "") for r in ROWS][:n]:
+            groups[WS.sub("", t)].append((-len(t), i is None, i or 0, i))
+        want = []
+        for norm, members in groups.items():
+            best = min(members)
+            want += [(m[3], best[3], len(members), m[:3] == best[:3], hashlib.sha256(norm.encode()).hexdigest()) for m in members]
+        assert Counter(map(tuple, rows)) == Counter(want)
+        kept = exact_dedup.drop_exact_duplicates(d)
+        assert kept.count() == len(groups) and kept.columns == d.columns
+
+
+def test_pii(spark, docs, empty):
+    for d, n in both(docs, empty):
+        assert pii.pseudonymise(d).count() == n
+    text = "Mr John Smith wrote to ann.lee@site.org and Ann.Lee@site.org from 10.20.30.40, card 4111 1111 1111 1111, call +1 (377) 555-0271; Frau Müller: token = \"0b96a8c8d79c4a50\". Mr John Smith left."
+    d = spark.createDataFrame([(1, text), (2, "again ann.lee@site.org"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(d, b"k1").collect()}
+    new = got[1]["text"]
+    for secret in ("John", "ann.lee", "Ann.Lee", "10.20.30.40", "4111 1111", "555-0271", "Müller", "0b96a8c8d79c4a50"):
+        assert secret not in new
+    mails = re.findall(r"[\w.]+@[\w.]+", new)
+    assert mails[0].lower() == mails[1].lower() and mails[0] in got[2]["text"] and mails[0].endswith(".org")
+    assert re.search(r"Frau [A-Z][a-z]+a\b", new) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
+    card = re.search(r"card ((?:\d{4} ){3}\d{4})", new)[1]
+    assert pii._luhn(card.replace(" ", "")) and len(set(re.findall(r"Mr (\w+ \w+)", new))) == 1
+    assert got[3]["text"] is None or got[3]["text"] == ""
+    assert got[1]["n_entities"] == 9
+
+
+def test_pii_surrogates_stay_distinct(spark):
+    ips = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(1, 200)], "kind string, entity string")
+    rows = pii.entity_surrogates(ips, b"k").collect()
+    assert len({r["new"] for r in rows}) == 199 and not {r["new"] for r in rows} & {r["entity"] for r in rows}
+
+
+def targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, live, out = 1.5 * sum(sizes.values()), set(order), {}
+    while live:
+        unit = left / sum(weight[s] for s in live)
+        over = {s for s in live if unit * weight[s] > 2 * sizes[s]}
+        if not over:
+            return out | {s: unit * weight[s] for s in live}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            left -= out[s]
+        live -= over
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_mixing(docs, empty, real, block):
+    for d in (docs, empty, real):
+        rows = mixing.sized(d)
+        parts = mixing.mix(rows, block=block)
+        got = parts["documents"].collect()
+        assert len(got) == d.count()
+        sizes = Counter()
+        for r in got:
+            sizes[r["source"]] += r["size"]
+            assert r["taken"] <= 2 * r["size"]
+        want, taken = targets(sizes), Counter()
+        for r in got:
+            taken[r["source"]] += r["taken"]
+            assert r["target"] == pytest.approx(want[r["source"]])
+        for s in sizes:
+            assert want[s] - 1 <= taken[s] <= want[s] + 1e-6
+        slots = parts["slots"].collect()
+        assert sum(s["words"] for s in slots) == sum(taken.values())
+        again = {(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(mixing.sized(d), block=block)["documents"].collect()}
+        assert again == {(r["doc_id"], r["size"], r["taken"]) for r in got}
+
+
+def test_schedule_ranks_match_a_count(spark):
+    t = spark.createDataFrame([("a", 1000, 500.0), ("b", 1000, 300.0), ("c", 1000, 100.0)], "source string, source_size long, target double")
+    slots = sorted((r["slot"], r["source"], r["rank"]) for r in mixing.schedule(t, 5).collect())
+    seen = Counter()
+    for _, s, k in slots:
+        assert k == seen[s]
+        seen[s] += 1
+    assert seen == {"a": 100, "b": 60, "c": 20}
+    for i in range(1, len(slots)):  # every prefix is close to the weights
+        head = Counter(s for _, s, _ in slots[:i])
+        assert abs(head["a"] - i * 5 / 9) < 8
+
+
+def components_by_brute_force(texts):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and min(len(a), len(b)) * 100 >= 85 * max(len(a), len(b)):
+                k = len(a & b)
+                if 100 * k >= 85 * (len(a) + len(b) - k):
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_dedup(spark, docs, empty, texts):
+    for d, n in both(docs, empty):
+        rows = near_dedup.near_dedup(d).collect()
+        assert len(rows) == n
+        assert all(r["kept"] for r in rows if r["n_shingles"] == 0)
+        assert near_dedup.drop_near_duplicates(d).columns == d.columns
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(120)]
+    made = dict(texts)
+    for k in range(40):  # a chain of near copies: neighbours are linked, far ones are not
+        base = [*base]
+        base[int(rng.integers(120))] = f"new{k}"
+        made[100_000 + k] = " ".join(base)
+    d = spark.createDataFrame([*made.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(d).collect()}
+    want = components_by_brute_force(made)
+    assert got == want
+    assert near_dedup.drop_near_duplicates(d).count() == len({c for _, c in want.values()})
+
+
+def test_encoder_equals_the_library(texts):
+    lib = Tokenizer.from_file(PATH)
+    odd = [r[1] or "" for r in ROWS] + ["<|endoftext|>", " <|endoftext|>a<|endoftext|>", "a'll 'LL \r\n\t x  y   ", "\x00\x85 ﻿١٢ 三"]
+    every = [*texts.values(), *odd]
+    assert bpe.encoder(PATH)(every) == [e.ids for e in lib.encode_batch_fast(every, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("chunk, overlap", [(40, 12), (500, 64), (32768, 512)])
+def test_token_counts(docs, empty, real, chunk, overlap):
+    lib = Tokenizer.from_file(PATH)
+    for d in (docs, empty, real):
+        rows = token_counts.token_counts(d, PATH, chunk=chunk, overlap=overlap)
+        want = Counter()
+        for r in d.select("doc_id", "text").collect():
+            n = len(lib.encode(r["text"] or "", add_special_tokens=False).ids)
+            want[r["doc_id"], len((r["text"] or "").encode()), n, n > 1024] += 1
+        assert Counter(map(tuple, rows.collect())) == want
+
+
+def test_token_counts_of_other_vocabularies(docs):
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = SentencePieceProcessor(model_file=path)
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(docs, path).collect())
+    assert got == Counter((r[0], len(lib.encode(r[1] or ""))) for r in ROWS)
+
+
+def test_chat_escapes_and_machine(spark):
+    evil = ["<|im_end|>", "<\\|x", "<\\\\|", "a<", "|b", "\\n", "", None, "<<||>>"]
+    rows = [(c, t, r, x) for c in (1, None) for t, (r, x) in enumerate([("user", evil[0]), ("assistant", evil[1]), ("user", evil[2]), ("assistant", evil[8])])]
+    rows += [(3, t, r, x) for t, (r, x) in enumerate([("assistant", "x"), (None, None), ("ro\nle\\n", evil[3])])] + [(4, None, "user", evil[4]), (4, 0, "user", evil[5]), (4, 0, "user", evil[5])]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
+    got = {r["conv_id"]: r for r in chat_format.chat_format(d).withColumns({"turns": chat_format.read_back(F.col("formatted")), "loss": chat_format.loss_text(F.col("segments"))}).collect()}
+    assert [tuple(t) for t in got[1]["turns"]] == [(r, x) for c, _, r, x in rows if c == 1]
+    assert got[1]["loss"] == evil[1] + evil[8] and got[1]["valid"] and got[None]["valid"]
+    assert not got[3]["valid"] and got[3]["bad_turn"] == 0
+    assert [tuple(t) for t in got[3]["turns"]] == [("assistant", "x"), ("", ""), ("ro\nle\\n", "a<")]
+    assert len(got[4]["turns"]) == 3 and got[4]["bad_turn"] == 1
+    assert chat_format.chat_format(d.limit(0)).count() == 0
+
+
+def removed_by_brute_force(rows, length):
+    seen = Counter(b[p : p + length] for b in rows for p in range(len(b) - length + 1))
+    out = []
+    for b in rows:
+        cover = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                cover[p : p + length] = b"\1" * length
+        spans = sum(1 for i, c in enumerate(cover) if c and not (i and cover[i - 1]))
+        out.append((len(b), sum(cover), spans, bytes(x for x, c in zip(b, cover, strict=True) if not c)))
+    return out
+
+
+def test_suffix_dedup(spark, docs, empty, texts):
+    for d, n in both(docs, empty):
+        got = suffix_dedup.suffix_dedup(d, per_bucket=5).collect()
+        want = removed_by_brute_force([(r[1] or "").encode() for r in ROWS][:n], 200)
+        assert Counter((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == Counter(want)
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(rng.choice(list("ab é"), n))
+    shared = noise(900)
+    made = [noise(int(rng.integers(0, 400))) + shared[int(a) : int(a) + int(n)] + noise(300) for a, n in zip(rng.integers(0, 600, 40), rng.integers(150, 500, 40), strict=True)]
+    made += ["z" * 900, noise(50) * 12]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(d, per_bucket=50).collect()}
+    assert [got[i] for i in range(len(made))] == removed_by_brute_force([t.encode() for t in made], 200)
+
+
+def test_merge_of_front_coded_runs():
+    rng = np.random.default_rng(2)
+    runs = [sorted({bytes(rng.choice(list(b"ab"), int(rng.integers(1, 12)))) for _ in range(40)}) for _ in range(5)]
+    merged = list(suffix_dedup.merge_runs([suffix_dedup.encode_run([(s, None) for s in r]) for r in runs]))
+    strings = [s for s, _, _ in merged]
+    assert strings == sorted(s for r in runs for s in r)
+    assert [k for _, k, _ in merged][1:] == [suffix_dedup.common_prefix(a, b) for a, b in zip(strings, strings[1:], strict=False)]
+    assert list(suffix_dedup.merge_runs([])) == []
+
+
+def test_ordinal_quality(spark, docs, empty, real):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    ratings = labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
+    model = train(real, ratings.unionByName(ratings.limit(3)).unionByName(spark.createDataFrame([(1, None)], "doc_id long, grade int")), 3)
+    rows = score(real, model, 2).join(ratings, "doc_id").collect()
+    assert np.mean([r["kept"] for r in rows if r["grade"] == 2]) > 0.97
+    assert np.mean([r["kept"] for r in rows if r["grade"] < 2]) < 0.3
+    for d, n in both(docs, empty):
+        assert score(d, model, 2).count() == n
+    none = train(empty, ratings.limit(0), 3)
+    assert not none[0].any() and score(docs, none, 2).count() == len(ROWS)
+
+
+def test_ordinal_fit_is_held_out_accurate():
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 64, 20)) for _ in range(1200)]
+    weight = rng.normal(size=64)
+    s = np.array([weight[r].sum() for r in rows])
+    grades = np.digitize(s, np.quantile(s, [0.3, 0.7]))
+    w, t = fit(rows[:800], grades[:800], 3, 6)
+    assert t[0] < t[1]
+    found = np.digitize([w[r].sum() for r in rows[800:]], t)
+    assert np.mean(found == grades[800:]) > 0.85
+
+
+def test_packing(docs, empty, real, texts):
+    lib = Tokenizer.from_file(PATH)
+    for d, size in ((docs, 16), (docs, 2048), (empty, 2048), (real, 2048), (real, 512)):
+        got = pack_documents(d, PATH, size, per_task=50).collect()
+        by_doc, by_seq = defaultdict(list), defaultdict(list)
+        for r in got:
+            by_doc[r["doc_id"]].append(r)
+            by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in by_seq.values():
+            at = 0
+            for o, n in sorted(parts):
+                assert o == at
+                at += n
+            assert at <= size
+        source = d.select("doc_id", "text").collect()
+        assert set(by_doc) == {r["doc_id"] for r in source}
+        for r in source:
+            ids = np.array([*lib.encode(r["text"] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+            want = {(p["piece"], p["start"], p["length"], p["ids_crc32"]) for p in by_doc[r["doc_id"]]}
+            assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for _, a, n, c in want)
+            assert sum(n for _, _, n, _ in want) == len(ids)
+            assert all(n == size for k, _, n, _ in want if k) and (len(want) == 1 or len(ids) > size)
+        total = sum(r["length"] for r in got)
+        assert len(by_seq) <= 1.05 * -(-total // size) + 2
+
+
+def test_best_fit_takes_the_tightest_bin():
+    assert best_fit([6, 5, 4, 3, 2], 10)[0] == [0, 1, 0, 1, 1]
+
+
+def brute_quality(text):
+    words = WORD.findall(text)
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    cover = set()
+    for i in range(len(words) - 4):
+        if grams[tuple(words[i : i + 5])] > 1:
+            cover |= set(range(i, i + 5))
+    lines, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in lines
+            lines.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(cover), n < 10 or 100 * len(cover) > 20 * n
+
+
+def test_quality_rules(docs, empty, real):
+    for d in (docs, empty, real):
+        got = quality_rules.judged(d.drop("n")).collect()
+        assert len(got) == d.count()
+        for r in got:
+            assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute_quality(r["text"] or "")
+            assert not (r["kept"] and r["base_failed"])
+
+
+def test_js_distance(spark):
+    a, b = [10, 0, 30], [5, 5, 10]
+    p, q = np.array(a) / 40, np.array(b) / 20
+    m = (p + q) / 2
+    kl = lambda x: sum(u * np.log2(u / v) for u, v in zip(x, m, strict=True) if u)
+    d = spark.createDataFrame([(a, b, [0, 0, 0])], "a array<long>, b array<long>, z array<long>")
+    x = d.select(quality_rules.js_distance(F.col("a"), F.col("b")).alias("d"), quality_rules.js_distance(F.col("a"), F.col("z")).alias("n")).first()
+    assert x["d"] == pytest.approx(np.sqrt((kl(p) + kl(q)) / 2)) and x["n"] is None
+
+
+def test_rules_catch_junk_and_keep_clean(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_rules.judged(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").collect()
+    good = [r["kept"] for r in rows if r["quality"] == 1 and not r["base_failed"]]
+    assert np.mean(good) > 0.99 and np.mean([r["kept"] for r in rows if r["quality"] == 0]) < 0.3
