@@ -1018,6 +1018,54 @@ def compact_export(spark, sf_dir):
     return files.compact(nested, {"user_id": "user_id", "r.span": "span", "r.k": "k"})
 
 
+@query("SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_retailprice * 0.9 END, p_retailprice) AS price FROM part")
+def price_fallback(spark, sf_dir):
+    part = Tables(spark, sf_dir).read("part")
+    both = part.select("p_partkey", F.col("p_retailprice").alias("close"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice") * 0.9).alias("adj_close"))
+    return both.select("p_partkey", files.price_field().alias("price"))
+
+
+@query("SELECT p_brand AS file, p_partkey AS line, 'P' || p_partkey AS asset, p_name || ', x' AS name, p_type AS class FROM part WHERE p_type IS NOT NULL")
+def holdings_parse(spark, sf_dir):
+    """Parts as one holdings file per brand: a preamble, a header, quoted names."""
+    part = Tables(spark, sf_dir).read("part")
+    row = F.concat(F.lit("P"), "p_partkey", F.lit(',"'), "p_name", F.lit(', x",'), "p_type")
+    body = part.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"), row.alias("value"))
+    top = body.select("file").distinct()
+    head = [top.select("file", F.lit(-k).cast("long").alias("line"), F.lit(v).alias("value")) for k, v in ((4, "Fund,All"), (3, ""), (2, "As of,P1,x"), (1, "Ticker,Name,Asset Class"))]
+    for h in head:
+        body = body.unionByName(h)
+    return files.holdings(body)
+
+
+@query("SELECT CAST(s_nationkey AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS pos, 'S' || s_suppkey AS symbol FROM supplier")
+def html_constituents(spark, sf_dir):
+    """Suppliers as one page per nation; the second table has the symbols."""
+    rows = Tables(spark, sf_dir).read("supplier").select(F.col("s_nationkey").cast("long").alias("page_id"), F.struct("s_suppkey", F.concat(F.lit("<tr><td>"), "s_name", F.lit("</td><td><b>S"), "s_suppkey", F.lit("</b></td></tr>")).alias("row")).alias("r"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["row"]), "")
+    start = "<p>x</p><table><tr><th>Year</th></tr><tr><td>1</td></tr></table><table class='w'><tr><th>Name</th><th>Symbol</th></tr>"
+    return files.html_constituents(rows.groupBy("page_id").agg(F.concat(F.lit(start), body, F.lit("</table>")).alias("html")))
+
+
+@query("SELECT CAST(date_trunc('day', o_orderdate) AS DATE) AS dt, round(max(o_totalprice) / 100, 6) AS mkt_rf, 0.01::DOUBLE AS smb, (-0.02)::DOUBLE AS hml, round(count(*) / 100, 6) AS rf FROM orders GROUP BY ALL")
+def factor_parse(spark, sf_dir):
+    """Orders by day as the daily section of a factor file, with a header before and an annual section behind it."""
+    days = Tables(spark, sf_dir).read("orders").groupBy(F.to_date("o_orderdate").alias("dt")).agg(F.max("o_totalprice").alias("m"), F.count(F.lit(1)).alias("n"))
+    text = F.concat(F.date_format("dt", "yyyyMMdd"), F.lit(", "), F.col("m").cast("decimal(20,2)"), F.lit(", 1.00, -2.00, "), "n")
+    day = F.datediff("dt", F.lit("1970-01-01"))
+    lines = days.select(F.year("dt").cast("string").alias("file"), day.cast("long").alias("line"), text.alias("value"))
+    top = lines.select("file").distinct()
+    for k, v in ((-1, ",Mkt-RF,SMB,HML,RF"), (10**6, " Annual Factors"), (10**6 + 1, "20001231, 1, 1, 1, 1")):
+        lines = lines.unionByName(top.select("file", F.lit(k).cast("long").alias("line"), F.lit(v).alias("value")))
+    return rounded(files.parse_factors(lines))
+
+
+@query("SELECT r_name AS asset FROM region WHERE (SELECT count(DISTINCT p_type) FROM part) < 45 UNION ALL SELECT DISTINCT p_type FROM part WHERE (SELECT count(DISTINCT p_type) FROM part) >= 45")
+def static_fallback(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return files.or_static(t.read("part").select(F.col("p_type").alias("asset")).distinct(), t.read("region").select(F.col("r_name").alias("asset")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two cap-based trackers, rebalanced monthly on rolling windows, did against their universes, net of 5 bps."""
     return risk_core(spark, sf_dir)
