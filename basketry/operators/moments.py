@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 WINDOW = ["universe", "rebal_dt"]
 #: Penalties as fractions of the largest useful one.
-FRACTIONS = (0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5, 0.7)
+FRACTIONS = (0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50)
 
 
 def gram(windows: DataFrame, by: list[str] = WINDOW) -> DataFrame:
@@ -30,9 +30,9 @@ def lambda_max(windows: DataFrame, by: list[str] = WINDOW) -> DataFrame:
 
 
 def lambda_grid(bounds: DataFrame, n: int = 20, ratio: float = 1e-3) -> DataFrame:
-    """``n`` log-spaced penalties from lam_max down to ratio * lam_max."""
+    """``n`` log-spaced penalties from ratio * lam_max up to lam_max."""
     rows = bounds.withColumn("lam_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return rows.withColumn("lam", F.col("lam_max") * F.pow(F.lit(ratio), F.col("lam_idx") / (n - 1)))
+    return rows.withColumn("lam", F.col("lam_max") * F.pow(F.lit(ratio), 1 - F.col("lam_idx") / (n - 1)))
 
 
 def fraction_grid(bounds: DataFrame, fractions: tuple[float, ...] = FRACTIONS) -> DataFrame:

@@ -62,12 +62,12 @@ def risk_core(curves: DataFrame, by: list[str], days: float = DAYS) -> DataFrame
     )
 
 
-def capm(curves: DataFrame, by: list[str], days: float = DAYS) -> DataFrame:
-    """Annual alpha, beta and R2 of p on b; null below 3 rows or for a flat benchmark."""
-    p, b = F.col("p"), F.col("b")
-    good = (F.count(p) >= 3) & (F.var_pop(b) > 1e-20) & (F.var_pop(p) > 1e-20)
-    alpha = F.pow(1 + F.regr_intercept(p, b), days) - 1
-    return curves.groupBy(*by).agg(F.when(good, alpha).alias("alpha"), F.when(good, F.regr_slope(p, b)).alias("beta"), F.when(good, F.regr_r2(p, b)).alias("r2"))
+def capm(curves: DataFrame, by: list[str], days: float = DAYS, rf: float = 0.0) -> DataFrame:
+    """Daily and annual alpha, beta and R2 of p - rf on b - rf; null below 3 rows or for a flat series."""
+    p, b = F.col("p") - rf, F.col("b") - rf
+    good = (F.count(p) >= 3) & (F.stddev_samp(b) >= 1e-12) & (F.stddev_samp(p) >= 1e-12)
+    out = curves.groupBy(*by).agg(F.when(good, F.regr_intercept(p, b)).alias("alpha_daily"), F.when(good, F.regr_slope(p, b)).alias("beta"), F.when(good, F.regr_r2(p, b)).alias("r2"), F.count(p).alias("n"))
+    return out.withColumn("alpha", F.when(F.abs("alpha_daily") < 1, F.pow(1 + F.col("alpha_daily"), days) - 1))
 
 
 def drawdowns(nav: DataFrame, by: list[str]) -> DataFrame:

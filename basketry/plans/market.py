@@ -79,6 +79,19 @@ REGIMES = (
 )
 
 
-def regimes(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(REGIMES, "regime string, short string, type string, start string, stop string")
+# Stress windows of the stock market, 2017 to 2025.
+STOCK_REGIMES = (
+    ("bear_covid", "COVID 2020", "Bear", "2019-08-01", "2020-07-01"),
+    ("bear_2018q4", "2018 Q4 Selloff", "Bear", "2018-03-01", "2019-02-01"),
+    ("volatile_2022", "Rate Hikes 2022", "Volatile", "2021-06-01", "2022-07-01"),
+    ("volatile_2018vol", "Volmageddon 2018", "Volatile", "2017-06-01", "2018-06-01"),
+    ("bull_2023", "AI Bull 2023", "Bull", "2022-06-01", "2023-07-01"),
+    ("bull_postcovid", "Post-COVID 2021", "Bull", "2020-05-01", "2021-04-01"),
+    ("stable_2024", "Quiet 2024", "Stable", "2024-03-01", "2025-03-01"),
+    ("stable_2021", "Mid-2021 Calm", "Stable", "2020-10-01", "2021-10-01"),
+)
+
+
+def regimes(spark: SparkSession, windows: tuple = REGIMES) -> DataFrame:
+    rows = spark.createDataFrame(windows, "regime string, short string, type string, start string, stop string")
     return rows.select("regime", "short", "type", F.to_date("start").alias("start_dt"), F.to_date("stop").alias("end_dt"))

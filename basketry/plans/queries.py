@@ -501,7 +501,7 @@ def lambda_max(spark, sf_dir):
     return rounded(moments.lambda_max(Tables(spark, sf_dir).train(), ["universe"]), 8)
 
 
-@query(f", {_LAM} SELECT universe, CAST(k AS INT) AS lam_idx, round(lam_max, 8) AS lam_max, round(lam_max * pow(0.001, k / 19.0), 8) AS lam FROM lm, range(20) t(k)")
+@query(f", {_LAM} SELECT universe, CAST(k AS INT) AS lam_idx, round(lam_max, 8) AS lam_max, round(lam_max * pow(0.001, 1 - k / 19.0), 8) AS lam FROM lm, range(20) t(k)")
 def lambda_grid(spark, sf_dir):
     return rounded(moments.lambda_grid(moments.lambda_max(Tables(spark, sf_dir).train(), ["universe"]), 20), 8)
 
@@ -757,9 +757,10 @@ def calmar(spark, sf_dir):
     return rounded(risk.calmar(core, risk.drawdown_stats(out["nav"], M), M))
 
 
-@query("SELECT universe, method, round(pow(1 + regr_intercept(p, b), 52) - 1, 6) AS alpha, round(regr_slope(p, b), 6) AS beta, round(regr_r2(p, b), 6) AS r2 FROM cur GROUP BY ALL")
+@query("SELECT universe, method, round(regr_intercept(p - 1e-5, b - 1e-5), 8) AS alpha_daily, round(pow(1 + regr_intercept(p - 1e-5, b - 1e-5), 52) - 1, 6) AS alpha, round(regr_slope(p, b), 6) AS beta, round(regr_r2(p, b), 6) AS r2, count(*) AS n FROM cur GROUP BY ALL")
 def capm(spark, sf_dir):
-    return rounded(risk.capm(Tables(spark, sf_dir).curves(), M, YEAR["week"]))
+    out = risk.capm(Tables(spark, sf_dir).curves(), M, YEAR["week"], rf=1e-5).withColumn("alpha_daily", F.round("alpha_daily", 8))
+    return out.withColumns({c: F.round(c, 6) for c in ("alpha", "beta", "r2")})
 
 
 _FF3 = """, mo AS (SELECT universe, method{dt}, {agg}covar_pop(mkt_rf, mkt_rf){w} AS a, {agg}covar_pop(mkt_rf, smb){w} AS b, {agg}covar_pop(mkt_rf, hml){w} AS c, {agg}covar_pop(smb, smb){w} AS d, {agg}covar_pop(smb, hml){w} AS e, {agg}covar_pop(hml, hml){w} AS f,
