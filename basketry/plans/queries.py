@@ -902,10 +902,10 @@ def regime_type_avg(spark, sf_dir):
     return rounded(compare.type_averages(compare.regime_verdict(_stress(Tables(spark, sf_dir)))), 4)
 
 
-@query("SELECT universe, list(asset ORDER BY w DESC, asset)[1:3] AS assets FROM w10 GROUP BY universe")
+@query("SELECT universe, array_to_string(list(asset ORDER BY w DESC, asset)[1:3], ',') AS assets FROM w10 GROUP BY universe")
 def top_holdings(spark, sf_dir):
     top = compare.top_holdings(Tables(spark, sf_dir).top10(), ["universe"], 3)
-    return top.select("universe", F.transform("top", lambda x: x["asset"]).alias("assets"))
+    return top.select("universe", F.array_join(F.transform("top", lambda x: x["asset"]), ",").alias("assets"))
 
 
 @query("SELECT event_type AS method, user_id % 4 AS p, round(avg(value), 6) AS mean_s, round(stddev_pop(value), 6) AS std_s, count(*) AS n FROM events GROUP BY ALL")
@@ -950,11 +950,11 @@ def allocate_shares(spark, sf_dir):
     return allocate.allocate(_accounts(t), t.top10(), panel.latest_prices(t.prices("week"))).select("account", "universe", "asset", "shares")
 
 
-@query(_ACC + "SELECT account, a.universe, round(capital, 2) AS capital, coalesce(n, 0) AS n_bought, [] AS warnings, coalesce(invested, 0) <= capital AS within FROM acc a LEFT JOIN (SELECT account, count(*) AS n, sum(round(shares * price, 2)) AS invested FROM bought WHERE shares > 0 GROUP BY account) b USING (account)")
+@query(_ACC + "SELECT account, a.universe, round(capital, 2) AS capital, coalesce(n, 0) AS n_bought, CAST(0 AS BIGINT) AS n_warnings, coalesce(invested, 0) <= capital AS within FROM acc a LEFT JOIN (SELECT account, count(*) AS n, sum(round(shares * price, 2)) AS invested FROM bought WHERE shares > 0 GROUP BY account) b USING (account)")
 def allocation_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
     out = allocate.allocation_summary(_accounts(t), t.top10(), panel.latest_prices(t.prices("week")))
-    return out.select("account", "universe", F.round("capital", 2).alias("capital"), "n_bought", "warnings", (F.col("invested") <= F.col("capital")).alias("within"))
+    return out.select("account", "universe", F.round("capital", 2).alias("capital"), "n_bought", F.size("warnings").cast("long").alias("n_warnings"), (F.col("invested") <= F.col("capital")).alias("within"))
 
 
 @query("SELECT w10.universe, CAST(row_number() OVER (PARTITION BY w10.universe ORDER BY w DESC, asset) AS INT) AS rank, asset, round(w, 8) AS w, round((1 - 10.0 / n) * 100, 1) AS reduction_pct FROM w10 JOIN (SELECT universe, count(DISTINCT asset) AS n FROM ln GROUP BY universe) USING (universe)")
@@ -963,10 +963,10 @@ def ranked_holdings(spark, sf_dir):
     return rounded(allocate.holdings_report(t.top10(), t.lines.groupBy("universe").agg(F.countDistinct("asset").alias("n"))), 8)
 
 
-@query("SELECT universe, round(sum(w), 8) AS w_sum, count(*) AS n_active, list_sort(list(asset ORDER BY w DESC, asset)[1:5]) AS top FROM w10 GROUP BY universe")
+@query("SELECT universe, round(sum(w), 8) AS w_sum, count(*) AS n_active, array_to_string(list_sort(list(asset ORDER BY w DESC, asset)[1:5]), ',') AS top FROM w10 GROUP BY universe")
 def health_top5(spark, sf_dir):
     out = allocate.health(Tables(spark, sf_dir).top10(), 5)
-    return rounded(out.withColumn("top", F.sort_array(F.map_keys("top"))), 8)
+    return rounded(out.withColumn("top", F.array_join(F.sort_array(F.map_keys("top")), ",")), 8)
 
 
 @query("SELECT universe, method, dt, round(nav, 4) AS nav FROM (SELECT *, row_number() OVER (PARTITION BY universe, method ORDER BY dt) AS rn, count(*) OVER (PARTITION BY universe, method) AS n FROM nav WHERE dt BETWEEN DATE '1996-01-01' AND DATE '2000-12-31') WHERE (rn - 1) % CAST(ceil(n / 60.0) AS BIGINT) = 0 OR rn = n")
