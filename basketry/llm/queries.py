@@ -1,4 +1,4 @@
-"""One query per training-data operator, and their DuckDB twins where SQL can express them."""
+"""One query per training-data operator. Their DuckDB twins are in ``twins``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .twins import oracle_sql  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,42 +93,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judged
 
     docs = judged(_read(spark, sf_dir, "documents"))
-    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-
-
-_SPACE = r"[\x20\x09-\x0D]"
-
-_OP1 = rf"""
-WITH d AS (
-  SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}+', '', 'g')) AS h FROM documents
-), g AS (
-  SELECT *, count(*) OVER (PARTITION BY h) AS n, first_value(doc_id) OVER (PARTITION BY h ORDER BY chars DESC, doc_id) AS k FROM d
-)
-SELECT doc_id, k AS keep_id, n AS group_size, doc_id = k AS kept, h AS text_sha256 FROM g
-"""
-
-_OP6 = r"""
-WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
-), t AS (
-  SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-    sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS formatted_chars,
-    string_agg(role, '>' ORDER BY turn, role, text) AS roles
-  FROM c GROUP BY conv_id
-)
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars,
-  regexp_full_match(roles, '(system>)?user>assistant(>user>assistant)*') AS valid
-FROM t
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op6_chat_format": _OP6}
