@@ -14,7 +14,8 @@ have equal anchors at equal offsets, so only suffixes around anchors are sorted:
 4. Removed spans are merged per text, and the kept bytes are hashed. Texts without any span take part in no join.
 
 Identical texts have identical answers, so a text is known by two hashes and its size rather than by its row. A bucket holds about ``per_bucket``
-contexts, and copies of a context count once per run; an anchor hash with more distinct contexts than that makes its bucket larger.
+contexts, and copies of a context count once per run. A bucket of more than ``most`` bytes of contexts (an anchor with very many different
+surroundings) is not merged by one task: its windows are rows, which Spark counts by anchor and hash, with the same result.
 
 Nulls: a null text is empty. Texts shorter than ``length`` bytes keep everything. Repeated rows are repeats of each other. Empty tables and extra
 columns are fine; names that begin with ``_s_`` are reserved.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -38,6 +39,8 @@ from .shingles import _powers, batches, mixed
 GRAM = 32
 FILTER_BITS = 26
 RUN_BYTES = 48 << 20
+BATCH_BYTES = 2 << 20  # contexts whose windows are hashed at once
+BUCKET_BYTES = 24 << 20  # contexts that one task merges
 
 
 def _hashes(prefix: np.ndarray, down: np.ndarray, width: int) -> np.ndarray:
@@ -197,7 +200,8 @@ def _runs(length: int, bitmap, buckets: int):
             refs = held[s]
             by.setdefault(int.from_bytes(s[:8], "big") % buckets, []).append((s, None if len(refs) > 1 else refs[0]))
         for bucket, entries in by.items():
-            yield pd.DataFrame([(bucket, encode_run(entries), None, None, None, None, None)], columns=_OUT)
+            held_size = sum(len(s) for s, _ in entries)
+            yield pd.DataFrame([(bucket, encode_run(entries), None, None, held_size, None, None)], columns=_OUT)
         if sure:
             spans = pd.DataFrame(sorted(sure), columns=_OUT[2:])
             yield spans.assign(bucket=None, run=None)[_OUT]
@@ -238,32 +242,50 @@ def _runs(length: int, bitmap, buckets: int):
     return arrow
 
 
+def _window_hashes(body: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of the contexts: its context's number, its place there, its context's anchor and its own hash."""
+    prefix, down = _prefix(np.frombuffer(b"".join(body), dtype=np.uint8))
+    count = np.array([len(s) - 8 - length + 1 for s in body])
+    begin = np.cumsum([0, *map(len, body[:-1])]) + 8
+    which = np.repeat(np.arange(len(body)), count)
+    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at = begin[which] + place
+    anchor = np.array([int.from_bytes(s[:8], "big") for s in body], dtype=np.uint64)[which]
+    return which, place, anchor, mixed(mixed((prefix[at + length] - prefix[at]) * down[at]) ^ anchor)
+
+
 def _resolved(strings: list[bytes], refs: list[list], many: list[bool], length: int) -> list[tuple]:
     """Spans of one bucket's distinct contexts (sorted): whole ones of repeated contexts, and windows shared by several."""
     spans = []
     for s, own, m in zip(strings, refs, many, strict=True):
         if m:
             spans += [(*r[:3], r[3], r[3] + len(s) - 8) for r in own]
-    head = [s[:8] for s in strings]
-    near = [i for i in range(len(strings)) if (i and head[i] == head[i - 1]) or (i + 1 < len(strings) and head[i] == head[i + 1])]
-    if not near:
-        return spans
-    body = [strings[i] for i in near]
-    data = np.frombuffer(b"".join(body), dtype=np.uint8)
-    prefix, down = _prefix(data)
-    count = np.array([len(s) - 8 - length + 1 for s in body])
-    begin = np.cumsum([0, *map(len, body[:-1])]) + 8
-    which = np.repeat(np.arange(len(body)), count)
-    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    at = begin[which] + place
-    group = np.array([int.from_bytes(s[:8], "big") for s in body], dtype=np.uint64)[which]
-    w = mixed(mixed((prefix[at + length] - prefix[at]) * down[at]) ^ group)
+    first = 0
+    while first < len(strings):  # whole anchors, about BATCH_BYTES at once
+        near, size = [], 0
+        while first < len(strings) and size < BATCH_BYTES:
+            stop = first + 1
+            while stop < len(strings) and strings[stop][:8] == strings[first][:8]:
+                stop += 1
+            if stop > first + 1:
+                near += range(first, stop)
+                size += sum(map(len, strings[first:stop]))
+            first = stop
+        if near:
+            spans += _shared([strings[i] for i in near], [refs[i] for i in near], [many[i] for i in near], length)
+    return spans
+
+
+def _shared(body: list[bytes], refs: list[list], many: list[bool], length: int) -> list[tuple]:
+    """Spans of the windows that two contexts share, or that are found twice in one."""
+    spans = []
+    which, place, _, w = _window_hashes(body, length)
     _, back, n = np.unique(w, return_inverse=True, return_counts=True)
     shared = n[back] > 1
     cut = np.flatnonzero(shared & np.concatenate(([True], ~shared[:-1] | (which[1:] != which[:-1]))))
     stop = np.flatnonzero(shared & np.concatenate((~shared[1:] | (which[1:] != which[:-1]), [True])))
     for a, b in zip(cut, stop, strict=True):
-        i = near[which[a]]
+        i = which[a]
         if not many[i]:
             spans += [(*r[:3], r[3] + int(place[a]), r[3] + int(place[b]) + length) for r in refs[i]]
     return spans
@@ -288,7 +310,48 @@ def _merged(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, per_bucket: int = 20_000, text: str = "text") -> DataFrame:
+def _windows(length: int):
+    """Every window of front-coded runs: anchor, hash, how often it surely occurs, and where (null if its span is known already)."""
+
+    def rows(held: list[tuple[bytes, tuple | None]]) -> pa.RecordBatch:
+        which, place, anchor, w = _window_hashes([s for s, _ in held], length)
+        known = np.array([ref is None for _, ref in held])
+        k1, k2, size, start = np.array([ref or (0, 0, 0, 0) for _, ref in held], dtype=np.int64).T
+        columns = [anchor.view(np.int64), w.view(np.int64), 1 + known[which], k1[which], k2[which].astype(np.int32), size[which], start[which] + place, known[which]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "w", "n", "k1", "k2", "size", "start", "known"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for front_coded in part.column("run"):
+                held, size = [], 0
+                for s, _, ref in decode_run(front_coded.as_py()):
+                    held.append((s, ref))
+                    size += len(s)
+                    if size > BATCH_BYTES:
+                        yield rows(held)
+                        held, size = [], 0
+                if held:
+                    yield rows(held)
+
+    return run
+
+
+def _spans_of_windows(runs: DataFrame, length: int) -> DataFrame:
+    """k1, k2, size, start, end of the repeated windows in runs whose buckets are too large for one task.
+
+    Windows are counted by (anchor, hash) with partial sums. A bitmap of the repeated ones keeps all others from the second shuffle.
+    """
+    windows = runs.mapInArrow(_windows(length), "anchor long, w long, n long, k1 long, k2 int, size long, start long, known boolean")
+    by = ["anchor", "w"]
+    again = table(windows.groupBy(*by).agg(F.sum("n").alias("n")).filter("n > 1").select(*by))
+    asked = with_flag(windows.filter("not known"), key_bitmap(again, by, FILTER_BITS), by, "_s_open", FILTER_BITS).filter("_s_open")
+    starts = asked.join(again, by, "left_semi").select("k1", "k2", "size", "start").distinct()
+    text = Window.partitionBy("k1", "k2", "size").orderBy("start")  # of one text, as the starts are distinct
+    island = starts.withColumn("_s_island", F.col("start") - F.row_number().over(text))
+    return island.groupBy("k1", "k2", "size", "_s_island").agg(F.min("start").alias("start"), (F.max("start") + length).alias("end")).drop("_s_island")
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, per_bucket: int = 20_000, text: str = "text", most: int = BUCKET_BYTES) -> DataFrame:
     """k1, k2, size, spans: for each text with repeated strings, its maximal removed runs (start, end), in bytes."""
     spark = docs.sparkSession
     ship(spark)
@@ -305,8 +368,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, per_bucket: int = 20_000,
     keyed = rows.select("_s_text", F.xxhash64("_s_text").alias("k1"), F.hash("_s_text").alias("k2"))
     found = table(keyed.mapInArrow(_runs(length, bitmap, max(1, -(-total // per_bucket))), _FOUND))
     spans = "k1 long, k2 int, size long, start long, end long"
-    merged = found.filter("bucket is not null").select("bucket", "run").groupBy("bucket").applyInPandas(_merged(length), spans)
-    every = found.filter("bucket is null").select("k1", "k2", "size", "start", "end").unionByName(merged).distinct()
+    runs = found.filter("bucket is not null")
+    large = table(runs.groupBy("bucket").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > most).select("bucket"))
+    if large.isEmpty():
+        small, beyond = runs, None
+    else:
+        small, beyond = runs.join(large, "bucket", "left_anti"), _spans_of_windows(runs.join(large, "bucket", "left_semi").select("run"), length)
+    every = found.filter("bucket is null").select("k1", "k2", "size", "start", "end").unionByName(small.select("bucket", "run").groupBy("bucket").applyInPandas(_merged(length), spans))
+    every = (every.unionByName(beyond) if beyond is not None else every).distinct()
     sorted_spans = every.groupBy("k1", "k2", "size").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("all"))
 
     def join_up(acc, x):
@@ -318,9 +387,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, per_bucket: int = 20_000,
     return sorted_spans.select("k1", "k2", "size", F.aggregate("all", empty, join_up).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, per_bucket: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, per_bucket: int = 20_000, key: str = "doc_id", text: str = "text", most: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    spans = table(repeated_spans(docs, length, per_bucket, text))
+    spans = table(repeated_spans(docs, length, per_bucket, text, most))
     t = text_of(text)
     rows = docs.select(F.col(key), t.alias("_s_text")).withColumns({"k1": F.xxhash64("_s_text"), "k2": F.hash("_s_text"), "size": F.octet_length("_s_text").cast("long")})
     by = ["k1", "k2", "size"]

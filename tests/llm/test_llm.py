@@ -280,8 +280,10 @@ def test_suffix_dedup(spark, docs, empty, texts):
     made = [noise(int(rng.integers(0, 400))) + shared[int(a) : int(a) + int(n)] + noise(300) for a, n in zip(rng.integers(0, 600, 40), rng.integers(150, 500, 40), strict=True)]
     made += ["z" * 900, noise(50) * 12]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(d, per_bucket=50).collect()}
-    assert [got[i] for i in range(len(made))] == removed_by_brute_force([t.encode() for t in made], 200)
+    want = removed_by_brute_force([t.encode() for t in made], 200)
+    for most in (suffix_dedup.BUCKET_BYTES, 9000, 0):  # with all, some and none of the buckets merged by one task
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(d, per_bucket=50, most=most).collect()}
+        assert [got[i] for i in range(len(made))] == want
 
 
 def test_merge_of_front_coded_runs():
