@@ -40,11 +40,12 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
 
 @functools.cache
 def byte_level(path: str) -> bool:
-    """Whether ``path`` is a plain byte-level BPE."""
+    """Whether ``path`` is a plain byte-level BPE without spaces in its special strings."""
     if not path.endswith(".json"):
         return False
     with open(path, encoding="utf-8") as f:
-        return _ranks(json.load(f)) is not None
+        spec = json.load(f)
+    return _ranks(spec) is not None and not any(" " in t["content"] for t in spec.get("added_tokens") or [])
 
 
 @functools.cache

@@ -360,9 +360,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, per_bucket: int = 20_000,
     again = table(counted.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
     # slots are taken from the hash itself here, as the tasks do
     slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
-    masks = again.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("mask")).toPandas()
+    masks = again.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("mask")).toArrow()
     words = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
-    words[masks["word"].to_numpy(dtype=np.int64)] = masks["mask"].to_numpy(dtype=np.int64)
+    words[masks["word"].to_numpy()] = masks["mask"].to_numpy()
     total = again.agg(F.sum("n")).first()[0] or 0
     bitmap = spark.sparkContext.broadcast(words.tobytes())
     keyed = rows.select("_s_text", F.xxhash64("_s_text").alias("k1"), F.hash("_s_text").alias("k2"))

@@ -7,8 +7,8 @@ token starts that are *stable*.
 
 Proof of stability: a token start at a single space between two characters that are not white space. Every alternative of the
 byte-level pattern that takes a space takes it first (a run of white space, or one space before a word), so no pre-token
-can reach across this position from the left, whatever precedes it; what follows depends on the text from there on only. A
-special string contains no space, so none is cut. Near a chunk's own end, where its last pre-tokens may differ from the
+can reach across this position from the left, whatever precedes it; what follows depends on the text from there on only. No
+special string is cut there: a vocabulary with a space inside one is encoded whole. Near a chunk's own end, where its last pre-tokens may differ from the
 document's, the last ``MARGIN`` characters are not used. So two chunks that both start a token at such a position split
 the document's own token sequence there. If two neighbours share no stable start, that document is encoded again with
 twice the chunk and overlap, and at last whole.
