@@ -10,7 +10,7 @@ and can't reject.
 Nulls: a null text has no words and fails the base rules; a null or unlisted language is judged by character classes only, against
 the reference of its own group (null is one group). A language of one document equals its reference. Rows are
 independent, so repeated rows get the same result each. Empty tables and extra columns are fine; names that begin with
-``_q_`` are reserved. All of it is DataFrame functions; a text is read where it lies and never shuffled.
+``_q_`` are reserved. All of it is DataFrame functions; a text is read once, where it lies, and never shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, squeezed, table, text_of
+from .common import SPACE, let, squeezed, table, text_of
 
 # Frequent function words by language.
 COMMON = {
@@ -89,8 +89,8 @@ def _counter(words: list[str]):
     return lambda h: F.array(*[(gone(h, w) / (len(w) + 2)).cast("long") for w in words])
 
 
-def histograms(docs: DataFrame, text: str = "text", lang: str = "lang", words: str | None = None) -> DataFrame:
-    """``docs`` with _q_class (array of long, by CLASSES) and _q_word (by the language's COMMON words, then all others)."""
+def histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows of :func:`base_counts` with _q_chars, _q_class (array of long, by CLASSES) and _q_word (by the language's COMMON words, then all others)."""
     t = text_of(text)
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
     rest = ["capital", "digit", "space", "punctuation", "symbol"]
@@ -98,41 +98,38 @@ def histograms(docs: DataFrame, text: str = "text", lang: str = "lang", words: s
         {
             "_q_capital": count(r"\p{Lu}"),
             "_q_digit": count(r"\p{Nd}"),
-            "_q_space": (F.length(t) - F.length(squeezed(t))).cast("long"),
+            "_q_space": F.length(t) - F.col("word_chars"),
             "_q_punctuation": count(PUNCTUATION),
-            "_q_symbol": count(SYMBOLS),
+            "_q_symbol": F.col("n_symbols"),
         }
     )
     letter = F.length(t).cast("long")
     for name in rest:
         letter = letter - F.col(f"_q_{name}")
-    out = out.withColumn("_q_class", F.array(letter, *[F.col(f"_q_{name}") for name in rest])).drop(*[f"_q_{name}" for name in rest])
-    out = out.withColumn("_q_words", F.regexp_count(t, F.lit(WORD)) if words is None else F.col(words))
+    out = out.withColumn("_q_chars", F.length(t)).withColumn("_q_class", F.array(letter, *[F.col(f"_q_{name}") for name in rest])).drop(*[f"_q_{name}" for name in rest])
     bins = F.lit(None).cast("array<long>")
     for name, common in COMMON.items():
         # the common words of the text as one string of letters, then one pass over that short string for each
         found = F.regexp_extract_all(t, F.lit(rf"(?<![^\x20\x09-\x0D])({'|'.join(common)})(?![^\x20\x09-\x0D])"), F.lit(1))
         hits = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
-        other = (F.col("_q_words") - F.size(found)).cast("long")
+        other = (F.col("n_words") - F.size(found)).cast("long")
         bins = F.when(F.col(lang) == name, F.concat(let(hits, _counter(common)), F.array(other))).otherwise(bins)
-    return out.withColumn("_q_word", bins).drop("_q_words")
+    return out.withColumn("_q_word", bins)
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: int = 500) -> DataFrame:
-    """_q_lang, _q_ref_class, _q_ref_word: the typical share of each bin in the documents of a language.
+def references(rows: DataFrame, lang: str = "lang", min_chars: int = 500) -> DataFrame:
+    """``rows`` of :func:`histograms` -> _q_lang, _q_ref_class, _q_ref_word: the typical share of each bin in the documents of a language.
 
     The median over all its documents of at least ``min_chars`` characters (a mergeable sketch), so that junk does not
     move the reference as long as it is the smaller part.
     """
-    rows = histograms(docs.select(F.col(lang).alias("_q_lang"), F.col(text).alias("_q_text")), "_q_text", "_q_lang")
-    long = F.length(text_of("_q_text")) >= min_chars
 
     def typical(column: str, n: int) -> Column:
-        share = lambda i: F.when(long, F.get(F.col(column), F.lit(i)) / _sum(F.col(column)))
+        share = lambda i: F.when(F.col("_q_chars") >= min_chars, F.get(F.col(column), F.lit(i)) / _sum(F.col(column)))
         return F.array(*[F.coalesce(F.percentile_approx(F.when(_sum(F.col(column)) > 0, share(i)), 0.5), F.lit(0.0)) for i in range(n)])
 
     words = max(map(len, COMMON.values())) + 1
-    return rows.groupBy("_q_lang").agg(typical("_q_class", len(CLASSES)).alias("_q_ref_class"), typical("_q_word", words).alias("_q_ref_word"))
+    return rows.groupBy(F.col(lang).alias("_q_lang")).agg(typical("_q_class", len(CLASSES)).alias("_q_ref_class"), typical("_q_word", words).alias("_q_ref_word"))
 
 
 def _sum(a: Column) -> Column:
@@ -152,16 +149,20 @@ def js_distance(a: Column, b: Column) -> Column:
     return shared
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = 0.18, max_word: float = 0.2, min_chars: int = 500, min_words: int = 60) -> DataFrame:
-    """``docs`` with the base counts, class_distance, word_distance and kept."""
-    ref = table(references(docs, text, lang, min_chars))  # one row per language
-    rows = histograms(base_counts(docs, text), text, lang, "n_words")
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = 0.18, max_word: float = 0.2, min_chars: int = 500, min_words: int = 60, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the base counts, class_distance, word_distance and kept; without the text if ``keep_text`` is false.
+
+    Texts are scanned once: counts and histograms are written, and both the references and the verdicts read them.
+    """
+    counted = histograms(base_counts(docs, text), text, lang)
+    rows = table(counted if keep_text else counted.drop(text))
+    ref = table(references(rows, lang, min_chars))  # one row per language
     joined = rows.join(ref, F.col(lang).eqNullSafe(F.col("_q_lang")), "left")
     out = joined.withColumns(
         {
-            "class_distance": F.when(F.length(text_of(text)) >= min_chars, js_distance(F.col("_q_class"), F.col("_q_ref_class"))),
+            "class_distance": F.when(F.col("_q_chars") >= min_chars, js_distance(F.col("_q_class"), F.col("_q_ref_class"))),
             "word_distance": F.when(F.col("n_words") >= min_words, js_distance(F.col("_q_word"), F.col("_q_ref_word"))),
         }
     )
     far = F.coalesce((F.col("class_distance") > max_class) & F.coalesce(F.col("word_distance") > max_word, F.lit(True)), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_q_class", "_q_word", "_q_lang", "_q_ref_class", "_q_ref_word")
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_q_class", "_q_word", "_q_chars", "_q_lang", "_q_ref_class", "_q_ref_word")

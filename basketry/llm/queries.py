@@ -92,7 +92,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judged
 
-    docs = judged(_read(spark, sf_dir, "documents"))
+    docs = judged(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False)
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")])
 
 
