@@ -111,6 +111,27 @@ def test_pii(spark, docs, empty):
     assert got[1]["n_entities"] == 9
 
 
+def every_mention(text):
+    """mentions(), with every pattern tried on every text."""
+    found = []
+    for kind, pattern in pii.PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            a, b = m.span(m.re.groups)
+            if (kind not in ("male", "female") or text[a].isupper()) and all(b <= x or a >= y for x, y, *_ in found):
+                found.append((a, b, kind, pii.canonical(kind, text[a:b])))
+    return sorted(found)
+
+
+def test_pii_in_texts_without_other_hints(spark, texts):
+    grouped = ["+33 1 23 45 67 89", "+45 12 34 56 78", "+49-30-12-34-56", "12 34 56 78 90 12 34", "12-34-56-78-90-12-34-56", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    single = ["a@b.org", "pwd=abcdefgh", "Token : abcdefgh", "1.2.3.4", "(377) 555-0271", "Señora Ana Ruiz", "Mr. Ода", "Sr. 12", "no mention + ( = : . @ 12 34"]
+    for text in [*grouped, *single, *(f"call {x} now" for x in grouped + single), *(t for t in texts.values() if t)]:
+        assert pii.mentions(text) == every_mention(text)
+    rows = spark.createDataFrame([(i, f"call {x} now") for i, x in enumerate(grouped)], "doc_id long, text string")
+    for r in pii.pseudonymise(rows, b"k").collect():
+        assert r["n_entities"] == 1 and grouped[r["doc_id"]] not in r["text"]
+
+
 def test_pii_surrogates_stay_distinct(spark):
     ips = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(1, 200)], "kind string, entity string")
     rows = pii.entity_surrogates(ips, b"k").collect()
