@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import risk
+from ..session import table
+from . import fit, panel, risk, rules
 from .panel import portfolio_returns
 
+#: Penalties tried one after the other where a fit has no weight.
+LADDER = (0.05, 0.03, 0.02, 0.01)
+SPLIT_FIT = ["universe", "method", "lam_idx"]
+
 
 def holdout_metrics(weights: DataFrame, returns: DataFrame, benchmark: DataFrame, by: list[str], days: float = risk.DAYS) -> DataFrame:
     """Fit quality of ``weights`` (universe, by, asset, w) on ``returns``; ratios that are undefined are 0 here, R2 is null."""
@@ -26,6 +31,27 @@ def holdout_metrics(weights: DataFrame, returns: DataFrame, benchmark: DataFrame
     return out.join(size, ["universe", *by])
 
 
+def split_fit(rows: DataFrame, methods: tuple[str, ...], fractions: tuple[float, ...], cardinality: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(fits, weights by SPLIT_FIT) from the train rows of ``rows`` (universe, dt, asset, r, y, split) alone; weights are on the simplex."""
+    on = F.col("split") == "train"
+    x = table(panel.standardize(panel.varying_assets(rows, where=on), True, where=on).filter(on))
+    fits = table(fit.fit_windows(x, methods, fractions, cardinality=cardinality, by=["universe"]))
+    w = rules.destandardize(fit.fit_weights(fits, SPLIT_FIT), x.select("universe", "asset", "sigma").distinct(), SPLIT_FIT)
+    return fits, table(w)
+
+
+def ladder_fit(rows: DataFrame, methods: tuple[str, ...], ladder: tuple[float, ...] = LADDER, cardinality: int = 10) -> tuple[DataFrame, DataFrame]:
+    """As :func:`split_fit`, but each method's first step of ``ladder`` with weights only; those without any are dropped."""
+    fits, w = split_fit(rows, methods, ladder, cardinality)
+    first = table(fit.first_nonempty(fits.join(w, SPLIT_FIT, "left_semi"), ["universe", "method"], ladder))
+    return first, w.join(first, SPLIT_FIT, "left_semi").select("universe", "method", "asset", "w")
+
+
+def split_curves(rows: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
+    """(universe, by, split, dt, p, b): the returns of ``weights`` and the benchmark on all dates of the split."""
+    return rows.join(weights, ["universe", "asset"]).groupBy("universe", *by, "split", "dt").agg(F.sum(F.col("w") * F.col("r")).alias("p"), F.first("y").alias("b"))
+
+
 def compare(tables: dict[str, DataFrame], include: list[str] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """The weight tables of several methods as one, with a method column; methods without rows are left out by themselves."""
     names = [n for n in (include or tables) if n in tables and n not in skip]

@@ -933,6 +933,123 @@ def in_vs_out(spark, sf_dir):
     return rounded(compare.in_vs_out(p, ["universe"], YEAR["month"]), 5)
 
 
+# Fits beside rules. Everything is fitted or ranked on training dates only; fits have no SQL form, so these have no twins.
+
+_FIT_METHODS = ("fista", "cd", "admm", "reweighted", "omp")
+
+
+def _train_caps(rows: DataFrame, caps: DataFrame) -> DataFrame:
+    """(universe, asset, cap) over the training dates of ``rows``; ``caps``: universe, dt, asset, cap."""
+    return rows.filter("split = 'train'").join(caps, ["universe", "dt", "asset"]).groupBy("universe", "asset").agg(F.sum("cap").alias("cap"))
+
+
+def _all_methods(rows: DataFrame, caps: DataFrame) -> DataFrame:
+    """(universe, method, asset, w) of two rules and five fits on one split."""
+    _, fitted = compare.ladder_fit(rows, _FIT_METHODS)
+    caps = table(_train_caps(rows, caps))
+    both = compare.compare({"cap": rules.top_n_cap(caps, 10, ["universe"]), "equal": rules.equal_top_n_cap(caps, 10, ["universe"])})
+    return table(fitted.unionByName(both))
+
+
+def _on_test(rows: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
+    test = rows.filter("split = 'test'")
+    return compare.holdout_metrics(weights, test, test.select("universe", "dt", F.col("y").alias("r")).distinct(), by, YEAR["month"])
+
+
+def _all_holdout(t: Tables) -> DataFrame:
+    rows = table(t.train_test())
+    return _on_test(rows, _all_methods(rows, t.prices("month").drop("price")), ["method"])
+
+
+@query()
+def method_comparison_all(spark, sf_dir):
+    """Rules and fits on one split, scored on its test dates."""
+    return rounded(_all_holdout(Tables(spark, sf_dir)))
+
+
+@query()
+def headline_admm(spark, sf_dir):
+    return rounded(compare.headline(_all_holdout(Tables(spark, sf_dir)), "admm", ["n_active", "r2", "te"]))
+
+
+@query()
+def multi_universe_all(spark, sf_dir):
+    """Every universe and method; a universe without a fit stays as a row with a reason."""
+    t = Tables(spark, sf_dir)
+    universes = t.read("region").select(F.col("r_name").alias("universe")).unionByName(spark.range(1).select(F.lit("nowhere").alias("universe")))
+    return rounded(compare.with_failures(universes, _all_holdout(t), F.lit("no weights")))
+
+
+@query()
+def pareto_all(spark, sf_dir):
+    """The sweep of every method: names of rules and greedy fits, penalties of the others. ``step`` is N or the penalty's number."""
+    t = Tables(spark, sf_dir)
+    rows = table(t.train_test())
+    caps = table(_train_caps(rows, t.prices("month").drop("price")))
+    _, path = compare.split_fit(rows, ("fista", "reweighted"), moments.FRACTIONS)
+    sweep = path.withColumnRenamed("lam_idx", "step")
+    for n in (3, 5, 8, 12):
+        _, greedy = compare.split_fit(rows, ("omp",), (), n)
+        both = compare.compare({"cap": rules.top_n_cap(caps, n, ["universe"]), "equal": rules.equal_top_n_cap(caps, n, ["universe"]), "omp": greedy.drop("method", "lam_idx")})
+        sweep = sweep.unionByName(both.withColumn("step", F.lit(n)))
+    by = Window.partitionBy("universe", "method").orderBy("n_active", "te").rowsBetween(Window.unboundedPreceding, -1)
+    m = _on_test(rows, table(sweep), ["method", "step"]).select("universe", "method", "step", "n_active", "te", "r2")
+    return rounded(m.withColumn("efficient", F.coalesce(F.col("te") < F.min("te").over(by), F.lit(True))))
+
+
+@query()
+def lambda_path(spark, sf_dir):
+    """Every penalty of the path: active names, objective, R2 on the training dates and tracking error on the test dates."""
+    t = Tables(spark, sf_dir)
+    rows = table(t.train_test())
+    fits, w = compare.split_fit(rows, ("admm",), moments.FRACTIONS)
+    by = ["universe", "lam_idx"]
+    scored = compare.in_vs_out(compare.split_curves(rows, w.drop("method"), ["lam_idx"]), by, YEAR["month"])
+    size = w.groupBy(*by).agg(F.count(F.when(F.col("w") > 1e-6, 1)).alias("n_active"))
+    path = fits.select(*by, "lam_frac", "lam", "nnz", "objective").join(size, by, "left").join(scored, by, "left")
+    out = path.select(*by, "lam_frac", "lam", "nnz", F.coalesce("n_active", F.lit(0)).alias("n_active"), "objective", F.col("r2_train").alias("in_sample_r2"), (F.col("te_test") / 100).alias("oos_te"))
+    return rounded(out, 8)
+
+
+def _regime_split(t: Tables, n_train: int = 20, n_test: int = 10) -> DataFrame:
+    """Every (universe, regime) as a universe of its own, split by its own dates; those with fewer dates are left out."""
+    rows = schedule.assign_regimes(panel.align(t.weekly(), t.bench("week")), market.regimes(t.spark))
+    own = rows.withColumn("universe", F.concat_ws("|", "universe", "regime")).select("universe", "type", "dt", "asset", "r", "y")
+    short = panel.too_short(own, n_train + n_test).select("universe")
+    return table(panel.split(own.join(short, "universe", "left_anti"), n_train, n_test))
+
+
+def _regime_fits(t: Tables) -> DataFrame:
+    rows = _regime_split(t)
+    dates = rows.select("universe", F.split("universe", "[|]")[0].alias("u"), "dt").distinct()
+    caps = t.prices("week").select(F.col("universe").alias("u"), "dt", "asset", "cap").join(dates, ["u", "dt"]).drop("u")
+    w = _all_methods(rows.drop("type"), caps)
+    curves = table(compare.split_curves(rows, w, ["method"]))
+    by = ["universe", "method"]
+    scored = compare.in_vs_out(curves, by, YEAR["week"])
+    test = curves.filter("split = 'test'")
+    gap = test.groupBy(*by).agg((F.max(F.abs(F.col("p") - F.col("b"))) * 100).alias("max_gap_pct"))
+    gaps = gap.join(risk.max_cumulative_gap(test, by), by)
+    size = w.groupBy(*by).agg(F.count(F.when(F.col("w") > 1e-6, 1)).alias("n_active"))
+    top = compare.top_holdings(w, by, 3).select(*by, F.array_join(F.transform("top", lambda x: x["asset"]), ",").alias("top"))
+    out = scored.join(gaps, by).join(size, by).join(top, by).join(rows.select("universe", "type").distinct(), "universe")
+    out = compare.regime_verdict(out.withColumns({"r2": F.col("r2_test"), "te_pct": F.col("te_test")})).drop("r2_test", "te_test")
+    parts = F.split("universe", "[|]")
+    return out.withColumns({"regime": parts[1], "universe": parts[0]})
+
+
+@query()
+def regime_fits(spark, sf_dir):
+    """Per universe, regime and method: split, fit (first penalty of the ladder with weights), train and test metrics, top names."""
+    return rounded(_regime_fits(Tables(spark, sf_dir)), 5)
+
+
+@query()
+def regime_fits_type_avg(spark, sf_dir):
+    found = table(_regime_fits(Tables(spark, sf_dir)))
+    return rounded(found.groupBy("method", "type").agg(F.count(F.lit(1)).alias("n"), F.avg("r2").alias("r2_avg"), F.avg("te_pct").alias("te_avg"), F.bool_and("passed").alias("all_passed")), 4)
+
+
 # ---- allocation and reports ------------------------------------------------------------------------
 
 _ACC = """, acc AS (SELECT c_custkey AS account, r_name AS universe, c_acctbal * 100 AS capital FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0),
