@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables: columns, effects and what is left."""
 
+import re
+
 import corpus_pipeline
 from basketry.llm.near_dedup import near_dedup
 
@@ -22,5 +24,43 @@ def test_stages(spark):
     assert packed.filter("piece = 0").count() == counts[4]
 
 
+def kept_by_brute_force(texts, percent):
+    """The least id of every component of texts that are ``percent`` similar on shingles of five words."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+                k = len(a & b)
+                if 100 * k >= percent * (len(a) + len(b) - k):
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+    return sorted({find(i) for i in ids})
+
+
+def test_near_stage_links_from_80_percent(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = []
+    for n, percent in enumerate((79, 80, 82, 84, 85)):  # the second text has so many of the first one's 100 shingles
+        words = [f"p{n}w{i}" for i in range(104)]
+        rows += [(10**9 + 2 * n, " ".join(words)), (10**9 + 2 * n + 1, " ".join(words[: percent + 4]))]
+    planted = docs.limit(1).drop("doc_id", "text").crossJoin(spark.createDataFrame(rows, "doc_id long, text string")).select(*docs.columns)
+    all_docs = docs.unionByName(planted)
+    texts = {r["doc_id"]: r["text"] for r in all_docs.select("doc_id", "text").collect()}
+    got = sorted({r["doc_id"] for r in corpus_pipeline.near(spark, all_docs, SF).select("doc_id").collect()})
+    assert got == kept_by_brute_force(texts, 80)
+    assert [i - 10**9 for i in got if i >= 10**9] == [0, 1, 2, 4, 6, 8]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
