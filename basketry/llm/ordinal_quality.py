@@ -4,7 +4,8 @@ A document is the set of its hashed words and a few hashed shape marks (share of
 share one weight per hash bucket; ordered thresholds cut the score: ``P(grade <= k) = logistic(threshold_k - score)``. The model gives
 the expected grade and the tail probability ``P(grade >= keep_grade)`` that selection uses.
 
-Fitting uses at most ``sample`` labelled rows (those with the least hash of their id, a documented bound) in one task; scoring covers every row and
+Fitting uses at most ``sample`` labelled rows (those with the least hash of their id, a documented bound; an id on several rows counts once, with the
+text of the least hash) in one task; scoring covers every row and
 whole texts, and ships the weights (``2**bits`` numbers) as one value. Labelled rows are joined by id; the labels are the small side or not, as
 Spark finds, and only their documents' features move.
 
@@ -93,7 +94,7 @@ def _featured(bits: int):
             texts = part.column("text").to_pylist()
             for at in batches(texts):
                 rows = part.slice(at.start, at.stop - at.start)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("grade"), pa.array(features(texts[at], bits), pa.list_(pa.int32()))], names=["doc_id", "grade", "buckets"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("grade"), rows.column("tie"), pa.array(features(texts[at], bits), pa.list_(pa.int32()))], names=["doc_id", "grade", "tie", "buckets"])
 
     return run
 
@@ -105,11 +106,13 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = 8192
     # the bounded sample: at most ``sample`` ids, so both the broadcast and the one task are bounded
     chosen = usable.orderBy(F.xxhash64(F.lit(1), key), key).limit(sample)
     rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(key, "doc_id")), "doc_id")
-    data = rows.mapInArrow(_featured(bits), "doc_id long, grade int, buckets array<int>")
+    # one row per id, whatever the order of arrival: the text of the least hash
+    every = rows.withColumn("tie", F.xxhash64("text")).mapInArrow(_featured(bits), "doc_id long, grade int, tie long, buckets array<int>")
+    data = every.groupBy("doc_id").agg(F.min_by(F.struct("grade", "buckets"), "tie").alias("r")).select("doc_id", "r.*")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([*parts] or [pd.DataFrame({"doc_id": [], "grade": [], "buckets": []})])
-        got = got.drop_duplicates("doc_id").sort_values("doc_id")
+        got = got.sort_values("doc_id")
         w, t = fit([*got["buckets"]], got["grade"].to_numpy(dtype=np.int64), n_grades, bits)
         yield pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "t": [t.tolist()]})
 

@@ -330,6 +330,13 @@ def test_ordinal_quality(spark, docs, empty, real):
     assert not none[0].any() and score(docs, none, 2).count() == len(ROWS)
 
 
+def test_ordinal_fit_takes_one_text_of_an_id(spark):
+    rows = [(1, f"text {i} of many words {i * 7}") for i in range(20)] + [(2, "bad # $ text"), (3, "good words here")]
+    ratings = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "doc_id long, grade int")
+    one, two = (train(spark.createDataFrame(r, "doc_id long, text string").coalesce(1), ratings, 3) for r in (rows, rows[::-1]))
+    assert np.array_equal(one[0], two[0]) and np.array_equal(one[1], two[1])
+
+
 def test_ordinal_fit_is_held_out_accurate():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 64, 20)) for _ in range(1200)]
