@@ -40,12 +40,27 @@ def key_bitmap(keys: DataFrame, cols: list[str], bits: int = 22) -> DataFrame:
     return slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("mask"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many ``_`` in front as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` of ``docs``, and its whole row as the struct ``row``: so no column of the user meets a helper's name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def with_flag(df: DataFrame, bitmap: DataFrame, cols: list[str], flag: str, bits: int = 22) -> DataFrame:
     """Adds ``flag``: false only if the row's key is surely absent from the bitmap.
 
-    The bitmap is broadcast: its size is bounded by ``bits`` alone. False hits only cost work later.
+    The bitmap is broadcast: its size is bounded by ``bits`` alone. False hits only cost work later. The helper columns
+    get names that ``df`` does not have.
     """
-    small = F.broadcast(bitmap.select(F.col("word").alias("_word"), F.col("mask").alias("_mask")))
-    at = df.withColumn("_slot", slot_of([F.col(c) for c in cols], bits)).withColumn("_at", F.expr("_slot div 64"))
-    hit = F.expr("coalesce(shiftright(_mask, cast(_slot % 64 as int)) & 1L, 0L) = 1L")
-    return at.join(small, F.col("_at") == F.col("_word"), "left").withColumn(flag, hit).drop("_slot", "_at", "_word", "_mask")
+    word, mask, slot, at = (fresh(df, f"_{n}") for n in ("word", "mask", "slot", "at"))
+    small = F.broadcast(bitmap.select(F.col("word").alias(word), F.col("mask").alias(mask)))
+    keyed = df.withColumn(slot, slot_of([F.col(c) for c in cols], bits)).withColumn(at, F.expr(f"{slot} div 64"))
+    hit = F.expr(f"coalesce(shiftright({mask}, cast({slot} % 64 as int)) & 1L, 0L) = 1L")
+    return keyed.join(small, F.col(at) == F.col(word), "left").withColumn(flag, hit).drop(slot, at, word, mask)

@@ -9,12 +9,16 @@ from .common import table
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
-    """(a, b), a > b. Each node hands its least neighbour to its larger (``large``) or its other smaller neighbours."""
+    """(a, b), a > b. Each node hands its least neighbour to its larger (``large``) or its other smaller neighbours.
+
+    Least neighbours come from partial sums and are written, so the join back reads two plain shuffles: adaptive execution may
+    split the edges of a hub over tasks.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = table(edges.groupBy("a").agg(F.min("b").alias("m")))
     down = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return down.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -22,8 +26,7 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root) for every node of an edge; root is the least node of its component.
 
-    Every round is written, so lineage stays short. Least neighbours are found by an aggregation and joined back, so the edges of a hub can
-    be split over tasks. Rounds end when a round changes nothing.
+    Every round is written, so lineage stays short. Rounds end when a round changes nothing.
     """
     at = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     at = table(at)

@@ -8,7 +8,7 @@ text of rows whose class survives only; all other rows are known to be alone and
 Nulls: a null text is an empty text, and empty texts equal each other. A null ``doc_id`` ranks after any number;
 a group whose ids are all null has a null ``keep_id``. Rows that repeat both id and text are one document: their
 flags are the same, and :func:`drop_exact_duplicates` returns one of them. An empty table gives an empty result.
-Other columns never matter; names that begin with ``_x_`` are reserved.
+Other columns never matter, whatever their names: a row travels as one struct beside the helpers' columns.
 """
 
 from __future__ import annotations
@@ -16,25 +16,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, squeezed, table, text_of, with_flag
+from .common import key_bitmap, packed, squeezed, table, text_of, with_flag
 
 PREFIX_CHARS = 64
-_KEY = ["_x_len", "_x_prefix"]
+_KEY = ["size", "prefix"]
 
 
-def _profiled(docs: DataFrame, text: str) -> DataFrame:
-    """Adds the normalised text and its first two refinement levels."""
-    norm = docs.withColumn("_x_norm", squeezed(text_of(text)))
-    return norm.withColumns({"_x_len": F.octet_length("_x_norm"), "_x_prefix": F.xxhash64(F.substring("_x_norm", 1, PREFIX_CHARS))})
-
-
-def _refined(docs: DataFrame, text: str, digest: bool) -> DataFrame:
-    """Adds ``_x_open`` (may have a duplicate) and ``_x_full`` (hash of the full text where open, or of every row)."""
-    rows = _profiled(docs, text)
+def _refined(docs: DataFrame, key: str, text: str, digest: bool) -> DataFrame:
+    """row, id, chars, the first two refinement levels, ``open`` (may have a duplicate) and ``full`` (hash of the full text where open, or of every row)."""
+    rows = packed(docs, id=F.col(key), norm=squeezed(text_of(text)), chars=F.length(text_of(text)))
+    rows = rows.withColumns({"size": F.octet_length("norm"), "prefix": F.xxhash64(F.substring("norm", 1, PREFIX_CHARS))})
     repeated = rows.groupBy(*_KEY).count().filter("count > 1")
-    open_rows = with_flag(rows, key_bitmap(repeated, _KEY), _KEY, "_x_open")
-    full = F.sha2(F.col("_x_norm"), 256)
-    return open_rows.withColumn("_x_full", full if digest else F.when(F.col("_x_open"), full))
+    open_rows = with_flag(rows, key_bitmap(repeated, _KEY), _KEY, "open")
+    full = F.sha2(F.col("norm"), 256)
+    return open_rows.withColumn("full", full if digest else F.when(F.col("open"), full))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -44,25 +39,22 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     and joined back on the hash, so a group of a third of all rows is never held by one task: the join reads two
     written tables and adaptive execution may split its side of rows.
     """
-    rows = table(
-        _refined(docs, text, digest).select(F.col(key), F.length(text_of(text)).alias("_x_chars"), *_KEY, "_x_open", F.unhex("_x_full").alias("_x_full"))
-    )
-    by = [*_KEY, "_x_full"]
-    order = F.struct(-F.col("_x_chars"), F.col(key).isNull(), F.col(key).alias("id"))
+    rows = table(_refined(docs, key, text, digest).select("id", "chars", *_KEY, "open", F.unhex("full").alias("full")))
+    by = [*_KEY, "full"]
     groups = table(
-        rows.filter("_x_open")
+        rows.filter("open")
         .groupBy(*by)
-        .agg(F.min(order).alias("_x_first"), F.count(F.lit(1)).alias("_x_size"))
-        .filter("_x_size > 1")
-        .select(*by, F.col("_x_first.id").alias("_x_id"), (-F.col("_x_first.col1")).alias("_x_most"), "_x_size")
+        .agg(F.min(F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id").alias("id"))).alias("first"), F.count(F.lit(1)).alias("copies"))
+        .filter("copies > 1")
+        .select(*by, F.col("first.id").alias("keep"), (-F.col("first.col1")).alias("most"), "copies")
     )
-    alone = F.col("_x_size").isNull()
+    alone = F.col("copies").isNull()
     out = rows.join(groups, by, "left").select(
-        F.col(key),
-        F.when(alone, F.col(key)).otherwise(F.col("_x_id")).alias("keep_id"),
-        F.coalesce("_x_size", F.lit(1).cast("long")).alias("group_size"),
-        (alone | (F.col(key).eqNullSafe(F.col("_x_id")) & (F.col("_x_chars") == F.col("_x_most")))).alias("kept"),
-        F.lower(F.hex("_x_full")).alias("text_sha256"),
+        F.col("id").alias(key),
+        F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
+        F.coalesce("copies", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("id").eqNullSafe(F.col("keep")) & (F.col("chars") == F.col("most")))).alias("kept"),
+        F.lower(F.hex("full")).alias("text_sha256"),
     )
     return out if digest else out.drop("text_sha256")
 
@@ -73,9 +65,8 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     Rows that are surely alone pass through without a shuffle; the others meet in one aggregation that carries the
     row itself and combines on the map side first.
     """
-    cols = docs.columns
-    rows = _refined(docs, text, digest=False)
-    alone = rows.filter("not _x_open").select(*cols)
-    order = F.struct(-F.length(text_of(text)), F.col(key).isNull(), F.col(key), F.xxhash64(*[F.col(c) for c in cols]))
-    first = rows.filter("_x_open").groupBy(*_KEY, "_x_full").agg(F.min_by(F.struct(*cols), order).alias("_x_row"))
-    return alone.unionByName(first.select("_x_row.*"))
+    rows = _refined(docs, key, text, digest=False)
+    alone = rows.filter("not open").select("row.*")
+    order = F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id"), F.xxhash64("row"))
+    first = rows.filter("open").groupBy(*_KEY, "full").agg(F.min_by("row", order).alias("row"))
+    return alone.unionByName(first.select("row.*"))

@@ -1,15 +1,20 @@
 """Mixing sources to target weights with a low-discrepancy schedule of equal-token blocks.
 
 * Targets: a water level. Each source asks for ``level * weight`` words and gets at most ``cap`` times its size.
-* Every source is a stream: its documents in hash order, cut into blocks of ``block`` words (the last is shorter).
-* Slot ``i`` of the schedule goes to the source whose share of [0, 1) holds the van der Corput point of ``i``. How many
-  earlier slots the source had follows from the bits of ``i`` and of the share's bounds, so slots are ranked without a
-  window. A source's slot of rank ``k`` takes its block ``k`` modulo its blocks; passes repeat a source.
-* A source's last slot is trimmed to its target in whole words; ranks that the sequence has not dealt yet come last.
+* Every source is a stream: its documents in hash order, cut into blocks of ``block`` words (the last is shorter). A target
+  needs so many blocks: whole passes of the stream, then a prefix of it, whose last block is trimmed.
+* The schedule has ``2**k`` slots, the least power that holds all needed blocks. The sources' needs, one behind the other, are
+  their shares of the grid of ``2**k`` points. Slot ``i`` belongs to the source whose share holds the van der Corput point of
+  ``i``; points behind the last share deal nothing. A full period of the sequence meets every point once, so every source gets just the
+  slots that it needs, and any prefix of the schedule is close to the targets.
+* A slot's rank is how many earlier slots its source had. It follows from the bits of ``i`` and of the share's bounds, so slots are
+  ranked without a window. The slot of rank ``r`` takes block ``r`` modulo the source's blocks: a block is taken when, and
+  only when, a slot deals it.
 
 Nulls: a null text has size 0, a null source is one source and comes last. Rows of size 0 are in no block and take 0.
 An empty table gives an empty result. Repeated rows are separate documents. The order of a stream is fixed by the
-seed, the id and the text, so reruns agree. Names that begin with ``_m_`` are reserved.
+seed, the id and the text (MD5), so reruns agree. Extra columns may have any name. Sources are a list of one narrow row each, which a
+window puts in order: they may be many thousands, not as many as documents.
 """
 
 from __future__ import annotations
@@ -17,10 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, text_of
+from .common import WORD, packed, table, text_of
 
-BITS = 48
-CHUNK_BITS = 10
 CELL_BITS = 10
 
 
@@ -50,167 +53,131 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return settled.select("source", "source_size", F.col("rank").cast("int"), "weight", F.coalesce(target, F.col("limit").cast("double")).alias("target"))
 
 
-def _intervals(x: Column) -> Column:
-    """[0, x / 2**BITS) as dyadic intervals, one per set bit of x, as array<struct<low, step>>.
+def _shifted(how: str, x: Column, by: Column) -> Column:
+    return F.call_function(how, x, by.cast("int"))
 
-    Just the indices ``low`` plus a multiple of ``step`` have their van der Corput point in the interval.
+
+def _reversed(x: Column, bits: int) -> Column:
+    """The van der Corput point of ``x`` on the grid of ``2**bits`` points: its bits in reverse order."""
+    return F.conv(F.reverse(F.lpad(F.bin(x), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
+
+
+def _intervals(x: Column, bits: int) -> Column:
+    """The points [0, x) as dyadic intervals, one per set bit of x, as array<struct<low, step>>.
+
+    Just the slots ``low`` plus a multiple of ``step`` have their point in the interval.
     """
-    bits = F.lpad(F.bin(x), BITS + 1, "0")  # the first digit is worth 1
-    one = lambda j: F.substring(bits, j + 1, F.lit(1)) == "1"
-    low = lambda j: F.conv(F.concat(F.lit("0"), F.reverse(F.concat(F.substring(bits, F.lit(2), j - 1), F.lit("0")))), 2, 10).cast("long")
-    step = lambda j: F.pow(F.lit(2.0), j).cast("long")
-    parts = F.transform(F.filter(F.sequence(F.lit(1), F.lit(BITS)), one), lambda j: F.struct(low(j).alias("low"), step(j).alias("step")))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(1).cast("long").alias("step")))
-    return F.when(F.substring(bits, 1, 1) == "1", whole).otherwise(parts)
 
+    def part(j: Column) -> Column:
+        begin = _shifted("shiftleft", _shifted("shiftright", x, j + 1), j + 1)
+        return F.struct(_reversed(begin, bits).alias("low"), _shifted("shiftleft", F.lit(1).cast("long"), F.lit(bits) - j).alias("step"))
 
-def _below(n: Column, intervals: Column) -> Column:
-    """How many of the first ``n`` points lie in the intervals."""
-    return F.aggregate(intervals, F.lit(0).cast("long"), lambda acc, p: acc + F.floor((n - p["low"] + p["step"] - 1) / p["step"]).cast("long"))
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda j: F.getbit(x, j) == 1), part)
 
 
-def _point(i: Column) -> Column:
-    """The van der Corput point of ``i``, times ``2**BITS``: its bits in reverse order."""
-    return F.conv(F.reverse(F.lpad(F.bin(i), BITS, "0")), 2, 10).cast("long")
+def _below(n: Column, intervals: Column) -> Column:
+    """How many of the first ``n`` slots have their point in the intervals."""
+    return F.aggregate(intervals, F.lit(0).cast("long"), lambda acc, p: acc + F.floor((n - p["low"] + p["step"] - 1) / p["step"]).cast("long"))
 
 
 def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """(slot, source, rank, pass_no, block_no, words): what the mix reads, in order.
+    """(slot, source, rank, pass_no, block_no, words): what the mix reads, in the order of ``slot``.
 
     ``targets``: source, source_size, target. One row per slot; rows follow the words of the mix, not the documents.
     """
-    live = targets.filter("source_size > 0 and target >= 1").withColumn("words", F.floor("target").cast("long"))
-    by = Window.orderBy(F.col("source").asc_nulls_last())
-    total = F.sum("words").over(Window.partitionBy())
-    upto = lambda w: F.floor(w.cast("double") / total * float(1 << BITS)).cast("long")
-    last = F.row_number().over(Window.orderBy(F.col("source").desc_nulls_first())) == 1
-    shares = live.withColumn("sum", F.sum("words").over(by)).select(
-        "source",
-        "source_size",
-        "words",
-        F.ceil(total / F.lit(float(block))).cast("long").alias("slots"),
-        upto(F.col("sum") - F.col("words")).alias("lo"),
-        F.when(last, F.lit(1 << BITS).cast("long")).otherwise(upto(F.col("sum"))).alias("hi"),
-        F.ceil(F.col("source_size") / F.lit(float(block))).cast("long").alias("blocks"),
-    )
-    shares = table(
-        shares.withColumns({"full": F.expr("words div source_size"), "rest": F.expr("words % source_size")}).withColumn(
-            "need", F.col("full") * F.col("blocks") + F.ceil(F.col("rest") / F.lit(float(block))).cast("long")
-        ).withColumns({"at_lo": _intervals(F.col("lo")), "at_hi": _intervals(F.col("hi"))})
-    )
-    # each source's slots: its ranks, and for each the slot that the sequence gives to it (null: not dealt yet)
     spark = targets.sparkSession
-    bound = shares.agg(F.max("slots")).first()[0] or 0  # one number
-    cell = lambda x: F.shiftright(x, BITS - CELL_BITS)
-    cells = shares.select("source", "lo", "hi", "need", "at_lo", "at_hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.greatest(F.col("lo"), F.col("hi") - 1)))).alias("cell"))
-    dealt = (
-        spark.range(bound)
-        .withColumn("point", _point(F.col("id")))
+    live = targets.filter("source_size > 0 and target >= 1").withColumn("words", F.floor("target").cast("long"))
+    sized = live.select("source", "source_size", F.expr("words div source_size").alias("full"), F.expr("words % source_size").alias("rest"), F.expr(f"(source_size + {block - 1}) div {block}").alias("blocks"))
+    needs = table(sized.withColumn("need", F.col("full") * F.col("blocks") + F.expr(f"(rest + {block - 1}) div {block}")))
+    total = needs.agg(F.sum("need")).first()[0] or 0  # one number
+    bits = max(0, total - 1).bit_length()
+    upto = F.sum("need").over(Window.orderBy(F.col("source").asc_nulls_last()))
+    shares = needs.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("need"))
+    shares = table(shares.withColumns({"at_lo": _intervals(F.col("lo"), bits), "at_hi": _intervals(F.col("hi"), bits)}))
+    # a source's share covers cells of the grid: slots and shares meet on the cell by equality
+    cell = lambda x: F.shiftright(x, max(0, bits - CELL_BITS))
+    cells = shares.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
+    number = F.col("rank") % F.col("blocks")
+    whole = F.least(F.lit(block).cast("long"), F.col("source_size") - number * block)
+    trimmed = F.when(F.col("rank") >= F.col("full") * F.col("blocks"), F.least(whole, F.col("rest") - number * block)).otherwise(whole)
+    return (
+        spark.range(1 << bits if total else 0)
+        .withColumn("point", _reversed(F.col("id"), bits))
         .withColumn("cell", cell(F.col("point")))
         .join(cells, "cell")  # at most 2**CELL_BITS rows and one per source
         .filter("point >= lo and point < hi")
         .withColumn("rank", _below(F.col("id"), F.col("at_hi")) - _below(F.col("id"), F.col("at_lo")))
-        .filter("rank < need")
-        .select(F.col("id").alias("slot"), "source", "rank")
-    )
-    ranks = shares.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)))
-    same = ranks["source"].eqNullSafe(dealt["source"]) & (ranks["rank"] == dealt["rank"])
-    joined = ranks.join(dealt, same, "left").select(ranks["*"], dealt["slot"])
-    number = F.col("rank") % F.col("blocks")
-    whole = F.least(F.lit(block).cast("long"), F.col("source_size") - number * block)
-    trimmed = F.when(F.col("rank") >= F.col("full") * F.col("blocks"), F.least(whole, F.col("rest") - number * block)).otherwise(whole)
-    late = F.col("slots") + F.col("rank")
-    return joined.select(
-        F.coalesce("slot", late).alias("slot"), "source", "rank", F.expr("rank div blocks").alias("pass_no"), number.alias("block_no"), trimmed.alias("words")
+        .select(F.col("id").alias("slot"), "source", "rank", F.expr("rank div blocks").alias("pass_no"), number.alias("block_no"), trimmed.alias("words"))
     )
 
 
-def _spot(*order: Column) -> Column:
-    """A row's place in its source's stream: a hash of 63 bits."""
-    return F.shiftrightunsigned(F.xxhash64(*order), 1)
+def _place(seed: int, key: Column, text: Column) -> Column:
+    """A row's place in its source's stream: a digest of seed, id and text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")), text_of(text)))
 
 
-def _streams(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ``_m_start``: the words before the row in its source's hash order.
+def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+    """(doc_id, source, size in words, place): narrow rows, written once."""
+    size = F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
+    return table(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _place(seed, F.col(key), F.col(text)).alias("place")))
 
-    A two-level prefix sum: sums per (source, hash chunk) first, so that a source of a third of all rows spreads over
-    ``2**CHUNK_BITS`` windows, and only one row per source and chunk meets in the upper window.
-    """
-    chunk = rows.withColumn("_m_hash", _spot(*order)).withColumn("_m_chunk", F.shiftright("_m_hash", 63 - CHUNK_BITS))
-    sums = chunk.groupBy("source", "_m_chunk").agg(F.sum("size").alias("_m_sum"))
-    upper = Window.partitionBy("source").orderBy("_m_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("_m_src"), F.col("_m_chunk").alias("_m_c"), F.coalesce(F.sum("_m_sum").over(upper), F.lit(0).cast("long")).alias("_m_offset"))
-    lower = Window.partitionBy("source", "_m_chunk").orderBy("_m_hash", *order).rowsBetween(Window.unboundedPreceding, -1)
-    within = chunk.withColumn("_m_in", F.coalesce(F.sum("size").over(lower), F.lit(0).cast("long")))
-    same = within["source"].eqNullSafe(offsets["_m_src"]) & (within["_m_chunk"] == offsets["_m_c"])
-    return within.join(offsets, same).withColumn("_m_start", F.col("_m_offset") + F.col("_m_in")).drop("_m_src", "_m_c", "_m_offset", "_m_in", "_m_chunk")
 
+def _streams(rows: DataFrame) -> DataFrame:
+    """Adds ``begin``: the words before the row in its source's stream.
 
-def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
-    """(key, source, size in words, _m_tie): narrow rows, written once. ``_m_tie`` is a hash of the text."""
-    return table(
-        docs.select(
-            F.col(key).alias("doc_id"),
-            F.col(source).alias("source"),
-            F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), text_of(text)).alias("_m_tie"),
-        )
-    )
+    A two-level prefix sum: sums per (source, first digits of the place) first, so that a source of a third of all rows
+    spreads over 4096 windows, and only one row per source and chunk meets in the upper window.
+    """
+    chunk = rows.withColumn("chunk", F.substring("place", 1, 3))
+    upper = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    before = chunk.groupBy("source", "chunk").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(upper), zero)).alias("b")
+    lower = Window.partitionBy("source", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    within = chunk.withColumn("inside", F.coalesce(F.sum("size").over(lower), zero)).alias("w")
+    joined = within.join(before, F.expr("w.source <=> b.source and w.chunk = b.chunk"))
+    return joined.select(*[f"w.{c}" for c in rows.columns], (F.col("before") + F.col("inside")).alias("begin"))
 
 
 def mix(rows: DataFrame, block: int = 1024, **how) -> dict[str, DataFrame]:
     """``rows`` of :func:`sized` -> targets, slots (:func:`schedule`), segments and documents.
 
-    segments: where each document lies in its source's blocks (source, block_no, start, length, _m_start). documents:
-    doc_id, source, size, source_size, target, taken. A document spans several blocks and its segments are joined on
-    (source, block_no), at most ``block`` words each, so no key is hot.
+    segments: where each document lies in its source's blocks (source, block_no, start, length, begin). documents:
+    doc_id, source, place, size, source_size, target, taken, first_slot (null if the mix leaves the document out). A document spans several
+    blocks and its segments are joined on (source, block_no), at most ``block`` words each, so no key is hot.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = table(source_targets(sizes, **how))
     slots = schedule(targets, block)
-    order = [F.col("_m_tie"), F.col("doc_id")]
-    placed = table(_streams(rows.filter("size > 0"), order))
-    first, last = F.expr(f"_m_start div {block}"), F.expr(f"(_m_start + size - 1) div {block}")
-    spread = placed.withColumn("block_no", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.col("_m_start"), F.col("block_no") * block)
-    end = F.least(F.col("_m_start") + F.col("size"), (F.col("block_no") + 1) * block)
-    segments = spread.select("source", "_m_start", "doc_id", "size", "block_no", (begin - F.col("block_no") * block).alias("start"), (end - begin).alias("length"))
-    uses = slots.groupBy("source", "block_no", "words").agg(F.count(F.lit(1)).alias("times"))
-    same = segments["source"].eqNullSafe(uses["source"]) & (segments["block_no"] == uses["block_no"])
+    placed = table(_streams(rows.filter("size > 0")))
+    spread = placed.withColumn("block_no", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
+    start = F.greatest(F.col("begin"), F.col("block_no") * block)
+    stop = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block)
+    segments = spread.select("source", "begin", "doc_id", "place", "size", "block_no", (start - F.col("block_no") * block).alias("start"), (stop - start).alias("length"))
+    uses = slots.groupBy("source", "block_no", "words").agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("slot"))
+    joined = segments.alias("s").join(uses.alias("u"), F.expr("s.source <=> u.source and s.block_no = u.block_no"), "left")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("length"), F.col("words") - F.col("start"))) * F.col("times")
-    taken = (
-        segments.join(uses, same, "left")
-        .groupBy(segments["source"], "_m_start")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.coalesce(F.sum(part), F.lit(0).cast("long")).alias("taken"))
+    taken = joined.withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).groupBy("s.source", "begin").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "place", "size")], F.sum("part").alias("taken"), F.min(F.when(F.col("part") > 0, F.col("slot"))).alias("first_slot")
     )
-    empty = rows.filter("size = 0").select("source", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    every = taken.drop("_m_start").unionByName(empty).alias("d")
+    empty = rows.filter("size = 0").select("source", "doc_id", "place", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    every = taken.drop("begin").unionByName(empty).alias("d")
     t = targets.select("source", "source_size", "target").alias("t")
-    documents = every.join(t, F.expr("d.source <=> t.source")).select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "d.taken")
+    documents = every.join(t, F.expr("d.source <=> t.source")).select("d.doc_id", "d.source", "d.place", "d.size", "t.source_size", "t.target", "d.taken", "d.first_slot")
     return {"targets": targets, "slots": slots, "segments": segments, "documents": documents}
 
 
 def resample(docs: DataFrame, block: int = 1024, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **how) -> DataFrame:
-    """``docs`` repeated as the mix takes them: as many copies as whole passes, rounded for the one that a cut divides.
+    """``docs`` repeated as the mix's slots take them: ``taken / size`` copies, rounded, of each whole document.
 
-    A source's slots take whole passes of its stream and then a prefix of it, so a document's copies follow from its
-    source and hash alone. The cut is one row per source; texts are not shuffled. Documents without words stay once.
+    A document that a trimmed block cuts counts whole or not at all, so a source's words miss its target by at most half of that document. Documents
+    without words stay once. Rows that repeat source, id and text get equal numbers of copies. Rows leave in no order of their
+    own; ``mix(...)["documents"]`` has the slots.
     """
-    rows = sized(docs, key, text, source, seed)
-    parts = mix(rows, block, **how)
-    order = [F.col("_m_tie"), F.col("doc_id")]
-    placed = _streams(rows.filter("size > 0"), order)
-    t = parts["targets"].filter("source_size > 0").select(
-        F.col("source").alias("_m_src"), F.expr("floor(target) div source_size").alias("_m_full"), F.expr("floor(target) % source_size").alias("_m_rest")
-    )
-    inside = placed.join(t, F.expr("source <=> _m_src")).filter("2 * (_m_rest - _m_start) > size")
-    last = F.max(F.struct("_m_hash", "_m_tie", "doc_id"))
-    cuts = inside.groupBy("source").agg(last.alias("_m_cut")).select(F.col("source").alias("_m_cs"), "_m_cut")
-    # targets hold one row per source, so this table is as small as they are; Spark broadcasts it if it is under its threshold
-    cut = table(t.join(cuts, F.expr("_m_src <=> _m_cs"), "left").select("_m_src", "_m_full", "_m_cut"))
-    tie = F.xxhash64(F.lit(seed), text_of(text))
-    at = docs.withColumn("_m_at", F.struct(_spot(tie, F.col(key)).alias("_m_hash"), tie.alias("_m_tie"), F.col(key).alias("doc_id")))
-    joined = at.join(cut, F.col(source).eqNullSafe(F.col("_m_src")), "left")
+    found = mix(sized(docs, key, text, source, seed), block, **how)["documents"].filter("size > 0")
+    # one row per (source, place); the place holds id and text
+    copies = found.groupBy("source", "place").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("copies")).filter("copies > 0").alias("c")
     words = text_of(text).rlike(WORD)
-    copies = F.when(~words, F.lit(1)).otherwise(F.coalesce(F.col("_m_full"), F.lit(0)) + F.when(F.col("_m_at") <= F.col("_m_cut"), 1).otherwise(0))
-    return joined.withColumn("_m_copies", copies.cast("int")).filter("_m_copies > 0").withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*docs.columns)
+    rows = packed(docs, source=F.col(source), place=_place(seed, F.col(key), F.col(text)), words=words).alias("d")
+    taken = rows.filter("words").join(copies, F.expr("d.source <=> c.source and d.place = c.place"))
+    again = taken.withColumn("copy", F.explode(F.expr("sequence(1, c.copies)"))).select("row")
+    return again.unionByName(rows.filter("not words").select("row")).select("row.*")

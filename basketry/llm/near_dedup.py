@@ -4,18 +4,19 @@
 2. Classes are posted under each (coordinate, value). Values with one posting can't collide and are dropped.
 3. Two signatures that agree in ``match`` coordinates must share one of the ``r - match + 1`` rarest of a class's ``r`` shared
    values (prefix). Only these are posted; the common values at the other end are skipped, and classes with
-   ``r < match`` vanish. Within a posting list collisions are counted on the signatures themselves. A long list is cut into
-   blocks whose pairs are separate tasks. A list gives a spanning set of its matching pairs, not all of them.
-4. The matching pairs' components are compared exactly, on full sets, in blocks of bounded size; links that hold form the
-   final components. All pairs of a component's blocks are compared, so no link between posted classes is lost; rows never
-   hold pairs, only a block's spanning links.
+   ``r < match`` vanish. A posting list is merged member by member: collisions of a member with the rest of the list are counted, those that reach ``match``
+   leave the list, and their own collisions are counted with what is left only (skip). So a list of near-equal texts costs its length, not its square, and gives a
+   spanning set of its matching pairs. A long list is cut into blocks whose pairs are separate tasks.
+4. The matching pairs' components (clusters) are searched exactly on full sets, in three steps that compare only what is not joined yet: within blocks of
+   bounded size; among one representative of each joined part; and, in clusters that are still in several parts, the members outside
+   the largest part against all. So no link between posted classes is lost, and only those last members make copies of sets.
 
 A pair at similarity ``threshold`` agrees in a coordinate with that probability, so with 64 coordinates it agrees in fewer than 34 with a
-probability of about 3e-10; ``match`` is the step's only loss.
+probability of about 3e-10 at 0.85 and 3.2e-7 at 0.80; ``match`` is the step's only loss.
 
 Nulls: a null text has no shingles; texts without words are linked with nothing. A null ``doc_id`` ranks after all numbers; a
 component without any number has a null ``component_id``. Rows that repeat id and text get equal results. Empty tables and extra
-columns are fine; names that begin with ``_n_`` are reserved.
+columns, whatever their names, are fine.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import key_bitmap, table, text_of, with_flag
+from .common import key_bitmap, packed, table, text_of, with_flag
 from .components import components
 from .shingles import batches, fingerprint, mixed, shingle_sets
 
@@ -94,82 +95,107 @@ def _tokens(coords: int):
     return run
 
 
-class _Groups:
-    """Local components: joins pairs, and remembers those that joined two components."""
+def spanning(labels: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Pairs (i, j) that join all labels which ``linked(i, others)``, a mask of the others, joins.
 
-    def __init__(self, n: int):
-        self.label, self.pairs = np.arange(n), []
-
-    def join(self, i: int, others: np.ndarray) -> None:
-        for j in others:
-            a, b = self.label[i], self.label[j]
-            if a != b:
-                self.label[self.label == max(a, b)] = min(a, b)
-                self.pairs.append((i, int(j)))
-
-
-def _grouped(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The runs of equal keys of a sorted partition, whole, across batches."""
-    held: list[pd.DataFrame] = []
+    A search that leaves out what it has reached: a row that was reached is compared with nobody's rest again. Small
+    labels go first, so the rows of the largest are not compared with each other.
+    """
+    _, group, size = np.unique(labels, return_inverse=True, return_counts=True)
+    alone = len(size) == len(labels)
+    pool = np.lexsort((np.arange(len(labels)), group, size[group]))
+    pairs = []
+    while len(pool):
+        inside = group[pool] == group[pool[0]]
+        queue, pool = [*pool[inside]], pool[~inside]
+        for i in queue:  # grows
+            if not len(pool):
+                break
+            hit = linked(i, pool)
+            if hit.any():
+                found = pool[hit]
+                if not alone:
+                    groups, first = np.unique(group[found], return_index=True)
+                    found, hit = found[first], np.isin(group[pool], groups)
+                pairs += [(i, j) for j in found]
+                queue += [*pool[hit]]
+                pool = pool[~hit]
+    return pairs
+
+
+def _runs(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A sorted partition in tables of whole runs of equal keys, each with the bounds of its runs."""
+    held: pa.Table | None = None
     for part in parts:
-        if not len(part):
+        if not part.num_rows:
             continue
-        k = part[keys].to_numpy()
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), len(part)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            run = part.iloc[a:b]
-            if held and (held[0][keys].iloc[0].to_numpy() != k[a]).any():
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(run)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        fresh = pa.Table.from_batches([part])
+        rows = fresh if held is None else pa.concat_tables([held, fresh])
+        k = np.stack([rows[c].to_numpy() for c in keys])
+        starts = np.flatnonzero(np.concatenate(([True], (k[:, 1:] != k[:, :-1]).any(axis=0))))
+        if starts[-1]:
+            yield rows.slice(0, starts[-1]), starts
+        held = rows.slice(starts[-1])
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _pairs_of(nodes: np.ndarray, a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(nodes[np.array(x, dtype=np.int64)]) for x in (a, b)], names=["a", "b"])
 
 
 def _collided(match: int, percent: int):
     """Spanning pairs of a posting list whose signatures agree in ``match`` coordinates and whose sizes allow a link."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _grouped(parts, ["token", "b1", "b2"]):
-            if len(rows) < 2:
-                continue
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _runs(parts, ["token", "b1", "b2"]):
             nodes, n = rows["node"].to_numpy(), rows["n"].to_numpy()
-            sig = np.frombuffer(b"".join(rows["low"]), dtype=np.uint8).reshape(len(rows), -1)
-            groups = _Groups(len(rows))
-            for i in range(len(rows) - 1):
-                fits = 100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])
-                same = np.count_nonzero(sig[i + 1 :] == sig[i], axis=1) >= match
-                groups.join(i, np.flatnonzero(fits & same) + i + 1)
-            if groups.pairs:
-                pairs = np.array(groups.pairs)
-                yield pd.DataFrame({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
+            sig = np.frombuffer(b"".join(rows["low"].to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
+            fits = lambda i, j: 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            collide = lambda i, j: fits(i, j) & (np.count_nonzero(sig[i] == sig[j], axis=1) >= match)
+            sizes = np.diff(bounds)
+            two = bounds[:-1][sizes == 2]
+            two = two[collide(two, two + 1)] if len(two) else two
+            a, b = [*two], [*(two + 1)]
+            for first, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+                found = spanning(np.arange(size), lambda i, others, first=first: collide(first + i, first + others))
+                a += [first + i for i, _ in found]
+                b += [first + j for _, j in found]
+            if a:
+                yield _pairs_of(nodes, a, b)
 
     return run
 
 
 def _linked(percent: int):
-    """Spanning links of a block of full sets: 100 * intersection >= percent * union."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _grouped(parts, ["cluster", "b1", "b2"]):
-            if len(rows) < 2:
-                continue
-            nodes = rows["node"].to_numpy()
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"]]
-            n = np.array([len(x) for x in sets])
-            ends = np.cumsum(n)
-            vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-            starts, has = ends - n, np.zeros(len(vocabulary), dtype=np.uint8)
-            groups = _Groups(len(rows))
-            for i in range(len(rows) - 1):
-                own = flat[starts[i] : ends[i]]
-                has[own] = 1
-                common = np.add.reduceat(has[flat[ends[i] :]], starts[i + 1 :] - ends[i], dtype=np.int64)
-                has[own] = 0
-                groups.join(i, np.flatnonzero(100 * common >= percent * (n[i] + n[i + 1 :] - common)) + i + 1)
-            if groups.pairs:
-                pairs = np.array(groups.pairs)
-                yield pd.DataFrame({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
+    """Spanning links between the labels of a block of full sets: 100 * intersection >= percent * union."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _runs(parts, ["cluster", "b1", "b2"]):
+            nodes, labels = rows["node"].to_numpy(), rows["label"].to_numpy()
+            for first, stop in zip(bounds[:-1], bounds[1:], strict=True):
+                if stop - first < 2:
+                    continue
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"].slice(first, stop - first).to_pylist()]
+                n = np.array([len(x) for x in sets])
+                vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                own = np.split(flat, np.cumsum(n)[:-1])
+                has = np.zeros(len(vocabulary), dtype=np.uint8)
+
+                def linked(i: int, others: np.ndarray, own=own, n=n, has=has) -> np.ndarray:
+                    out = 100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])
+                    near = others[out]
+                    if len(near):
+                        has[own[i]] = 1
+                        begins = np.cumsum(n[near]) - n[near]
+                        common = np.add.reduceat(has[np.concatenate([own[j] for j in near])], begins, dtype=np.int64)
+                        has[own[i]] = 0
+                        out[out] = 100 * common >= percent * (n[i] + n[near] - common)
+                    return out
+
+                found = spanning(labels[first:stop], linked)
+                if found:
+                    yield _pairs_of(nodes, [first + i for i, _ in found], [first + j for _, j in found])
 
     return run
 
@@ -180,13 +206,62 @@ def _low(part: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
-    """Each row once for every pair of blocks (b1 <= b2) that its own block is in; ``_n_blocks`` may differ by group."""
-    own = F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.col("_n_blocks"))
-    at = rows.withColumn("_n_blocks", blocks.cast("long")).withColumn("_n_own", own).withColumn("_n_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n_blocks") - 1)))
-    return at.withColumns({"b1": F.least("_n_own", "_n_other"), "b2": F.greatest("_n_own", "_n_other")}).drop("_n_blocks", "_n_own", "_n_other")
-
-
-def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, coords: int = 64, match: int = 34, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row once for every pair of blocks (b1 <= b2) that its own block is in; ``blocks`` may differ by group."""
+    own = F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.col("blocks"))
+    at = rows.withColumn("blocks", blocks.cast("long")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return at.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("blocks", "own", "other")
+
+
+def _dealt(rows: DataFrame, keys: list[str], per_task: int) -> DataFrame:
+    """Written rows in as many partitions as their number asks for, sorted by ``keys``: the work grows with rows, not bytes."""
+    written = table(rows)
+    tasks = max(written.sparkSession.sparkContext.defaultParallelism, -(-written.count() // per_task))
+    return written.repartition(tasks, *keys).sortWithinPartitions(*keys, "node")
+
+
+def _searched(blocks: DataFrame, percent: int) -> DataFrame:
+    """cluster, b1, b2, node, label, shingles -> links, as written (a, b)."""
+    dealt = _dealt(blocks.select("cluster", "b1", "b2", "node", "label", "shingles"), ["cluster", "b1", "b2"], 1000)
+    return table(dealt.mapInArrow(_linked(percent), "a long, b long"))
+
+
+def _links(full: DataFrame, percent: int, sets: int = SETS) -> DataFrame:
+    """Written (cluster, node, n, shingles) -> links (a, b) that span all links of each cluster."""
+    many = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / sets), F.ceil(F.sum("n") / SHINGLES)).cast("long").alias("many")
+    hashed = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("node")), F.col(n))
+    size = table(full.groupBy("cluster").agg(many()))
+    one = full.join(size, "cluster").withColumns({"b1": hashed(7, "many"), "b2": F.lit(0).cast("long"), "label": F.col("node")})
+    links = _searched(one, percent)
+    wide = size.filter("many > 1")
+    if wide.isEmpty():
+        return links
+
+    def labelled(found: DataFrame, rows: DataFrame) -> DataFrame:
+        return table(rows.join(found.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+    names = full.join(wide.select("cluster"), "cluster").select("cluster", "node", "n")
+    parts = labelled(components(links), names)
+    first = parts.filter("label = node")
+    few = table(first.groupBy("cluster").agg(many()))
+    chosen = first.join(few, "cluster").withColumns({"b1": hashed(8, "many"), "b2": F.lit(0).cast("long")})
+    links = links.unionByName(_searched(full.select("node", "shingles").join(chosen, "node"), percent))
+    parts = labelled(components(links), names)
+    # clusters in several parts: everybody outside the largest part meets all others
+    counts = parts.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
+    largest = table(counts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels"))
+    asked = table(parts.join(largest, "cluster").withColumn("outside", F.col("label") != F.col("largest")).drop("largest"))
+    of_all = asked.groupBy("cluster").agg(many()).withColumnRenamed("many", "many_all")
+    of_outside = asked.filter("outside").groupBy("cluster").agg(many()).withColumnRenamed("many", "many_out")
+    sized = asked.join(table(of_all.join(of_outside, "cluster")), "cluster")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = sized.withColumn("b2", hashed(9, "many_all")).withColumn("b1", upto("many_out"))
+    outside = sized.filter("outside").withColumn("b1", hashed(10, "many_out")).withColumn("b2", upto("many_all"))
+    cols = ["cluster", "b1", "b2", "node", "label"]
+    rest = every.select(*cols).unionByName(outside.select(*cols))
+    return links.unionByName(_searched(rest.join(full.select("node", "shingles"), "node"), percent))
+
+
+def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, coords: int = 64, match: int = 34, key: str = "doc_id", text: str = "text", sets: int = SETS) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept, and _n_tie (a hash of the text)."""
     ship(docs.sparkSession)
     key_type = docs.select(F.col(key).alias("doc_id")).schema["doc_id"].dataType.simpleString()
@@ -203,25 +278,19 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, coords: int =
     live = by_node.filter(F.size("t") >= match).select("node", F.slice("t", F.lit(1), F.size("t") - match + 1).alias("t"))
     low = F.pandas_udf(_low, "binary")
     posted = table(live.join(classes.select("node", "n", low("sig").alias("low")), "node").select("node", "n", "low", F.explode(F.col("t.token")).alias("token")))
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("_n_size")).filter("_n_size > 1")
-    blocks = _in_blocks(posted.join(lists, "token"), F.ceil(F.col("_n_size") / BLOCK)).drop("_n_size")
-    dealt = blocks.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "node")
-    pairs = dealt.mapInPandas(_collided(match, percent), "a long, b long")
+    lists = table(posted.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    blocks = _in_blocks(posted.join(lists, "token"), F.ceil(F.col("members") / BLOCK)).drop("members")
+    pairs = table(_dealt(blocks, ["token", "b1", "b2"], 20_000).mapInArrow(_collided(match, percent), "a long, b long"))
     clusters = table(components(pairs).withColumnRenamed("root", "cluster"))
 
     members = table(clusters.join(classes.select("node", "fp", "doc_id", "n"), "node"))
-    sets = _sets_of(docs, members, width, key, text)
-    full = members.select("node", "cluster", "fp").join(sets, "fp")
-    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("n") / SHINGLES)).alias("_n_count"))
-    blocks = _in_blocks(full.join(size, "cluster"), F.col("_n_count")).select("cluster", "b1", "b2", "node", "shingles")
-    dealt = blocks.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2", "node")
-    links = dealt.mapInPandas(_linked(percent), "a long, b long")
-    found = table(components(links))
-
-    named = found.join(classes.select("node", "fp", "doc_id"), "node")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    full = table(members.select("node", "cluster", "fp", "n").join(_sets_of(docs, members, width, key, text), "fp").drop("fp"))
+    found = table(components(_links(full, percent, sets)))
+
+    named = table(found.join(classes.select("node", "fp", "doc_id"), "node"))
+    least = table(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     of_links = named.join(least, "root").select("fp", "component_id")
-    of_copies = classes.filter("copies > 1").select("fp", F.col("doc_id").alias("component_id")).join(of_links.select("fp"), "fp", "left_anti")
+    of_copies = classes.filter("copies > 1").select("fp", F.col("doc_id").alias("component_id")).join(named.select("fp"), "fp", "left_anti")
     answer = table(of_links.unionByName(of_copies).select(F.col("fp").alias("_n_fp"), "component_id", F.lit(True).alias("_n_found")))
     out = rows.drop("sig").join(answer, F.col("fp") == F.col("_n_fp"), "left")
     component = F.when(F.col("_n_found"), F.col("component_id")).otherwise(F.col("doc_id"))
@@ -249,10 +318,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Dropped rows are known by key and a hash of the text. A bitmap of them, of fixed size, lets all rows that surely stay pass without a
     shuffle; only the others are looked up.
     """
-    gone = table(near_dedup(docs, key=key, text=text, **how).filter("not kept").select(F.col(key).alias("_n_key"), F.col("_n_tie").alias("_n_gone")).distinct())
-    rows = docs.withColumns({"_n_key": F.col(key), "_n_gone": F.xxhash64(text_of(text))})
-    flagged = with_flag(rows, key_bitmap(gone, ["_n_key", "_n_gone"], FILTER_BITS), ["_n_key", "_n_gone"], "_n_open", FILTER_BITS)
-    stay = flagged.filter("not _n_open").select(*docs.columns)
-    asked = flagged.filter("_n_open").alias("d")
-    same = F.expr("d._n_key <=> g._n_key and d._n_gone = g._n_gone")
-    return stay.unionByName(asked.join(gone.alias("g"), same, "left_anti").select(*[F.col(f"d.{c}") for c in docs.columns]))
+    gone = table(near_dedup(docs, key=key, text=text, **how).filter("not kept").select(F.col(key).alias("id"), F.col("_n_tie").alias("tie")).distinct())
+    rows = packed(docs, id=F.col(key), tie=F.xxhash64(text_of(text)))
+    flagged = with_flag(rows, key_bitmap(gone, ["id", "tie"], FILTER_BITS), ["id", "tie"], "open", FILTER_BITS)
+    stay = flagged.filter("not open").select("row")
+    asked = flagged.filter("open").alias("d")
+    left = asked.join(gone.alias("g"), F.expr("d.id <=> g.id and d.tie = g.tie"), "left_anti").select("row")
+    return stay.unionByName(left).select("row.*")

@@ -30,7 +30,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, sized
 
     rows = sized(_read(spark, sf_dir, "documents"))
-    return mix(rows, block=1024)["documents"].drop("source")
+    return mix(rows, block=1024)["documents"].drop("source", "place")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

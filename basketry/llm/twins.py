@@ -15,6 +15,51 @@ WITH d AS (
 SELECT doc_id, k AS keep_id, n AS group_size, doc_id = k AS kept, h AS text_sha256 FROM g
 """
 
+# The schedule by counting: ranks come from a window here.
+_OP3 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS place FROM documents
+), ranked AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), weighed AS (
+  SELECT *, [5, 2, 1][place % 3 + 1] AS weight, 2 * source_size AS most FROM ranked
+), sums AS (
+  SELECT *, 3 * sum(source_size) OVER () AS total, coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(weight) OVER (ORDER BY most::DOUBLE / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM weighed
+), levels AS (
+  SELECT *, (total - 2 * capped)::DOUBLE / 2 / open_weight AS level FROM sums
+), targets AS (
+  SELECT source, source_size, coalesce(least(max(CASE WHEN level * weight <= most THEN level END) OVER () * weight, most::DOUBLE), most::DOUBLE) AS target FROM levels
+), sized AS (
+  SELECT source, source_size, floor(target)::BIGINT // source_size AS full_passes, floor(target)::BIGINT % source_size AS rest, (source_size + 1023) // 1024 AS blocks FROM targets WHERE source_size > 0 AND target >= 1
+), needs AS (
+  SELECT *, full_passes * blocks + (rest + 1023) // 1024 AS need FROM sized
+), shares AS (
+  SELECT *, (sum(need) OVER (ORDER BY source NULLS LAST))::BIGINT AS hi, (sum(need) OVER (ORDER BY source NULLS LAST) - need)::BIGINT AS lo FROM needs
+), grid AS (
+  SELECT min(k) AS k FROM range(0, 60) AS r(k) WHERE (1::BIGINT << k) >= (SELECT coalesce(sum(need), 1) FROM needs)
+), points AS (
+  SELECT slot, coalesce(list_sum(list_transform(range(k), lambda j: ((slot >> j) & 1) << (k - 1 - j))), 0) AS point FROM (SELECT k, unnest(range(0, 1::BIGINT << k)) AS slot FROM grid)
+), dealt AS (
+  SELECT slot, s.*, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN shares s ON point >= lo AND point < hi
+), blocks AS (
+  SELECT slot, source, rank % blocks AS block_no, least(1024, source_size - rank % blocks * 1024, CASE WHEN rank >= full_passes * blocks THEN rest - rank % blocks * 1024 ELSE 1024 END) AS words FROM dealt
+), streams AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, row_number() OVER () AS row FROM d WHERE size > 0
+), segments AS (
+  SELECT row, source, block_no, greatest(a, block_no * 1024) - block_no * 1024 AS a, least(a + size, (block_no + 1) * 1024) - block_no * 1024 AS b
+  FROM (SELECT *, unnest(range(a // 1024, (a + size - 1) // 1024 + 1)) AS block_no FROM streams)
+), parts AS (
+  SELECT row, slot, greatest(0, least(b, words) - a) AS part FROM segments g JOIN blocks u ON g.source IS NOT DISTINCT FROM u.source AND g.block_no = u.block_no
+), taken AS (
+  SELECT row, sum(part)::BIGINT AS taken, min(slot) FILTER (WHERE part > 0) AS first_slot FROM parts GROUP BY row
+), answers AS (
+  SELECT doc_id, source, size, coalesce(t.taken, 0) AS taken, first_slot FROM streams s LEFT JOIN taken t ON t.row = s.row
+  UNION ALL SELECT doc_id, source, size, 0, NULL FROM d WHERE size = 0
+)
+SELECT doc_id, size, source_size, target, taken, first_slot FROM answers a JOIN targets t ON a.source IS NOT DISTINCT FROM t.source
+"""
+
 # Links come from counting shared shingles, components from the closure of the links.
 _OP4 = rf"""
 WITH RECURSIVE d AS (
@@ -142,4 +187,4 @@ FROM judged
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op4_near_dedup": _OP4, "op6_chat_format": _OP6, "op7_suffix_dedup": _OP7, "op10_quality_rules": _OP10}
+    return {"op1_exact_dedup": _OP1, "op3_mix_sources": _OP3, "op4_near_dedup": _OP4, "op6_chat_format": _OP6, "op7_suffix_dedup": _OP7, "op10_quality_rules": _OP10}

@@ -154,6 +154,38 @@ def targets(sizes):
     return out
 
 
+def van_der_corput(i, bits):
+    return int(f"{i:0{bits}b}"[::-1], 2) if bits else 0
+
+
+def mixed_by_brute_force(rows, block):
+    """(doc_id, text) -> taken, by dealing one slot after another; and each source's words."""
+    streams = defaultdict(list)
+    for doc, text, source in rows:
+        n = len(WORD.findall(text or ""))
+        if n:
+            streams[source].append((hashlib.md5(f"0|{'' if doc is None else doc}|{text}".encode()).hexdigest(), n, doc, text))
+    sizes = {s: sum(x[1] for x in docs) for s, docs in streams.items()}
+    want = targets(sizes)
+    words = {s: [x for x in sorted(docs) for _ in range(x[1])] for s, docs in streams.items()}
+    need, taken = {}, Counter()
+    for s in sorted(sizes, key=lambda s: (s is None, s or "")):
+        full, rest = divmod(int(want[s] + 1e-9), sizes[s])
+        need[s] = full * -(-sizes[s] // block) + -(-rest // block)
+    bits = max(0, sum(need.values()) - 1).bit_length()
+    owner = [s for s, n in need.items() for _ in range(n)]
+    at, left = Counter(), {s: int(want[s] + 1e-9) for s in sizes}
+    for i in range(1 << bits):
+        point = van_der_corput(i, bits)
+        if point < len(owner):
+            s = owner[point]
+            for x in words[s][at[s] : at[s] + min(block, left[s])]:
+                taken[x] += 1
+                left[s] -= 1
+            at[s] = (at[s] + block) if at[s] + block < sizes[s] else 0
+    return taken, want
+
+
 @pytest.mark.parametrize("block", [7, 1024])
 def test_mixing(docs, empty, real, block):
     for d in (docs, empty, real):
@@ -164,7 +196,7 @@ def test_mixing(docs, empty, real, block):
         sizes = Counter()
         for r in got:
             sizes[r["source"]] += r["size"]
-            assert r["taken"] <= 2 * r["size"]
+            assert r["taken"] <= 2 * r["size"] and (r["taken"] > 0) == (r["first_slot"] is not None)
         want, taken = targets(sizes), Counter()
         for r in got:
             taken[r["source"]] += r["taken"]
@@ -175,6 +207,33 @@ def test_mixing(docs, empty, real, block):
         assert sum(s["words"] for s in slots) == sum(taken.values())
         again = {(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(mixing.sized(d), block=block)["documents"].collect()}
         assert again == {(r["doc_id"], r["size"], r["taken"]) for r in got}
+        brute, _ = mixed_by_brute_force([(r["doc_id"], r["text"], r["source"]) for r in d.select("doc_id", "text", "source").collect()], block)
+        sums, brute_sums = Counter(), Counter()
+        for r in got:
+            if r["taken"]:
+                sums[r["place"]] += r["taken"]
+        for x, n in brute.items():
+            brute_sums[x[0]] += n
+        assert sums == brute_sums
+
+
+def test_mix_takes_only_what_the_sequence_deals(real, monkeypatch):
+    rows = mixing.sized(real)
+    before = mixing.mix(rows)["documents"].agg(F.sum("taken")).first()[0]
+    monkeypatch.setattr(mixing, "_reversed", lambda x, bits: F.lit(0).cast("long"))
+    assert mixing.mix(rows)["documents"].agg(F.sum("taken")).first()[0] != before
+    assert mixing.resample(real).count() != real.count()
+
+
+def test_resample_follows_the_slots(docs, real):
+    for d in (docs, real):
+        taken = {(r["doc_id"], r["source"]): r for r in mixing.mix(mixing.sized(d))["documents"].collect()}
+        got = Counter((r["doc_id"], r["source"]) for r in mixing.resample(d).collect())
+        once = Counter((r["doc_id"], r["source"]) for r in d.collect())
+        for k, r in taken.items():
+            if once[k] == 1:
+                assert got[k] == (int(r["taken"] / r["size"] + 0.5) if r["size"] else 1)
+        assert mixing.resample(d).columns == d.columns
 
 
 def test_schedule_ranks_match_a_count(spark):
@@ -229,12 +288,35 @@ def test_near_dedup(spark, docs, empty, texts):
         base[int(rng.integers(120))] = f"new{k}"
         made[100_000 + k] = " ".join(base)
     d = spark.createDataFrame([*made.items()], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(d).collect()}
     want = components_by_brute_force(made)
-    assert got == want
+    for sets in (near_dedup.SETS, 3):  # clusters in one block, and in many
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(d, sets=sets).collect()}
+        assert got == want
     assert near_dedup.drop_near_duplicates(d).count() == len({c for _, c in want.values()})
 
 
+def test_spanning_joins_what_all_pairs_join():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 60):
+        for labels in (np.arange(n), rng.integers(0, 4, n)):
+            links = rng.random((n, n)) < 1.2 / n
+            links |= links.T
+
+            def parts(pairs, n=n, labels=labels):
+                label = labels.copy()
+                for i, j in pairs:
+                    label[label == label[j]] = label[i]
+                return {frozenset(np.flatnonzero(label == x)) for x in label}
+
+            asked = []
+            found = near_dedup.spanning(labels, lambda i, others, links=links, asked=asked: (asked.append(len(others)), links[i, others])[1])
+            assert parts(found) == parts([(i, j) for i in range(n) for j in range(n) if links[i, j]])
+            assert len(found) < len(set(labels.tolist())) or n == 0
+    asked = []
+    near_dedup.spanning(np.arange(500), lambda i, others: (asked.append(len(others)), np.ones(len(others), bool))[1])
+    assert sum(asked) == 499  # a list of equals is read once
+
+
 def test_encoder_equals_the_library(texts):
     lib = Tokenizer.from_file(PATH)
     odd = [r[1] or "" for r in ROWS] + ["<|endoftext|>", " <|endoftext|>a<|endoftext|>", "a'll 'LL \r\n\t x  y   ", "\x00\x85 ﻿١٢ 三"]
