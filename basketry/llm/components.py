@@ -1,4 +1,4 @@
-"""Connected components of a graph given as edges, by alternating large and small stars."""
+"""Connected components of a graph given as edges, by label hooking and shortcutting."""
 
 from __future__ import annotations
 
@@ -8,34 +8,24 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-def _starred(edges: DataFrame, large: bool) -> DataFrame:
-    """(a, b), a > b. Each node hands its least neighbour to its larger (``large``) or its other smaller neighbours.
-
-    Least neighbours come from partial sums and are written, so the join back reads two plain shuffles: adaptive execution may
-    split the edges of a hub over tasks.
-    """
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-    least = table(edges.groupBy("a").agg(F.min("b").alias("m")))
-    down = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root) for every node of an edge; root is the least node of its component.
 
-    Every round is written, so lineage stays short. Rounds end when a round changes nothing.
+    Every node has a label, a node of its component that is not larger; at first its least neighbour. In a round a node, and its label, take the least
+    label of their neighbours' labels if that is less, and labels are followed one step. Rounds end when no label changes; that takes about the
+    logarithm of the longest path. Each round is written twice, so lineage stays short, and every join reads written tables on one side of which the key is unique, so adaptive
+    execution may split the edges of a hub over tasks.
     """
-    at = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    at = table(at)
-    seen = None
+    one_way = edges.filter("a <> b").select("a", "b")
+    both = table(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = table(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("f")).withColumnRenamed("a", "node"))
     while True:
-        at = table(_starred(table(_starred(at, True)), False))
-        n, low, high = at.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
-        if (n, low, high) == seen:
-            break
-        seen = (n, low, high)
-    nodes = at.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        up = labels.select(F.col("node").alias("f"), F.col("f").alias("top"))
+        at = table(labels.select("node", "f").join(up, "f").select("node", "f", "top"))
+        near = both.join(at.select(F.col("node").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("near"))
+        found = at.join(near.withColumnRenamed("a", "node"), "node")
+        least = F.least("top", "near")
+        taken = found.select("node", least.alias("f"), F.col("f").alias("before")).unionByName(found.filter(F.col("near") < F.col("f")).select(F.col("f").alias("node"), F.col("near").alias("f"), F.lit(None).cast("long").alias("before")))
+        labels = table(taken.groupBy("node").agg(F.min("f").alias("f"), F.max("before").alias("before")))
+        if labels.filter("f < before").isEmpty():
+            return labels.select("node", F.col("f").alias("root"))
