@@ -10,19 +10,23 @@ have equal anchors at equal offsets, so only suffixes around anchors are sorted:
    to be removed at once) and writes each bucket's part as a front-coded run: the prefix shared with the string before is a number.
 3. A bucket merges its runs with a loser tree that keeps each head's common prefix with the last output. A comparison never
    looks at bytes that are known to be equal, and equal strings of different runs meet. What remains are the distinct
-   contexts of an anchor; windows shared by two of them are found by a hash of every window.
-4. Removed spans are merged per text, and the kept bytes are hashed. Texts without any span take part in no join.
+   contexts of an anchor, in order. Of their windows, those whose hash is found once are left out, which loses no repeat; the others are put in order
+   and are removed only where ``length`` bytes are equal to a neighbour's.
+4. Removed spans are merged per text in one pass over its sorted spans. Texts without any span take part in no join.
+
+So no byte is removed because of a hash alone: hashes only choose what is compared.
 
 Identical texts have identical answers, so a text is known by two hashes and its size rather than by its row. A bucket holds about ``per_bucket``
 contexts, and copies of a context count once per run. A bucket of more than ``most`` bytes of contexts (an anchor with very many different
-surroundings) is not merged by one task: its windows are rows, which Spark counts by anchor and hash, with the same result.
+surroundings) is not merged by one task: its windows are rows, which Spark counts by anchor and a 128-bit BLAKE2 digest, with the same result.
 
 Nulls: a null text is empty. Texts shorter than ``length`` bytes keep everything. Repeated rows are repeats of each other. Empty tables and extra
-columns are fine; names that begin with ``_s_`` are reserved.
+columns, whatever their names, are fine: only key and text are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -41,6 +45,7 @@ FILTER_BITS = 26
 RUN_BYTES = 48 << 20
 BATCH_BYTES = 2 << 20  # contexts whose windows are hashed at once
 BUCKET_BYTES = 24 << 20  # contexts that one task merges
+COMPARED = 20_000  # windows compared at once
 
 
 def _hashes(prefix: np.ndarray, down: np.ndarray, width: int) -> np.ndarray:
@@ -242,16 +247,44 @@ def _runs(length: int, bitmap, buckets: int):
     return arrow
 
 
-def _window_hashes(body: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of the contexts: its context's number, its place there, its context's anchor and its own hash."""
-    prefix, down = _prefix(np.frombuffer(b"".join(body), dtype=np.uint8))
+def _windows_of(body: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All contexts as one buffer; of every window its context's number, its place there and its place in the buffer."""
+    data = np.frombuffer(b"".join(body), dtype=np.uint8)
     count = np.array([len(s) - 8 - length + 1 for s in body])
     begin = np.cumsum([0, *map(len, body[:-1])]) + 8
     which = np.repeat(np.arange(len(body)), count)
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    at = begin[which] + place
-    anchor = np.array([int.from_bytes(s[:8], "big") for s in body], dtype=np.uint64)[which]
-    return which, place, anchor, mixed(mixed((prefix[at + length] - prefix[at]) * down[at]) ^ anchor)
+    return data, which, place, begin[which] + place
+
+
+def window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of each window; equal windows have equal hashes."""
+    prefix, down = _prefix(data)
+    return mixed((prefix[at + length] - prefix[at]) * down[at])
+
+
+def repeated_windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows that start at ``at`` are found twice or more, byte by byte.
+
+    Windows of equal hash are neighbours; their bytes are compared, a bounded number at once. Where a hash holds
+    different windows (a collision), its windows are sorted by their bytes.
+    """
+    out = np.zeros(len(at), dtype=bool)
+    w = window_hashes(data, at, length)
+    order = np.argsort(w, kind="stable")
+    near = np.flatnonzero(w[order[1:]] == w[order[:-1]])
+    rows, equal = np.lib.stride_tricks.sliding_window_view(data, length), np.empty(len(near), dtype=bool)
+    for i in range(0, len(near), COMPARED):
+        k = near[i : i + COMPARED]
+        equal[i : i + COMPARED] = (rows[at[order[k]]] == rows[at[order[k + 1]]]).all(axis=1)
+    out[order[near[equal]]] = out[order[near[equal] + 1]] = True
+    for h in np.unique(w[order[near[~equal]]]):
+        own = order[np.searchsorted(w[order], h) : np.searchsorted(w[order], h, side="right")]
+        strings = sorted((rows[at[i]].tobytes(), i) for i in own)
+        for (s, i), (t, j) in zip(strings, strings[1:], strict=False):
+            if common_prefix(s, t) == length:
+                out[i] = out[j] = True
+    return out
 
 
 def _resolved(strings: list[bytes], refs: list[list], many: list[bool], length: int) -> list[tuple]:
@@ -279,9 +312,8 @@ def _resolved(strings: list[bytes], refs: list[list], many: list[bool], length:
 def _shared(body: list[bytes], refs: list[list], many: list[bool], length: int) -> list[tuple]:
     """Spans of the windows that two contexts share, or that are found twice in one."""
     spans = []
-    which, place, _, w = _window_hashes(body, length)
-    _, back, n = np.unique(w, return_inverse=True, return_counts=True)
-    shared = n[back] > 1
+    data, which, place, at = _windows_of(body, length)
+    shared = repeated_windows(data, at, length)
     cut = np.flatnonzero(shared & np.concatenate(([True], ~shared[:-1] | (which[1:] != which[:-1]))))
     stop = np.flatnonzero(shared & np.concatenate((~shared[1:] | (which[1:] != which[:-1]), [True])))
     for a, b in zip(cut, stop, strict=True):
@@ -314,11 +346,15 @@ def _windows(length: int):
     """Every window of front-coded runs: anchor, hash, how often it surely occurs, and where (null if its span is known already)."""
 
     def rows(held: list[tuple[bytes, tuple | None]]) -> pa.RecordBatch:
-        which, place, anchor, w = _window_hashes([s for s, _ in held], length)
+        body = [s for s, _ in held]
+        data, which, place, at = _windows_of(body, length)
+        buffer = data.tobytes()
+        digests = np.frombuffer(b"".join(hashlib.blake2b(buffer[a : a + length], digest_size=16).digest() for a in at), dtype=np.int64).reshape(-1, 2)
+        anchor = np.array([int.from_bytes(s[:8], "big") for s in body], dtype=np.uint64)[which]
         known = np.array([ref is None for _, ref in held])
         k1, k2, size, start = np.array([ref or (0, 0, 0, 0) for _, ref in held], dtype=np.int64).T
-        columns = [anchor.view(np.int64), w.view(np.int64), 1 + known[which], k1[which], k2[which].astype(np.int32), size[which], start[which] + place, known[which]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "w", "n", "k1", "k2", "size", "start", "known"])
+        columns = [anchor.view(np.int64), digests[:, 0], digests[:, 1], 1 + known[which], k1[which], k2[which].astype(np.int32), size[which], start[which] + place, known[which]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "w1", "w2", "n", "k1", "k2", "size", "start", "known"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -339,10 +375,10 @@ def _windows(length: int):
 def _spans_of_windows(runs: DataFrame, length: int) -> DataFrame:
     """k1, k2, size, start, end of the repeated windows in runs whose buckets are too large for one task.
 
-    Windows are counted by (anchor, hash) with partial sums. A bitmap of the repeated ones keeps all others from the second shuffle.
+    Windows are counted by anchor and digest with partial sums. A bitmap of the repeated ones keeps all others from the second shuffle.
     """
-    windows = runs.mapInArrow(_windows(length), "anchor long, w long, n long, k1 long, k2 int, size long, start long, known boolean")
-    by = ["anchor", "w"]
+    windows = runs.mapInArrow(_windows(length), "anchor long, w1 long, w2 long, n long, k1 long, k2 int, size long, start long, known boolean")
+    by = ["anchor", "w1", "w2"]
     again = table(windows.groupBy(*by).agg(F.sum("n").alias("n")).filter("n > 1").select(*by))
     asked = with_flag(windows.filter("not known"), key_bitmap(again, by, FILTER_BITS), by, "_s_open", FILTER_BITS).filter("_s_open")
     starts = asked.join(again, by, "left_semi").select("k1", "k2", "size", "start").distinct()
@@ -352,7 +388,7 @@ def _spans_of_windows(runs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, per_bucket: int = 20_000, text: str = "text", most: int = BUCKET_BYTES) -> DataFrame:
-    """k1, k2, size, spans: for each text with repeated strings, its maximal removed runs (start, end), in bytes."""
+    """k1, k2, size, starts, ends: for each text with repeated strings, the spans that they cover, sorted, in bytes; spans may overlap."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(text_of(text).alias("_s_text")).filter(F.octet_length("_s_text") >= length)
@@ -377,40 +413,40 @@ def repeated_spans(docs: DataFrame, length: int = 200, per_bucket: int = 20_000,
     every = found.filter("bucket is null").select("k1", "k2", "size", "start", "end").unionByName(small.select("bucket", "run").groupBy("bucket").applyInPandas(_merged(length), spans))
     every = (every.unionByName(beyond) if beyond is not None else every).distinct()
     sorted_spans = every.groupBy("k1", "k2", "size").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("all"))
+    return sorted_spans.select("k1", "k2", "size", F.col("all.start").alias("starts"), F.col("all.end").alias("ends"))
+
+
+def joined_up(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of sorted spans, in one pass."""
+    ends = np.maximum.accumulate(ends)
+    new = np.concatenate(([True], starts[1:] > ends[:-1]))
+    return starts[new], ends[np.concatenate((new[1:], [True]))]
 
-    def join_up(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), grown).otherwise(F.concat(acc, F.array(x)))
 
-    empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
-    return sorted_spans.select("k1", "k2", "size", F.aggregate("all", empty, join_up).alias("spans"))
+def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, _s_text, starts, ends -> id, n_bytes, n_removed, n_spans, kept."""
+    for part in parts:
+        rows = []
+        for text, starts, ends in zip(part.column("_s_text"), part.column("starts"), part.column("ends"), strict=True):
+            data = text.as_py().encode()
+            a, b = joined_up(starts.values.to_numpy(), ends.values.to_numpy())
+            kept = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
+            rows.append((len(data), int((b - a).sum()), len(a), kept))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
+        yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, per_bucket: int = 20_000, key: str = "doc_id", text: str = "text", most: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     spans = table(repeated_spans(docs, length, per_bucket, text, most))
-    t = text_of(text)
-    rows = docs.select(F.col(key), t.alias("_s_text")).withColumns({"k1": F.xxhash64("_s_text"), "k2": F.hash("_s_text"), "size": F.octet_length("_s_text").cast("long")})
+    rows = docs.select(F.col(key).alias("id"), text_of(text).alias("_s_text")).withColumns({"k1": F.xxhash64("_s_text"), "k2": F.hash("_s_text"), "size": F.octet_length("_s_text").cast("long")})
     by = ["k1", "k2", "size"]
-    flagged = with_flag(rows, key_bitmap(spans, by), by, "_s_open")
+    flagged = with_flag(rows, key_bitmap(spans, by), by, "open")
     zero = F.lit(0).cast("long")
-    whole = lambda df: df.select(key, F.col("size").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("_s_text", "UTF-8").alias("kept"))
-    asked = flagged.filter("_s_open").drop("_s_open").join(spans, by, "left")
-    ends = F.concat(F.array(zero), F.transform("spans", lambda x: x["end"]))
-    starts = F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.col("size")))
-    gaps = F.zip_with(ends, starts, lambda a, b: F.struct((a + 1).cast("int").alias("at"), (b - a).cast("int").alias("n")))
-    data = F.encode("_s_text", "UTF-8")
-    kept = F.aggregate(F.col("_s_gaps"), F.lit(b""), lambda acc, g: F.concat(acc, F.substring(F.col("_s_data"), g["at"], g["n"])))
-    cut = (
-        asked.filter("spans is not null")
-        .withColumns({"_s_gaps": gaps, "_s_data": data})
-        .select(
-            key,
-            F.col("size").alias("n_bytes"),
-            F.aggregate("spans", zero, lambda acc, x: acc + x["end"] - x["start"]).alias("n_removed"),
-            F.size("spans").cast("long").alias("n_spans"),
-            kept.alias("kept"),
-        )
-    )
-    return whole(flagged.filter("not _s_open")).unionByName(whole(asked.filter("spans is null"))).unionByName(cut)
+    whole = lambda df: df.select("id", F.col("size").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("_s_text", "UTF-8").alias("kept"))
+    asked = flagged.filter("open").drop("open").join(spans, by, "left")
+    key_type = rows.schema["id"].dataType.simpleString()
+    cut = asked.filter("starts is not null").select("id", "_s_text", "starts", "ends").mapInArrow(_cut, f"id {key_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    every = whole(flagged.filter("not open")).unionByName(whole(asked.filter("starts is null"))).unionByName(cut)
+    return every.withColumnRenamed("id", key)
