@@ -1,21 +1,25 @@
 """Personal data: detected entities get keyed surrogates of the same type, gender, script and format.
 
-1. A scan finds mentions: e-mail addresses, phone numbers, card and account numbers, IPv4 addresses, secrets after a key word, and names after an
-   honorific, which gives their gender. A mention's canonical form (digits only for numbers, lower case elsewhere) is the
-   entity: all mentions of it, in all documents, are the same one (coreference).
+1. A scan finds mentions: e-mail addresses, secrets after a key word and keys of well-known form, IBANs, IPv4 and IPv6 addresses, social security,
+   phone, card and account numbers, and names after an honorific. A name's words are entities of their own: given names with the gender of
+   the honorific, and the family name, which both genders share. Once a text names a person, the same words without an honorific are mentions too. A mention's canonical
+   form (digits only for numbers, lower case elsewhere) is the entity: all mentions of it, in all documents, are the same one (coreference).
 2. The distinct entities get a surrogate by a keyed hash: every letter becomes a letter of its script, every digit a digit. Country codes,
-   separators and the last part of a domain stay, Luhn-valid numbers stay valid, names stay pronounceable and keep their gender's ending.
-3. Collision check: entities whose surrogate equals another entity's surrogate or any real entity draw again (all but the first in
-   order), until none is left; so distinct entities stay distinct.
+   separators, the last part of a domain and a key's prefix stay, card numbers and IBANs stay valid, names stay pronounceable and given names keep their gender's ending.
+3. Collision check: entities whose surrogate equals another entity's or any real entity draw again (all but the one with the fewest draws), until
+   none is left. Every ``GROW`` draws the surrogate gets longer, so a shape with fewer surrogates than entities (two-letter names, say) is left and the draws end.
 4. Each mention is rendered in its own format and case. Texts without mentions are not shuffled.
 
-Nulls: a null text stays null and has no entities. Repeated rows get the same replacements. Empty tables and extra columns are fine; all columns are returned.
-Names that begin with ``_p_`` are reserved.
+Not found: names without any honorific in their text, street addresses, dates. A known name's word is replaced wherever it is capitalised in its text.
+
+Nulls: a null text comes back null if the column is read as it is, and has no entities. Repeated rows get the same replacements. Empty tables and extra columns, whatever
+their names, are fine: all columns are returned as they are, but for the text; a column ``n_entities`` of the input gives way to the count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -25,49 +29,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import key_bitmap, table, text_of, with_flag
+from .common import key_bitmap, packed, table, text_of, with_flag
 
 # Honorifics by gender.
 MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña")
+EITHER = ("Dr", "Prof", "Doctor", "Professor", "Doktor")
 
+NAME = r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*"
 PATTERNS = {
-    "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|pwd)\b\s*[=:]\s*[\"']?)([^\s\"']{8,})",
-    "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
-    "number": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
-    "male": rf"\b(?:{'|'.join(MALE)})\.? ([^\W\d_]{{2,}}(?: [A-ZÀ-ÝА-ЯΑ-Ω][^\W\d_]+)?)",
-    "female": rf"\b(?:{'|'.join(FEMALE)})\.? ([^\W\d_]{{2,}}(?: [A-ZÀ-ÝА-ЯΑ-Ω][^\W\d_]+)?)",
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+([A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)",
+    "secret": r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|pwd)\b\s*+[=:]\s*+[\"']?)([^\s\"']{8,})",
+    "key": r"\b((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9_-])",
+    "iban": r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
+    "ipv6": r"(?<![\w:.])((?=[0-9A-Fa-f]*+:)[0-9A-Fa-f:]{3,39}+)(?![\w.])",
+    "ip": r"(?<![\d.])((?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3})(?![\d]|\.\d)",
+    "ssn": r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])",
+    "phone": r"(\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d))",
+    "national": r"(?<![\w.+-])(\d{3}([ .-])\d{3}\2\d{4})(?![\w-])",
+    "number": r"(?<![\w.])(\d(?:[ -]?\d){12,18})(?!\w)",
+    "name": rf"\b(?:{'|'.join(MALE + FEMALE + EITHER)})\.? ({NAME}(?: [A-ZÀ-ÝА-ЯΑ-Ω][^\W\d_]+(?:['’-][^\W\d_]+)*)*)",
 }
 _FIND = {kind: re.compile(p) for kind, p in PATTERNS.items()}
+_WORD = re.compile(NAME)
 # Every match of a kind has one of these characters, so texts without them need no search for it; kinds that are not listed are always searched.
-NEEDS = {"email": "@", "secret": "=:", "ip": ".", "phone": "+("}
+NEEDS = {"email": "@", "secret": "=:", "ipv6": ":", "ip": ".", "ssn": "-", "phone": "+("}
+GROW = 8
 
 # Letters by script, consonants and vowels.
 LETTERS = {"latin": ("bcdfghklmnprstvz", "aeiou"), "greek": ("βγδζθκλμνπρστφχ", "αεηιο"), "cyrillic": ("бвгдзклмнпрстфх", "аеиоу")}
+NAMES = ("male", "female", "given", "family")
+
+
+def _ipv6(mention: str) -> ipaddress.IPv6Address | None:
+    try:
+        return ipaddress.IPv6Address(mention)
+    except ValueError:
+        return None
+
+
+def _iban_rest(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
-def canonical(kind: str, mention: str) -> str:
-    if kind in ("phone", "number"):
+def canonical(kind: str, mention: str) -> str | None:
+    """The entity that a mention stands for; None if the mention is none."""
+    if kind in ("phone", "number", "ssn"):
         return "".join(c for c in mention if c.isdigit())
-    return mention if kind == "secret" else mention.lower()
+    if kind == "iban":
+        plain = mention.replace(" ", "")
+        return plain if _iban_rest(plain) == 1 else None
+    if kind == "ipv6":
+        at = _ipv6(mention)
+        return at and at.compressed
+    return mention if kind in ("secret", "key") else mention.lower()
+
+
+def _words_of_name(mention: str, start: int, gender: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of a name's words: given names, and the family name at the end."""
+    words = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^ ]+", mention)]
+    return [(a, b, gender) for a, b in words[:-1]] + [(*words[-1], "family")]
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical), without overlaps; kinds in the order of PATTERNS go first."""
-    found, taken = [], []
+    """(start, end, kind, entity), without overlaps; kinds in the order of PATTERNS go first, then words of known names."""
+    found, taken = [], bytearray(len(text))
+
+    def take(a: int, b: int, kind: str) -> None:
+        entity = canonical(kind, text[a:b])
+        if entity and taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
+            found.append((a, b, kind, entity))
+
     for kind, pattern in _FIND.items():
         if kind in NEEDS and not any(c in text for c in NEEDS[kind]):
             continue
         for m in pattern.finditer(text):
-            a, b = m.span(1) if pattern.groups else m.span()
-            name = m.group(1) if pattern.groups else ""
-            if kind in ("male", "female") and not name[0].isupper():
-                continue
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                found.append((a, b, kind, canonical(kind, text[a:b])))
+            a, b = m.span(1)
+            if kind != "name":
+                take(a, b, "phone" if kind == "national" else kind)
+            elif text[a].isupper():
+                honorific = text[m.start() : a].rstrip(" .")
+                gender = "male" if honorific in MALE else "female" if honorific in FEMALE else "given"
+                for word in _words_of_name(text[a:b], a, gender):
+                    take(*word)
+    known = {}
+    for _, _, kind, entity in found:
+        if kind in NAMES:
+            known.setdefault(entity, kind)
+    if known:
+        for m in _WORD.finditer(text):
+            if m[0][0].isupper() and m[0].lower() in known:
+                take(*m.span(), known[m[0].lower()])
     return sorted(found)
 
 
@@ -94,14 +147,34 @@ def _script(c: str) -> str | None:
     return "latin" if c < "\u0250" else None
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """A canonical form of the same type, length and scripts as ``entity``."""
-    draw = _stream(key, kind, entity, attempt)
-    if kind == "ip":
+def _longer(kind: str, entity: str, more: int) -> str:
+    """``entity`` with ``more`` places for letters or digits added where its type allows them."""
+    if kind == "email":
+        return entity.replace("@", "a" * more + "@", 1)
+    if kind in NAMES:
+        return entity[:-1] + entity[-1] * (more + 1)
+    return entity + ("0" if kind in ("phone", "number", "ssn", "iban") else "a") * more
+
+
+def _address(draw: Iterator[int], kind: str, entity: str, grow: int) -> str:
+    number = lambda n: int.from_bytes(bytes(next(draw) for _ in range(n)), "big")
+    if kind == "ip" and not grow:  # parts of the same lengths
         return ".".join(str(1 + next(draw) % 9) + "".join(str(next(draw) % 6) for _ in part[1:]) if len(part) < 3 else "1" + "".join(str(next(draw) % 10) for _ in part[1:]) for part in entity.split("."))
-    keep = 0
-    if kind == "phone":
-        keep = max(1, len(entity) - 10)
+    if kind == "ip" and grow < 3:
+        return str(ipaddress.IPv4Address(number(4)))
+    if kind == "ip" or grow:
+        return str(ipaddress.IPv6Address((0x20010DB8 << 96) + number(12)))
+    groups = ipaddress.IPv6Address(entity).exploded.split(":")
+    return str(ipaddress.IPv6Address(":".join("0" if not int(g, 16) else format(1 + number(4) % (16 ** len(g.lstrip("0")) - 1), "x") for g in groups)))
+
+
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
+    """A canonical form of the same type and scripts as ``entity``, and of its length in the first ``GROW`` attempts."""
+    draw, grow = _stream(key, kind, entity, attempt), attempt // GROW
+    if kind in ("ip", "ipv6"):
+        return _address(draw, kind, entity, grow)
+    entity = _longer(kind, entity, 2 * grow)
+    keep = {"phone": max(1, len(entity) - 10) if len(entity) > 10 else 0, "iban": 4, "key": 4}.get(kind, 0)
     stop = entity.rfind(".") if kind == "email" else len(entity)
     plain_hex = kind == "secret" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", entity)
     out, vowel = [], False
@@ -116,8 +189,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
             out.append(("ABCDEF" if c.isupper() else "abcdef")[b % 6])
         elif script := _script(c):
             pick = LETTERS[script][vowel]
-            last = kind in ("male", "female") and (i + 1 == len(entity) or not entity[i + 1].isalpha())
-            if last:
+            if kind in ("male", "female") and (i + 1 == len(entity) or not entity[i + 1].isalpha()):
                 pick = LETTERS[script][1][:1] if kind == "female" else LETTERS[script][0]
             new = pick[b % len(pick)]
             out.append(new.upper() if c.isupper() else new)
@@ -128,22 +200,35 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     new = "".join(out)
     if kind == "number" and _luhn(entity):
         new = next(new[:-1] + d for d in "0123456789" if _luhn(new[:-1] + d))
+    if kind == "iban":
+        new = f"{new[:2]}{98 - _iban_rest(new[:2] + '00' + new[4:]):02d}{new[4:]}"
     return new
 
 
-def render(mention: str, new: str) -> str:
+def render(kind: str, mention: str, new: str) -> str:
     """``new`` in the separators and case of ``mention``."""
+    if kind == "ip" or (kind in ("email", "secret", "key") and len(new) != len(mention)):
+        return new
+    if kind == "ipv6":
+        groups = mention.split(":")
+        if len(groups) == 8 and "" not in groups:  # written out
+            new = ":".join(g[-max(len(w), len(g.lstrip("0"))) :] for g, w in zip(ipaddress.IPv6Address(new).exploded.split(":"), groups, strict=True))
+        return new.upper() if any(c in "ABCDEF" for c in mention) else new
     chars, out = iter(c for c in new if c.isalnum()), []
     for c in mention:
         new_c = next(chars, c) if c.isalnum() else c
         out.append(new_c.upper() if c.isupper() else new_c)
-    return "".join(out)
+    rest = "".join(chars)
+    return "".join(out) + (rest.upper() if mention.isupper() else rest)
+
+
+_SPANS = "k1 long, k2 int, size long, a int, b int, kind string, entity string"
 
 
 def _found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         rows = []
-        for k1, k2, size, text in zip(*[part.column(c).to_pylist() for c in ("k1", "k2", "size", "_p_text")], strict=True):
+        for k1, k2, size, text in zip(*[part.column(c).to_pylist() for c in ("k1", "k2", "size", "text")], strict=True):
             rows += [(k1, k2, size, *m) for m in mentions(text)]
         if rows:
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
@@ -158,20 +243,23 @@ def _surrogates(key: bytes):
 
 
 def entity_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity) -> (kind, entity, new): no two of a kind share ``new``, and ``new`` is no real entity of the kind."""
+    """(kind, entity) -> (kind, entity, new): no two of a kind share ``new``, and ``new`` is no real entity of the kind.
+
+    Whoever keeps its surrogate keeps it in later rounds too, as later draws rank behind it.
+    """
     make = _surrogates(key)
     real = table(entities.distinct())
     at = table(real.withColumn("attempt", F.lit(0)).withColumn("new", make("kind", "entity", "attempt")))
+    taken = real.select("kind", F.col("entity").alias("new"), F.lit(True).alias("real"))
     while True:
-        first = at.groupBy("kind", "new").agg(F.min("entity").alias("first"), F.count(F.lit(1)).alias("_p_n"))
-        taken = real.select("kind", F.col("entity").alias("new"), F.lit(True).alias("real"))
+        first = at.groupBy("kind", "new").agg(F.min(F.struct("attempt", "entity"))["entity"].alias("first"))
         judged = at.join(first, ["kind", "new"]).join(taken, ["kind", "new"], "left")
         bad = F.col("real").isNotNull() | (F.col("entity") != F.col("first"))
         judged = table(judged.select("kind", "entity", "attempt", "new", bad.alias("bad")))
-        if not judged.filter("bad").limit(1).count():
+        if judged.filter("bad").isEmpty():
             return judged.select("kind", "entity", "new")
-        again = judged.withColumn("attempt", F.col("attempt") + F.col("bad").cast("int"))
-        at = table(again.filter("bad").drop("bad", "new").withColumn("new", make("kind", "entity", "attempt")).select("kind", "entity", "attempt", "new").unionByName(judged.filter("not bad").drop("bad")))
+        again = judged.filter("bad").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).withColumn("new", make("kind", "entity", "attempt"))
+        at = table(again.unionByName(judged.filter("not bad").drop("bad")))
 
 
 def _replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -179,7 +267,7 @@ def _replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
     for t, own in zip(text, spans, strict=True):
         parts, at = [], 0
         for x in sorted(own, key=lambda x: x["a"]):
-            parts += [t[at : x["a"]], render(t[x["a"] : x["b"]], x["new"])]
+            parts += [t[at : x["a"]], render(x["kind"], t[x["a"] : x["b"]], x["new"])]
             at = x["b"]
         out.append("".join([*parts, t[at:]]))
     return pd.Series(out)
@@ -189,15 +277,19 @@ def pseudonymise(docs: DataFrame, key: bytes = b"surrogates", text: str = "text"
     """``docs`` with entities replaced in ``text``, and ``n_entities``: the mentions replaced."""
     ship(docs.sparkSession)
     by = ["k1", "k2", "size"]
-    keyed = docs.withColumn("_p_text", text_of(text)).withColumns({"k1": F.xxhash64("_p_text"), "k2": F.hash("_p_text"), "size": F.octet_length("_p_text").cast("long")})
-    found = table(keyed.select("_p_text", *by).mapInArrow(_found, "k1 long, k2 int, size long, a int, b int, kind string, entity string").distinct())
+    t = text_of(text)
+    keyed = packed(docs, text=t, k1=F.xxhash64(t), k2=F.hash(t), size=F.octet_length(t).cast("long"))
+    found = table(keyed.select("text", *by).mapInArrow(_found, _SPANS).distinct())
     new = entity_surrogates(found.select("kind", "entity"), key)
-    spans = found.join(new, ["kind", "entity"]).groupBy(*by).agg(F.collect_list(F.struct("a", "b", "new")).alias("_p_spans"))
-    spans = table(spans)
-    flagged = with_flag(keyed, key_bitmap(spans, by), by, "_p_open")
-    cols = docs.columns
-    none = lambda df: df.select(*cols, F.lit(0).cast("long").alias("n_entities"))
-    asked = flagged.filter("_p_open").join(spans, by, "left")
+    spans = table(found.join(new, ["kind", "entity"]).groupBy(*by).agg(F.collect_list(F.struct("a", "b", "kind", "new")).alias("spans")))
+    flagged = with_flag(keyed, key_bitmap(spans, by), by, "open")
     replaced = F.pandas_udf(_replaced, "string")
-    done = asked.filter("_p_spans is not null").withColumns({text: replaced("_p_text", "_p_spans"), "n_entities": F.size("_p_spans").cast("long")}).select(*cols, "n_entities")
-    return none(flagged.filter("not _p_open")).unionByName(none(asked.filter("_p_spans is null"))).unionByName(done)
+
+    def out(rows: DataFrame, new_text, n) -> DataFrame:
+        cols = [new_text.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_entities"]
+        return rows.select(*cols, n.cast("long").alias("n_entities"))
+
+    none = lambda rows: out(rows, F.col("row").getField(text), F.lit(0))
+    asked = flagged.filter("open").join(spans, by, "left")
+    done = asked.filter("spans is not null").withColumn("text", replaced("text", "spans"))
+    return none(flagged.filter("not open")).unionByName(none(asked.filter("spans is null"))).unionByName(out(done, F.col("text"), F.size("spans")))
