@@ -4,9 +4,10 @@ Every document becomes its ids and an end id. Only documents longer than a seque
 left over is the first piece. Full pieces are sequences of their own. The other pieces are items:
 
 1. every partition packs its items by best fit, largest first;
-2. bins filled to ``close`` or more are final. Underfull bins become the items of the next round, which has a ``fan``-th of
-   the partitions, so bins of several partitions meet;
-3. rounds end when one partition has packed alone, or when a round closes or merges almost nothing.
+2. bins filled to ``close`` or more are final, and so are bins that even the least filled bin left doesn't fit in. The other underfull bins become
+   the items of the next round, in new partitions of about ``per_task`` items, so bins of several partitions meet;
+3. rounds end when one partition has packed alone, or when a round merged less than one item a partition. Best fit leaves at most
+   one bin of a partition under half full, so that stop can cost half a sequence a partition of the last round at most.
 
 A round reads and writes one narrow row per item (id and length); pieces find their sequence by joining the rounds' (bin ->
 parent, offset) tables. Each round is written to the shared folder, so a lost executor repeats one round at most.
@@ -99,23 +100,22 @@ def _packer(size: int, level: int):
     return run
 
 
-def pack(items: DataFrame, size: int = 2048, close: float = 0.98, per_task: int = 50_000, fan: int = 8) -> DataFrame:
+def pack(items: DataFrame, size: int = 2048, close: float = 0.98, per_task: int = 50_000) -> DataFrame:
     """(item, length) -> (item, sequence_id, offset). Items are numbered once each and at most ``size`` long."""
     ship(items.sparkSession)
     full = items.filter(F.col("length") == size).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     level, left = 1, items.filter(F.col("length") < size).select("item", "length")
-    n = left.count()
-    tasks = max(1, -(-n // per_task))
-    rounds = []
+    n, rounds = left.count(), []
     while n:
-        made = table(left.repartition(tasks, F.xxhash64("item")).mapInPandas(_packer(size, level), "item long, bin long, place long, fill long"))
+        tasks = -(-n // per_task)
+        made = table(left.repartition(tasks, F.xxhash64(F.lit(level), "item")).mapInPandas(_packer(size, level), "item long, bin long, place long, fill long"))
         rounds.append(made)
         bins = made.groupBy("bin").agg(F.max("fill").alias("length"))
-        left = bins.filter(F.col("length") < close * size).select(F.col("bin").alias("item"), "length")
-        before, n = n, left.count()
-        if tasks == 1 or (level > 1 and n > 0.97 * before):
+        n_bins, least = bins.agg(F.count(F.lit(1)), F.min("length")).first()  # two numbers
+        if tasks == 1 or n - n_bins < tasks:
             break
-        tasks, level = max(1, -(-tasks // fan)), level + 1
+        left = table(bins.filter((F.col("length") < close * size) & (F.col("length") + least <= size)).select(F.col("bin").alias("item"), "length"))
+        n, level = left.count(), level + 1
     if not rounds:
         return full
     out = rounds[0].select("item", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
