@@ -2,15 +2,14 @@
 
 Two histograms per document: character classes (lower-case and other letters, capitals, digits, white space,
 punctuation, symbols) and the most common words of its language against all others. The reference of a language is the
-median share of each bin over all its documents, one small row per language. The Jensen-Shannon distance (square root, base 2, in [0, 1]) to the reference
-rejects a document whose class distance is above ``max_class`` and whose word distance, where there is one, is above
-``max_word``; below ``min_chars`` or ``min_words`` a histogram says nothing
-and can't reject.
+median share of each bin over all its documents of ``min_chars`` characters or more, one small row per language. A document is rejected if the
+Jensen-Shannon distance (square root, base 2, in [0, 1]) of either histogram is above its bound. Short documents scatter more, so a bound is
+``a + b / sqrt(n_words)``; below ``min_words`` words histograms say nothing and can't reject.
 
 Nulls: a null text has no words and fails the base rules; a null or unlisted language is judged by character classes only, against
 the reference of its own group (null is one group). A language of one document equals its reference. Rows are
-independent, so repeated rows get the same result each. Empty tables and extra columns are fine; names that begin with
-``_q_`` are reserved. All of it is DataFrame functions; a text is read once, where it lies, and never shuffled.
+independent, so repeated rows get the same result each. Empty tables and extra columns, whatever their names, are fine: a row travels as one struct.
+All of it is DataFrame functions; a text is read once, where it lies, and never shuffled.
 """
 
 from __future__ import annotations
@@ -22,13 +21,14 @@ from .common import SPACE, let, squeezed, table, text_of
 
 # Frequent function words by language.
 COMMON = {
-    "de": "der die und in den von zu das mit ist".split(),
-    "en": "the of and to in is that for it was".split(),
-    "es": "de la que el en y los del las un".split(),
-    "fr": "de la le et les des en un du que".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
+    "en": "the of and to in is that for it was on with as by from are be at or an".split(),
+    "es": "de la que el en y a los del se las un por con no una su para es al".split(),
+    "fr": "de la le et les des en un du une que est dans qui pour par au sur pas plus".split(),
 }
 SYMBOLS = "[#*$%&|<>]"
 PUNCTUATION = r"[.,;:!?'\"()\-]"
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
 CLASSES = ("letter", "capital", "digit", "space", "punctuation", "symbol")
 
 
@@ -149,20 +149,29 @@ def js_distance(a: Column, b: Column) -> Column:
     return shared
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_class: float = 0.18, max_word: float = 0.2, min_chars: int = 500, min_words: int = 60, keep_text: bool = True) -> DataFrame:
+def _verdicts(docs: DataFrame, text: str, lang: str, class_bound: tuple[float, float], word_bound: tuple[float, float], min_chars: int, min_words: int, keep_text: bool) -> DataFrame:
+    """row (of ``docs``) and MEASURES. Texts are scanned once: counts and histograms are written, and both the references and the verdicts read them."""
+    carried = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text]
+    rows = docs.select(F.struct(*carried).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = table(histograms(base_counts(rows)).drop("text"))
+    ref = table(references(rows, "lang", min_chars))  # one row per language
+    joined = rows.join(ref, F.expr("lang <=> _q_lang"), "left")
+    far = lambda distance, bound: F.coalesce(F.col(distance) > bound[0] + bound[1] / F.sqrt(F.col("n_words")), F.lit(False))
+    said = lambda kind: F.when(F.col("n_words") >= min_words, js_distance(F.col(f"_q_{kind}"), F.col(f"_q_ref_{kind}")))
+    out = joined.withColumns({"class_distance": said("class"), "word_distance": said("word")})
+    return out.withColumn("kept", ~F.col("base_failed") & ~far("class_distance", class_bound) & ~far("word_distance", word_bound)).select("row", *MEASURES)
+
+
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", class_bound: tuple[float, float] = (0.07, 1.5), word_bound: tuple[float, float] = (0.06, 2.2), min_chars: int = 500, min_words: int = 20, keep_text: bool = True) -> DataFrame:
     """``docs`` with the base counts, class_distance, word_distance and kept; without the text if ``keep_text`` is false.
 
-    Texts are scanned once: counts and histograms are written, and both the references and the verdicts read them.
+    A column of ``docs`` with the name of a measure gives way to it; :func:`drop_rejected` returns all columns as they are.
     """
-    counted = histograms(base_counts(docs, text), text, lang)
-    rows = table(counted if keep_text else counted.drop(text))
-    ref = table(references(rows, lang, min_chars))  # one row per language
-    joined = rows.join(ref, F.col(lang).eqNullSafe(F.col("_q_lang")), "left")
-    out = joined.withColumns(
-        {
-            "class_distance": F.when(F.col("_q_chars") >= min_chars, js_distance(F.col("_q_class"), F.col("_q_ref_class"))),
-            "word_distance": F.when(F.col("n_words") >= min_words, js_distance(F.col("_q_word"), F.col("_q_ref_word"))),
-        }
-    )
-    far = F.coalesce((F.col("class_distance") > max_class) & F.coalesce(F.col("word_distance") > max_word, F.lit(True)), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_q_class", "_q_word", "_q_chars", "_q_lang", "_q_ref_class", "_q_ref_word")
+    out = _verdicts(docs, text, lang, class_bound, word_bound, min_chars, min_words, keep_text)
+    left = [c for c in docs.columns if c.lower() not in MEASURES and (keep_text or c != text)]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in left], *MEASURES)
+
+
+def drop_rejected(docs: DataFrame, text: str = "text", lang: str = "lang", class_bound: tuple[float, float] = (0.07, 1.5), word_bound: tuple[float, float] = (0.06, 2.2), min_chars: int = 500, min_words: int = 20) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return _verdicts(docs, text, lang, class_bound, word_bound, min_chars, min_words, True).filter("kept").select("row.*")

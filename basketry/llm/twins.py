@@ -174,13 +174,14 @@ WITH common(lang, words) AS (
   SELECT doc_id, sum(covered)::BIGINT AS n FROM (
     SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS covered FROM windows WHERE times > 1
   ) GROUP BY doc_id
-), {_distance('class', 'class_counts', 6)}, {_distance('word', 'word_counts', 11)}, judged AS (
+), {_distance('class', 'class_counts', 6)}, {_distance('word', 'word_counts', 21)}, judged AS (
   SELECT c.doc_id, n_words, chars - spaces AS word_chars, n_symbols, n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-    CASE WHEN chars >= 500 THEN class END AS class_distance, CASE WHEN n_words >= 60 THEN word END AS word_distance
+    CASE WHEN n_words >= 20 THEN class END AS class_distance, CASE WHEN n_words >= 20 THEN word END AS word_distance
   FROM c LEFT JOIN repeats r ON r.doc_id = c.doc_id LEFT JOIN class_distance x ON x.doc_id = c.doc_id LEFT JOIN word_distance y ON y.doc_id = c.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(class_distance > 0.18 AND coalesce(word_distance > 0.2, true), false) AS kept,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(class_distance > 0.07 + 1.5 / sqrt(n_words), false)
+    AND NOT coalesce(word_distance > 0.06 + 2.2 / sqrt(n_words), false) AS kept,
   round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
 FROM judged
 """
