@@ -55,32 +55,38 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, steps: int = 400, rate: float = 0.1, shrink: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by full-batch Adam on the mean log loss. Thresholds are a first one and positive gaps."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, steps: int = 400, rate: float = 0.1, shrink: float = 3e-5, flat: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) by full-batch Adam on the mean log loss. Thresholds are a first one and positive gaps.
+
+    Ends when no weight changed by more than ``flat`` of the largest one in a step, or after ``steps`` steps.
+    """
     w = np.zeros(1 << bits)
     cuts = np.concatenate(([-1.0], np.full(n_grades - 2, 0.5)))  # first, log gaps
     if not len(rows):
         return w, _thresholds(cuts)
-    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+    buckets, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
     starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)
     scale = 1 / np.sqrt(50.0)
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(cuts)]
     for step in range(1, steps + 1):
         t = np.concatenate(([-np.inf], _thresholds(cuts), [np.inf]))
-        s = np.add.reduceat(w[flat], starts) * scale
+        s = np.add.reduceat(w[buckets], starts) * scale
         hi, lo = _logistic(t[grades + 1] - s), _logistic(t[grades] - s)
         p = np.maximum(hi - lo, 1e-9)
         ds = (1 - hi - lo) / len(rows)
-        gw = np.bincount(flat, weights=(ds * scale)[owner], minlength=len(w)) + shrink * w
+        gw = np.bincount(buckets, weights=(ds * scale)[owner], minlength=len(w)) + shrink * w
         gt = np.zeros(n_grades + 1)
         np.add.at(gt, grades + 1, -hi * (1 - hi) / p / len(rows))
         np.add.at(gt, grades, lo * (1 - lo) / p / len(rows))
         gt = gt[1:-1]
         gc = np.concatenate(([gt.sum()], [gt[k:].sum() * np.exp(cuts[k]) for k in range(1, n_grades - 1)]))
+        before = w.copy()
         for x, g, m, v in ((w, gw, *moments[:2]), (cuts, gc, *moments[2:])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        if np.abs(w - before).max() <= flat * np.abs(w).max():
+            break
     return w * scale, _thresholds(cuts)
 
 
