@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of ``documents``.
+
+In every stage a null text is an empty one. Quality rules drop texts of fewer than ten words, empty ones too. The dedup stages keep the
+first of equal rows, so ties and repeated rows end as one row; null ids rank last. The mix counts a null source as a source of its own. Very long texts are
+whole in all stages and are only cut into pieces by packing. An empty table passes through all stages. Extra columns, whatever their names,
+are carried unchanged up to packing, which returns columns of its own.
 """
 
 from __future__ import annotations
@@ -13,12 +18,12 @@ from basketry.llm.common import table
 from basketry.llm.exact_dedup import drop_exact_duplicates
 from basketry.llm.mixing import resample
 from basketry.llm.near_dedup import drop_near_duplicates
-from basketry.llm.quality_rules import judged
+from basketry.llm.quality_rules import drop_rejected
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judged(docs).filter("kept").select(*docs.columns)
+    return drop_rejected(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +37,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, kept once or left out as the mix of the sources takes them."""
+    """Documents repeated, kept once or left out as the slots of the mix deal their blocks."""
     return resample(docs)
 
 
