@@ -127,16 +127,20 @@ def fit_omp(g: np.ndarray, c: np.ndarray, yy: float, k: int, tol: float = 1e-10)
     return w, len(chosen), True, trace
 
 
-def fit_reweighted(g: np.ndarray, c: np.ndarray, lam: float, rounds: int = 5, epsilon: float = 1e-3, algo: str = "fista"):
-    """Rounds of :func:`fit_l1` with penalties lam / (w + epsilon), scaled to ``lam`` on average, until the support is stable."""
+def fit_reweighted(g: np.ndarray, c: np.ndarray, lam: float, rounds: int = 5, epsilon: float = 1e-3, algo: str = "fista", relative: bool = False):
+    """Up to ``rounds`` fits: the first with penalty ``lam`` for all, each later one with lam / (w + epsilon) from the weights before, until the support is stable.
+
+    ``relative`` takes the weights' shares instead and scales the penalties so that the least one is ``lam``: for problems whose weights are far
+    from ``epsilon``. A fit without weights ends it.
+    """
     w, total, done, trace = fit_l1(g, c, lam, algo)
-    for _ in range(rounds):
-        if not w.any():
+    for _ in range(rounds - 1):
+        if relative and not w.any():
             break
-        inverse = 1.0 / (w / w.sum() + epsilon)
-        new, k, done, more = fit_l1(g, c, lam * inverse / inverse.min(), algo, start=w)
+        inverse = 1.0 / ((w / w.sum() if relative else w) + epsilon)
+        new, k, done, more = fit_l1(g, c, lam * (inverse / inverse.min() if relative else inverse), algo, start=w)
         total, trace = total + k, trace + more
-        same = np.array_equal(new > 0, w > 0)
+        same = np.array_equal(new > 1e-8, w > 1e-8)
         w = new
         if same:
             break

@@ -125,3 +125,15 @@ def compounded(series: DataFrame, by: list[str], start: float = 100.0, name: str
     """``start`` times the running product of 1 + r, per group in date order (benchmark and rebased curves)."""
     order = Window.partitionBy(*by).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     return series.withColumn(name, start * F.product(1 + F.col("r")).over(order)).select(*by, "dt", name)
+
+
+def chained(curves: DataFrame, by: list[str]) -> DataFrame:
+    """Train and test as one line: running products of 1 + p and 1 + b from 1, where the test part goes on from the end of the train part.
+
+    ``curves``: by, split, dt, p, b. Each part compounds by itself; the train part's last value is one row per group.
+    """
+    order = Window.partitionBy(*by, "split").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    own = curves.select(*by, "split", "dt", F.product(1 + F.col("p")).over(order).alias("p"), F.product(1 + F.col("b")).over(order).alias("b"))
+    ends = own.filter("split = 'train'").groupBy(*by).agg(F.max_by("p", "dt").alias("p0"), F.max_by("b", "dt").alias("b0"))
+    factor = lambda c: F.when(F.col("split") == "test", F.coalesce(c, F.lit(1.0))).otherwise(1.0)
+    return own.join(ends, by, "left").select(*by, "split", "dt", (F.col("p") * factor(F.col("p0"))).alias("portfolio"), (F.col("b") * factor(F.col("b0"))).alias("benchmark"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -17,8 +17,9 @@ FIT = "method string, lam_idx int, lam_frac double, lam double, lam_max double,
 def fit_windows(windows: DataFrame, methods: tuple[str, ...] = ("fista",), fractions: tuple[float, ...] = FRACTIONS, lams: tuple[float, ...] = (), cardinality: int = 10, by: list[str] = WINDOW) -> DataFrame:
     """One row per window, method and penalty; ``windows`` has by, dt, asset, x and y.
 
-    Methods: fista, cd and admm (three ways to one minimizer), reweighted, omp (one row, ``cardinality`` assets). Penalties are ``lams``, or fractions of
-    the window's largest useful one. A window is a group of dates x assets; its penalties run from large to small with warm starts.
+    Methods: fista, cd and admm (three ways to one minimizer), reweighted and reweighted_relative, omp (one row, ``cardinality`` assets). Penalties are ``lams``, or
+    fractions of the window's largest useful one. A window is a group of dates x assets; its penalties run from large to small with warm starts. A return that is missing in a
+    window counts as 0.
     """
     ship(windows.sparkSession)
     kinds = dict(windows.dtypes)
@@ -37,8 +38,8 @@ def fit_windows(windows: DataFrame, methods: tuple[str, ...] = ("fista",), fract
             for i, f, lam in [(0, None, 0.0)] if method == "omp" else sorted(grid, key=lambda t: -t[2]):
                 if method == "omp":
                     w, k, done, trace = kernels.fit_omp(g, c, yy, cardinality)
-                elif method == "reweighted":
-                    w, k, done, trace = kernels.fit_reweighted(g, c, lam)
+                elif method in ("reweighted", "reweighted_relative"):
+                    w, k, done, trace = kernels.fit_reweighted(g, c, lam, relative=method == "reweighted_relative")
                 else:
                     w, k, done, trace = kernels.fit_l1(g, c, lam, method, start)
                     start = w
@@ -92,33 +93,48 @@ def first_nonempty(fits: DataFrame, by: list[str], ladder: tuple[float, ...]) ->
     return fits.filter(F.col("nnz") > 0).groupBy(*by).agg(F.min_by(F.struct(*cols), "lam_idx").alias("s")).select(*by, "s.*")
 
 
-def wide_fit(rows: DataFrame, lam_frac: float, steps: int, keep, by: str = "universe", power: int = 4, margin: float = 1.5) -> DataFrame:
-    """The same problem when a universe has too many assets for one task: accelerated projected gradient on tables.
+def wide_fit(rows: DataFrame, lam_frac: float, keep, by: str = "universe", add: int = 100, eps: float = 1e-7, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The same problem when a universe has too many assets for one task: (by, asset, lam, w), and (by, violation, optimal).
 
-    ``rows``: by, dt, asset, x, y. Each step is two aggregations, X v by date and X'r by asset. ``keep`` writes and rereads the weights of every
-    step, so that lineage stays short. Step sizes come from ``power`` steps of power iteration with a margin, and never from more than the Gram's trace.
+    ``rows``: by, dt, asset, x, y. An active-set search on tables: one task per universe solves exactly for the assets of its working set; one
+    aggregation by date gives the residual, one by asset its slope, so every asset is judged; those that violate the optimality conditions most (``add`` of
+    them) join the assets with weights. It ends when nobody violates them by more than ``eps`` of the largest penalty, and then the fit is the minimizer over all
+    assets. The objective falls in every round, so no working set comes back. A working set holds as many assets as there are dates, and ``add`` more.
     """
-    c = keep(rows.groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("y")).alias("c"), F.sum(F.col("x") * F.col("x")).alias("xx")))
-    scale = c.groupBy(by).agg(F.greatest(F.max("c"), F.lit(1e-10)).alias("lam_max"), F.sum("xx").alias("size"), F.max("xx").alias("largest"))
-    image = lambda v: rows.join(v, [by, "asset"]).groupBy(by, "dt").agg(F.sum(F.col("x") * F.col("v")).alias("f"))
-    back = lambda f: rows.join(f, [by, "dt"]).groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("f")).alias("v"))
-    v = c.select(by, "asset", (F.sqrt("xx") * (F.pmod(F.xxhash64("asset"), F.lit(1999)) / 1000.0 - 1.0)).alias("v"))
-    for _ in range(power):
-        up = keep(back(image(v)))
-        norm = up.groupBy(by).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-        v = keep(up.join(norm, by).select(by, "asset", (F.col("v") / F.col("norm")).alias("v"), "norm"))
-    top = v.groupBy(by).agg((margin * F.max("norm")).alias("top"))
-    scale = scale.join(top, by).withColumn("size", F.least(F.col("size"), F.greatest(F.col("top"), margin * F.col("largest"))))
-    at = keep(c.join(scale, by).select(by, "asset", "c", (lam_frac * F.col("lam_max")).alias("lam"), "size", F.lit(0.0).alias("w"), F.lit(0.0).alias("v")))
-    t = 1.0
-    for _ in range(steps):
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        slope = back(image(at.filter("v <> 0").select(by, "asset", "v"))).withColumnRenamed("v", "gv")
-        moved = F.greatest(F.col("v") - (F.coalesce("gv", F.lit(0.0)) - F.col("c") + F.col("lam")) / F.col("size"), F.lit(0.0))
-        step = at.join(slope, [by, "asset"], "left").withColumn("new", moved)
-        at = keep(step.select(by, "asset", "c", "lam", "size", F.col("new").alias("w"), (F.col("new") + (t - 1) / t2 * (F.col("new") - F.col("w"))).alias("v")))
-        t = t2
-    return at.select(by, "asset", "lam", "w")
+    ship(rows.sparkSession)
+    kind = dict(rows.dtypes)[by]
+    c = keep(rows.groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("y")).alias("c")))
+    bounds = keep(c.groupBy(by).agg(F.greatest(F.max("c"), F.lit(1e-10)).alias("lam_max")).withColumn("lam", lam_frac * F.col("lam_max")))
+    truth = keep(rows.groupBy(by, "dt").agg(F.first("y").alias("y")))
+
+    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+        wide = part.pivot(index="dt", columns="asset", values="x").sort_index()
+        x, y = np.nan_to_num(wide.to_numpy(dtype=float)), part.groupby("dt")["y"].first().sort_index().to_numpy(dtype=float)
+        d = x.T @ y - part["lam"].iloc[0]
+        w = kernels.active_set(x.T @ x, d, np.zeros(len(d)), 1e-12 * max(1e-10, float(np.abs(d).max())))
+        chosen = np.flatnonzero(w > 0)
+        return pd.DataFrame({by: [key[0]] * len(chosen), "asset": wide.columns.to_numpy()[chosen], "w": w[chosen]})
+
+    def worst(slopes: DataFrame) -> DataFrame:
+        order = Window.partitionBy(by).orderBy("s", "asset")
+        return slopes.filter("violates").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= add).select(by, "asset")
+
+    slopes = keep(c.join(bounds, by).select(by, "asset", (F.col("lam") - F.col("c")).alias("s"), (F.col("lam") - F.col("c") < -eps * F.col("lam_max")).alias("violates")))
+    w = keep(slopes.filter("false").select(by, "asset", F.lit(0.0).alias("w")))
+    for _ in range(rounds):
+        if slopes.filter("violates").isEmpty():
+            break
+        working = keep(worst(slopes).unionByName(w.select(by, "asset")).distinct())
+        part = keep(rows.join(working, [by, "asset"]).join(bounds.select(by, "lam"), by))
+        w = keep(part.groupBy(by).applyInPandas(run, f"{by} {kind}, asset {dict(rows.dtypes)['asset']}, w double"))
+        fitted = part.join(w, [by, "asset"]).groupBy(by, "dt").agg(F.sum(F.col("x") * F.col("w")).alias("f"))
+        e = keep(truth.join(fitted, [by, "dt"], "left").select(by, "dt", (F.coalesce("f", F.lit(0.0)) - F.col("y")).alias("e")))
+        made = rows.join(e, [by, "dt"]).groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("e")).alias("s")).join(bounds, by)
+        slopes = keep(made.select(by, "asset", (F.col("s") + F.col("lam")).alias("s"), (F.col("s") + F.col("lam") < -eps * F.col("lam_max")).alias("violates")))
+    found = slopes.join(bounds, by).join(w, [by, "asset"], "left")
+    off = F.when(F.col("w") > 0, F.abs("s")).otherwise(F.greatest(-F.col("s"), F.lit(0.0))) / F.col("lam_max")
+    report = found.groupBy(by).agg(F.max(off).alias("violation")).withColumn("optimal", F.col("violation") <= eps)
+    return w.join(bounds.select(by, "lam"), by).select(by, "asset", "lam", "w"), report
 
 
 def score_path(fits: DataFrame, gamma: float | None = None) -> DataFrame:

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def lambda_max(windows: DataFrame, by: list[str] = WINDOW) -> DataFrame:
     return xty(windows, by).groupBy(*by).agg(F.greatest(F.max("c"), F.lit(1e-10)).alias("lam_max"))
 
 
+def largest_eigenvalue(windows: DataFrame, by: list[str] = WINDOW) -> DataFrame:
+    """(by, p, eigenvalue) of each window's Gram matrix, the bound of a gradient step; a window is one group."""
+    kinds = dict(windows.dtypes)
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.nan_to_num(rows.pivot(index="dt", columns="asset", values="x").to_numpy(dtype=float))
+        small = x @ x.T if x.shape[0] < x.shape[1] else x.T @ x  # the same largest eigenvalue
+        return pd.DataFrame([(*key, x.shape[1], float(np.linalg.eigvalsh(small)[-1]))], columns=[*by, "p", "eigenvalue"])
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "p long", "eigenvalue double"])
+    return windows.select(*by, "dt", "asset", "x").groupBy(*by).applyInPandas(run, schema)
+
+
 def lambda_grid(bounds: DataFrame, n: int = 20, ratio: float = 1e-3) -> DataFrame:
     """``n`` log-spaced penalties from ratio * lam_max up to lam_max."""
     rows = bounds.withColumn("lam_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -32,12 +32,15 @@ def volatility(r: Column, days: float = DAYS) -> Column:
     return F.when(F.count(r) >= 2, F.stddev_samp(r) * F.sqrt(F.lit(days)))
 
 
-def sharpe(r: Column, days: float = DAYS) -> Column:
+def sharpe(r: Column, days: float = DAYS, rf: Column | float = 0.0) -> Column:
+    """Of returns in excess of ``rf``, a rate per period or a column of rates."""
+    r = r - rf
     s = F.stddev_samp(r)
     return F.when((F.count(r) >= 2) & (s * F.sqrt(F.lit(days)) >= 1e-12), F.avg(r) / s * F.sqrt(F.lit(days)))
 
 
-def sortino(r: Column, days: float = DAYS) -> Column:
+def sortino(r: Column, days: float = DAYS, rf: Column | float = 0.0) -> Column:
+    r = r - rf
     down = F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2)))
     return F.when((F.count(r) >= 2) & (down >= 1e-12), F.avg(r) / down * F.sqrt(F.lit(days)))
 
@@ -46,15 +49,15 @@ def information_ratio(p: Column, b: Column, days: float = DAYS) -> Column:
     return sharpe(p - b, days)
 
 
-def risk_core(curves: DataFrame, by: list[str], days: float = DAYS) -> DataFrame:
-    """Return, volatility, Sharpe, Sortino, tracking error, information ratio and the benchmark's own, in one pass."""
+def risk_core(curves: DataFrame, by: list[str], days: float = DAYS, rf: Column | float = 0.0) -> DataFrame:
+    """Return, volatility, Sharpe, Sortino, tracking error, information ratio and the benchmark's own, in one pass. ``rf``: the cash rate per period."""
     p, b = F.col("p"), F.col("b")
     return curves.groupBy(*by).agg(
         F.count(p).alias("n"),
         annual_return(p, days).alias("ann_return"),
         volatility(p, days).alias("ann_vol"),
-        sharpe(p, days).alias("sharpe"),
-        sortino(p, days).alias("sortino"),
+        sharpe(p, days, rf).alias("sharpe"),
+        sortino(p, days, rf).alias("sortino"),
         volatility(p - b, days).alias("tracking_error"),
         information_ratio(p, b, days).alias("information_ratio"),
         annual_return(b, days).alias("bench_return"),
@@ -179,11 +182,11 @@ def ff3_tstats(curves: DataFrame, by: list[str], lags: int = 5) -> DataFrame:
 
 
 def turnover_stats(rebalances: DataFrame, years: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, 95th percentile, count and annual sum of turnover. ``years``: by, years."""
+    """Mean, 95th percentile, count and annual sum of turnover. ``years``: columns of ``by``, years; the span of the rebalance dates, skipped ones included."""
     out = rebalances.groupBy(*by).agg(
         F.avg("turnover").alias("turnover_avg"), F.percentile("turnover", F.lit(0.95)).alias("turnover_p95"), F.count(F.lit(1)).alias("n_rebalances"), F.sum("turnover").alias("_sum")
     )
-    return out.join(years, by, "left").withColumn("turnover_annual", F.col("_sum") / F.col("years")).drop("_sum", "years")
+    return out.join(years, [c for c in by if c in years.columns], "left").withColumn("turnover_annual", F.col("_sum") / F.col("years")).drop("_sum", "years")
 
 
 def concentration(weights: DataFrame, by: list[str]) -> DataFrame:

@@ -95,6 +95,12 @@ def vector_stats(weights: DataFrame, by: list[str], threshold: float = 1e-6) ->
     )
 
 
+def summary(weights: DataFrame, by: list[str], k: int = 15) -> DataFrame:
+    """:func:`vector_stats` and ``top``: the ``k`` largest holdings in order, as (rank, asset, w, pct)."""
+    top = ranked_holdings(weights, by, k).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rank", "asset", "w", (F.col("w") * 100).alias("pct")))).alias("top"))
+    return vector_stats(weights, by).join(top, by, "left")
+
+
 def ranked_holdings(weights: DataFrame, by: list[str], k: int | None = None) -> DataFrame:
     """Active weights by rank, the first ``k`` if given."""
     out = _ranked(weights.filter("w > 0"), by, "w").withColumnRenamed("rn", "rank")

@@ -5,7 +5,7 @@ A region is a universe, a brand an asset; its price is the volume-weighted avera
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import panel
@@ -29,33 +29,45 @@ def period(freq: str):
     return F.to_date(F.date_trunc(freq, "d"))
 
 
-def prices(rows: DataFrame, freq: str) -> DataFrame:
-    """(universe, dt, asset, price, cap): a period's lines, averaged into the price so far; cap is the period's own value."""
-    each = rows.groupBy("universe", period(freq).alias("dt"), "asset").agg(F.sum("e").alias("e"), F.sum("q").alias("q"))
+def totals(rows: DataFrame, freq: str) -> DataFrame:
+    """(universe, dt, asset) with sums of e and q (all lines, and those of small, big, dear and cheap parts), of tax, and the lines' number.
+
+    Prices, benchmark, cash and factors are roll-ups of this table, so one scan of the lines serves them all.
+    """
+    sides = {"s": F.col("size") <= 25, "b": F.col("size") > 25, "h": F.col("retail") >= 950, "l": F.col("retail") < 950}
+    split = [F.sum(F.when(when, F.col(c))).alias(f"{c}_{k}") for k, when in sides.items() for c in ("e", "q")]
+    return rows.groupBy("universe", period(freq).alias("dt"), "asset").agg(F.sum("e").alias("e"), F.sum("q").alias("q"), F.sum("tax").alias("tax"), F.count("tax").alias("n"), *split)
+
+
+def prices(each: DataFrame) -> DataFrame:
+    """(universe, dt, asset, price, cap) from sums e and q by period: averaged into the price so far; cap is the period's own value."""
     by = Window.partitionBy("universe", "asset").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     return each.select("universe", "dt", "asset", (F.sum("e").over(by) / F.sum("q").over(by)).alias("price"), F.col("e").alias("cap"))
 
 
-def benchmark(rows: DataFrame, freq: str) -> DataFrame:
+def benchmark(each: DataFrame) -> DataFrame:
     """(universe, dt, price): the average price so far over all lines of a universe."""
-    return prices(rows.withColumn("asset", F.lit("index")), freq).drop("asset", "cap")
+    whole = each.groupBy("universe", "dt").agg(F.sum("e").alias("e"), F.sum("q").alias("q"))
+    return prices(whole.withColumn("asset", F.lit("index"))).drop("asset", "cap")
+
+
+def benchmark_returns(each: DataFrame) -> DataFrame:
+    return panel.simple_returns(benchmark(each).withColumn("asset", F.lit("index"))).select("universe", "dt", "r")
 
 
-def benchmark_returns(rows: DataFrame, freq: str) -> DataFrame:
-    return panel.simple_returns(benchmark(rows, freq).withColumn("asset", F.lit("index"))).select("universe", "dt", "r")
+def _rate() -> Column:
+    return F.sum("tax") / F.sum("n") / 252
 
 
-def cash(rows: DataFrame, freq: str) -> DataFrame:
+def cash(each: DataFrame) -> DataFrame:
     """(dt, r)."""
-    return rows.groupBy(period(freq).alias("dt")).agg((F.avg("tax") / 252).alias("r"))
+    return each.groupBy("dt").agg(_rate().alias("r"))
 
 
-def factors(rows: DataFrame, freq: str) -> DataFrame:
+def factors(each: DataFrame) -> DataFrame:
     """(dt, mkt_rf, smb, hml, rf): the market, small less big parts, dear less cheap parts, and cash."""
-    price = lambda when: F.sum(F.when(when, F.col("e"))) / F.sum(F.when(when, F.col("q")))
-    side = rows.groupBy(period(freq).alias("dt")).agg(
-        price(F.lit(True)).alias("m"), price(F.col("size") <= 25).alias("s"), price(F.col("size") > 25).alias("b"), price(F.col("retail") >= 950).alias("h"), price(F.col("retail") < 950).alias("l"), (F.avg("tax") / 252).alias("rf")
-    )
+    price = lambda k: F.sum(f"e{k}") / F.sum(f"q{k}")
+    side = each.groupBy("dt").agg(price("").alias("m"), *[price(f"_{k}").alias(k) for k in "sbhl"], _rate().alias("rf"))
     by = Window.orderBy("dt")  # one row per period
     r = lambda c: F.col(c) / F.lag(c).over(by) - 1
     return side.select("dt", (r("m") - F.col("rf")).alias("mkt_rf"), (r("s") - r("b")).alias("smb"), (r("h") - r("l")).alias("hml"), "rf").dropna()
@@ -79,19 +91,6 @@ REGIMES = (
 )
 
 
-# Stress windows of the stock market, 2017 to 2025.
-STOCK_REGIMES = (
-    ("bear_covid", "COVID 2020", "Bear", "2019-08-01", "2020-07-01"),
-    ("bear_2018q4", "2018 Q4 Selloff", "Bear", "2018-03-01", "2019-02-01"),
-    ("volatile_2022", "Rate Hikes 2022", "Volatile", "2021-06-01", "2022-07-01"),
-    ("volatile_2018vol", "Volmageddon 2018", "Volatile", "2017-06-01", "2018-06-01"),
-    ("bull_2023", "AI Bull 2023", "Bull", "2022-06-01", "2023-07-01"),
-    ("bull_postcovid", "Post-COVID 2021", "Bull", "2020-05-01", "2021-04-01"),
-    ("stable_2024", "Quiet 2024", "Stable", "2024-03-01", "2025-03-01"),
-    ("stable_2021", "Mid-2021 Calm", "Stable", "2020-10-01", "2021-10-01"),
-)
-
-
 def regimes(spark: SparkSession, windows: tuple = REGIMES) -> DataFrame:
     rows = spark.createDataFrame(windows, "regime string, short string, type string, start string, stop string")
     return rows.select("regime", "short", "type", F.to_date("start").alias("start_dt"), F.to_date("stop").alias("end_dt"))

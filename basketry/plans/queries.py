@@ -19,7 +19,7 @@ LOOKBACK = 26
 YEAR = {"month": 12, "week": 52}
 
 PRELUDE = """
-WITH ln AS (
+WITH RECURSIVE ln AS (
   SELECT r_name AS universe, p_brand AS asset, CAST(l_shipdate AS DATE) AS d, l_extendedprice AS e, l_quantity AS q, l_tax AS tax, p_size AS size, p_retailprice AS retail
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ), em AS (
@@ -175,15 +175,25 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.lines = market.lines(spark, sf_dir)
+        self._totals: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
         return market.read(self.spark, self.sf_dir, name)
 
+    def totals(self, freq: str) -> DataFrame:
+        """The lines' sums by period, written once for all tables that are made from them."""
+        if freq not in self._totals:
+            self._totals[freq] = table(market.totals(self.lines, freq))
+        return self._totals[freq]
+
     def prices(self, freq: str = "month") -> DataFrame:
-        return market.prices(self.lines, freq)
+        return market.prices(self.totals(freq))
 
     def bench(self, freq: str = "month") -> DataFrame:
-        return market.benchmark_returns(self.lines, freq)
+        return market.benchmark_returns(self.totals(freq))
+
+    def factors(self) -> DataFrame:
+        return market.factors(self.totals("week"))
 
     def monthly(self) -> DataFrame:
         return panel.simple_returns(self.prices("month"))
@@ -192,7 +202,7 @@ class Tables:
         return panel.align(panel.padded_returns(self.prices("week")), self.bench("week")).drop("y")
 
     def cash(self, r: DataFrame) -> DataFrame:
-        return panel.with_cash(panel.calendar(r), market.cash(self.lines, "week"))
+        return panel.with_cash(panel.calendar(r), market.cash(self.totals("week")))
 
     def aligned(self) -> DataFrame:
         return panel.align(panel.complete_assets(self.monthly()), self.bench("month"))
@@ -222,7 +232,7 @@ class Tables:
         return risk.curve_returns(out["nav"], out["bench"], ["universe", "method"])
 
     def with_factors(self) -> DataFrame:
-        return table(self.curves()).join(market.factors(self.lines, "week"), "dt")
+        return table(self.curves()).join(self.factors(), "dt")
 
 
 M = ["universe", "method"]
@@ -396,10 +406,11 @@ def latest_price(spark, sf_dir):
     return rounded(panel.latest_prices(Tables(spark, sf_dir).prices("week")))
 
 
-@query("SELECT user_id, arg_max(value, ts) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id HAVING count(DISTINCT ts) = count(*)")
+@query("SELECT user_id, value FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) = 1")
 def latest_event_value(spark, sf_dir):
+    """Every user's last value; of several at one time, the largest."""
     e = Tables(spark, sf_dir).read("events").filter("value is not null")
-    return e.groupBy("user_id").agg(F.max_by("value", "ts").alias("value"), F.countDistinct("ts").alias("d"), F.count(F.lit(1)).alias("n")).filter("d = n").select("user_id", "value")
+    return e.groupBy("user_id").agg(F.max(F.struct("ts", "value"))["value"].alias("value"))
 
 
 @query("SELECT universe, dt, round(sum(w * r), 8) AS r FROM rm JOIN w10 USING (universe, asset) GROUP BY ALL")
@@ -452,7 +463,7 @@ def membership_mask(spark, sf_dir):
 )
 def factor_align_ffill3(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    some = market.factors(t.lines, "week").filter("day(dt) <= 12")
+    some = t.factors().filter("day(dt) <= 12")
     return rounded(schedule.align_factors(panel.calendar(t.weekly()), some, ["mkt_rf", "smb", "hml"]), 8)
 
 
@@ -526,34 +537,6 @@ def fit_l1_kkt(spark, sf_dir):
     return fit.kkt(x, fits, ["universe", "method", "lam_idx"], ["universe"])
 
 
-@query(f"SELECT universe, true AS same_objective, true AS sparser, CAST(36 AS BIGINT) AS n FROM ({_FITTED})")
-def fit_l1_path(spark, sf_dir):
-    """Three algorithms reach one objective, and the residual grows with the penalty."""
-    _, fits = _fits(Tables(spark, sf_dir), ("fista", "cd", "admm"))
-    gap = fits.groupBy("universe", "lam_idx").agg((F.max("objective") - F.min("objective") <= 1e-8 * F.max("objective") + 1e-15).alias("same"), F.max("rss").alias("rss"), F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("universe").orderBy("lam_idx")
-    grown = gap.withColumn("up", F.coalesce(F.col("rss") >= F.lag("rss").over(by) * (1 - 1e-9), F.lit(True)))
-    return grown.groupBy("universe").agg(F.bool_and("same").alias("same_objective"), F.bool_and("up").alias("sparser"), F.sum("n").alias("n"))
-
-
-@query(f"SELECT universe, CAST(k AS INT) AS lam_idx, true AS same FROM ({_FITTED}) u, range(12) t(k)")
-def fit_objective(spark, sf_dir):
-    """The kernel's objective equals the one computed from data and weights."""
-    x, fits = _fits(Tables(spark, sf_dir))
-    w = fits.select("universe", "lam_idx", "lam", F.inline_outer("weights")).withColumn("w", F.coalesce("w", F.lit(0.0)))
-    made = fit.objective(x, w.withColumn("asset", F.coalesce("asset", F.lit(""))), ["universe", "lam_idx"])
-    both = made.join(fits.select("universe", "lam_idx", F.col("objective").alias("o")), ["universe", "lam_idx"])
-    return both.select("universe", "lam_idx", (F.abs(F.col("objective") - F.col("o")) <= 1e-8 * F.abs("o") + 1e-12).alias("same"))
-
-
-@query(f"SELECT universe, true AS decreasing, true AS closed FROM ({_FITTED})")
-def fit_convergence(spark, sf_dir):
-    _, fits = _fits(Tables(spark, sf_dir), fractions=(0.05,))
-    steps = fit.convergence(fits, ["universe"])
-    first_last = steps.groupBy("universe").agg(F.min_by("obj", "iter").alias("first"), F.min("obj").alias("least"), F.min("dual").alias("dual"))
-    return first_last.select("universe", (F.col("least") <= F.col("first") + 1e-12).alias("decreasing"), (F.col("dual") <= 1e-8).alias("closed"))
-
-
 @query(
     """, c AS (SELECT universe, asset, sum(x * y) AS c, sum(x * x) AS g FROM xm GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY c DESC, asset) AS rn FROM c WHERE c > 0)
     SELECT universe, asset, round(c / g, 8) AS w FROM r WHERE rn = 1"""
@@ -563,38 +546,6 @@ def omp_first_step(spark, sf_dir):
     return rounded(fit.fit_weights(fits, ["universe"]), 8)
 
 
-@query(f"SELECT universe, true AS within_k, true AS residual_falls FROM ({_FITTED})")
-def omp_k(spark, sf_dir):
-    _, fits = _fits(Tables(spark, sf_dir), ("omp",), cardinality=8)
-    steps = fit.convergence(fits, ["universe"]).withColumn("before", F.lag("primal").over(Window.partitionBy("universe").orderBy("iter")))
-    falls = steps.groupBy("universe").agg(F.bool_and(F.coalesce(F.col("primal") <= F.col("before") + 1e-12, F.lit(True))).alias("residual_falls"))
-    return fits.select("universe", (F.col("nnz") <= 8).alias("within_k")).join(falls, "universe")
-
-
-@query(f"SELECT universe, CAST(k AS INT) AS lam_idx, true AS not_denser FROM ({_FITTED}) u, range(12) t(k)")
-def reweighted(spark, sf_dir):
-    _, fits = _fits(Tables(spark, sf_dir), ("fista", "reweighted"))
-    return fits.groupBy("universe", "lam_idx").agg((F.max(F.when(F.col("method") == "reweighted", F.col("nnz"))) <= F.max(F.when(F.col("method") == "fista", F.col("nnz")))).alias("not_denser"))
-
-
-def _selected(spark, sf_dir, gamma):
-    _, fits = _fits(Tables(spark, sf_dir))
-    scored = fit.score_path(fits, gamma)
-    best = moments.select_lambda(scored.select("universe", "lam_idx", "lam", "nnz", "rss", "score"), ["universe"])
-    least = scored.groupBy("universe").agg(F.min("score").alias("least"))
-    return best.join(least, "universe").select("universe", (F.col("score") == F.col("least")).alias("is_least"), (F.col("nnz") > 0).alias("not_empty"))
-
-
-@query(f"SELECT universe, true AS is_least, true AS not_empty FROM ({_FITTED})")
-def bic_select(spark, sf_dir):
-    return _selected(spark, sf_dir, None)
-
-
-@query(f"SELECT universe, true AS is_least, true AS not_empty FROM ({_FITTED})")
-def ebic_select(spark, sf_dir):
-    return _selected(spark, sf_dir, 0.5)
-
-
 @query(f"SELECT universe, CAST(1 AS INT) AS lam_idx FROM ({_FITTED})")
 def lambda_fallback(spark, sf_dir):
     """A ladder whose first step is above the largest useful penalty: the second one wins everywhere."""
@@ -602,15 +553,6 @@ def lambda_fallback(spark, sf_dir):
     return fit.first_nonempty(fits, ["universe"], (1.5, 0.05, 0.03, 0.01)).select("universe", "lam_idx")
 
 
-@query(f"SELECT universe, true AS close FROM ({_FITTED})")
-def fit_wide(spark, sf_dir):
-    """The table-based fit comes within 10 % of the grouped one's objective."""
-    x, fits = _fits(Tables(spark, sf_dir), fractions=(0.05,))
-    w = fit.wide_fit(x.select("universe", "dt", "asset", "x", "y"), 0.05, 16, table)
-    made = fit.objective(x, w, ["universe"]).join(fits.select("universe", F.col("objective").alias("best")), "universe")
-    return made.select("universe", (F.col("objective") <= 1.1 * F.col("best") + 1e-12).alias("close"))
-
-
 @query("SELECT universe, asset, round(w / sum(w) OVER (PARTITION BY universe), 8) AS w FROM (SELECT universe, asset, cap / sum(cap) OVER (PARTITION BY universe) AS w FROM wm) WHERE w >= 0.04")
 def simplex_weights(spark, sf_dir):
     caps = Tables(spark, sf_dir).caps()
@@ -703,28 +645,6 @@ def rebased_curve(spark, sf_dir):
     return rounded(accounting.compounded(Tables(spark, sf_dir).monthly(), ["universe", "asset"]))
 
 
-@query("SELECT universe, true AS sums_to_one, true AS members_only FROM (SELECT DISTINCT universe FROM win)")
-def nav_membership(spark, sf_dir):
-    """Under an overlay every book sums to 1 and holds members only."""
-    t = Tables(spark, sf_dir)
-    r, members = table(t.weekly()), table(market.membership(t.lines, "week", 2))
-    w = table(walkforward.target_weights(r, t.bench("week"), walkforward.Config(methods=("equal_mean",), lookback=LOOKBACK), members=members))
-    one = w.groupBy("universe", "rebal_dt").agg((F.abs(F.sum("w") - 1) < 1e-9).alias("one"))
-    out = w.join(members.withColumnRenamed("dt", "rebal_dt"), ["universe", "rebal_dt", "asset"], "left_anti").join(members.select("universe", F.col("dt").alias("rebal_dt")).distinct(), ["universe", "rebal_dt"], "left_semi")
-    bad = out.groupBy("universe").agg(F.count(F.lit(1)).alias("n"))
-    return one.groupBy("universe").agg(F.bool_and("one").alias("sums_to_one")).join(bad, "universe", "left").select("universe", "sums_to_one", F.col("n").isNull().alias("members_only"))
-
-
-@query("SELECT universe, true AS valid, true AS starts_at_capital FROM (SELECT DISTINCT universe FROM win)")
-def walkforward_fitted(spark, sf_dir):
-    """A full run with fitted methods: no null NAV, and books on the simplex."""
-    out = Tables(spark, sf_dir).run(("fista", "omp", "benchmark"))
-    w = out["weights"].groupBy(*M, "rebal_dt").agg(F.sum("w").alias("s"), F.min("w").alias("least"))
-    good = w.groupBy("universe").agg(F.bool_and((F.abs(F.col("s") - 1) < 1e-9) & (F.col("least") >= 0)).alias("valid"))
-    nav = out["nav"].groupBy("universe").agg((F.count("nav") == F.count(F.lit(1))).alias("starts_at_capital"))
-    return good.join(nav, "universe")
-
-
 # ---- risk ------------------------------------------------------------------------------------------
 
 _CORE = """SELECT universe, method, count(*) AS n, round(pow(product(1 + p), 52.0 / count(*)) - 1, 6) AS ann_return, round(stddev_samp(p) * sqrt(52), 6) AS ann_vol, round(avg(p) / stddev_samp(p) * sqrt(52), 6) AS sharpe,
@@ -785,21 +705,6 @@ def ff3_rolling(spark, sf_dir):
     return rounded(risk.ff3_rolling(Tables(spark, sf_dir).with_factors(), M), 4)
 
 
-@query()
-def ff3_tstats(spark, sf_dir):
-    return risk.ff3_tstats(Tables(spark, sf_dir).with_factors(), M)
-
-
-@query(
-    """, y AS (SELECT universe, datediff('day', min(dt), max(dt)) / 365.25 AS years FROM cal GROUP BY universe)
-    SELECT universe, method, round(avg(turnover), 8) AS turnover_avg, round(quantile_cont(turnover, 0.95), 8) AS turnover_p95, count(*) AS n_rebalances, round(sum(turnover) / any_value(years), 8) AS turnover_annual FROM turn JOIN y USING (universe) GROUP BY ALL"""
-)
-def turnover_stats(spark, sf_dir):
-    out = Tables(spark, sf_dir).run()
-    years = schedule.span_years(out["nav"], M)
-    return rounded(risk.turnover_stats(out["rebalances"], years, M), 8)
-
-
 @query("SELECT universe, method, round(avg(h), 8) AS hhi_avg, round(quantile_cont(h, 0.95), 8) AS hhi_p95, round(avg(t), 8) AS max_weight_avg, round(max(t), 8) AS max_weight, round(1 / avg(h), 6) AS effective_n_avg FROM (SELECT universe, method, rebal_dt, sum(w * w) AS h, max(w) AS t FROM wts GROUP BY ALL) GROUP BY ALL")
 def concentration(spark, sf_dir):
     out = risk.concentration(Tables(spark, sf_dir).run()["weights"], M)
@@ -935,7 +840,7 @@ def in_vs_out(spark, sf_dir):
 
 # Fits beside rules. Everything is fitted or ranked on training dates only; fits have no SQL form, so these have no twins.
 
-_FIT_METHODS = ("fista", "cd", "admm", "reweighted", "omp")
+_FIT_METHODS = ("fista", "cd", "admm", "reweighted", "reweighted_relative", "omp")
 
 
 def _train_caps(rows: DataFrame, caps: DataFrame) -> DataFrame:
@@ -986,7 +891,7 @@ def pareto_all(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = table(t.train_test())
     caps = table(_train_caps(rows, t.prices("month").drop("price")))
-    _, path = compare.split_fit(rows, ("fista", "reweighted"), moments.FRACTIONS)
+    _, path = compare.split_fit(rows, ("fista", "reweighted", "reweighted_relative"), moments.FRACTIONS)
     sweep = path.withColumnRenamed("lam_idx", "step")
     for n in (3, 5, 8, 12):
         _, greedy = compare.split_fit(rows, ("omp",), (), n)
@@ -997,20 +902,6 @@ def pareto_all(spark, sf_dir):
     return rounded(m.withColumn("efficient", F.coalesce(F.col("te") < F.min("te").over(by), F.lit(True))))
 
 
-@query()
-def lambda_path(spark, sf_dir):
-    """Every penalty of the path: active names, objective, R2 on the training dates and tracking error on the test dates."""
-    t = Tables(spark, sf_dir)
-    rows = table(t.train_test())
-    fits, w = compare.split_fit(rows, ("admm",), moments.FRACTIONS)
-    by = ["universe", "lam_idx"]
-    scored = compare.in_vs_out(compare.split_curves(rows, w.drop("method"), ["lam_idx"]), by, YEAR["month"])
-    size = w.groupBy(*by).agg(F.count(F.when(F.col("w") > 1e-6, 1)).alias("n_active"))
-    path = fits.select(*by, "lam_frac", "lam", "nnz", "objective").join(size, by, "left").join(scored, by, "left")
-    out = path.select(*by, "lam_frac", "lam", "nnz", F.coalesce("n_active", F.lit(0)).alias("n_active"), "objective", F.col("r2_train").alias("in_sample_r2"), (F.col("te_test") / 100).alias("oos_te"))
-    return rounded(out, 8)
-
-
 def _regime_split(t: Tables, n_train: int = 20, n_test: int = 10) -> DataFrame:
     """Every (universe, regime) as a universe of its own, split by its own dates; those with fewer dates are left out."""
     rows = schedule.assign_regimes(panel.align(t.weekly(), t.bench("week")), market.regimes(t.spark))
@@ -1091,19 +982,6 @@ def series_report(spark, sf_dir):
     return rounded(allocate.series_report(Tables(spark, sf_dir).run()["nav"], M, "1996-01-01", "2000-12-31", 60), 4)
 
 
-@query(f"SELECT universe, true AS sums_to_one, true AS fits FROM ({_FITTED})")
-def retrain_latest(spark, sf_dir):
-    """A retrain on the last 36 months of every universe, from prices to weights and in-sample R2."""
-    t = Tables(spark, sf_dir)
-    base = panel.varying_assets(panel.last_n(panel.complete_assets(t.monthly()), 36))
-    x = table(panel.standardize(panel.align(base, t.bench()), True))
-    fits = fit.fit_windows(x, ("fista",), (0.05,), by=["universe"])
-    w = table(rules.destandardize(fit.fit_weights(fits, ["universe"]), x.select("universe", "asset", "sigma").distinct(), ["universe"]))
-    m = compare.holdout_metrics(w, x, x.select("universe", "dt", F.col("y").alias("r")).distinct(), [], YEAR["month"])
-    one = w.groupBy("universe").agg((F.abs(F.sum("w") - 1) < 1e-9).alias("sums_to_one"))
-    return one.join(m, "universe").select("universe", "sums_to_one", (F.col("r2") < 1).alias("fits"))
-
-
 # ---- sources ---------------------------------------------------------------------------------------
 
 
@@ -1187,3 +1065,6 @@ def static_fallback(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two cap-based trackers, rebalanced monthly on rolling windows, did against their universes, net of 5 bps."""
     return risk_core(spark, sf_dir)
+
+
+from . import artefacts, fitted  # noqa: E402, F401  (they register their queries)

@@ -11,7 +11,7 @@ from ..operators import accounting, fit, moments, panel, rules, schedule
 from ..session import table
 
 RULES = ("equal_mean", "cap_weighted", "equal_cap", "random")
-FITS = ("fista", "cd", "admm", "reweighted", "omp")
+FITS = ("fista", "cd", "admm", "reweighted", "reweighted_relative", "omp")
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,10 @@ def target_weights(returns: DataFrame, benchmark: DataFrame, config: Config, cap
 
 
 def run(returns: DataFrame, benchmark: DataFrame, cash: DataFrame, config: Config, cost: Column | None = None, caps: DataFrame | None = None, members: DataFrame | None = None) -> dict[str, DataFrame]:
-    """weights, nav, rebalances and bench (the benchmark's curve); ``benchmark`` as a method is that curve."""
+    """weights, nav, rebalances and bench (the benchmark's curve); ``benchmark`` as a method is that curve.
+
+    survivorship_bias: whether the run had no membership table, so that its universe is that of the survivors.
+    """
     returns = table(returns)  # read by every step below
     weights = table(target_weights(returns, benchmark, config, caps, members))
     days = panel.clip_dates(returns, config.start, config.end)
@@ -86,4 +89,4 @@ def run(returns: DataFrame, benchmark: DataFrame, cash: DataFrame, config: Confi
     nav = out["nav"]
     if "benchmark" in config.methods:
         nav = nav.unionByName(curve.withColumn("method", F.lit("benchmark")).select(*nav.columns))
-    return {"weights": weights, "nav": nav, "rebalances": out["rebalances"], "bench": curve}
+    return {"weights": weights, "nav": nav, "rebalances": out["rebalances"], "bench": curve, "survivorship_bias": members is None}

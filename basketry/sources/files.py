@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The fields of a cap snapshot, of a factor table, and the names of its columns in published files.
 CAPS = "fetched_at_utc string, source string, caps map<string, double>"
 FACTORS = "dt date, mkt_rf double, smb double, hml double, rf double"
+FACTOR_NAMES = {"Mkt-RF": "mkt_rf", "SMB": "smb", "HML": "hml", "RF": "rf"}
 
 
 # ---- prices and universes --------------------------------------------------------------------------
@@ -99,14 +101,21 @@ def write_caps(caps: DataFrame, path: str, source: str, fetched_at: str) -> None
 
 
 def parse_factors(lines: DataFrame) -> DataFrame:
-    """(dt, mkt_rf, smb, hml, rf) in fractions from lines (file, line, value): the daily section behind the header that names the factors."""
-    daily = F.col("value").rlike(r"^\s*\d{8}\s*,")
-    stop = F.lower("value").contains("annual")
-    by = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    body = lines.withColumn("over", F.coalesce(F.max(stop).over(by), F.lit(False))).filter(daily & ~F.col("over"))
-    parts = F.transform(F.split("value", ","), lambda x: F.trim(x))
-    number = lambda i: F.get(parts, F.lit(i)).try_cast("double") / 100
-    return body.select(F.to_date(F.get(parts, F.lit(0)), "yyyyMMdd").alias("dt"), *[number(i + 1).alias(n) for i, n in enumerate(("mkt_rf", "smb", "hml", "rf"))]).dropna()
+    """(dt, mkt_rf, smb, hml, rf) in fractions from lines (file, line, value): the daily section of each file.
+
+    The header is the first line of the file that names all four factors; columns are taken by those names, in any order. The section is what follows without
+    a break: it ends at the first line behind a dated one that does not begin with a date of eight digits. A file without a header gives nothing; a row with a value that is no number is dropped.
+    """
+    cells = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    place = F.filter(F.array(*[F.array_position("cells", n) for n in FACTOR_NAMES]), lambda p: p > 0)
+    rows = lines.withColumn("cells", cells)
+    heads = rows.filter(F.size(place) == len(FACTOR_NAMES)).groupBy("file").agg(F.min_by(F.struct(F.col("line").alias("head"), F.col("cells").alias("names")), "line").alias("h")).select("file", "h.*")
+    body = rows.join(heads, "file").filter("line > head").withColumn("dated", F.get("cells", F.lit(0)).rlike(r"^\d{8}$"))
+    first = body.filter("dated").groupBy("file").agg(F.min("line").alias("first"))
+    ended = body.join(first, "file").filter("not dated and line > first").groupBy("file").agg(F.min("line").alias("stop"))
+    daily = body.filter("dated").join(ended, "file", "left").filter("stop is null or line < stop")
+    number = lambda n: F.get("cells", (F.array_position("names", n) - 1).cast("int")).try_cast("double") / 100
+    return daily.select(F.to_date(F.get("cells", F.lit(0)), "yyyyMMdd").alias("dt"), *[number(n).alias(c) for n, c in FACTOR_NAMES.items()]).dropna()
 
 
 def read_factors(spark: SparkSession, path: str) -> DataFrame:
@@ -132,6 +141,31 @@ def run_maps(nav: DataFrame, value: str = "nav") -> DataFrame:
     return nav.groupBy("universe", "method").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("curve"))
 
 
+def run_artefact(run: dict, config: dict, metrics: DataFrame | None = None) -> DataFrame:
+    """One self-describing record per universe of a walk-forward run: config, counts, dates, curves, turnover, costs, benchmark and metrics as maps.
+
+    ``run``: what the walk-forward plan returns; ``metrics``: universe, method and numbers. Maps hold one entry per date or method.
+    """
+    day = F.date_format("rebal_dt", "yyyy-MM-dd")
+    maps = lambda rows, value: rows.groupBy("universe", "method").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(day.alias("k"), F.col(value).alias("v"))))).alias("m"))
+    by_method = lambda rows, name: rows.groupBy("universe").agg(F.map_from_entries(F.collect_list(F.struct("method", "m"))).alias(name))
+    reb = run["rebalances"]
+    counts = run["nav"].groupBy("universe").agg(F.countDistinct("dt").alias("n_dates"), F.countDistinct("method").alias("n_methods"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"))
+    dates = run["weights"].groupBy("universe").agg(F.sort_array(F.collect_set(day)).alias("rebalance_dates"))
+    bench = run_maps(run["bench"].withColumn("method", F.lit("benchmark"))).select("universe", F.col("curve").alias("benchmark_curve"))
+    out = counts.join(dates, "universe").join(bench, "universe")
+    parts = {"equity_curves": run_maps(run["nav"]).withColumnRenamed("curve", "m"), "turnover": maps(reb, "turnover"), "transaction_costs": maps(reb, "cost")}
+    if metrics is not None:
+        names = [c for c in metrics.columns if c not in ("universe", "method")]
+        pairs = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(c).cast("double") for c in names]))
+        parts["risk_metrics"] = metrics.select("universe", "method", pairs.alias("m"))
+    for name, rows in parts.items():
+        out = out.join(by_method(rows, name), "universe", "left")
+    settings = F.map_from_arrays(F.array(*map(F.lit, config)), F.array(*[F.lit(str(v)) for v in config.values()]))
+    info = F.struct("n_dates", "n_methods", "first_dt", "last_dt", F.size("rebalance_dates").alias("n_rebalances"))
+    return out.select("universe", settings.alias("config"), info.alias("metadata"), "rebalance_dates", *parts, "benchmark_curve", F.lit(run["survivorship_bias"]).alias("survivorship_bias_flag"))
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """Nested records as JSON lines, nulls included."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -52,12 +52,49 @@ def test_kernel_edges():
         kernels.fit_omp(g, c, 1.0, 0)
 
 
-def test_reweighted_is_not_denser():
-    x = RNG.normal(size=(60, 30))
-    y = x[:, :4] @ np.ones(4) + 0.05 * RNG.normal(size=60)
+def test_reweighted_against_a_loop_of_plain_fits():
+    x = RNG.normal(size=(60, 12)) / 8
+    y = x[:, :4] @ np.array([1.0, 0.5, 0.2, 0.05]) + 0.02 * RNG.normal(size=60)
     g, c = x.T @ x, x.T @ y
-    lam = 0.05 * c.max()
-    assert np.count_nonzero(kernels.fit_reweighted(g, c, lam)[0]) <= np.count_nonzero(kernels.fit_l1(g, c, lam)[0])
+    for lam in (1e-4, 1e-3, 0.05 * c.max()):
+        penalty, before = np.full(12, lam), None
+        for _ in range(5):
+            w = np.zeros(12)
+            for _ in range(4000):  # cyclic descent
+                for j in range(12):
+                    w[j] = max(0.0, (c[j] - penalty[j] - g[j] @ w + g[j, j] * w[j]) / g[j, j])
+            support = w > 1e-8
+            if before is not None and np.array_equal(support, before):
+                break
+            before, penalty = support, lam / (w + 1e-3)
+        assert kernels.fit_reweighted(g, c, lam)[0] == pytest.approx(w, abs=1e-7)
+        relative = kernels.fit_reweighted(g, c, lam, relative=True)[0]
+        assert relative.any() and np.count_nonzero(relative) <= np.count_nonzero(kernels.fit_l1(g, c, lam)[0])
+
+
+def test_wide_fit_equals_the_kernel(spark):
+    """More assets than dates; a working set of two new assets a round."""
+    from basketry.operators import fit
+    from basketry.session import table
+
+    x = RNG.normal(size=(15, 60))
+    y = x[:, :5] @ np.array([0.5, 0.4, 0.3, 0.2, 0.1]) + 0.1 * RNG.normal(size=15)
+    rows = spark.createDataFrame([("u", i, f"A{j:02d}", float(x[i, j]), float(y[i])) for i in range(15) for j in range(60)], "universe string, dt int, asset string, x double, y double")
+    w, report = fit.wide_fit(rows, 0.1, table, add=2)
+    assert report.first()["optimal"]
+    want = kernels.fit_l1(x.T @ x, x.T @ y, 0.1 * (x.T @ y).max())[0]
+    got = {r["asset"]: r["w"] for r in w.collect()}
+    assert [got.get(f"A{j:02d}", 0.0) for j in range(60)] == pytest.approx(want, abs=1e-7)
+    none, report = fit.wide_fit(rows, 1.5, table)
+    assert none.count() == 0 and report.first()["optimal"]
+
+
+def test_test_curve_goes_on_from_train(spark):
+    from basketry.operators import accounting
+
+    rows = [("u", "train", 1, 0.1, 0.2), ("u", "train", 2, 0.1, 0.0), ("u", "test", 3, -0.5, 1.0), ("v", "test", 3, 0.5, 0.5)]
+    got = accounting.chained(spark.createDataFrame(rows, "universe string, split string, dt int, p double, b double"), ["universe"]).orderBy("universe", "dt").collect()
+    assert [(r["portfolio"], r["benchmark"]) for r in got] == pytest.approx([(1.1, 1.2), (1.21, 1.2), (0.605, 2.4), (1.5, 1.5)])
 
 
 def test_grouped_fit_matches_kernel_and_drops_nothing(spark):
@@ -122,6 +159,8 @@ def test_newey_west_against_plain_formula():
     e = y - x @ beta
     inv = np.linalg.inv(x.T @ x)
     assert t == pytest.approx(beta / np.sqrt(np.diag(inv @ (x.T * e**2) @ x @ inv)))
+    meat = sum(max(0.0, 1 - abs(i - j) / 4) * e[i] * e[j] * np.outer(x[i], x[j]) for i in range(50) for j in range(50))
+    assert risk.newey_west(x, y, 3)[1] == pytest.approx(beta / np.sqrt(np.diag(inv @ meat @ inv)))
 
 
 def test_ff3_recovers_betas(spark):

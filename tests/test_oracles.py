@@ -10,7 +10,7 @@ from basketry.plans import queries as core
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["vwap_panel_week", "returns_padded", "complete_assets", "standardize_centered", "benchmark_fallback", "symbol_clean", "schedule_weekly", "train_windows", "factor_align_ffill3", "gram", "omp_first_step", "topn_cap", "random_n_ensemble", "nav_path", "turnover", "risk_core", "ff3", "pareto_rules", "regime_stress", "allocate_shares", "html_links"]
+QUICK = ["vwap_panel_week", "returns_padded", "complete_assets", "standardize_centered", "benchmark_fallback", "symbol_clean", "schedule_weekly", "train_windows", "factor_align_ffill3", "gram", "omp_first_step", "topn_cap", "random_n_ensemble", "nav_path", "turnover", "risk_core", "ff3", "pareto_rules", "regime_stress", "allocate_shares", "html_links", "fit_l1_weights", "reweighted", "omp_two", "fit_wide", "ebic_select", "lambda_path", "walkforward_fitted", "nav_membership", "ff3_tstats", "turnover_stats", "price_panel_wide", "caps_file", "factors_file", "train_arrays_file", "run_file", "results_file", "active_file", "universe_file"]
 
 
 def value(v):

@@ -51,3 +51,10 @@ def test_price_panel_roles(spark):
     wide = spark.createDataFrame([("2020-01-01", 1.0, 2.0, 9.0), ("2020-01-02", 1.1, None, 9.1)], "dt string, A double, B double, IDX double")
     out = files.price_panel(wide, "U", "IDX")
     assert {r["asset"] for r in out["prices"].collect()} == {"A"} and out["benchmark"].count() == 2
+
+
+def test_factor_columns_are_found_by_name(spark):
+    text = ["19990101, 1, 1, 1, 1", "This file,", ", RF , SMB,Mkt-RF,HML", "", "20000103, 0.01, 1, 2, x", "20000104, 0.02, 1, 2, 3", "  20000105 ,0.03,4,5,6", "", "20000106, 9, 9, 9, 9"]
+    got = files.parse_factors(lines(spark, "\n".join(text))).orderBy("dt").collect()
+    assert [(str(r["dt"]), r["mkt_rf"], r["smb"], r["hml"], r["rf"]) for r in got] == [("2000-01-04", 0.02, 0.01, 0.03, 0.0002), ("2000-01-05", 0.05, 0.04, 0.06, 0.0003)]
+    assert files.parse_factors(lines(spark, "\n".join(text[:2]))).count() == 0
