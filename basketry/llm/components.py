@@ -13,15 +13,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every node has a label, a node of its component that is not larger; at first its least neighbour. In a round a node, and its label, take the least
     label of their neighbours' labels if that is less, and labels are followed one step. Rounds end when no label changes; that takes about the
-    logarithm of the longest path. Each round is written twice, so lineage stays short, and every join reads written tables on one side of which the key is unique, so adaptive
-    execution may split the edges of a hub over tasks.
+    logarithm of the longest path. Each round is written, so lineage stays short, and no join reads an aggregation by its own key, so adaptive execution may
+    split the edges of a hub over tasks.
     """
-    one_way = edges.filter("a <> b").select("a", "b")
-    both = table(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = table(edges.filter("a <> b").select(F.inline(ways)).distinct())
     labels = table(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("f")).withColumnRenamed("a", "node"))
     while True:
         up = labels.select(F.col("node").alias("f"), F.col("f").alias("top"))
-        at = table(labels.select("node", "f").join(up, "f").select("node", "f", "top"))
+        at = labels.select("node", "f").join(up, "f").select("node", "f", "top")
         near = both.join(at.select(F.col("node").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("near"))
         found = at.join(near.withColumnRenamed("a", "node"), "node")
         least = F.least("top", "near")

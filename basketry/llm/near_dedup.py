@@ -7,9 +7,9 @@
    ``r < match`` vanish. A posting list is merged member by member: collisions of a member with the rest of the list are counted, those that reach ``match``
    leave the list, and their own collisions are counted with what is left only (skip). So a list of near-equal texts costs its length, not its square, and gives a
    spanning set of its matching pairs. A long list is cut into blocks whose pairs are separate tasks.
-4. The matching pairs' components (clusters) are searched exactly on full sets, in three steps that compare only what is not joined yet: within blocks of
-   bounded size; among one representative of each joined part; and, in clusters that are still in several parts, the members outside
-   the largest part against all. So no link between posted classes is lost, and only those last members make copies of sets.
+4. The matching pairs' components (clusters) are searched exactly on full sets, in two steps that compare only what is not joined yet: within blocks of
+   bounded size, which a few pivots of the cluster join as members of all of them; and, in clusters that are still in several parts, the members outside
+   the largest part against all. So no link between posted classes is lost, and only pivots and those last members make copies of sets.
 
 A pair at similarity ``threshold`` agrees in a coordinate with that probability, so with 64 coordinates it agrees in fewer than 34 with a
 probability of about 3e-10 at 0.85 and 3.2e-7 at 0.80; ``match`` is the step's only loss.
@@ -35,7 +35,7 @@ from .components import components
 from .shingles import batches, fingerprint, mixed, shingle_sets
 
 BLOCK = 1024  # members of a posting list compared at once
-SETS, SHINGLES = 512, 1 << 20  # sets, and shingles in all, of a block of full sets
+SETS, SHINGLES, PIVOTS = 256, 1 << 20, 16  # sets, and shingles in all, of a block of full sets; pivots of a cluster, about
 FILTER_BITS = 24
 
 
@@ -212,53 +212,58 @@ def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
     return at.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("blocks", "own", "other")
 
 
-def _dealt(rows: DataFrame, keys: list[str], per_task: int) -> DataFrame:
-    """Written rows in as many partitions as their number asks for, sorted by ``keys``: the work grows with rows, not bytes."""
-    written = table(rows)
-    tasks = max(written.sparkSession.sparkContext.defaultParallelism, -(-written.count() // per_task))
-    return written.repartition(tasks, *keys).sortWithinPartitions(*keys, "node")
+def _dealt(rows: DataFrame, keys: list[str], n: int, per_task: int) -> DataFrame:
+    """Rows in as many partitions as their number ``n`` asks for, sorted by ``keys``: tasks grow with rows, not bytes."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // per_task))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "node")
 
 
-def _searched(blocks: DataFrame, percent: int) -> DataFrame:
-    """cluster, b1, b2, node, label, shingles -> links, as written (a, b)."""
-    dealt = _dealt(blocks.select("cluster", "b1", "b2", "node", "label", "shingles"), ["cluster", "b1", "b2"], 1000)
-    return table(dealt.mapInArrow(_linked(percent), "a long, b long"))
+def _searched(blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """cluster, b1, b2, node, label, shingles -> links (a, b)."""
+    dealt = _dealt(blocks.select("cluster", "b1", "b2", "node", "label", "shingles"), ["cluster", "b1", "b2"], n, 1000)
+    return dealt.mapInArrow(_linked(percent), "a long, b long")
 
 
-def _links(full: DataFrame, percent: int, sets: int = SETS) -> DataFrame:
-    """Written (cluster, node, n, shingles) -> links (a, b) that span all links of each cluster."""
-    many = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / sets), F.ceil(F.sum("n") / SHINGLES)).cast("long").alias("many")
+def _thinned(pairs: DataFrame) -> DataFrame:
+    """Fewer pairs (a, b) with the same components: each b keeps its least a, and that is joined to b's other ones.
+
+    A row is the b of one pair of each of its posting lists at most, so the sets are small; many of their pairs are the same.
+    """
+    each = pairs.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("all"))
+    least = F.get("all", F.lit(0))
+    ends = F.transform(F.concat(F.array("b"), F.slice("all", F.lit(2), F.size("all"))), lambda x: F.struct(least.alias("a"), x.alias("b")))
+    return each.select(F.inline(ends)).distinct()
+
+
+def _parts(full: DataFrame, percent: int, sets: int = SETS) -> DataFrame:
+    """Written (cluster, node, n, shingles) -> (node, root) of the components of all links, for nodes with a link."""
+    count = F.count(F.lit(1))
+    many = lambda: F.greatest(F.ceil(count / sets), F.ceil(F.sum("n") / SHINGLES)).cast("long").alias("many")
     hashed = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.col("node")), F.col(n))
-    size = table(full.groupBy("cluster").agg(many()))
-    one = full.join(size, "cluster").withColumns({"b1": hashed(7, "many"), "b2": F.lit(0).cast("long"), "label": F.col("node")})
-    links = _searched(one, percent)
-    wide = size.filter("many > 1")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    size, n = table(full.groupBy("cluster").agg(many(), F.ceil(count / PIVOTS).cast("long").alias("spread"))), full.count()
+    own = F.when(hashed(8, "spread") == 0, upto("many")).otherwise(F.array(hashed(7, "many")))
+    one = full.join(size, "cluster").withColumn("b1", F.explode(own)).withColumns({"b2": F.lit(0).cast("long"), "label": F.col("node")})
+    found = components(_searched(one, n, percent))
+    wide = size.filter("many > 1").select("cluster")
     if wide.isEmpty():
-        return links
-
-    def labelled(found: DataFrame, rows: DataFrame) -> DataFrame:
-        return table(rows.join(found.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
-
-    names = full.join(wide.select("cluster"), "cluster").select("cluster", "node", "n")
-    parts = labelled(components(links), names)
-    first = parts.filter("label = node")
-    few = table(first.groupBy("cluster").agg(many()))
-    chosen = first.join(few, "cluster").withColumns({"b1": hashed(8, "many"), "b2": F.lit(0).cast("long")})
-    links = links.unionByName(_searched(full.select("node", "shingles").join(chosen, "node"), percent))
-    parts = labelled(components(links), names)
+        return found
+    named = full.select("cluster", "node", "n").join(wide, "cluster").join(found.withColumnRenamed("root", "label"), "node", "left")
+    parts = table(named.withColumn("label", F.coalesce("label", "node")))
     # clusters in several parts: everybody outside the largest part meets all others
-    counts = parts.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
-    largest = table(counts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels"))
-    asked = table(parts.join(largest, "cluster").withColumn("outside", F.col("label") != F.col("largest")).drop("largest"))
-    of_all = asked.groupBy("cluster").agg(many()).withColumnRenamed("many", "many_all")
-    of_outside = asked.filter("outside").groupBy("cluster").agg(many()).withColumnRenamed("many", "many_out")
-    sized = asked.join(table(of_all.join(of_outside, "cluster")), "cluster")
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    every = sized.withColumn("b2", hashed(9, "many_all")).withColumn("b1", upto("many_out"))
-    outside = sized.filter("outside").withColumn("b1", hashed(10, "many_out")).withColumn("b2", upto("many_all"))
-    cols = ["cluster", "b1", "b2", "node", "label"]
-    rest = every.select(*cols).unionByName(outside.select(*cols))
-    return links.unionByName(_searched(rest.join(full.select("node", "shingles"), "node"), percent))
+    counts = parts.groupBy("cluster", "label").agg(count.alias("k"))
+    largest = table(counts.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), count.alias("labels")).filter("labels > 1").drop("labels"))
+    if largest.isEmpty():
+        return found
+    asked = parts.join(largest, "cluster").withColumn("outside", F.col("label") != F.col("largest"))
+    out_n = F.count_if("outside")
+    sizes = asked.groupBy("cluster").agg(many().alias("many_all"), F.greatest(F.ceil(out_n / sets), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / SHINGLES)).cast("long").alias("many_out"))
+    sized = asked.join(table(sizes), "cluster")
+    every = sized.select("cluster", F.explode(upto("many_out")).alias("b1"), hashed(9, "many_all").alias("b2"), "node", "label")
+    outside = sized.filter("outside").select("cluster", hashed(10, "many_out").alias("b1"), F.explode(upto("many_all")).alias("b2"), "node", "label")
+    rest = table(every.unionByName(outside))
+    links = _searched(rest.join(full.select("node", "shingles"), "node"), rest.count(), percent)
+    return components(links.unionByName(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, coords: int = 64, match: int = 34, key: str = "doc_id", text: str = "text", sets: int = SETS) -> DataFrame:
@@ -278,14 +283,14 @@ def near_dedup(docs: DataFrame, percent: int = 85, width: int = 5, coords: int =
     live = by_node.filter(F.size("t") >= match).select("node", F.slice("t", F.lit(1), F.size("t") - match + 1).alias("t"))
     low = F.pandas_udf(_low, "binary")
     posted = table(live.join(classes.select("node", "n", low("sig").alias("low")), "node").select("node", "n", "low", F.explode(F.col("t.token")).alias("token")))
-    lists = table(posted.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     blocks = _in_blocks(posted.join(lists, "token"), F.ceil(F.col("members") / BLOCK)).drop("members")
-    pairs = table(_dealt(blocks, ["token", "b1", "b2"], 20_000).mapInArrow(_collided(match, percent), "a long, b long"))
-    clusters = table(components(pairs).withColumnRenamed("root", "cluster"))
+    pairs = _dealt(blocks, ["token", "b1", "b2"], posted.count(), 20_000).mapInArrow(_collided(match, percent), "a long, b long")
+    clusters = components(_thinned(pairs)).withColumnRenamed("root", "cluster")
 
     members = table(clusters.join(classes.select("node", "fp", "doc_id", "n"), "node"))
     full = table(members.select("node", "cluster", "fp", "n").join(_sets_of(docs, members, width, key, text), "fp").drop("fp"))
-    found = table(components(_links(full, percent, sets)))
+    found = _parts(full, percent, sets)
 
     named = table(found.join(classes.select("node", "fp", "doc_id"), "node"))
     least = table(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
