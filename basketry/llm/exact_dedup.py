@@ -1,9 +1,9 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
-Two texts are equal when they are identical after every white-space character is deleted. A first narrow
-aggregation over (length, prefix hash) finds the classes with more than one row; no two equal texts can differ
-in either. Those classes become a bitmap of fixed size, which is broadcast. The second scan hashes the full
-text of rows whose class survives only; all other rows are known to be alone and take part in no shuffle.
+Two texts are equal when they are identical after every white-space character is deleted. One scan writes a narrow profile of every
+row: the length and the hash of a prefix. Rows are grouped by length first; the prefix hash is counted only where a length repeats, and
+the full text is hashed only where length and prefix repeat. The classes that survive a level become a bitmap of
+fixed size, which is broadcast, so all other rows are known to be alone and take part in no shuffle.
 
 Nulls: a null text is an empty text, and empty texts equal each other. A null ``doc_id`` ranks after any number;
 a group whose ids are all null has a null ``keep_id``. Rows that repeat both id and text are one document: their
@@ -26,7 +26,9 @@ def _refined(docs: DataFrame, key: str, text: str, digest: bool) -> DataFrame:
     """row, id, chars, the first two refinement levels, ``open`` (may have a duplicate) and ``full`` (hash of the full text where open, or of every row)."""
     rows = packed(docs, id=F.col(key), norm=squeezed(text_of(text)), chars=F.length(text_of(text)))
     rows = rows.withColumns({"size": F.octet_length("norm"), "prefix": F.xxhash64(F.substring("norm", 1, PREFIX_CHARS))})
-    repeated = rows.groupBy(*_KEY).count().filter("count > 1")
+    profile = table(rows.select(*_KEY))
+    lengths = profile.groupBy("size").count().filter("count > 1")
+    repeated = with_flag(profile, key_bitmap(lengths, ["size"]), ["size"], "again").filter("again").groupBy(*_KEY).count().filter("count > 1")
     open_rows = with_flag(rows, key_bitmap(repeated, _KEY), _KEY, "open")
     full = F.sha2(F.col("norm"), 256)
     return open_rows.withColumn("full", full if digest else F.when(F.col("open"), full))

@@ -383,6 +383,44 @@ def test_token_counts(docs, empty, real, chunk, overlap):
         assert Counter(map(tuple, rows.collect())) == want
 
 
+def test_long_texts_are_spliced_at_the_default_chunk(spark):
+    """Texts of several chunks: prose, no stable start at all, special strings at the seams, and white space runs."""
+    lib = Tokenizer.from_file(PATH)
+    prose = " ".join(f"word{i * i % 977}, it's {i}" for i in range(20_000))
+    made = [prose, "x" * 100_000, prose[:32760] + "<|endoftext|>" + prose, ("ab " * 10 + " " * 700) * 200, "é\n" * 60_000, prose[:32768], prose[:32769]]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(d, PATH).collect()}
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(made)}
+
+
+def test_encoder_equals_the_library_on_every_code_point():
+    lib = Tokenizer.from_file(PATH)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{'b '.join(points[i : i + 2000])}1" for i in range(0, len(points), 2000)]
+    assert bpe.encoder(PATH)(texts) == [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+CLASH = ["row", "_word", "_mask", "_slot", "_at", "id", "k1", "size", "copies", "kept", "n_words", "place", "words", "open", "n", "tie", "spans", "fp", "sig", "node", "label", "starts", "norm", "prefix", "full", "sequence_id", "item", "n_removed"]
+
+
+def test_extra_columns_keep_their_names_and_values(spark, docs):
+    """Operators that return the user's rows return them as they are; the others don't mind."""
+    d = docs.drop("n", "size", "path", "keep_id")
+    for c in CLASH:
+        d = d.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    mine = set(map(tuple, d.collect()))
+    for made in (exact_dedup.drop_exact_duplicates(d), near_dedup.drop_near_duplicates(d), mixing.resample(d), quality_rules.drop_rejected(d)):
+        assert made.columns == d.columns and set(map(tuple, made.collect())) <= mine
+    kept = [c for c in d.columns if c != "text"]
+    assert Counter(map(tuple, pii.pseudonymise(d).select(*kept).collect())) == Counter(map(tuple, d.select(*kept).collect()))
+    shown = [c for c in CLASH if c not in quality_rules.MEASURES]
+    assert Counter(map(tuple, quality_rules.judged(d).select(*shown).collect())) == Counter(map(tuple, d.select(*shown).collect()))
+    model = (np.zeros(1 << 18, dtype=np.float32), np.array([0.0, 1.0]))
+    for made in (exact_dedup.exact_dedup(d), near_dedup.near_dedup(d), token_counts.token_counts(d, PATH), suffix_dedup.suffix_dedup(d), score(d, model, 2), mixing.mix(mixing.sized(d))["documents"]):
+        assert made.count() == len(ROWS)
+    assert pack_documents(d, PATH).filter("piece = 0").count() == len(ROWS)
+
+
 def test_token_counts_of_other_vocabularies(docs):
     from sentencepiece import SentencePieceProcessor
 

@@ -1,10 +1,19 @@
 """The pipeline's stages on the smallest tables: columns, effects and what is left."""
 
 import re
+import zlib
+from collections import Counter
 
 import corpus_pipeline
-from pyspark.sql import functions as F
+import duckdb
+import numpy as np
+import public_tokenizers
 from basketry.llm.near_dedup import near_dedup
+from basketry.llm.twins import oracle_sql
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from .test_llm import mixed_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,5 +100,33 @@ def test_stages_on_odd_rows(spark):
         assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in at.collect()}
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def test_run_against_brute_force(spark):
+    """All stages: quality rules by their SQL twin, the others by plain loops over the texts that are left."""
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    texts = dict(c.execute("SELECT doc_id, text FROM documents").fetchall())
+    source = dict(c.execute("SELECT doc_id, source FROM documents").fetchall())
+    names = [d[0] for d in c.execute(oracle_sql()["op10_quality_rules"]).description]
+    good = {r[names.index("doc_id")] for r in c.execute(oracle_sql()["op10_quality_rules"]).fetchall() if r[names.index("kept")]}
+    groups = {}
+    for i in good:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", texts[i] or ""), []).append((-len(texts[i] or ""), i))
+    exact = {min(g)[1] for g in groups.values()}
+    near = kept_by_brute_force({i: texts[i] for i in exact}, 80)
+    taken, _ = mixed_by_brute_force([(i, texts[i], source[i]) for i in near], 1024)
+    copies = Counter({x[2]: int(n / x[1] + 0.5) for x, n in taken.items()})
+    lib, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for i, n in copies.items():
+        ids = np.array([*lib.encode(texts[i], add_special_tokens=False).ids, 0], dtype="<u4")
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += n
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(places) <= 1.05 * sum(r["length"] for r in rows) / 2048 + 2
