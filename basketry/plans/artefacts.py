@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import compare, risk
-from ..session import shared_dir, table
+from ..session import run_dir, table
 from ..sources import files
 from . import market
 from .queries import YEAR, M, Tables, query, rounded
 
 
 def _path(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(

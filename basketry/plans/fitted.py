@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import accounting, compare, fit, moments, panel, risk, rules, schedule
 from ..session import table
-from . import market, walkforward
+from . import market, queries, walkforward
 from .queries import LOOKBACK, YEAR, M, Tables, query, rounded
 
 SWEEPS = 1500
@@ -240,6 +240,71 @@ def retrain_latest(spark, sf_dir):
     return rounded(one.join(m, "universe").select("universe", "n_active", "w_sum", "w_max", F.round("r2", 5).alias("r2")))
 
 
+# ---- comparisons with fits -------------------------------------------------------------------------
+
+#: Training caps and the rules' weights; metrics on the test dates of weights ``allw2`` (universe, method, step, asset, w).
+_TRAIN_CAPS = """, tcap AS (SELECT universe, asset, sum(cap) AS cap FROM tt JOIN pm USING (universe, dt, asset) WHERE split = 'train' GROUP BY ALL), trank AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY cap DESC, asset) AS rn FROM tcap)"""
+_HELD_OUT = """, pr2 AS (SELECT universe, method, step, dt, sum(w * r) AS p, any_value(y) AS b FROM tt JOIN allw2 USING (universe, asset) WHERE split = 'test' GROUP BY ALL),
+size2 AS (SELECT universe, method, step, count(*) FILTER (w > 1e-6) AS n_active FROM allw2 GROUP BY ALL),
+held2 AS (SELECT universe, method, step, 1 - sum((b - p) * (b - p)) / (var_pop(b) * count(*)) AS r2, stddev_samp(p - b) * sqrt(12) AS te, avg(p - b) / stddev_samp(p - b) * sqrt(12) AS ir, avg(p) / stddev_samp(p) * sqrt(12) AS sharpe FROM pr2 GROUP BY ALL),
+final2 AS (SELECT * FROM held2 JOIN size2 USING (universe, method, step)) """
+_LADDER = (
+    descent(compare.LADDER)
+    + _MONEY.format(stats="st")
+    + _TRAIN_CAPS
+    + """, first2 AS (SELECT universe, min(lam_idx) AS lam_idx FROM money GROUP BY universe), allw2 AS (
+  SELECT universe, m AS method, 0 AS step, asset, w FROM money JOIN first2 USING (universe, lam_idx), (SELECT unnest(['fista', 'cd', 'admm']) AS m)
+  UNION ALL SELECT universe, 'cap', 0, asset, cap / sum(cap) OVER (PARTITION BY universe) FROM trank WHERE rn <= 10 UNION ALL SELECT universe, 'equal', 0, asset, 1.0 / count(*) OVER (PARTITION BY universe) FROM trank WHERE rn <= 10)"""
+    + _HELD_OUT
+)
+_L1 = ("fista", "cd", "admm")
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in (("r2", 4), ("te", 6), ("ir", 5), ("sharpe", 5)) if c in df.columns})
+
+
+@query(_LADDER + "SELECT universe, method, n_active, round(r2, 4) AS r2, round(te, 6) AS te, round(ir, 5) AS ir, round(sharpe, 5) AS sharpe FROM final2")
+def comparison_fitted(spark, sf_dir):
+    """Two rules and three fits on one split: fitted and ranked on its training dates, scored on its test dates."""
+    return _shown(queries._all_holdout(Tables(spark, sf_dir), _L1).select("universe", "method", "n_active", "r2", "te", "ir", "sharpe"))
+
+
+@query(_LADDER + "SELECT universe, n_active, round(r2, 4) AS r2, round(te, 6) AS te FROM final2 WHERE method = 'admm'")
+def headline_admm(spark, sf_dir):
+    """The fit's row of every universe."""
+    return _shown(compare.headline(queries._all_holdout(Tables(spark, sf_dir), ("admm",)), "admm", ["n_active", "r2", "te"]))
+
+
+@query(_LADDER + "SELECT u.universe, n_active, round(r2, 4) AS r2, CASE WHEN n_active IS NULL THEN 'no weights' END AS error FROM (SELECT r_name AS universe FROM region UNION ALL SELECT 'nowhere') u LEFT JOIN final2 f ON f.universe = u.universe AND method = 'admm'")
+def multi_universe_fitted(spark, sf_dir):
+    """The fit of every universe; one without data stays as a row with a reason."""
+    t = Tables(spark, sf_dir)
+    universes = t.read("region").select(F.col("r_name").alias("universe")).unionByName(spark.range(1).select(F.lit("nowhere").alias("universe")))
+    found = compare.headline(queries._all_holdout(t, ("admm",)), "admm", ["n_active", "r2"])
+    return _shown(compare.with_failures(universes, found, F.lit("no weights")))
+
+
+@query(
+    descent(moments.FRACTIONS)
+    + _MONEY.format(stats="st")
+    + _TRAIN_CAPS
+    + """, allw2 AS (SELECT universe, 'fista' AS method, lam_idx AS step, asset, w FROM money UNION ALL SELECT universe, 'cap', k, asset, cap / sum(cap) OVER (PARTITION BY universe, k) FROM trank, (SELECT unnest([3, 5, 8, 12]) AS k) WHERE rn <= k)"""
+    + _HELD_OUT
+    + "SELECT universe, method, step, n_active, round(te, 6) AS te, round(r2, 4) AS r2 FROM final2"
+)
+def sweep_fitted(spark, sf_dir):
+    """A sweep of penalties beside one of cardinalities, scored on the test dates."""
+    t = Tables(spark, sf_dir)
+    rows = table(t.train_test())
+    caps = table(queries._train_caps(rows, t.prices("month").drop("price")))
+    _, path = compare.split_fit(rows, ("fista",), moments.FRACTIONS)
+    sweep = path.withColumnRenamed("lam_idx", "step")
+    for n in (3, 5, 8, 12):
+        sweep = sweep.unionByName(rules.top_n_cap(caps, n, ["universe"]).select("universe", F.lit("cap").alias("method"), F.lit(n).alias("step"), "asset", "w"))
+    return _shown(queries._on_test(rows, table(sweep), ["method", "step"]).select("universe", "method", "step", "n_active", "te", "r2"))
+
+
 # ---- runs ------------------------------------------------------------------------------------------
 
 

@@ -848,9 +848,9 @@ def _train_caps(rows: DataFrame, caps: DataFrame) -> DataFrame:
     return rows.filter("split = 'train'").join(caps, ["universe", "dt", "asset"]).groupBy("universe", "asset").agg(F.sum("cap").alias("cap"))
 
 
-def _all_methods(rows: DataFrame, caps: DataFrame) -> DataFrame:
-    """(universe, method, asset, w) of two rules and five fits on one split."""
-    _, fitted = compare.ladder_fit(rows, _FIT_METHODS)
+def _all_methods(rows: DataFrame, caps: DataFrame, methods: tuple[str, ...] = _FIT_METHODS) -> DataFrame:
+    """(universe, method, asset, w) of two rules and the fits on one split."""
+    _, fitted = compare.ladder_fit(rows, methods)
     caps = table(_train_caps(rows, caps))
     both = compare.compare({"cap": rules.top_n_cap(caps, 10, ["universe"]), "equal": rules.equal_top_n_cap(caps, 10, ["universe"])})
     return table(fitted.unionByName(both))
@@ -861,9 +861,9 @@ def _on_test(rows: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
     return compare.holdout_metrics(weights, test, test.select("universe", "dt", F.col("y").alias("r")).distinct(), by, YEAR["month"])
 
 
-def _all_holdout(t: Tables) -> DataFrame:
+def _all_holdout(t: Tables, methods: tuple[str, ...] = _FIT_METHODS) -> DataFrame:
     rows = table(t.train_test())
-    return _on_test(rows, _all_methods(rows, t.prices("month").drop("price")), ["method"])
+    return _on_test(rows, _all_methods(rows, t.prices("month").drop("price"), methods), ["method"])
 
 
 @query()
@@ -872,11 +872,6 @@ def method_comparison_all(spark, sf_dir):
     return rounded(_all_holdout(Tables(spark, sf_dir)))
 
 
-@query()
-def headline_admm(spark, sf_dir):
-    return rounded(compare.headline(_all_holdout(Tables(spark, sf_dir)), "admm", ["n_active", "r2", "te"]))
-
-
 @query()
 def multi_universe_all(spark, sf_dir):
     """Every universe and method; a universe without a fit stays as a row with a reason."""
@@ -1062,6 +1057,33 @@ def static_fallback(spark, sf_dir):
     return files.or_static(t.read("part").select(F.col("p_type").alias("asset")).distinct(), t.read("region").select(F.col("r_name").alias("asset")))
 
 
+@query("SELECT DISTINCT p_brand AS asset FROM part WHERE (SELECT count(DISTINCT p_brand) FROM part) >= 20 UNION ALL SELECT r_name FROM region WHERE (SELECT count(DISTINCT p_brand) FROM part) < 20")
+def static_not_needed(spark, sf_dir):
+    """The other branch of the fallback: the parsed list is long enough."""
+    t = Tables(spark, sf_dir)
+    return files.or_static(t.read("part").select(F.col("p_brand").alias("asset")).distinct(), t.read("region").select(F.col("r_name").alias("asset")), 20)
+
+
+@query("SELECT universe, count(DISTINCT dt) AS n_dates FROM (SELECT p_brand AS universe, CAST(l_shipdate AS DATE) AS dt FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY universe HAVING count(DISTINCT dt) < 1500")
+def short_universes(spark, sf_dir):
+    """Brands as universes: those with too few dates."""
+    days = Tables(spark, sf_dir).lines.select(F.col("asset").alias("universe"), F.col("d").alias("dt"))
+    return panel.too_short(days, 1500)
+
+
+@query(
+    _ACC.replace("JOIN lastp USING (universe, asset) WHERE price > 0", "JOIN (SELECT * FROM lastp WHERE asset < 'Brand#2') USING (universe, asset) WHERE price > 0")
+    + """, gone AS (SELECT account, count(*) AS n_warnings, min(asset) AS first_missing FROM acc JOIN w10 USING (universe) ANTI JOIN (SELECT * FROM lastp WHERE asset < 'Brand#2') z ON z.universe = acc.universe AND z.asset = w10.asset GROUP BY account)
+    SELECT a.account, coalesce(n, 0) AS n_bought, coalesce(n_warnings, 0) AS n_warnings, 'no price: ' || first_missing AS first_warning, round(a.capital - coalesce(invested, 0), 2) AS residual FROM acc a
+    LEFT JOIN (SELECT account, count(*) AS n, sum(round(shares * price, 2)) AS invested FROM bought WHERE shares > 0 GROUP BY account) b ON b.account = a.account LEFT JOIN gone ON gone.account = a.account"""
+)
+def allocation_warnings(spark, sf_dir):
+    """Accounts where some names have no price: one warning for each."""
+    t = Tables(spark, sf_dir)
+    out = allocate.allocation_summary(_accounts(t), t.top10(), panel.latest_prices(t.prices("week")).filter("asset < 'Brand#2'"))
+    return out.select("account", "n_bought", F.size("warnings").cast("long").alias("n_warnings"), F.get("warnings", F.lit(0)).alias("first_warning"), F.round("residual", 2).alias("residual"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two cap-based trackers, rebalanced monthly on rolling windows, did against their universes, net of 5 bps."""
     return risk_core(spark, sf_dir)

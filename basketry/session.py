@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "basketry.shipped"
+_DIR = "basketry.dir"
+_RUN = "run"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -57,8 +59,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one. It is deleted when the driver's JVM ends, as are the tables in it."""
+    path = f"{shared_dir(spark)}/{_RUN}-{spark.sparkContext.applicationId}"
+    if spark.conf.get(_DIR, "") != path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        spark.conf.set(_DIR, path)
+    return path
+
+
 def table(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    """Write ``df`` to the run's folder and read it back: lineage ends here and a lost executor costs nothing."""
+    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -74,10 +74,8 @@ def holdings(lines: DataFrame, first_column: str = "Ticker") -> DataFrame:
 
 
 def or_static(parsed: DataFrame, static: DataFrame, least: int = 45) -> DataFrame:
-    """``parsed`` if it has ``least`` rows, else ``static``; decided inside the plan."""
-    size = parsed.agg((F.count(F.lit(1)) >= least).alias("_enough"))
-    good = parsed.crossJoin(size).filter("_enough").drop("_enough")  # the size is one row
-    return good.unionByName(static.crossJoin(size).filter("not _enough").drop("_enough"))
+    """``parsed`` if it has ``least`` rows, else ``static``. No more than ``least`` rows are counted to tell."""
+    return parsed if parsed.limit(least).count() >= least else static
 
 
 # ---- market caps -----------------------------------------------------------------------------------
