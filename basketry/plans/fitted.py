@@ -305,6 +305,27 @@ def sweep_fitted(spark, sf_dir):
     return _shown(queries._on_test(rows, table(sweep), ["method", "step"]).select("universe", "method", "step", "n_active", "te", "r2"))
 
 
+_REGIME = (
+    f""", {queries._REGIMES}, rall AS (SELECT rw.universe || '|' || regime AS universe, type, rw.dt, asset, rw.r, yw.r AS y FROM rw JOIN reg ON rw.dt >= start_dt AND rw.dt < end_dt JOIN yw ON yw.universe = rw.universe AND yw.dt = rw.dt),
+rnum AS (SELECT *, dense_rank() OVER (PARTITION BY universe ORDER BY dt) AS k FROM rall), rlong AS (SELECT universe FROM rnum GROUP BY universe HAVING max(k) >= 30),
+rsplit AS MATERIALIZED (SELECT *, CASE WHEN k <= 20 THEN 'train' ELSE 'test' END AS split FROM rnum WHERE k <= 30 AND universe IN (SELECT universe FROM rlong)),
+rst AS (SELECT universe, asset, avg(r) AS mu, stddev_pop(r) AS sigma FROM rsplit WHERE split = 'train' GROUP BY ALL HAVING var_pop(r) > 1e-12),
+rx AS MATERIALIZED (SELECT s.universe, dt, asset, y, (r - mu) / CASE WHEN sigma > 1e-12 THEN sigma ELSE 1 END AS x FROM rsplit s JOIN rst USING (universe, asset) WHERE split = 'train')"""
+    + descent(compare.LADDER[:1], "rx", 800)
+    + _MONEY.format(stats="rst")
+    + """, rp AS (SELECT universe, any_value(type) AS type, split, dt, sum(w * r) AS p, any_value(y) AS b FROM rsplit JOIN money USING (universe, asset) GROUP BY universe, split, dt),
+rm2 AS (SELECT universe, any_value(type) AS type, 1 - sum((b - p) * (b - p)) FILTER (split = 'test') / (var_pop(b) FILTER (split = 'test') * count(*) FILTER (split = 'test')) AS r2, stddev_pop(p - b) FILTER (split = 'test') * sqrt(52) * 100 AS te, corr(p, b) FILTER (split = 'test') AS co FROM rp GROUP BY universe),
+rn2 AS (SELECT universe, count(*) FILTER (w > 1e-6) AS n_active FROM money GROUP BY universe) """
+)
+
+
+@query(_REGIME + "SELECT split_part(universe, '|', 1) AS universe, split_part(universe, '|', 2) AS regime, type, n_active, round(r2, 3) AS r2, round(te, 4) AS te_pct, round(co, 4) AS correlation, r2 > 0.5 AND te < 15 AS passed FROM rm2 JOIN rn2 USING (universe)")
+def regime_fitted(spark, sf_dir):
+    """One fit per universe and regime, on the regime's own training dates, judged on its test dates."""
+    rows = queries._regime_fits(Tables(spark, sf_dir), ("admm",)).filter("method = 'admm'")
+    return rows.select("universe", "regime", "type", "n_active", F.round("r2", 3).alias("r2"), F.round("te_pct", 4).alias("te_pct"), F.round("corr_test", 4).alias("correlation"), "passed")
+
+
 # ---- runs ------------------------------------------------------------------------------------------
 
 

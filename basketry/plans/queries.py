@@ -905,11 +905,11 @@ def _regime_split(t: Tables, n_train: int = 20, n_test: int = 10) -> DataFrame:
     return table(panel.split(own.join(short, "universe", "left_anti"), n_train, n_test))
 
 
-def _regime_fits(t: Tables) -> DataFrame:
+def _regime_fits(t: Tables, methods: tuple[str, ...] = _FIT_METHODS) -> DataFrame:
     rows = _regime_split(t)
     dates = rows.select("universe", F.split("universe", "[|]")[0].alias("u"), "dt").distinct()
     caps = t.prices("week").select(F.col("universe").alias("u"), "dt", "asset", "cap").join(dates, ["u", "dt"]).drop("u")
-    w = _all_methods(rows.drop("type"), caps)
+    w = _all_methods(rows.drop("type"), caps, methods)
     curves = table(compare.split_curves(rows, w, ["method"]))
     by = ["universe", "method"]
     scored = compare.in_vs_out(curves, by, YEAR["week"])
