@@ -186,6 +186,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM judged
 """
 
+# The checksum byte by byte and bit by bit; a pair of a document and a lag is looked at where three words of the lag's grid, and the words after them, agree.
+_OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+      list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE y END)))) AS h
+  FROM documents
+), planted AS (
+  SELECT row, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM d
+), texts AS (
+  SELECT row, doc_id, n, CASE WHEN hit THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE w END AS w FROM planted
+), pos AS MATERIALIZED (
+  SELECT row, unnest(range(n)) AS i, unnest(w) AS x FROM texts
+), grid AS (
+  SELECT row, q, q * unnest(range(0, n // q - 2)) AS i FROM (SELECT row, n, unnest(range(1, n // 4 + 1)) AS q FROM texts WHERE n >= 6)
+), agree AS (
+  SELECT g.row, g.q, g.i FROM grid g JOIN pos a ON a.row = g.row AND a.i = g.i JOIN pos b ON b.row = g.row AND b.i = g.i + q AND b.x = a.x JOIN pos c ON c.row = g.row AND c.i = g.i + 2 * q AND c.x = a.x
+), lags AS (
+  SELECT DISTINCT g.row, g.q FROM agree g JOIN pos a ON a.row = g.row AND a.i = g.i + 1 JOIN pos b ON b.row = g.row AND b.i = g.i + 1 + q AND b.x = a.x LEFT JOIN pos c ON c.row = g.row AND c.i = g.i + 1 + 2 * q
+  WHERE q = 1 OR c.x = a.x
+), same AS (
+  SELECT g.row, g.q, a.i, a.i - row_number() OVER (PARTITION BY g.row, g.q ORDER BY a.i) AS island
+  FROM lags g JOIN pos a ON a.row = g.row JOIN pos b ON b.row = g.row AND b.i = a.i + g.q AND b.x = a.x
+), stretches AS (
+  SELECT row, q, min(i) AS s, count(*) + q AS len FROM same GROUP BY row, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS MATERIALIZED (
+  SELECT row, s, len, min(q) AS q FROM stretches GROUP BY row, s, len
+), best AS (
+  SELECT row, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines, arg_min([s, len, q], ROW(-(len::DOUBLE / q), s, q)) AS b FROM runs GROUP BY row
+), gone AS (
+  SELECT DISTINCT p.row, p.i FROM pos p JOIN runs r ON r.row = p.row AND p.i >= r.s + r.q AND p.i < r.s + r.len
+), kept AS (
+  SELECT p.row, string_agg(x, ' ' ORDER BY p.i) AS t FROM pos p LEFT JOIN gone g ON g.row = p.row AND g.i = p.i WHERE g.i IS NULL GROUP BY p.row
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b[1] AS start, b[2] AS length, b[3] AS period, 1000 * b[2] // b[3] AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM texts LEFT JOIN best ON best.row = texts.row LEFT JOIN kept ON kept.row = texts.row
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_mix_sources": _OP3, "op4_near_dedup": _OP4, "op6_chat_format": _OP6, "op7_suffix_dedup": _OP7, "op10_quality_rules": _OP10}
+    return {"op1_exact_dedup": _OP1, "op3_mix_sources": _OP3, "op4_near_dedup": _OP4, "op6_chat_format": _OP6, "op7_suffix_dedup": _OP7, "op10_quality_rules": _OP10, "op11_periodic_runs": _OP11}
