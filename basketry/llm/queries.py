@@ -116,5 +116,21 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damage, repair
+
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    summary, turns = repair(damage(rows))
+    said = F.when(F.col("role").isNotNull(), F.array(F.concat("role", F.lit(":"), "text"))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.transform("inserted", lambda r: F.concat(r, F.lit(":"))), said)
+    audit = F.concat(F.repeat(F.lit("I"), F.size("inserted")), F.coalesce("edit", F.lit("")), F.expr("repeat('D', cast(greatest(copies - 1, 0) as int))"))
+    parts = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "place", audit.alias("audit"), lines.alias("lines")))).alias("p"))
+    texts = parts.select(F.col("conv_id").alias("t_id"), F.array_join(F.transform("p", lambda x: x["audit"]), "").alias("audit"), F.array_join(F.flatten(F.transform("p", lambda x: x["lines"])), "\n").alias("text"))
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    out = every.join(summary, F.expr("id <=> conv_id"), "left").join(texts, F.expr("id <=> t_id"), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

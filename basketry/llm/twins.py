@@ -186,12 +186,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM judged
 """
 
-# The checksum byte by byte and bit by bit; a pair of a document and a lag is looked at where three words of the lag's grid, and the words after them, agree.
+
+def _crc32(text: str) -> str:
+    """The checksum of an ASCII text, byte by byte and bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+      list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE y END))))"""
+
+
+# A pair of a document and a lag is looked at where three words of the lag's grid, and the words after them, agree.
 _OP11 = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w,
-    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
-      list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE y END)))) AS h
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w, {_crc32('doc_id::VARCHAR')} AS h
   FROM documents
 ), planted AS (
   SELECT row, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM d
@@ -225,6 +230,52 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b[1] AS start, b[2] AS length, b[3
 FROM texts LEFT JOIN best ON best.row = texts.row LEFT JOIN kept ON kept.row = texts.row
 """
 
+# From row to row: for each state the cheapest edits so far, the ASCII-least of them, and the text they give. ``steps``: the edits of one row with up to three insertions before it.
+_OP13 = rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS c FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN c = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM c WHERE c <> 0
+), convs AS (
+  SELECT conv_id, row_number() OVER () AS k FROM (SELECT DISTINCT conv_id FROM conversations)
+), placed AS (
+  SELECT k, turn, role, text, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial, right(regexp_replace(text, '{_SPACE}+$', ''), 1) AS mark
+  FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id
+), r AS MATERIALIZED (
+  SELECT *, CASE WHEN mark = '' THEN 'b' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'd' WHEN mark NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    coalesce(lag(initial) OVER (PARTITION BY k ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM placed
+), inserts(a, b, ins, added) AS (
+  VALUES (0, 0, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+    (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])
+), edits(b, initial, z, edit, price, said) AS (
+  VALUES (0, 's', 1, 'K', 0, NULL), (0, 'u', 2, 'K', 0, NULL), (1, 'u', 2, 'K', 0, NULL), (2, 'a', 3, 'K', 0, NULL), (3, 'u', 2, 'K', 0, NULL), (0, '*', 2, 'R', 2, 'user'), (1, '*', 2, 'R', 2, 'user'),
+    (2, '*', 3, 'R', 2, 'assistant'), (3, '*', 2, 'R', 2, 'user'), (0, '*', 0, 'D', 3, ''), (1, '*', 1, 'D', 3, ''), (2, '*', 2, 'D', 3, ''), (3, '*', 3, 'D', 3, '')
+), steps AS MATERIALIZED (
+  SELECT a, z, initial, edit, said, ins || edit AS letters, added, price + 2 * length(ins) AS price FROM inserts JOIN edits USING (b)
+), best AS (
+  SELECT k, 0::BIGINT AS i, 0 AS z, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS said FROM convs
+  UNION ALL
+  SELECT k, i, z, m[1], m[2], m[3] FROM (
+    SELECT b.k, r.i, s.z, arg_min(ROW(b.cost + s.price + CASE WHEN fault = 't' AND edit <> 'D' THEN 1 ELSE 0 END, b.audit || s.letters, b.said || s.added || CASE WHEN edit = 'D' THEN [] ELSE [coalesce(s.said, role) || ':' || text] END),
+      ROW(b.cost + s.price + CASE WHEN fault = 't' AND edit <> 'D' THEN 1 ELSE 0 END, b.audit || s.letters)) AS m
+    FROM best b JOIN r ON r.k = b.k AND r.i = b.i + 1 JOIN steps s ON s.a = b.z AND (s.initial = '*' OR s.initial = r.initial) AND (edit = 'D' OR fault NOT IN ('b', 'd')) GROUP BY ALL
+  )
+), ends AS (
+  SELECT k, arg_min(ROW(cost + 2 * length(ins), audit || ins, said || added), ROW(cost + 2 * length(ins), audit || ins)) AS m
+  FROM best JOIN (SELECT k AS key, max(i) AS n FROM best GROUP BY k) ON k = key AND i = n JOIN inserts ON a = z AND b IN (0, 3) GROUP BY k
+), sums AS (
+  SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+    count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM r GROUP BY k
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  m[1] AS cost, m[2] AS audit, sha256(array_to_string(m[3], chr(10))) AS repaired_sha256
+FROM convs JOIN ends ON ends.k = convs.k LEFT JOIN sums ON sums.k = convs.k
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_mix_sources": _OP3, "op4_near_dedup": _OP4, "op6_chat_format": _OP6, "op7_suffix_dedup": _OP7, "op10_quality_rules": _OP10, "op11_periodic_runs": _OP11}
+    return {"op1_exact_dedup": _OP1, "op3_mix_sources": _OP3, "op4_near_dedup": _OP4, "op6_chat_format": _OP6, "op7_suffix_dedup": _OP7, "op10_quality_rules": _OP10, "op11_periodic_runs": _OP11, "op13_conversation_repair": _OP13}
