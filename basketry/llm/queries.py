@@ -116,6 +116,23 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules that op12 judges by, before the tree of templates does.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import grow, judge, path_of, rule_table
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    # a page's path ends in the id of the document it shows, which may be labelled
+    number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html)?/?$", 1)
+    shown = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).filter("doc_id is not null")
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.bool_or((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    tree = grow(pages, shown.join(labels, "doc_id"))
+    judged = judge(pages, tree, rule_table(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversation_repair import damage, repair
 

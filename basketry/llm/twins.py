@@ -276,6 +276,77 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
 FROM convs JOIN ends ON ends.k = convs.k LEFT JOIN sums ON sums.k = convs.k
 """
 
+_NUMBERS = "sum(urls)::BIGINT AS urls, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad"
+
+
+def _far(hits: str, of: str) -> str:
+    """Whether a chi-square test tells two groups apart, p and c."""
+    a, n, b, m = (f"{s}.{f}::DOUBLE" for s, f in (("p", hits), ("p", of), ("c", hits), ("c", of)))
+    return f"({n} + {m}) * ({a} * ({m} - {b}) - {b} * ({n} - {a})) * ({a} * ({m} - {b}) - {b} * ({n} - {a})) > 3.841 * {n} * {m} * ({a} + {b}) * ({n} + {m} - {a} - {b})"
+
+
+def _level(d: int) -> str:
+    """The literal branches of level ``d`` and the rows below them. Groups of branches grow one branch at a time."""
+    return f"""
+counts{d} AS MATERIALIZED (
+  SELECT host, node, rest[1] AS seg, {_NUMBERS}, sum(CASE WHEN len(rest) = 1 THEN urls ELSE 0 END)::BIGINT AS ends FROM rows{d} WHERE len(rest) > 0 GROUP BY host, node, rest[1]
+), ordered{d} AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY host, node ORDER BY (bad + 1) / (labelled + 2), seg) AS i
+  FROM (SELECT *, sum(urls) OVER (PARTITION BY host, node) AS total FROM counts{d}) WHERE urls >= 20 AND urls >= 0.02 * total
+), grown{d} AS (
+  SELECT host, node, i, seg, 1 AS branch, {{'labelled': labelled, 'bad': bad, 'urls': urls, 'ends': ends}} AS p FROM ordered{d} WHERE i = 1
+  UNION ALL
+  SELECT c.host, c.node, c.i, c.seg, CASE WHEN {_far('bad', 'labelled')} OR {_far('ends', 'urls')} THEN branch + 1 ELSE branch END,
+    CASE WHEN {_far('bad', 'labelled')} OR {_far('ends', 'urls')} THEN {{'labelled': c.labelled, 'bad': c.bad, 'urls': c.urls, 'ends': c.ends}}
+      ELSE {{'labelled': p.labelled + c.labelled, 'bad': p.bad + c.bad, 'urls': p.urls + c.urls, 'ends': p.ends + c.ends}} END
+  FROM grown{d} g JOIN ordered{d} c ON c.host = g.host AND c.node = g.node AND c.i = g.i + 1
+), level{d} AS MATERIALIZED (
+  SELECT host, node, seg, string_agg(replace(replace(replace(seg, '%', '%25'), '*', '%2A'), '|', '%7C'), '|') OVER (PARTITION BY host, node, branch ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS branch
+  FROM grown{d}
+), {_down("rows", d, f"host, {_NUMBERS}", "GROUP BY ALL")}, {_down("pages_at", d, "page_id, host, path", "")}"""
+
+
+def _down(rows: str, d: int, cols: str, group: str) -> str:
+    cols = cols.replace("host", "r.host")
+    return f"""{rows}{d + 1} AS MATERIALIZED (
+  SELECT {cols}, CASE WHEN len(rest) = 0 THEN r.node ELSE r.node || '/' || coalesce(branch, '*') END AS node, rest[2:] AS rest
+  FROM {rows}{d} r LEFT JOIN level{d} l ON l.host = r.host AND l.node = r.node AND l.seg = r.rest[1] {group}
+)"""
+
+
+_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+_OP12 = rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), split AS (
+  SELECT *, string_split(path, '/')[2:] AS rest, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\.html)?/?$', 1) AS BIGINT) AS doc_id FROM p
+), known AS (
+  SELECT doc_id, bool_or(coalesce(toxic = 1, false) OR coalesce(quality = 0, false)) AS bad FROM labels WHERE toxic = 1 OR quality = 0 OR (toxic IS NOT NULL AND quality IS NOT NULL) GROUP BY doc_id
+), rows1 AS (
+  SELECT host, '' AS node, rest, count(*) AS urls, count(k.bad) AS labelled, count(*) FILTER (WHERE k.bad) AS bad FROM split s LEFT JOIN known k ON k.doc_id = s.doc_id GROUP BY ALL
+), pages_at1 AS (
+  SELECT page_id, host, path, '' AS node, rest FROM split
+), {", ".join(map(_level, (1, 2, 3, 4)))}, leaves AS (
+  SELECT host, CASE WHEN len(rest) > 0 THEN node || '/**' ELSE node END AS template, {_NUMBERS} FROM rows5 GROUP BY ALL
+), base AS (
+  SELECT coalesce((sum(labelled) - sum(bad)) / nullif(sum(labelled), 0), 1) AS base FROM leaves
+), hosts AS (
+  SELECT host, (sum(labelled) - sum(bad) + 10 * any_value(base)) / (sum(labelled) + 10) AS prior FROM leaves, base GROUP BY host
+), templates AS (
+  SELECT leaves.host, template, (labelled - bad + 10 * prior) / (labelled + 10) AS purity FROM leaves JOIN hosts ON hosts.host = leaves.host
+), rules(rule_host, rule_path, says) AS (
+  VALUES {", ".join(map(repr, _RULES))}
+), ruled AS (
+  SELECT host AS h, path AS q, arg_max(ROW(rule_host || rule_path, says), length(rule_host || rule_path)) AS r FROM (SELECT DISTINCT host, path FROM p)
+  JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL
+)
+SELECT page_id, a.host, a.path, r[1] AS rule, template, round(purity, 9) AS purity, coalesce(r[2], CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT *, CASE WHEN len(rest) > 0 THEN node || '/**' ELSE node END AS t FROM pages_at5) a JOIN templates ON templates.host = a.host AND template = t LEFT JOIN ruled ON h = a.host AND q = a.path
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_mix_sources": _OP3, "op4_near_dedup": _OP4, "op6_chat_format": _OP6, "op7_suffix_dedup": _OP7, "op10_quality_rules": _OP10, "op11_periodic_runs": _OP11, "op13_conversation_repair": _OP13}
+    return {"op1_exact_dedup": _OP1, "op3_mix_sources": _OP3, "op4_near_dedup": _OP4, "op6_chat_format": _OP6, "op7_suffix_dedup": _OP7, "op10_quality_rules": _OP10, "op11_periodic_runs": _OP11, "op12_url_filters": _OP12, "op13_conversation_repair": _OP13}
