@@ -148,7 +148,8 @@ def judge(pages: DataFrame, tree: Tree, rules: DataFrame, url: str = "url") -> D
         rows = _stepped(rows, level)
     judged = tree.templates.select(F.col("host").alias("t_host"), "template", "purity")
     rows = _leaf(rows).join(judged, F.expr("host = t_host and node = template"), "left")
-    rows = rows.join(_fitting_rules(hosts, rules), F.col("host") == F.col("f_host"), "left")
+    fits = table(_fitting_rules(hosts, rules))  # written: few rows, which Spark broadcasts, or else a join whose busy hosts it can split
+    rows = rows.join(fits, F.col("host") == F.col("f_host"), "left")
     rule = F.get(F.filter("fits", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
     rows = rows.withColumn("_rule", rule)
     own = F.when(F.col("purity") < tree.purity, "block").otherwise("allow")
