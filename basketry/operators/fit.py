@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -93,50 +93,6 @@ def first_nonempty(fits: DataFrame, by: list[str], ladder: tuple[float, ...]) ->
     return fits.filter(F.col("nnz") > 0).groupBy(*by).agg(F.min_by(F.struct(*cols), "lam_idx").alias("s")).select(*by, "s.*")
 
 
-def wide_fit(rows: DataFrame, lam_frac: float, keep, by: str = "universe", add: int = 100, eps: float = 1e-7, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
-    """The same problem when a universe has too many assets for one task: (by, asset, lam, w), and (by, violation, optimal).
-
-    ``rows``: by, dt, asset, x, y. An active-set search on tables: one task per universe solves exactly for the assets of its working set; one
-    aggregation by date gives the residual, one by asset its slope, so every asset is judged; those that violate the optimality conditions most (``add`` of
-    them) join the assets with weights. It ends when nobody violates them by more than ``eps`` of the largest penalty, and then the fit is the minimizer over all
-    assets. The objective falls in every round, so no working set comes back. A working set holds as many assets as there are dates, and ``add`` more.
-    """
-    ship(rows.sparkSession)
-    kind = dict(rows.dtypes)[by]
-    c = keep(rows.groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("y")).alias("c")))
-    bounds = keep(c.groupBy(by).agg(F.greatest(F.max("c"), F.lit(1e-10)).alias("lam_max")).withColumn("lam", lam_frac * F.col("lam_max")))
-    truth = keep(rows.groupBy(by, "dt").agg(F.first("y").alias("y")))
-
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot(index="dt", columns="asset", values="x").sort_index()
-        x, y = np.nan_to_num(wide.to_numpy(dtype=float)), part.groupby("dt")["y"].first().sort_index().to_numpy(dtype=float)
-        d = x.T @ y - part["lam"].iloc[0]
-        w = kernels.active_set(x.T @ x, d, np.zeros(len(d)), 1e-12 * max(1e-10, float(np.abs(d).max())))
-        chosen = np.flatnonzero(w > 0)
-        return pd.DataFrame({by: [key[0]] * len(chosen), "asset": wide.columns.to_numpy()[chosen], "w": w[chosen]})
-
-    def worst(slopes: DataFrame) -> DataFrame:
-        order = Window.partitionBy(by).orderBy("s", "asset")
-        return slopes.filter("violates").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= add).select(by, "asset")
-
-    slopes = keep(c.join(bounds, by).select(by, "asset", (F.col("lam") - F.col("c")).alias("s"), (F.col("lam") - F.col("c") < -eps * F.col("lam_max")).alias("violates")))
-    w = keep(slopes.filter("false").select(by, "asset", F.lit(0.0).alias("w")))
-    for _ in range(rounds):
-        if slopes.filter("violates").isEmpty():
-            break
-        working = keep(worst(slopes).unionByName(w.select(by, "asset")).distinct())
-        part = keep(rows.join(working, [by, "asset"]).join(bounds.select(by, "lam"), by))
-        w = keep(part.groupBy(by).applyInPandas(run, f"{by} {kind}, asset {dict(rows.dtypes)['asset']}, w double"))
-        fitted = part.join(w, [by, "asset"]).groupBy(by, "dt").agg(F.sum(F.col("x") * F.col("w")).alias("f"))
-        e = keep(truth.join(fitted, [by, "dt"], "left").select(by, "dt", (F.coalesce("f", F.lit(0.0)) - F.col("y")).alias("e")))
-        made = rows.join(e, [by, "dt"]).groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("e")).alias("s")).join(bounds, by)
-        slopes = keep(made.select(by, "asset", (F.col("s") + F.col("lam")).alias("s"), (F.col("s") + F.col("lam") < -eps * F.col("lam_max")).alias("violates")))
-    found = slopes.join(bounds, by).join(w, [by, "asset"], "left")
-    off = F.when(F.col("w") > 0, F.abs("s")).otherwise(F.greatest(-F.col("s"), F.lit(0.0))) / F.col("lam_max")
-    report = found.groupBy(by).agg(F.max(off).alias("violation")).withColumn("optimal", F.col("violation") <= eps)
-    return w.join(bounds.select(by, "lam"), by).select(by, "asset", "lam", "w"), report
-
-
 def score_path(fits: DataFrame, gamma: float | None = None) -> DataFrame:
     """Fits with BIC, or EBIC for a ``gamma``, as score."""
     from .moments import bic, ebic
@@ -144,3 +100,50 @@ def score_path(fits: DataFrame, gamma: float | None = None) -> DataFrame:
     n, rss, k, p = (F.col(c) for c in ("n", "rss", "nnz", "p"))
     score: Column = bic(n, rss, k) if gamma is None else ebic(n, rss, k, p, gamma)
     return fits.withColumn("score", score)
+
+
+PATH = "step int, lam double, lam_max double, n long, p long, nnz long, rss double, objective double, weights array<struct<asset: string, w: double>>"
+
+
+def l1_paths(windows: DataFrame, by: list[str] = WINDOW, least_frac: float = 0.005) -> DataFrame:
+    """One row per breakpoint of a window's whole path: by, step (0 at the largest useful penalty), lam, the fit at it.
+
+    Weights are straight lines in the penalty between breakpoints, so these rows hold the fits of all penalties from the largest useful one down to ``least_frac`` of it: see
+    :func:`at_penalties`. A window is a group, as in :func:`fit_windows`; its path has a few breakpoints per asset.
+    """
+    ship(windows.sparkSession)
+    kinds = dict(windows.dtypes)
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index="dt", columns="asset", values="x").sort_index()
+        x, assets = np.nan_to_num(wide.to_numpy(dtype=float)), wide.columns.to_numpy()
+        y = rows.groupby("dt")["y"].first().sort_index().to_numpy(dtype=float)
+        g, c = x.T @ x, x.T @ y
+        top = max(float(c.max()), 1e-10)
+        out = []
+        for k, (lam, w) in enumerate(zip(*kernels.l1_path(g, c, least_frac * top), strict=True)):
+            rss = float(((y - x @ w) ** 2).sum())
+            chosen = np.flatnonzero(w > 0)
+            out.append((*key, k, lam, top, len(y), len(c), len(chosen), rss, 0.5 * rss + lam * float(w.sum()), [{"asset": assets[j], "w": float(w[j])} for j in chosen]))
+        return pd.DataFrame(out, columns=[*by, "step", "lam", "lam_max", "n", "p", "nnz", "rss", "objective", "weights"])
+
+    return windows.select(*by, "dt", "asset", "x", "y").groupBy(*by).applyInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in by], PATH]))
+
+
+def at_penalties(paths: DataFrame, fractions: tuple[float, ...] = FRACTIONS, by: list[str] = WINDOW) -> DataFrame:
+    """(by, lam_idx, lam_frac, lam, weights) at any penalties, read off the breakpoints of :func:`l1_paths` without a further fit.
+
+    A penalty lies between two breakpoints, and its weights are the mean of theirs in proportion. Above the first one there are none; a penalty below the last one is refused with a null ``weights``.
+    """
+    steps = paths.groupBy(*by).agg(F.first("lam_max").alias("lam_max"), F.sort_array(F.collect_list(F.struct("step", "lam", "weights"))).alias("s"))
+    rows = steps.select(*by, "lam_max", "s", F.posexplode(F.array(*map(F.lit, fractions))).alias("lam_idx", "lam_frac")).withColumn("lam", F.col("lam_frac") * F.col("lam_max"))
+    # the first breakpoint that is not above the penalty, and the last one that is
+    rows = rows.withColumns({"below": F.expr("get(filter(s, x -> x.lam <= lam * (1 + 1e-12)), 0)"), "above": F.expr("try_element_at(filter(s, x -> x.lam > lam * (1 + 1e-12)), -1)")})
+    rows = rows.withColumn("part", F.when(F.col("above").isNull(), 1.0).otherwise((F.col("above.lam") - F.col("lam")) / (F.col("above.lam") - F.col("below.lam"))))
+    share = lambda side, part: F.transform(F.coalesce(F.col(f"{side}.weights"), F.array().cast("array<struct<asset: string, w: double>>")), lambda x: F.struct(x["asset"].alias("asset"), (x["w"] * part).alias("w")))
+    both = F.concat(share("below", F.col("part")), share("above", 1 - F.col("part")))
+    names = F.array_sort(F.array_distinct(F.transform("both", lambda x: x["asset"])))
+    total = lambda a: F.aggregate(F.filter("both", lambda x: x["asset"] == a), F.lit(0.0), lambda acc, x: acc + x["w"])
+    weights = F.filter(F.transform(names, lambda a: F.struct(a.alias("asset"), total(a).alias("w"))), lambda x: x["w"] > 0)
+    rows = rows.withColumn("both", both)
+    return rows.select(*by, "lam_idx", "lam_frac", "lam", F.when(F.col("below").isNotNull(), weights).alias("weights"))

@@ -118,17 +118,22 @@ def ebic_select(spark, sf_dir):
 _RELAXED = (0.0001, 0.0003, 0.001, 0.003)
 
 
-@query(
-    _problem("xm")
-    + f""", lams AS MATERIALIZED (SELECT *, CAST(k - 1 AS INT) AS lam_idx, f[k] * greatest(list_max(c), 1e-10) AS lam FROM problem, (SELECT {[*_RELAXED]} AS f), range(1, {len(_RELAXED) + 1}) r(k)
+def reweighting(fractions: tuple[float, ...], source: str = "xm", sweeps: int = SWEEPS // 3) -> str:
+    """The weights of reweighted fits: five rounds of cyclic descent, each with penalties from the weights before it, that end with a stable support."""
+    return (
+        _problem(source)
+        + f""", lams AS MATERIALIZED (SELECT *, CAST(k - 1 AS INT) AS lam_idx, f[k] * greatest(list_max(c), 1e-10) AS lam FROM problem, (SELECT {[*fractions]} AS f), range(1, {len(fractions) + 1}) r(k)
 ), walk AS (
   SELECT universe, lam_idx, 0 AS step, list_transform(c, lambda v: 0.0::DOUBLE) AS w, list_transform(c, lambda v: v - lam) AS d, list_transform(c, lambda v: NULL::BOOLEAN) AS before, false AS done FROM lams
   UNION ALL SELECT universe, lam_idx, step + 1, new, CASE WHEN at_end AND NOT ends THEN list_transform(c, lambda v, i: v - lam / (new[i] + 1e-3)) ELSE d END, CASE WHEN at_end THEN support ELSE before END, done OR (at_end AND ends)
-  FROM (SELECT *, (step + 1) % ({SWEEPS // 3} * p) = 0 AS at_end, list_transform(new, lambda v: v > 1e-8) AS support, list_transform(new, lambda v: v > 1e-8) = before AS ends
-    FROM (SELECT l.*, step, w, d, before, done, {_STEP} AS new FROM walk JOIN lams l ON l.universe = walk.universe AND l.lam_idx = walk.lam_idx WHERE step < 5 * {SWEEPS // 3} * p AND NOT done))
+  FROM (SELECT *, (step + 1) % ({sweeps} * p) = 0 AS at_end, list_transform(new, lambda v: v > 1e-8) AS support, list_transform(new, lambda v: v > 1e-8) = before AS ends
+    FROM (SELECT l.*, step, w, d, before, done, {_STEP} AS new FROM walk JOIN lams l ON l.universe = walk.universe AND l.lam_idx = walk.lam_idx WHERE step < 5 * {sweeps} * p AND NOT done))
 ), last AS (SELECT *, row_number() OVER (PARTITION BY universe, lam_idx ORDER BY step DESC) AS rn FROM walk)
 SELECT l.universe, l.lam_idx, asset, round(w[i], 6) AS w FROM last l JOIN pa ON pa.universe = l.universe WHERE rn = 1 AND w[i] > 1e-6"""
-)
+    )
+
+
+@query(reweighting(_RELAXED))
 def reweighted(spark, sf_dir):
     """Reweighted fits at small penalties: lam / (w + epsilon), until the support is stable."""
     t = Tables(spark, sf_dir)
@@ -150,7 +155,25 @@ def omp_two(spark, sf_dir):
     return rounded(fit.fit_weights(fits, ["universe"]))
 
 
-@query()
+def greedy(k: int, source: str = "xm", sweeps: int = 600) -> str:
+    """CTEs up to ``picks``: universe, iter, s (the chosen places in order), w, rss and the largest product left, after each step of the greedy fit.
+
+    A step picks a place and then goes ``sweeps`` times round the chosen ones by cyclic descent.
+    """
+    corr = "list_transform(c, lambda v, i: CASE WHEN list_contains(s, i) THEN -1e300 ELSE v - list_dot_product(g[i], w) END)"
+    turn = "list_transform(w, lambda v, i: CASE WHEN i = s[t % len(s) + 1] THEN greatest(0, (c[i] - list_dot_product(g[i], w) + g[i][i] * v) / greatest(g[i][i], 1e-12)) ELSE v END)"
+    return (
+        _problem(source)
+        + f""", greedy AS (
+  SELECT universe, 0 AS step, 0 AS t, []::BIGINT[] AS s, list_transform(c, lambda v: 0.0::DOUBLE) AS w, false AS done FROM problem
+  UNION ALL SELECT universe, step + 1, CASE WHEN t > 0 THEN (t + 1) % ({sweeps} * len(s) + 1) WHEN list_max(corr) > 1e-12 THEN 1 ELSE 0 END, CASE WHEN t = 0 AND list_max(corr) > 1e-12 THEN list_append(s, list_position(corr, list_max(corr))) ELSE s END,
+    CASE WHEN t = 0 THEN w ELSE {turn} END, t = 0 AND NOT list_max(corr) > 1e-12
+  FROM (SELECT problem.*, step, t, s, w, CASE WHEN t = 0 THEN {corr} END AS corr FROM greedy JOIN problem ON problem.universe = greedy.universe WHERE NOT done AND NOT (t = 0 AND len(s) = {k}))
+), picks AS MATERIALIZED (SELECT problem.*, len(s) AS iter, s, w, greatest({_RSS}, 0) AS rss, list_max(list_transform(c, lambda v, i: v - list_dot_product(g[i], w))) AS left_over FROM greedy JOIN problem ON problem.universe = greedy.universe WHERE t = 0 AND len(s) > 0 AND NOT done) """
+    )
+
+
+@query(greedy(8) + "SELECT universe, CAST(iter AS INT) AS iter, round(rss * 1e4, 5) AS primal, round(left_over * 1e4, 5) AS dual FROM picks")
 def omp_k(spark, sf_dir):
     """The greedy fit's steps up to eight assets: size, residual and largest correlation left."""
     _, fits = _fits(Tables(spark, sf_dir), ("omp",), cardinality=8)
@@ -158,31 +181,6 @@ def omp_k(spark, sf_dir):
     return steps.select("universe", "iter", *_scaled("primal", "dual"))
 
 
-_WIDE = """, sup AS (
-  SELECT r_name AS universe, 'S' || s_suppkey AS asset, CAST(date_trunc('month', l_shipdate) AS DATE) AS dt, sum(l_extendedprice) AS e, sum(l_quantity) AS q
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL
-), sp AS (SELECT universe, asset, dt, sum(e) OVER w / sum(q) OVER w AS price FROM sup WINDOW w AS (PARTITION BY universe, asset ORDER BY dt ROWS UNBOUNDED PRECEDING)
-), sgrid AS (SELECT d.universe, d.dt, a.asset, p.price FROM (SELECT DISTINCT universe, dt FROM sp) d JOIN (SELECT DISTINCT universe, asset FROM sp) a USING (universe) LEFT JOIN sp p USING (universe, dt, asset)
-), sfill AS (SELECT universe, dt, asset, last_value(price IGNORE NULLS) OVER (PARTITION BY universe, asset ORDER BY dt ROWS UNBOUNDED PRECEDING) AS price FROM sgrid
-), sret AS (SELECT universe, dt, asset, coalesce(price / lag(price) OVER (PARTITION BY universe, asset ORDER BY dt) - 1, 0) AS r FROM sfill
-), slast AS (SELECT sret.*, ym.r AS y FROM sret JOIN ym USING (universe, dt) QUALIFY dense_rank() OVER (PARTITION BY sret.universe ORDER BY dt DESC) <= 24
-), sx AS MATERIALIZED (SELECT universe, dt, asset, y, (r - avg(r) OVER v) / CASE WHEN stddev_pop(r) OVER v > 1e-12 THEN stddev_pop(r) OVER v ELSE 1 END AS x FROM slast WINDOW v AS (PARTITION BY universe, asset))"""
-
-
-@query(_WIDE + descent((0.1,), "sx", 4000) + "SELECT universe, true AS optimal, round(objective * 1e6, 3) AS objective FROM path")
-def fit_wide(spark, sf_dir):
-    """The table-based fit on a panel with an asset per supplier over 24 months: its objective, and whether it is optimal over all assets."""
-    t = Tables(spark, sf_dir)
-    rows = t.read("lineitem").join(t.read("supplier"), F.expr("l_suppkey = s_suppkey")).join(t.read("nation"), F.expr("s_nationkey = n_nationkey")).join(t.read("region"), F.expr("n_regionkey = r_regionkey"))
-    lines = rows.select(F.col("r_name").alias("universe"), F.concat(F.lit("S"), "s_suppkey").alias("asset"), F.col("l_shipdate").alias("d"), F.col("l_extendedprice").alias("e"), F.col("l_quantity").alias("q"))
-    each = lines.groupBy("universe", market.period("month").alias("dt"), "asset").agg(F.sum("e").alias("e"), F.sum("q").alias("q"))
-    r = panel.last_n(panel.align(panel.padded_returns(market.prices(each)), t.bench("month")), 24)
-    x = table(panel.standardize(r, True).select("universe", "dt", "asset", "x", "y"))
-    w, report = fit.wide_fit(x, 0.1, table)
-    made = fit.objective(x, w, ["universe"])
-    return report.join(made, "universe").select("universe", "optimal", F.round(F.col("objective") * 1e6, 3).alias("objective"))
-
-
 @query(
     _problem("xm")
     + """, power AS (

@@ -1089,4 +1089,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_core(spark, sf_dir)
 
 
-from . import artefacts, fitted  # noqa: E402, F401  (they register their queries)
+from . import artefacts, fitted, wide  # noqa: E402, F401  (they register their queries)

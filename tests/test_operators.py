@@ -72,23 +72,6 @@ def test_reweighted_against_a_loop_of_plain_fits():
         assert relative.any() and np.count_nonzero(relative) <= np.count_nonzero(kernels.fit_l1(g, c, lam)[0])
 
 
-def test_wide_fit_equals_the_kernel(spark):
-    """More assets than dates; a working set of two new assets a round."""
-    from basketry.operators import fit
-    from basketry.session import table
-
-    x = RNG.normal(size=(15, 60))
-    y = x[:, :5] @ np.array([0.5, 0.4, 0.3, 0.2, 0.1]) + 0.1 * RNG.normal(size=15)
-    rows = spark.createDataFrame([("u", i, f"A{j:02d}", float(x[i, j]), float(y[i])) for i in range(15) for j in range(60)], "universe string, dt int, asset string, x double, y double")
-    w, report = fit.wide_fit(rows, 0.1, table, add=2)
-    assert report.first()["optimal"]
-    want = kernels.fit_l1(x.T @ x, x.T @ y, 0.1 * (x.T @ y).max())[0]
-    got = {r["asset"]: r["w"] for r in w.collect()}
-    assert [got.get(f"A{j:02d}", 0.0) for j in range(60)] == pytest.approx(want, abs=1e-7)
-    none, report = fit.wide_fit(rows, 1.5, table)
-    assert none.count() == 0 and report.first()["optimal"]
-
-
 def test_test_curve_goes_on_from_train(spark):
     from basketry.operators import accounting
 
