@@ -4,55 +4,126 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, registry
 from ..session import ship
+from . import schedule
 from .moments import FRACTIONS, WINDOW
 
 FIT = "method string, lam_idx int, lam_frac double, lam double, lam_max double, n long, p long, nnz long, rss double, tss double, objective double, iterations int, converged boolean, weights array<struct<asset: string, w: double>>, trace array<struct<iter: int, primal: double, dual: double, obj: double>>"
 
 
+COLUMNS = ["method", "lam_idx", "lam_frac", "lam", "lam_max", "n", "p", "nnz", "rss", "tss", "objective", "iterations", "converged", "weights", "trace"]
+
+
+def _fits_of(chosen: dict[str, registry.Solver], m: registry.Moments, tss: float, assets: np.ndarray, fractions, lams) -> list[tuple]:
+    """The rows of COLUMNS of one window: every method and penalty, from large penalties to small."""
+    top = max(float(m.c.max()), 1e-10)
+    grid = [(i, v / top, v) for i, v in enumerate(lams)] or [(i, f, f * top) for i, f in enumerate(fractions)]
+    out = []
+    for method, solver in chosen.items():
+        start = None
+        for i, f, lam in sorted(grid, key=lambda t: -t[2]) if solver.penalised else [(0, None, 0.0)]:
+            w, k, done, trace = solver.weights(m, lam, start)
+            start = w if solver.warm else None
+            rss = max(float(m.yy - 2 * m.c @ w + w @ m.g @ w), 0.0)
+            held = np.flatnonzero(w > 0)
+            weights = [{"asset": assets[j], "w": float(w[j])} for j in held]
+            steps = [dict(zip(("iter", "primal", "dual", "obj"), t, strict=True)) for t in trace]
+            out.append((method, i, f, lam, top, m.n, len(m.c), len(held), rss, tss, 0.5 * rss + lam * float(w.sum()), k, done, weights, steps))
+    return out
+
+
 def fit_windows(windows: DataFrame, methods: tuple[str, ...] = ("fista",), fractions: tuple[float, ...] = FRACTIONS, lams: tuple[float, ...] = (), cardinality: int = 10, by: list[str] = WINDOW) -> DataFrame:
     """One row per window, method and penalty; ``windows`` has by, dt, asset, x and y.
 
-    Methods: fista, cd and admm (three ways to one minimizer), reweighted and reweighted_relative, omp (one row, ``cardinality`` assets). Penalties are ``lams``, or
-    fractions of the window's largest useful one. A window is a group of dates x assets; its penalties run from large to small with warm starts. A return that is missing in a
-    window counts as 0.
+    Methods are the solvers of :mod:`..functions.registry`: fista, cd and admm (three ways to one minimizer), reweighted and reweighted_relative, omp (one row, ``cardinality`` assets), and
+    those a user has registered. Penalties are ``lams``, or fractions of the window's largest useful one. A window is a group of dates x assets; its penalties run from large to small with warm
+    starts. A return that is missing in a window counts as 0.
     """
     ship(windows.sparkSession)
     kinds = dict(windows.dtypes)
+    chosen = {m: registry.solver(m) for m in methods}
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index="dt", columns="asset", values="x").sort_index()
         x, assets = np.nan_to_num(wide.to_numpy(dtype=float)), wide.columns.to_numpy()
         y = rows.groupby("dt")["y"].first().sort_index().to_numpy(dtype=float)
-        g, c, yy = x.T @ x, x.T @ y, float(y @ y)
-        top = max(float(c.max()), 1e-10)
-        tss = float(((y - y.mean()) ** 2).sum())
-        grid = [(i, v / top, v) for i, v in enumerate(lams)] or [(i, f, f * top) for i, f in enumerate(fractions)]
-        out = []
-        for method in methods:
-            start = None
-            for i, f, lam in [(0, None, 0.0)] if method == "omp" else sorted(grid, key=lambda t: -t[2]):
-                if method == "omp":
-                    w, k, done, trace = kernels.fit_omp(g, c, yy, cardinality)
-                elif method in ("reweighted", "reweighted_relative"):
-                    w, k, done, trace = kernels.fit_reweighted(g, c, lam, relative=method == "reweighted_relative")
-                else:
-                    w, k, done, trace = kernels.fit_l1(g, c, lam, method, start)
-                    start = w
-                rss = max(float(yy - 2 * c @ w + w @ g @ w), 0.0)
-                chosen = np.flatnonzero(w > 0)
-                weights = [{"asset": assets[j], "w": float(w[j])} for j in chosen]
-                steps = [dict(zip(("iter", "primal", "dual", "obj"), t, strict=True)) for t in trace]
-                out.append((*key, method, i, f, lam, top, len(y), len(c), len(chosen), rss, tss, 0.5 * rss + lam * float(w.sum()), k, done, weights, steps))
-        return pd.DataFrame(out, columns=[*by, *[part.split(" ")[0] for part in FIT.split(", ") if not part.startswith(("w:", "primal", "dual", "obj:"))]])
+        m = registry.Moments(x.T @ x, x.T @ y, float(y @ y), len(y), cardinality)
+        out = _fits_of(chosen, m, float(((y - y.mean()) ** 2).sum()), assets, fractions, lams)
+        return pd.DataFrame([(*key, *row) for row in out], columns=[*by, *COLUMNS])
 
     return windows.select(*by, "dt", "asset", "x", "y").groupBy(*by).applyInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in by], FIT]))
 
 
+ROLLED = FIT + ", sigmas array<struct<asset: string, sigma: double>>, assets array<string>"
+
+
+def rolled_dates(returns: DataFrame, benchmark: DataFrame, plan: DataFrame, lookback: int, chunk: int) -> DataFrame:
+    """(universe, chunk, pos, y, cells, plans): the dates that the rebalances of a chunk train on, each once a chunk. See :func:`fit_rolling`."""
+    cal = schedule.calendar(returns)
+    y = benchmark.select("universe", "dt", F.col("r").alias("y"))
+    cross = returns.groupBy("universe", "dt").agg(F.collect_list(F.struct("asset", "r")).alias("cells")).join(cal, ["universe", "dt"]).join(y, ["universe", "dt"], "left").drop("dt")
+    full = plan.filter(F.col("rpos") >= lookback).withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("universe").orderBy("rpos")) - 1) / chunk))
+    chunks = full.groupBy("universe", "chunk").agg(F.min("rpos").alias("lo"), F.max("rpos").alias("hi"), F.sort_array(F.collect_list(F.struct("rpos", "rebal_dt"))).alias("plans"))
+    wanted = chunks.select("universe", "chunk", F.explode(F.sequence(F.col("lo") - lookback, F.col("hi") - 1)).alias("pos"), F.when(F.col("pos") == F.col("hi") - 1, F.col("plans")).alias("plans"))
+    return wanted.join(cross, ["universe", "pos"])
+
+
+def fit_rolling(returns: DataFrame, benchmark: DataFrame, plan: DataFrame, lookback: int, methods: tuple[str, ...] = ("fista",), fractions: tuple[float, ...] = FRACTIONS, lams: tuple[float, ...] = (), cardinality: int = 10, chunk: int = 12) -> DataFrame:
+    """The fits of :func:`fit_windows` on the ``lookback`` dates before each rebalance of ``plan`` (universe, rebal_dt, rpos), with returns divided by their deviations in the window.
+
+    A date is one row with its cross-section, and it is dealt to a chunk of ``chunk`` neighbouring rebalances at a time, not to each window: it is copied 1 + lookback / (dates of a chunk) times
+    instead of lookback / (dates between rebalances) times. In a chunk, X'X and X'y are made once for each block of dates between two neighbouring bounds of windows, and a window's are the sum of its
+    whole blocks; there are no edges, and nothing is subtracted. A task holds the dates of one chunk.
+
+    Two more columns than the other fits: ``sigmas`` of the assets with weights, and all ``assets`` of the window.
+    """
+    ship(returns.sparkSession)
+    kinds = dict(returns.dtypes)
+    chosen = {m: registry.solver(m) for m in methods}
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        pos, y = rows["pos"].to_numpy(), rows["y"].to_numpy(dtype=float)
+        names = sorted({c["asset"] for cells in rows["cells"] for c in cells})
+        place = {a: i for i, a in enumerate(names)}
+        r = np.full((len(rows), len(names)), np.nan)
+        for i, cells in enumerate(rows["cells"]):
+            for c in cells:
+                r[i, place[c["asset"]]] = np.nan if c["r"] is None else c["r"]
+        known = ~np.isnan(y)
+        x, z = np.where(known[:, None], np.nan_to_num(r), 0.0), np.nan_to_num(y)
+        plans = next(p for p in rows["plans"] if p is not None)
+        bounds = sorted({b for p in plans for b in (p["rpos"], p["rpos"] - lookback)})
+        cut = np.searchsorted(pos, bounds)
+        blocks = [(x[a:b].T @ x[a:b], x[a:b].T @ z[a:b], float(z[a:b] @ z[a:b])) for a, b in zip(cut, cut[1:])]
+        out = []
+        for p in plans:
+            first, last = bounds.index(p["rpos"] - lookback), bounds.index(p["rpos"])
+            a, b = cut[first], cut[last]
+            own = ~np.isnan(r[a:b]).all(axis=0)
+            if not own.any() or not known[a:b].any():
+                continue
+            sigma = np.nanstd(r[a:b][:, own], axis=0)
+            sigma = np.where(sigma > 1e-12, sigma, 1.0)
+            g = sum(m[0] for m in blocks[first:last])[np.ix_(own, own)] / np.outer(sigma, sigma)
+            c = sum(m[1] for m in blocks[first:last])[own] / sigma
+            own_y = y[a:b][known[a:b]]
+            m = registry.Moments(g, c, sum(m[2] for m in blocks[first:last]), len(own_y), cardinality)
+            assets = np.array(names, dtype=object)[own]
+            deviation = dict(zip(assets, sigma.tolist(), strict=True))
+            for row in _fits_of(chosen, m, float(((own_y - own_y.mean()) ** 2).sum()), assets, fractions, lams):
+                held = [{"asset": w["asset"], "sigma": deviation[w["asset"]]} for w in row[-2]]
+                out.append((key[0], p["rebal_dt"], *row, held, list(assets)))
+        return pd.DataFrame(out, columns=["universe", "rebal_dt", *COLUMNS, "sigmas", "assets"])
+
+    dates = rolled_dates(returns, benchmark, plan, lookback, chunk)
+    return dates.groupBy("universe", "chunk").applyInPandas(run, f"universe {kinds['universe']}, rebal_dt {dict(plan.dtypes)['rebal_dt']}, {ROLLED}")
+
+
 def fit_weights(fits: DataFrame, by: list[str]) -> DataFrame:
     """(by, asset, w) of the fits' weights; only those that are not zero."""
     return fits.select(*by, F.inline("weights"))

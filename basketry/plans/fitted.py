@@ -327,6 +327,74 @@ def regime_fitted(spark, sf_dir):
 # ---- runs ------------------------------------------------------------------------------------------
 
 
+#: The prelude with other books: ``wts`` are those of the fits, and NAV follows from them.
+_OWN_BOOKS = "wts AS (\n  SELECT * FROM w_cap UNION ALL SELECT * FROM w_eq\n)"
+assert _OWN_BOOKS in queries.PRELUDE
+
+
+def books(ctes: str) -> str:
+    """PRELUDE with ``ctes``, which end in fw (universe, rebal_dt, asset, v: weights in money, not scaled), as books of the method ``fit``; windows without any weight are uniform."""
+    return queries.PRELUDE.replace(
+        _OWN_BOOKS,
+        ctes
+        + """, fshare AS (SELECT universe, rebal_dt, asset, v / sum(v) OVER (PARTITION BY universe, rebal_dt) AS s FROM fw WHERE v > 0
+), fkept AS (SELECT universe, rebal_dt, asset, s / sum(s) OVER (PARTITION BY universe, rebal_dt) AS w FROM fshare WHERE s >= 1e-4
+), fbare AS (SELECT DISTINCT universe, rebal_dt, asset FROM win ANTI JOIN fkept USING (universe, rebal_dt)
+), wts AS (
+  SELECT universe, 'fit' AS method, rebal_dt, asset, w FROM fkept UNION ALL SELECT universe, 'fit', rebal_dt, asset, 1.0 / count(*) OVER (PARTITION BY universe, rebal_dt) FROM fbare
+)""",
+    )
+
+
+#: Windows' returns over their own deviations, and the benchmark.
+_WINDOW_X = """wx AS MATERIALIZED (SELECT w.universe, w.rebal_dt, w.dt, w.asset, y.r AS y, sigma, w.r / sigma AS x
+  FROM (SELECT *, CASE WHEN stddev_pop(r) OVER v > 1e-12 THEN stddev_pop(r) OVER v ELSE 1 END AS sigma FROM win WINDOW v AS (PARTITION BY universe, rebal_dt, asset)) w JOIN yw y USING (universe, dt))"""
+
+
+@query(
+    "SELECT universe, dt, round(nav, 4) AS nav FROM nav",
+    books(
+        _WINDOW_X
+        + """, mc AS (SELECT universe, rebal_dt, asset, sum(x * y) AS c, sum(x * x) AS g, any_value(sigma) AS sigma FROM wx GROUP BY ALL
+), m1 AS (SELECT universe, rebal_dt, asset AS a1, c AS c1, g AS g1, sigma AS s1 FROM mc WHERE c > 1e-12 QUALIFY row_number() OVER (PARTITION BY universe, rebal_dt ORDER BY c DESC, asset) = 1
+), mh AS (SELECT x.universe, x.rebal_dt, x.asset, sum(x.x * z.x) AS h FROM wx x JOIN m1 ON m1.universe = x.universe AND m1.rebal_dt = x.rebal_dt JOIN wx z ON z.universe = x.universe AND z.rebal_dt = x.rebal_dt AND z.asset = a1 AND z.dt = x.dt GROUP BY ALL
+), m2 AS (SELECT m1.*, k.asset AS a2, k.c AS c2, k.g AS g2, k.sigma AS s2, h FROM m1 JOIN mc k USING (universe, rebal_dt) JOIN mh ON mh.universe = k.universe AND mh.rebal_dt = k.rebal_dt AND mh.asset = k.asset
+  WHERE k.asset <> a1 AND k.c - h * c1 / g1 > 1e-12 QUALIFY row_number() OVER (PARTITION BY k.universe, k.rebal_dt ORDER BY k.c - h * c1 / g1 DESC, k.asset) = 1
+), m3 AS (SELECT *, (c1 * g2 - c2 * h) / (g1 * g2 - h * h) AS u, (c2 * g1 - c1 * h) / (g1 * g2 - h * h) AS v FROM m2
+), fw AS (SELECT universe, rebal_dt, a1 AS asset, u / s1 AS v FROM m3 WHERE u > 0 UNION ALL SELECT universe, rebal_dt, a2, CASE WHEN u > 0 THEN v ELSE c2 / g2 END / s2 FROM m3
+  UNION ALL SELECT universe, rebal_dt, a1, c1 / g1 / s1 FROM m1 ANTI JOIN m2 USING (universe, rebal_dt))"""
+    ),
+)
+def walkforward_greedy(spark, sf_dir):
+    """NAV on every date of a run with a greedy fit of two assets a month, on rolling moments; the twin has its closed form in every window."""
+    nav = Tables(spark, sf_dir).run(("omp",), {"k": 2})["nav"]
+    return rounded(nav.drop("method"), 4)
+
+
+_SPAN = ("1996-01-01", "1996-12-31")
+
+
+def _window_problem() -> str:
+    """CTEs ``problem`` of :func:`_problem` for each window of the span, named universe|date."""
+    keyed = f"kx AS MATERIALIZED (SELECT universe || '|' || rebal_dt AS universe, asset, dt, x, y, sigma FROM wx WHERE rebal_dt BETWEEN '{_SPAN[0]}' AND '{_SPAN[1]}')"
+    return f"{_WINDOW_X}, {keyed}" + descent((0.05,), "kx", 500)
+
+
+@query(
+    "SELECT rebal_dt, universe, asset, round(w, 5) AS w FROM wts WHERE w > 1e-3",
+    books(
+        _window_problem()
+        + """, fw AS (SELECT split_part(path.universe, '|', 1) AS universe, CAST(split_part(path.universe, '|', 2) AS DATE) AS rebal_dt, pa.asset, w[pa.i] / sigma AS v
+  FROM path JOIN pa ON pa.universe = path.universe JOIN (SELECT DISTINCT universe, asset, sigma FROM kx) s ON s.universe = path.universe AND s.asset = pa.asset WHERE w[pa.i] > 1e-9)"""
+    ).replace("ANTI JOIN fkept USING (universe, rebal_dt)", f"ANTI JOIN fkept USING (universe, rebal_dt) WHERE rebal_dt BETWEEN '{_SPAN[0]}' AND '{_SPAN[1]}'"),
+)
+def walkforward_books(spark, sf_dir):
+    """The books of a penalized fit at every rebalance of a year, on rolling moments; the twin solves every window by descent."""
+    t = Tables(spark, sf_dir)
+    config = walkforward.Config(methods=("fista",), lookback=LOOKBACK, start=_SPAN[0], end=_SPAN[1])
+    return rounded(walkforward.target_weights(table(t.weekly()), t.bench("week"), config).drop("method").filter("w > 1e-3"), 5)
+
+
 @query(
     """, books AS (SELECT universe, count(*) AS n_books FROM sched WHERE rpos >= 26 GROUP BY universe), days AS (SELECT universe, count(*) AS n_dates FROM cal GROUP BY universe),
     first AS (SELECT universe, arg_min(nav, dt) AS first_nav, arg_max(nav, dt) AS opening_nav FROM early WHERE method = 'equal_cap' GROUP BY universe)

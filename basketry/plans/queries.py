@@ -145,13 +145,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its twin over PRELUDE."""
+def query(sql: str | None = None, prelude: str = PRELUDE):
+    """Registers a query under its function's name, with its twin over PRELUDE, or over another one."""
 
     def add(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = PRELUDE + sql
+            _SQL[f.__name__] = prelude + sql
         return f
 
     return add
@@ -223,9 +223,9 @@ class Tables:
     def top10(self) -> DataFrame:
         return rules.top_n_cap(self.caps(), 10, ["universe"])
 
-    def run(self, methods=("cap_weighted", "equal_cap"), **how) -> dict[str, DataFrame]:
+    def run(self, methods=("cap_weighted", "equal_cap"), settings: dict | None = None, **how) -> dict[str, DataFrame]:
         r = table(self.weekly())
-        return walkforward.run(r, self.bench("week"), self.cash(r), walkforward.Config(methods=methods, lookback=LOOKBACK), caps=self.prices("week"), **how)
+        return walkforward.run(r, self.bench("week"), self.cash(r), walkforward.Config(methods=methods, lookback=LOOKBACK, **(settings or {})), caps=self.prices("week"), **how)
 
     def curves(self, methods=("cap_weighted", "equal_cap")) -> DataFrame:
         out = self.run(methods)
