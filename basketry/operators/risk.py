@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, table
 
 DAYS = 252
 
@@ -106,20 +106,6 @@ def _solve3(m: list[list[Column]], v: list[Column]) -> tuple[list[Column], Colum
     return tops, det(m)
 
 
-def _ols3(agg) -> dict[str, Column]:
-    """Columns of a three-factor regression; ``agg`` turns an aggregate into one (or into a window)."""
-    f = [F.col(c) for c in FACTORS]
-    y = F.col("p") - F.col("rf")
-    m = [[agg(F.covar_pop(a, b)) for b in f] for a in f]
-    v = [agg(F.covar_pop(a, y)) for a in f]
-    tops, det = _solve3(m, v)
-    beta = [F.when(F.abs(det) > 1e-30, t / det) for t in tops]
-    alpha = agg(F.avg(y)) - sum((b * agg(F.avg(x)) for b, x in zip(beta, f, strict=True)), F.lit(0.0))
-    explained = sum((b * c for b, c in zip(beta, v, strict=True)), F.lit(0.0))
-    var = agg(F.var_pop(y))
-    return {"alpha": alpha, **{f"beta_{n}": b for n, b in zip(FACTORS, beta, strict=True)}, "r2": F.when(var > 1e-20, explained / var), "n": agg(F.count(y))}
-
-
 def ff3(curves: DataFrame, by: list[str], days: float = DAYS) -> DataFrame:
     """Three-factor OLS of p - rf; null below 5 rows. ``curves`` holds the factors and rf on the same dates."""
     # moments first, then the solution on one row per group
@@ -140,11 +126,28 @@ def ff3(curves: DataFrame, by: list[str], days: float = DAYS) -> DataFrame:
 
 
 def ff3_rolling(curves: DataFrame, by: list[str], window: int = 90) -> DataFrame:
-    """Betas over the last ``window`` rows; null before there are as many."""
-    frame = Window.partitionBy(*by).orderBy("dt").rowsBetween(1 - window, 0)
-    cols = _ols3(lambda c: c.over(frame))
-    full = cols["n"] >= window
-    return curves.select(*by, "dt", *[F.when(full, cols[f"beta_{n}"]).alias(f"beta_{n}") for n in FACTORS])
+    """Betas over the last ``window`` rows; null before there are as many, or where the factors depend on each other.
+
+    A window's moments are differences of running sums, so a row costs the same for any ``window``. Values are centred on their group's mean first, so that sums stay small
+    against what they differ by. A row with a missing value has no place in the windows and no betas.
+    """
+    names = [*FACTORS, "y"]
+    rows = curves.withColumn("y", F.col("p") - F.col("rf")).select(*by, "dt", *names).dropna(subset=names)
+    means = rows.groupBy(*by).agg(*[F.avg(n).alias(f"_a_{n}") for n in names])
+    centred = rows.join(means, by).select(*by, "dt", *[(F.col(n) - F.col(f"_a_{n}")).alias(n) for n in names])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:] if (a, b) != ("y", "y")]
+    order = Window.partitionBy(*by).orderBy("dt")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"_s_{n}": F.sum(n).over(so_far) for n in names} | {f"_s_{a}_{b}": F.sum(F.col(a) * F.col(b)).over(so_far) for a, b in pairs}
+    running = centred.select(*by, "dt", F.row_number().over(order).alias("_n"), *[c.alias(n) for n, c in sums.items()])
+    moved = running.select(*by, "dt", "_n", *[(F.col(n) - F.coalesce(F.lag(n, window).over(order), F.lit(0.0))).alias(n) for n in sums])
+    cov = lambda a, b: F.col(f"_s_{a}_{b}") / window - F.col(f"_s_{a}") * F.col(f"_s_{b}") / window**2
+    moments = {f"_c{i}{j}": cov(FACTORS[i], FACTORS[j]) for i in range(3) for j in range(i, 3)} | {f"_v{i}": cov(FACTORS[i], "y") for i in range(3)}
+    made = moved.select(*by, "dt", "_n", *[c.alias(n) for n, c in moments.items()])
+    tops, det = _solve3([[F.col(f"_c{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)], [F.col(f"_v{i}") for i in range(3)])
+    good = (F.col("_n") >= window) & (F.abs(det) > 1e-30)
+    betas = made.select(*by, "dt", *[F.when(good, t / det).alias(f"beta_{n}") for n, t in zip(FACTORS, tops, strict=True)])
+    return curves.select(*by, "dt").join(betas, [*by, "dt"], "left")
 
 
 def newey_west(x: np.ndarray, y: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,20 +184,49 @@ def ff3_tstats(curves: DataFrame, by: list[str], lags: int = 5) -> DataFrame:
 # ---- turnover and concentration --------------------------------------------------------------------
 
 
+def quantile(rows: DataFrame, by: list[str], value: str, q: float, name: str, bins: int = 1024, most: int = 10000) -> DataFrame:
+    """(by, name): the exact ``q`` quantile of a group's values, interpolated between its two neighbours in rank. Nulls, NaN and infinities are no values.
+
+    Counts in ranges, which merge before they are shuffled: each pass counts the values of the range that holds a wanted rank in ``bins`` parts and goes on with one part, until that holds
+    ``most`` values or all of it are equal. So no group's values ever meet, whatever their number, skew or ties; a pass narrows a range about ``bins`` times.
+    """
+    values = rows.select(*by, F.col(value).cast("double").alias("v")).filter("abs(v) < double('Infinity')")
+    place = (F.col("n") - 1) * F.lit(float(q))
+    spans = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranks = F.array_distinct(F.array(F.floor(place), F.ceil(place)))
+    zero = F.lit(0).cast("long")
+    wanted = table(spans.select(*by, "n", F.explode(ranks).alias("k"), "lo", "hi", zero.alias("below"), F.col("n").alias("held")))
+    inside = lambda t: values.join(t.select(*by, "k", "lo", "hi", "below"), by).filter("v >= lo and v <= hi")
+    while not wanted.filter((F.col("held") > most) & (F.col("lo") < F.col("hi"))).isEmpty():
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
+        counts = inside(wanted.filter("lo < hi")).groupBy(*by, "k", "below", part.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        order = Window.partitionBy(*by, "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most ``bins`` rows
+        found = counts.withColumn("upto", F.col("below") + F.sum("c").over(order)).filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k")))
+        found = found.select(*by, "k", "lo", "hi", (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("held"))
+        wanted = table(wanted.filter("lo = hi").unionByName(found.join(wanted.select(*by, "k", "n"), [*by, "k"]).select(*wanted.columns)))
+    few = inside(wanted.filter("lo < hi")).groupBy(*by, "k").agg(F.get(F.sort_array(F.collect_list("v")), (F.first("k") - F.first("below")).cast("int")).alias("v"))
+    at = wanted.filter("lo = hi").select(*by, "k", F.col("lo").alias("v")).unionByName(few)
+    share = F.first("n") - 1
+    ends = at.join(wanted.select(*by, "k", "n"), [*by, "k"]).groupBy(*by).agg(F.min_by("v", "k").alias("a"), F.max_by("v", "k").alias("b"), (share * F.lit(float(q)) - F.floor(share * F.lit(float(q)))).alias("part"))
+    return ends.select(*by, (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias(name))
+
+
 def turnover_stats(rebalances: DataFrame, years: DataFrame, by: list[str]) -> DataFrame:
     """Mean, 95th percentile, count and annual sum of turnover. ``years``: columns of ``by``, years; the span of the rebalance dates, skipped ones included."""
     out = rebalances.groupBy(*by).agg(
-        F.avg("turnover").alias("turnover_avg"), F.percentile("turnover", F.lit(0.95)).alias("turnover_p95"), F.count(F.lit(1)).alias("n_rebalances"), F.sum("turnover").alias("_sum")
+        F.avg("turnover").alias("turnover_avg"), F.count(F.lit(1)).alias("n_rebalances"), F.sum("turnover").alias("_sum")
     )
+    out = out.join(quantile(rebalances, by, "turnover", 0.95, "turnover_p95"), by, "left")
     return out.join(years, [c for c in by if c in years.columns], "left").withColumn("turnover_annual", F.col("_sum") / F.col("years")).drop("_sum", "years")
 
 
 def concentration(weights: DataFrame, by: list[str]) -> DataFrame:
     """Herfindahl index and largest weight over the rebalances; the effective number is one over the mean index."""
     each = weights.groupBy(*by, "rebal_dt").agg(F.sum(F.col("w") * F.col("w")).alias("hhi"), F.max("w").alias("top"))
+    high = quantile(each, by, "hhi", 0.95, "hhi_p95")
     return each.groupBy(*by).agg(
-        F.avg("hhi").alias("hhi_avg"), F.percentile("hhi", F.lit(0.95)).alias("hhi_p95"), F.avg("top").alias("max_weight_avg"), F.max("top").alias("max_weight"), (1.0 / F.avg("hhi")).alias("effective_n_avg")
-    )
+        F.avg("hhi").alias("hhi_avg"), F.avg("top").alias("max_weight_avg"), F.max("top").alias("max_weight"), (1.0 / F.avg("hhi")).alias("effective_n_avg")
+    ).join(high, by, "left")
 
 
 # ---- fit quality -----------------------------------------------------------------------------------

@@ -1,19 +1,77 @@
 """Sources and sinks: price downloads, universe lists, pages, caps, factors, run artefacts.
 
-Readers take paths or DataFrames of lines and return tables; sinks write through Spark's own writers, whose commit renames finished files.
+Readers take paths or DataFrames of lines and return tables. Sinks write beside their target and swap by rename (:func:`replaced`), so a write that fails leaves what was there.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 # The fields of a cap snapshot, of a factor table, and the names of its columns in published files.
 CAPS = "fetched_at_utc string, source string, caps map<string, double>"
 FACTORS = "dt date, mkt_rf double, smb double, hml double, rf double"
 FACTOR_NAMES = {"Mkt-RF": "mkt_rf", "SMB": "smb", "HML": "hml", "RF": "rf"}
 
 
+# ---- safe overwrite --------------------------------------------------------------------------------
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The path, its file system, and the path that is its spare copy while a new one takes its place."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    spare = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}.before")
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration()), spare
+
+
+def _renamed(files, old, new) -> None:
+    if not files.rename(old, new):
+        raise OSError(f"can't rename {old} to {new}")
+
+
+def standing(spark: SparkSession, path: str) -> str:
+    """Where the last finished write of ``path`` is: at ``path``, or beside it if a writer was lost between the two renames of its swap."""
+    place, files, spare = _hadoop(spark, path)
+    return spare.toString() if not files.exists(place) and files.exists(spare) else path
+
+
+def replaced(spark: SparkSession, path: str, write) -> None:
+    """``write(staged)`` writes a folder beside ``path``; when it has finished, it takes the place of ``path``.
+
+    Spark's own overwrite removes the old files before it writes. Here the old ones stay until the new ones are whole: the target is renamed to a spare, the staged folder to the target, and the
+    spare is removed. A failed write leaves the target as it was and removes what was staged. A writer that is lost between the two renames leaves the spare, which
+    :func:`standing` finds and the next write puts back first. One writer at a time.
+    """
+    place, files, spare = _hadoop(spark, path)
+    if files.exists(spare):
+        if files.exists(place):
+            files.delete(spare, True)  # the swap was done, but for its last step
+        else:
+            _renamed(files, spare, place)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}.staged-{uuid.uuid4().hex}")
+    try:
+        write(staged.toString())
+        if files.exists(place):
+            _renamed(files, place, spare)
+        try:
+            _renamed(files, staged, place)
+        except (OSError, Py4JJavaError):
+            if files.exists(spare):
+                _renamed(files, spare, place)
+            raise
+        files.delete(spare, True)
+    finally:
+        files.delete(staged, True)
+
+
 # ---- prices and universes --------------------------------------------------------------------------
 
 
@@ -38,11 +96,11 @@ def price_panel(wide: DataFrame, universe: str, benchmark: str, cash: str | None
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
     """(asset): one ticker per line, with or without a header."""
-    return spark.read.text(path).select(F.trim("value").alias("asset")).filter("asset <> '' and lower(asset) <> 'ticker'")
+    return spark.read.text(standing(spark, path)).select(F.trim("value").alias("asset")).filter("asset <> '' and lower(asset) <> 'ticker'")
 
 
 def write_universe(assets: DataFrame, path: str) -> None:
-    assets.select(F.col("asset").alias("ticker")).write.mode("overwrite").option("header", True).csv(path)
+    replaced(assets.sparkSession, path, lambda to: assets.select(F.col("asset").alias("ticker")).write.option("header", True).csv(to))
 
 
 def html_links(pages: DataFrame) -> DataFrame:
@@ -51,17 +109,116 @@ def html_links(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "pos", F.regexp_extract("a", r'(?is)href="([^"]*)"', 1).alias("href"), F.regexp_replace("a", r"<[^>]*>", "").alias("label"))
 
 
+class _Tables(HTMLParser):
+    """The cells of a page's tables in the order of their rows: (table, row, text, rowspan, colspan, is it a head). Tables inside cells are tables of their own; entities are read as what they stand for."""
+
+    SILENT = ("script", "style")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.cells, self.open, self.count, self.silent = [], [], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.SILENT:
+            self.silent += 1
+        elif tag == "table":
+            self.open.append({"table": self.count, "row": -1, "cell": None, "head": False})
+            self.count += 1
+        elif self.open:
+            t = self.open[-1]
+            if tag == "tr":
+                self._close(t)
+                t["row"] += 1
+            elif tag in ("thead", "tbody", "tfoot"):
+                self._close(t)
+                t["head"] = tag == "thead"
+            elif tag in ("td", "th"):
+                self._close(t)
+                t["row"] = max(t["row"], 0)  # a cell outside any row
+                spans = {k: int(v) for k, v in attrs if k in ("rowspan", "colspan") and v and re.fullmatch(r"\d{1,4}", v)}
+                t["cell"] = [t["table"], t["row"], [], spans.get("rowspan", 1), max(spans.get("colspan", 1), 1), tag == "th" or t["head"]]
+            elif tag == "br" and t["cell"]:
+                t["cell"][2].append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.SILENT:
+            self.silent = max(self.silent - 1, 0)
+        elif self.open and tag in ("td", "th", "tr", "table", "thead", "tbody", "tfoot"):
+            self._close(self.open[-1])
+            if tag == "table":
+                self.open.pop()
+            elif tag == "thead":
+                self.open[-1]["head"] = False
+
+    def handle_data(self, data):
+        if self.open and self.open[-1]["cell"] and not self.silent:
+            self.open[-1]["cell"][2].append(data)
+
+    def _close(self, t):
+        if t["cell"]:
+            t["cell"][2] = " ".join("".join(t["cell"][2]).split())
+            self.cells.append(t["cell"])
+            t["cell"] = None
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._close(self.open.pop())
+
+
+def _grid(html: str | None) -> list[dict]:
+    """Every place of every table that a cell covers: a cell with spans covers several. Rows of a span end with their table; ``rowspan=0`` goes to its end."""
+    reader = _Tables()
+    reader.feed(html or "")
+    reader.close()
+    out, taken, at = [], {}, {}
+    last = {}
+    for t, row, *_ in reader.cells:
+        last[t] = max(last.get(t, 0), row)
+    for t, row, text, down, across, head in sorted(reader.cells, key=lambda c: (c[0], c[1])):
+        col = at.get((t, row), 0)
+        while (t, row, col) in taken:
+            col += 1
+        end = last[t] + 1 if down == 0 else min(row + down, last[t] + 1)
+        for r in range(row, end):
+            for c in range(col, col + across):
+                if (t, r, c) not in taken:
+                    taken[t, r, c] = True
+                    out.append({"t": t, "row": r, "col": c, "text": text, "head": head})
+        at[t, row] = col + across
+    return out
+
+
+CELLS = "array<struct<t: int, row: int, col: int, text: string, head: boolean>>"
+
+
+def html_tables(pages: DataFrame) -> DataFrame:
+    """(page_id, t, row, col, text, head): the tables of each page as grids, with every cell at all places that its rowspan and colspan cover.
+
+    Tables inside cells count as tables of their own, numbered in the order of their tags, and their text is not the outer cell's. Missing end tags, entities, comments and scripts are read as browsers do.
+    """
+    kind = pa.list_(pa.struct([("t", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("text", pa.string()), ("head", pa.bool_())]))
+
+    def read(pages: pa.Array) -> pa.Array:
+        return pa.array([_grid(p.as_py()) for p in pages], kind)
+
+    ship(pages.sparkSession)
+    return pages.select("page_id", F.arrow_udf(read, CELLS)("html").alias("cells")).select("page_id", F.inline("cells"))
+
+
 def html_constituents(pages: DataFrame, headers: tuple[str, ...] = ("ticker", "symbol")) -> DataFrame:
-    """(page_id, pos, symbol): the matching column of each page's first table that has one of ``headers``."""
-    text = lambda x: F.trim(F.regexp_replace(x, r"(?s)<[^>]*>", ""))
-    tables = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<table.*?</table>"), F.lit(0))).alias("t", "table"))
-    rows = tables.select("page_id", "t", F.posexplode(F.regexp_extract_all("table", F.lit(r"(?is)<tr.*?</tr>"), F.lit(0))).alias("pos", "row"))
-    cells = rows.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), text))
-    wanted = F.array(*map(F.lit, headers))
-    place = F.array_position(F.transform("cells", lambda c: F.array_contains(wanted, F.lower(c))), True)
-    heads = cells.filter("pos = 0").withColumn("at", place).filter("at > 0").groupBy("page_id").agg(F.min(F.struct("t", "at")).alias("h")).select("page_id", "h.t", "h.at")
-    body = cells.filter("pos > 0").join(heads, ["page_id", "t"])
-    return body.select("page_id", "pos", F.get("cells", (F.col("at") - 1).cast("int")).alias("symbol")).filter("symbol is not null and symbol <> ''")
+    """(page_id, pos, symbol): the matching column of each page's first table that has one of ``headers`` in a heading row.
+
+    Heading rows are the first row and those after it that have heads only. ``pos`` is the row of the table; a symbol that spans rows stands in each of them.
+    """
+    cells = html_tables(pages)
+    rows = cells.groupBy("page_id", "t", "row").agg(F.bool_and("head").alias("heads"), F.array_agg(F.struct("col", "text")).alias("cells"))
+    order = Window.partitionBy("page_id", "t").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("heading", F.min((F.col("heads") | (F.col("row") == 0)).cast("int")).over(order) == 1)
+    named = rows.filter("heading").select("page_id", "t", F.inline("cells")).filter(F.lower("text").isin(*headers))
+    first = named.groupBy("page_id").agg(F.min(F.struct("t", "col")).alias("f")).select("page_id", "f.t", "f.col")
+    body = rows.filter("not heading").select("page_id", "t", F.col("row").alias("pos"), F.inline("cells"))
+    return body.join(first, ["page_id", "t", "col"]).select("page_id", "pos", F.col("text").alias("symbol")).filter("symbol <> ''")
 
 
 def holdings(lines: DataFrame, first_column: str = "Ticker") -> DataFrame:
@@ -83,7 +240,7 @@ def or_static(parsed: DataFrame, static: DataFrame, least: int = 45) -> DataFram
 
 def read_caps(spark: SparkSession, path: str) -> DataFrame:
     """(asset, cap) of a snapshot {fetched_at_utc, source, caps: {..}} or of the older flat form; a corrupt file is empty."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.option("wholetext", True).text(standing(spark, path))
     nested = F.from_json("value", CAPS)["caps"]
     flat = F.map_filter(F.from_json("value", "map<string, string>"), lambda k, v: ~k.isin("fetched_at_utc", "source", "caps"))
     return text.select(F.explode(F.coalesce(nested, F.transform_values(flat, lambda k, v: v.try_cast("double")))).alias("asset", "cap"))
@@ -92,7 +249,8 @@ def read_caps(spark: SparkSession, path: str) -> DataFrame:
 def write_caps(caps: DataFrame, path: str, source: str, fetched_at: str) -> None:
     """One snapshot with its provenance; caps are a map, as readers of the file expect."""
     packed = caps.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", "cap")))).alias("caps"))
-    packed.select(F.lit(fetched_at).alias("fetched_at_utc"), F.lit(source).alias("source"), "caps").coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    one = packed.select(F.lit(fetched_at).alias("fetched_at_utc"), F.lit(source).alias("source"), "caps").coalesce(1)
+    replaced(caps.sparkSession, path, lambda to: one.write.option("ignoreNullFields", False).json(to))
 
 
 # ---- factors ---------------------------------------------------------------------------------------
@@ -117,11 +275,11 @@ def parse_factors(lines: DataFrame) -> DataFrame:
 
 
 def read_factors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FACTORS).option("header", True).csv(path)
+    return spark.read.schema(FACTORS).option("header", True).csv(standing(spark, path))
 
 
 def write_factors(factors: DataFrame, path: str) -> None:
-    factors.select("dt", "mkt_rf", "smb", "hml", "rf").write.mode("overwrite").option("header", True).csv(path)
+    replaced(factors.sparkSession, path, lambda to: factors.select("dt", "mkt_rf", "smb", "hml", "rf").write.option("header", True).csv(to))
 
 
 # ---- artefacts -------------------------------------------------------------------------------------
@@ -129,8 +287,7 @@ def write_factors(factors: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     """Training arrays and run tables, partitioned by ``by``."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    replaced(df.sparkSession, path, lambda to: (df.write.partitionBy(*by) if by else df.write).parquet(to))
 
 
 def run_maps(nav: DataFrame, value: str = "nav") -> DataFrame:
@@ -166,11 +323,11 @@ def run_artefact(run: dict, config: dict, metrics: DataFrame | None = None) -> D
 
 def write_records(df: DataFrame, path: str) -> None:
     """Nested records as JSON lines, nulls included."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    replaced(df.sparkSession, path, lambda to: df.write.option("ignoreNullFields", False).json(to))
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(standing(spark, path))
 
 
 def active_holdings(weights: DataFrame) -> DataFrame:
@@ -179,7 +336,7 @@ def active_holdings(weights: DataFrame) -> DataFrame:
 
 def write_active(weights: DataFrame, path: str) -> None:
     """Weights above 0, the largest first, as one CSV file: a portfolio's holdings are few."""
-    active_holdings(weights).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    replaced(weights.sparkSession, path, lambda to: active_holdings(weights).coalesce(1).write.option("header", True).csv(to))
 
 
 def compact(results: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -94,4 +94,49 @@ def test_the_registry_says_what_is_wrong(spark):
     with pytest.raises(ValueError, match="finite numbers"):
         registry.solver("negative").weights(m, 0.1, None)
     assert registry.solver("cd").weights(m, 0.5, None)[0] == pytest.approx(kernels.fit_l1(np.eye(2), np.ones(2), 0.5)[0])
-    assert risk is not None
+
+
+def test_rolling_betas_equal_a_regression_in_every_window(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for u, n, level in (("U", 140, 0.0), ("V", 95, 3.0), ("W", 20, 0.0)):
+        f = level + 0.01 * rng.normal(size=(n, 3))
+        y = 0.001 + f @ np.array([1.1, -0.4, 0.2]) + 0.002 * rng.normal(size=n)
+        rows += [(u, datetime.date(2020, 1, 1) + datetime.timedelta(days=t), float(y[t]) + 1e-4, *map(float, f[t]), 1e-4) for t in range(n)]
+    curves = table(spark.createDataFrame(rows, "universe string, dt date, p double, mkt_rf double, smb double, hml double, rf double"))
+    frame = risk.ff3_rolling(curves, ["universe"], 60)
+    plan = frame._jdf.queryExecution().toString()
+    assert "specifiedwindowframe(RowFrame, -59" not in plan
+    got = {(r["universe"], r["dt"]): r for r in frame.collect()}
+    assert len(got) == len(rows)
+    for u in "UVW":
+        own = sorted(r for r in rows if r[0] == u)
+        for t in range(len(own)):
+            r = got[u, own[t][1]]
+            if t < 59:
+                assert r["beta_smb"] is None
+                continue
+            part = own[t - 59 : t + 1]
+            x = np.column_stack([np.ones(60), [p[3:6] for p in part]])
+            beta = np.linalg.lstsq(x, np.array([p[2] - p[6] for p in part]), rcond=None)[0]
+            assert [r["beta_mkt_rf"], r["beta_smb"], r["beta_hml"]] == pytest.approx(beta[1:], rel=1e-6, abs=1e-6)
+
+
+def test_quantiles_of_groups_of_any_kind(spark):
+    rng = np.random.default_rng(5)
+    groups = {"one": [3.5], "two": [1.0, 2.0], "ties": [7.0] * 400 + [8.0] * 30, "skew": np.exp(rng.normal(size=700) * 4).tolist(), "gap": [*([-1e12] * 5), *rng.normal(size=300).tolist(), 1e15], "some": [1.0, None, float("nan"), float("-inf"), 5.0], "far": [-1.7e308] * 30 + [1.7e308] * 30}
+    rows = table(spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double"))
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = {r["g"]: r["x"] for r in risk.quantile(rows, ["g"], "v", q, "x", bins=16, most=20).collect()}
+        for g, vs in groups.items():
+            if g == "far":
+                assert got[g] in (-1.7e308, 1.7e308) or q == 0.5
+                continue
+            assert got[g] == pytest.approx(np.quantile([v for v in vs if v is not None and math.isfinite(v)], q), rel=1e-12)
+    assert risk.quantile(rows.filter("false"), ["g"], "v", 0.5, "x").count() == 0
+
+
+def test_quantile_of_ten_million_rows(spark):
+    n = 10_000_000
+    rows = spark.range(n, numPartitions=8).select(F.lit("g").alias("g"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+    assert risk.quantile(rows, ["g"], "v", 0.95, "x").first()["x"] == pytest.approx(0.95 * (n - 1), rel=1e-12)

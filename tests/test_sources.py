@@ -1,5 +1,12 @@
 """Files: parsing, round trips and fallbacks."""
 
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
 from basketry.sources import files
 
 
@@ -58,3 +65,64 @@ def test_factor_columns_are_found_by_name(spark):
     got = files.parse_factors(lines(spark, "\n".join(text))).orderBy("dt").collect()
     assert [(str(r["dt"]), r["mkt_rf"], r["smb"], r["hml"], r["rf"]) for r in got] == [("2000-01-04", 0.02, 0.01, 0.03, 0.0002), ("2000-01-05", 0.05, 0.04, 0.06, 0.0003)]
     assert files.parse_factors(lines(spark, "\n".join(text[:2]))).count() == 0
+
+
+def test_a_failed_write_leaves_the_old_list(spark, tmp_path):
+    path = f"file://{tmp_path}/u"
+    files.write_universe(spark.createDataFrame([("AA",), ("BB",)], "asset string"), path)
+    broken = spark.range(4).select(F.when(F.col("id") < 3, F.col("id").cast("string")).otherwise(F.raise_error(F.lit("lost"))).alias("asset"))
+    with pytest.raises(Exception, match="lost"):
+        files.write_universe(broken, path)
+    assert sorted(r[0] for r in files.read_universe(spark, path).collect()) == ["AA", "BB"]
+    assert [p.name for p in tmp_path.iterdir()] == ["u"]
+    files.write_universe(spark.createDataFrame([("CC",)], "asset string"), path)
+    assert [r[0] for r in files.read_universe(spark, path).collect()] == ["CC"] and [p.name for p in tmp_path.iterdir()] == ["u"]
+
+
+KILLED = """
+import os, sys
+from basketry.session import session
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from basketry.sources import files
+spark = session("killed", "local[1]", spark__ui__enabled="false")
+renamed = files._renamed
+def once(fs, old, new):
+    if old.getName().startswith(".u.staged"):
+        os.kill(os.getpid(), 9)  # the old list has moved aside, the new one has not moved in
+    renamed(fs, old, new)
+files._renamed = once
+files.write_universe(spark.createDataFrame([("NEW",)], "asset string"), sys.argv[1])
+"""
+
+
+def test_a_writer_killed_between_the_renames_leaves_the_old_list(spark, tmp_path):
+    path = f"file://{tmp_path}/u"
+    files.write_universe(spark.createDataFrame([("OLD",)], "asset string"), path)
+    ended = subprocess.run([sys.executable, "-c", KILLED, path], cwd=Path(__file__).parent.parent, capture_output=True, timeout=120)
+    assert ended.returncode == -9 and not (tmp_path / "u").exists()
+    assert [r[0] for r in files.read_universe(spark, path).collect()] == ["OLD"]
+    files.write_universe(spark.createDataFrame([("NEXT",)], "asset string"), path)
+    assert [r[0] for r in files.read_universe(spark, path).collect()] == ["NEXT"] and (tmp_path / "u").exists() and not (tmp_path / ".u.before").exists()
+
+
+def test_html_grid_with_spans_nesting_and_entities(spark):
+    html = """<p>x</p><table class=info><tr><td>Symbol<table><tr><th>Inner</th></tr><tr><td>Q</td></tr></table></td></tr></table>
+    <table><thead><tr><th rowspan="2">Name</th><th colspan=2>Listing</th></tr><tr><th>Symbol</th><th>Since</th></tr></thead>
+    <tbody><tr><td>A &amp; B<td rowspan=2>AB&#46;X<td>1999<tr><td>A &lt;2&gt;</td><td>2001</td></tr>
+    <!-- <tr><td>no</td></tr> --><tr><td>C<script>var t = "</td>";</script></td><td><a href='c'>C<br>D</a> [b]</td><td></td></tr><tr><td colspan="2">both</td><td>n</td></tr><tr><td rowspan=0>z</td><td>&eacute;</td></tr></table>"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<table><tr><td>open"), (4, "<table></table>")], "page_id long, html string")
+    grid = {(r["page_id"], r["t"], r["row"], r["col"]): (r["text"], r["head"]) for r in files.html_tables(pages).collect()}
+    assert grid[1, 0, 0, 0] == ("Symbol", False) and grid[1, 1, 0, 0] == ("Inner", True) and grid[1, 1, 1, 0] == ("Q", False)
+    table = [[grid.get((1, 2, r, c), ("-",))[0] for c in range(3)] for r in range(7)]
+    assert table == [["Name", "Listing", "Listing"], ["Name", "Symbol", "Since"], ["A & B", "AB.X", "1999"], ["A <2>", "AB.X", "2001"], ["C", "C D [b]", ""], ["both", "both", "n"], ["z", "é", "-"]]
+    assert grid[3, 0, 0, 0] == ("open", False) and {k[0] for k in grid} == {1, 3}
+    # the first table with the heading in a heading row: a first row counts as one
+    assert files.html_constituents(pages.filter("page_id <> 1")).count() == 0
+    last = spark.createDataFrame([(1, html[html.index("<table><thead") :])], "page_id long, html string")
+    assert [(r["pos"], r["symbol"]) for r in files.html_constituents(last).orderBy("pos").collect()] == [(2, "AB.X"), (3, "AB.X"), (4, "C D [b]"), (5, "both"), (6, "é")]
