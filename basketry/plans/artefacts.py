@@ -18,21 +18,24 @@ def _path(spark, name: str) -> str:
 
 
 @query(
-    """, complete AS (SELECT asset FROM pm WHERE universe = 'ASIA' GROUP BY asset HAVING count(*) = (SELECT count(DISTINCT dt) FROM pm WHERE universe = 'ASIA'))
-    SELECT 'prices' AS kind, dt, asset, round(price, 6) AS price FROM pm WHERE universe = 'ASIA' AND asset IN (SELECT asset FROM complete) UNION ALL SELECT 'benchmark', dt, 'INDEX', round(price, 6) FROM bm WHERE universe = 'ASIA'"""
+    """, dates AS (SELECT universe, count(DISTINCT dt) AS n FROM pm GROUP BY universe), complete AS (SELECT universe, asset FROM pm JOIN dates USING (universe) GROUP BY universe, asset, n HAVING count(*) = n)
+    SELECT pm.universe, 'prices' AS kind, dt, asset, round(price, 6) AS price FROM pm JOIN complete USING (universe, asset) UNION ALL SELECT universe, 'benchmark', dt, 'INDEX', round(price, 6) FROM bm"""
 )
 def price_panel_wide(spark, sf_dir):
-    """A wide price table with a column per ticker, written, read and split into complete assets and the benchmark."""
+    """A wide price table with a column per ticker for every universe, written, read and split into complete assets and the benchmark."""
     t = Tables(spark, sf_dir)
-    long = t.prices("month").filter("universe = 'ASIA'").select("dt", "asset", "price")
-    index = market.benchmark(t.totals("month")).filter("universe = 'ASIA'").select("dt", F.lit("INDEX").alias("asset"), "price")
-    names = [r[0] for r in long.select("asset").distinct().orderBy("asset").collect()]  # column names: one per ticker
-    wide = long.unionByName(index).groupBy("dt").pivot("asset", [*names, "INDEX"]).agg(F.first("price"))
-    path = _path(spark, "prices")
-    wide.write.option("header", True).csv(path)
-    parts = files.price_panel(spark.read.option("header", True).csv(path), "ASIA", "INDEX")
-    out = parts["prices"].select(F.lit("prices").alias("kind"), "dt", "asset", "price")
-    return rounded(out.unionByName(parts["benchmark"].select(F.lit("benchmark").alias("kind"), "dt", F.lit("INDEX").alias("asset"), "price")))
+    prices = t.prices("month").select("universe", "dt", "asset", "price")
+    index = market.benchmark(t.totals("month")).select("universe", "dt", F.lit("INDEX").alias("asset"), "price")
+    long, out = table(prices.unionByName(index)), None
+    for (universe,) in long.select("universe").distinct().orderBy("universe").collect():  # a file per universe, as its columns are its tickers
+        own = long.filter(F.col("universe") == universe)
+        names = [r[0] for r in own.select("asset").distinct().orderBy("asset").collect()]
+        path = _path(spark, "prices")
+        own.groupBy("dt").pivot("asset", names).agg(F.first("price")).write.option("header", True).csv(path)
+        parts = files.price_panel(spark.read.option("header", True).csv(path), universe, "INDEX")
+        both = parts["prices"].select("universe", F.lit("prices").alias("kind"), "dt", "asset", "price").unionByName(parts["benchmark"].select("universe", F.lit("benchmark").alias("kind"), "dt", F.lit("INDEX").alias("asset"), "price"))
+        out = both if out is None else out.unionByName(both)
+    return rounded(out)
 
 
 @query("SELECT DISTINCT p_brand AS asset FROM part")

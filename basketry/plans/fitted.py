@@ -118,19 +118,22 @@ def ebic_select(spark, sf_dir):
 _RELAXED = (0.0001, 0.0003, 0.001, 0.003)
 
 
+def reweighting_steps(fractions: tuple[float, ...], sweeps: int = SWEEPS // 3, relative: bool = False, name: str = "rw") -> str:
+    """CTEs up to ``{name}_last`` (universe, lam_idx, w by place) of reweighted fits: five rounds of cyclic descent, each with penalties from the weights before it, that end with a stable support."""
+    penalty = "lam * (list_max(new) / list_sum(new) + 1e-3) / (new[i] / list_sum(new) + 1e-3)" if relative else "lam / (new[i] + 1e-3)"
+    bare = " OR list_sum(new) = 0" if relative else ""
+    return f""", {name}_lams AS MATERIALIZED (SELECT *, CAST(k - 1 AS INT) AS lam_idx, f[k] * greatest(list_max(c), 1e-10) AS lam FROM problem, (SELECT {[*fractions]} AS f), range(1, {len(fractions) + 1}) r(k)
+), {name}_walk AS (
+  SELECT universe, lam_idx, 0 AS step, list_transform(c, lambda v: 0.0::DOUBLE) AS w, list_transform(c, lambda v: v - lam) AS d, list_transform(c, lambda v: NULL::BOOLEAN) AS before, false AS done FROM {name}_lams
+  UNION ALL SELECT universe, lam_idx, step + 1, new, CASE WHEN at_end AND NOT ends THEN list_transform(c, lambda v, i: v - {penalty}) ELSE d END, CASE WHEN at_end THEN support ELSE before END, done OR (at_end AND ends)
+  FROM (SELECT *, (step + 1) % ({sweeps} * p) = 0 AS at_end, list_transform(new, lambda v: v > 1e-8) AS support, list_transform(new, lambda v: v > 1e-8) = before{bare} AS ends
+    FROM (SELECT l.*, step, w, d, before, done, {_STEP} AS new FROM {name}_walk k JOIN {name}_lams l ON l.universe = k.universe AND l.lam_idx = k.lam_idx WHERE step < 5 * {sweeps} * p AND NOT done))
+), {name}_last AS MATERIALIZED (SELECT universe, lam_idx, w FROM {name}_walk QUALIFY row_number() OVER (PARTITION BY universe, lam_idx ORDER BY step DESC) = 1)"""
+
+
 def reweighting(fractions: tuple[float, ...], source: str = "xm", sweeps: int = SWEEPS // 3) -> str:
-    """The weights of reweighted fits: five rounds of cyclic descent, each with penalties from the weights before it, that end with a stable support."""
-    return (
-        _problem(source)
-        + f""", lams AS MATERIALIZED (SELECT *, CAST(k - 1 AS INT) AS lam_idx, f[k] * greatest(list_max(c), 1e-10) AS lam FROM problem, (SELECT {[*fractions]} AS f), range(1, {len(fractions) + 1}) r(k)
-), walk AS (
-  SELECT universe, lam_idx, 0 AS step, list_transform(c, lambda v: 0.0::DOUBLE) AS w, list_transform(c, lambda v: v - lam) AS d, list_transform(c, lambda v: NULL::BOOLEAN) AS before, false AS done FROM lams
-  UNION ALL SELECT universe, lam_idx, step + 1, new, CASE WHEN at_end AND NOT ends THEN list_transform(c, lambda v, i: v - lam / (new[i] + 1e-3)) ELSE d END, CASE WHEN at_end THEN support ELSE before END, done OR (at_end AND ends)
-  FROM (SELECT *, (step + 1) % ({sweeps} * p) = 0 AS at_end, list_transform(new, lambda v: v > 1e-8) AS support, list_transform(new, lambda v: v > 1e-8) = before AS ends
-    FROM (SELECT l.*, step, w, d, before, done, {_STEP} AS new FROM walk JOIN lams l ON l.universe = walk.universe AND l.lam_idx = walk.lam_idx WHERE step < 5 * {sweeps} * p AND NOT done))
-), last AS (SELECT *, row_number() OVER (PARTITION BY universe, lam_idx ORDER BY step DESC) AS rn FROM walk)
-SELECT l.universe, l.lam_idx, asset, round(w[i], 6) AS w FROM last l JOIN pa ON pa.universe = l.universe WHERE rn = 1 AND w[i] > 1e-6"""
-    )
+    """The weights of reweighted fits, one row each."""
+    return _problem(source) + reweighting_steps(fractions, sweeps) + " SELECT l.universe, l.lam_idx, asset, round(w[i], 6) AS w FROM rw_last l JOIN pa ON pa.universe = l.universe WHERE w[i] > 1e-6"
 
 
 @query(reweighting(_RELAXED))
@@ -155,22 +158,23 @@ def omp_two(spark, sf_dir):
     return rounded(fit.fit_weights(fits, ["universe"]))
 
 
-def greedy(k: int, source: str = "xm", sweeps: int = 600) -> str:
+def greedy_steps(k: int, sweeps: int = 600) -> str:
     """CTEs up to ``picks``: universe, iter, s (the chosen places in order), w, rss and the largest product left, after each step of the greedy fit.
 
     A step picks a place and then goes ``sweeps`` times round the chosen ones by cyclic descent.
     """
     corr = "list_transform(c, lambda v, i: CASE WHEN list_contains(s, i) THEN -1e300 ELSE v - list_dot_product(g[i], w) END)"
     turn = "list_transform(w, lambda v, i: CASE WHEN i = s[t % len(s) + 1] THEN greatest(0, (c[i] - list_dot_product(g[i], w) + g[i][i] * v) / greatest(g[i][i], 1e-12)) ELSE v END)"
-    return (
-        _problem(source)
-        + f""", greedy AS (
+    return f""", greedy AS (
   SELECT universe, 0 AS step, 0 AS t, []::BIGINT[] AS s, list_transform(c, lambda v: 0.0::DOUBLE) AS w, false AS done FROM problem
   UNION ALL SELECT universe, step + 1, CASE WHEN t > 0 THEN (t + 1) % ({sweeps} * len(s) + 1) WHEN list_max(corr) > 1e-12 THEN 1 ELSE 0 END, CASE WHEN t = 0 AND list_max(corr) > 1e-12 THEN list_append(s, list_position(corr, list_max(corr))) ELSE s END,
     CASE WHEN t = 0 THEN w ELSE {turn} END, t = 0 AND NOT list_max(corr) > 1e-12
   FROM (SELECT problem.*, step, t, s, w, CASE WHEN t = 0 THEN {corr} END AS corr FROM greedy JOIN problem ON problem.universe = greedy.universe WHERE NOT done AND NOT (t = 0 AND len(s) = {k}))
 ), picks AS MATERIALIZED (SELECT problem.*, len(s) AS iter, s, w, greatest({_RSS}, 0) AS rss, list_max(list_transform(c, lambda v, i: v - list_dot_product(g[i], w))) AS left_over FROM greedy JOIN problem ON problem.universe = greedy.universe WHERE t = 0 AND len(s) > 0 AND NOT done) """
-    )
+
+
+def greedy(k: int, source: str = "xm", sweeps: int = 600) -> str:
+    return _problem(source) + greedy_steps(k, sweeps)
 
 
 @query(greedy(8) + "SELECT universe, CAST(iter AS INT) AS iter, round(rss * 1e4, 5) AS primal, round(left_over * 1e4, 5) AS dual FROM picks")
@@ -238,10 +242,64 @@ def retrain_latest(spark, sf_dir):
     return rounded(one.join(m, "universe").select("universe", "n_active", "w_sum", "w_max", F.round("r2", 5).alias("r2")))
 
 
+_CAPPED = (15, 12)  # universes of more than so many listed assets keep the first so many
+_CHAIN = (
+    """, listed AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY asset) AS ord, count(*) OVER (PARTITION BY universe) AS n_listed FROM (SELECT DISTINCT universe, asset FROM ln)),
+inside AS (SELECT * FROM listed WHERE n_listed <= {0} OR ord <= {1}), own AS (SELECT rm.* FROM rm JOIN inside USING (universe, asset)), n_own AS (SELECT universe, count(DISTINCT dt) AS n FROM own GROUP BY universe),
+whole_own AS (SELECT universe, asset FROM own JOIN n_own USING (universe) GROUP BY universe, asset, n HAVING count(*) = n),
+used AS (SELECT u.universe, CASE WHEN u.universe > 'B' THEN u.universe ELSE 'ASIA' END AS benchmark_used FROM (SELECT DISTINCT universe FROM rm) u),
+c36 AS (SELECT own.* FROM own JOIN whole_own USING (universe, asset) QUALIFY dense_rank() OVER (PARTITION BY own.universe ORDER BY dt DESC) <= 36),
+cx AS MATERIALIZED (SELECT c36.*, ym.r AS y, benchmark_used, stddev_pop(c36.r) OVER v AS sigma, (c36.r - avg(c36.r) OVER v) / CASE WHEN stddev_pop(c36.r) OVER v > 1e-12 THEN stddev_pop(c36.r) OVER v ELSE 1 END AS x
+  FROM c36 JOIN used ON used.universe = c36.universe JOIN ym ON ym.universe = benchmark_used AND ym.dt = c36.dt WINDOW v AS (PARTITION BY c36.universe, c36.asset))""".format(*_CAPPED)
+    + descent((0.05,), "cx")
+    + _MONEY.format(stats="(SELECT DISTINCT universe, asset, sigma FROM cx)")
+    + """, pb AS (SELECT universe, dt, sum(w * r) AS p, any_value(cx.y) AS b FROM cx JOIN money USING (universe, asset) GROUP BY ALL), one AS (SELECT universe, count(*) FILTER (w > 1e-6) AS n_active, max(w) AS w_max FROM money GROUP BY universe),
+src AS (SELECT universe, any_value(n_listed) AS n_listed FROM listed GROUP BY universe)
+SELECT src.universe, n_listed, n_listed > {} AS capped, benchmark_used, n_active, round(w_max, 6) AS w_max, round(r2, 5) AS r2 FROM src JOIN used USING (universe) LEFT JOIN one USING (universe)
+LEFT JOIN (SELECT universe, 1 - sum((b - p) * (b - p)) / (var_pop(b) * count(*)) AS r2 FROM pb GROUP BY universe) z USING (universe)""".format(_CAPPED[0])
+)
+
+
+def retrain(returns: DataFrame, listed: DataFrame, candidates: DataFrame, n_dates: int, lam_frac: float = 0.05, threshold: int = 750, keep: int = 120) -> dict[str, DataFrame]:
+    """A retrain from lists and prices to weights: universes that are too large keep the head of their list, and each takes its first benchmark candidate that has prices.
+
+    ``listed``: universe, asset, ord; ``candidates``: universe, rank, candidate, dt, price. weights: universe, asset, w. report: universe, n_listed, capped, benchmark_used, iterations, converged, n_active, w_max, r2.
+    """
+    kept = panel.cap_universe(listed, threshold, keep)
+    size = listed.groupBy("universe").agg(F.count(F.lit(1)).alias("n_listed")).withColumn("capped", F.col("n_listed") > threshold)
+    quotes = table(panel.benchmark_fallback(candidates))
+    bench = panel.simple_returns(quotes.select("universe", "dt", F.col("candidate").alias("asset"), "price")).drop("asset")
+    own = returns.join(kept.select("universe", "asset"), ["universe", "asset"], "left_semi")
+    base = panel.varying_assets(panel.last_n(panel.complete_assets(own), n_dates))
+    x = table(panel.standardize(panel.align(base, bench), True))
+    fits = table(fit.fit_windows(x, ("admm",), (lam_frac,), by=["universe"]))
+    w = table(rules.destandardize(fit.fit_weights(fits, ["universe"]), x.select("universe", "asset", "sigma").distinct(), ["universe"]))
+    scored = compare.holdout_metrics(w, x, x.select("universe", "dt", F.col("y").alias("r")).distinct(), [], YEAR["month"]).select("universe", "n_active", "r2")
+    used = quotes.groupBy("universe").agg(F.first("candidate").alias("benchmark_used"))
+    most = w.groupBy("universe").agg(F.max("w").alias("w_max"))
+    report = size.join(used, "universe", "left").join(fits.select("universe", "iterations", "converged"), "universe", "left").join(scored, "universe", "left").join(most, "universe", "left")
+    return {"weights": w, "report": report}
+
+
+@query(_CHAIN)
+def retrain_chain(spark, sf_dir):
+    """The whole retrain on lists that are too long and benchmarks that are partly missing: some universes fall back to another one's."""
+    t = Tables(spark, sf_dir)
+    listed = t.lines.select("universe", "asset").distinct().withColumn("ord", F.lit(0))
+    price = table(market.benchmark(t.totals("month"))).select("universe", "dt", "price")
+    own = price.select("universe", F.lit(0).alias("rank"), F.col("universe").alias("candidate"), "dt", F.when(F.col("universe") > "B", F.col("price")).alias("price"))
+    asia = price.filter("universe = 'ASIA'").select(F.lit("ASIA").alias("candidate"), "dt", "price")
+    other = price.select("universe", "dt").join(asia, "dt").select("universe", F.lit(1).alias("rank"), "candidate", "dt", "price")
+    report = retrain(t.monthly(), listed, own.unionByName(other), 36, 0.05, *_CAPPED)["report"]
+    return report.select("universe", "n_listed", "capped", "benchmark_used", "n_active", F.round("w_max", 6).alias("w_max"), F.round("r2", 5).alias("r2"))
+
+
 # ---- comparisons with fits -------------------------------------------------------------------------
 
 #: Training caps and the rules' weights; metrics on the test dates of weights ``allw2`` (universe, method, step, asset, w).
-_TRAIN_CAPS = """, tcap AS (SELECT universe, asset, sum(cap) AS cap FROM tt JOIN pm USING (universe, dt, asset) WHERE split = 'train' GROUP BY ALL), trank AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY cap DESC, asset) AS rn FROM tcap)"""
+_TRAIN_CAPS = """, tcap AS (SELECT universe, asset, sum(cap) AS cap FROM tt JOIN pm USING (universe, dt, asset) WHERE split = 'train' GROUP BY ALL), trank AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY cap DESC, asset) AS rn FROM tcap),
+rpick AS (SELECT universe, asset, 1.0 / count(*) OVER (PARTITION BY universe, k) AS w1 FROM (SELECT universe, asset, k, row_number() OVER (PARTITION BY universe, k ORDER BY md5(k || ':' || asset), asset) AS rn FROM tcap, range(100) t(k)) WHERE rn <= 10),
+rmean AS (SELECT universe, asset, w1 / sum(w1) OVER (PARTITION BY universe) AS w FROM (SELECT universe, asset, sum(w1) AS w1 FROM rpick GROUP BY universe, asset))"""
 _HELD_OUT = """, pr2 AS (SELECT universe, method, step, dt, sum(w * r) AS p, any_value(y) AS b FROM tt JOIN allw2 USING (universe, asset) WHERE split = 'test' GROUP BY ALL),
 size2 AS (SELECT universe, method, step, count(*) FILTER (w > 1e-6) AS n_active FROM allw2 GROUP BY ALL),
 held2 AS (SELECT universe, method, step, 1 - sum((b - p) * (b - p)) / (var_pop(b) * count(*)) AS r2, stddev_samp(p - b) * sqrt(12) AS te, avg(p - b) / stddev_samp(p - b) * sqrt(12) AS ir, avg(p) / stddev_samp(p) * sqrt(12) AS sharpe FROM pr2 GROUP BY ALL),
@@ -252,7 +310,8 @@ _LADDER = (
     + _TRAIN_CAPS
     + """, first2 AS (SELECT universe, min(lam_idx) AS lam_idx FROM money GROUP BY universe), allw2 AS (
   SELECT universe, m AS method, 0 AS step, asset, w FROM money JOIN first2 USING (universe, lam_idx), (SELECT unnest(['fista', 'cd', 'admm']) AS m)
-  UNION ALL SELECT universe, 'cap', 0, asset, cap / sum(cap) OVER (PARTITION BY universe) FROM trank WHERE rn <= 10 UNION ALL SELECT universe, 'equal', 0, asset, 1.0 / count(*) OVER (PARTITION BY universe) FROM trank WHERE rn <= 10)"""
+  UNION ALL SELECT universe, 'cap', 0, asset, cap / sum(cap) OVER (PARTITION BY universe) FROM trank WHERE rn <= 10 UNION ALL SELECT universe, 'equal', 0, asset, 1.0 / count(*) OVER (PARTITION BY universe) FROM trank WHERE rn <= 10
+  UNION ALL SELECT universe, 'random', 0, asset, w FROM rmean)"""
     + _HELD_OUT
 )
 _L1 = ("fista", "cd", "admm")
@@ -303,12 +362,13 @@ def sweep_fitted(spark, sf_dir):
     return _shown(queries._on_test(rows, table(sweep), ["method", "step"]).select("universe", "method", "step", "n_active", "te", "r2"))
 
 
-_REGIME = (
-    f""", {queries._REGIMES}, rall AS (SELECT rw.universe || '|' || regime AS universe, type, rw.dt, asset, rw.r, yw.r AS y FROM rw JOIN reg ON rw.dt >= start_dt AND rw.dt < end_dt JOIN yw ON yw.universe = rw.universe AND yw.dt = rw.dt),
+_REGIME_DATA = f""", {queries._REGIMES}, rall AS (SELECT rw.universe || '|' || regime AS universe, type, rw.dt, asset, rw.r, yw.r AS y FROM rw JOIN reg ON rw.dt >= start_dt AND rw.dt < end_dt JOIN yw ON yw.universe = rw.universe AND yw.dt = rw.dt),
 rnum AS (SELECT *, dense_rank() OVER (PARTITION BY universe ORDER BY dt) AS k FROM rall), rlong AS (SELECT universe FROM rnum GROUP BY universe HAVING max(k) >= 30),
 rsplit AS MATERIALIZED (SELECT *, CASE WHEN k <= 20 THEN 'train' ELSE 'test' END AS split FROM rnum WHERE k <= 30 AND universe IN (SELECT universe FROM rlong)),
 rst AS (SELECT universe, asset, avg(r) AS mu, stddev_pop(r) AS sigma FROM rsplit WHERE split = 'train' GROUP BY ALL HAVING var_pop(r) > 1e-12),
 rx AS MATERIALIZED (SELECT s.universe, dt, asset, y, (r - mu) / CASE WHEN sigma > 1e-12 THEN sigma ELSE 1 END AS x FROM rsplit s JOIN rst USING (universe, asset) WHERE split = 'train')"""
+_REGIME = (
+    _REGIME_DATA
     + descent(compare.LADDER[:1], "rx", 800)
     + _MONEY.format(stats="rst")
     + """, rp AS (SELECT universe, any_value(type) AS type, split, dt, sum(w * r) AS p, any_value(y) AS b FROM rsplit JOIN money USING (universe, asset) GROUP BY universe, split, dt),
@@ -320,7 +380,9 @@ rn2 AS (SELECT universe, count(*) FILTER (w > 1e-6) AS n_active FROM money GROUP
 @query(_REGIME + "SELECT split_part(universe, '|', 1) AS universe, split_part(universe, '|', 2) AS regime, type, n_active, round(r2, 3) AS r2, round(te, 4) AS te_pct, round(co, 4) AS correlation, r2 > 0.5 AND te < 15 AS passed FROM rm2 JOIN rn2 USING (universe)")
 def regime_fitted(spark, sf_dir):
     """One fit per universe and regime, on the regime's own training dates, judged on its test dates."""
-    rows = queries._regime_fits(Tables(spark, sf_dir), ("admm",)).filter("method = 'admm'")
+    from .compared import _regime_fits
+
+    rows = _regime_fits(Tables(spark, sf_dir), ("admm",)).filter("method = 'admm'")
     return rows.select("universe", "regime", "type", "n_active", F.round("r2", 3).alias("r2"), F.round("te_pct", 4).alias("te_pct"), F.round("corr_test", 4).alias("correlation"), "passed")
 
 

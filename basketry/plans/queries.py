@@ -546,11 +546,15 @@ def omp_first_step(spark, sf_dir):
     return rounded(fit.fit_weights(fits, ["universe"]), 8)
 
 
-@query(f"SELECT universe, CAST(1 AS INT) AS lam_idx FROM ({_FITTED})")
+#: Penalties that fall by a tenth from step to step.
+_STEPS = tuple(round(0.9**k, 9) for k in range(60))
+
+
+@query(f"SELECT universe, CAST(min(i) AS INT) AS lam_idx FROM (SELECT universe, max(c) AS top FROM (SELECT universe, asset, sum(x * y) AS c FROM xm GROUP BY ALL) GROUP BY universe), (SELECT unnest({[*_STEPS]}) AS lam, unnest(range({len(_STEPS)})) AS i) WHERE lam < top GROUP BY universe")
 def lambda_fallback(spark, sf_dir):
-    """A ladder whose first step is above the largest useful penalty: the second one wins everywhere."""
-    _, fits = _fits(Tables(spark, sf_dir), fractions=(1.5, 0.05, 0.03, 0.01))
-    return fit.first_nonempty(fits, ["universe"], (1.5, 0.05, 0.03, 0.01)).select("universe", "lam_idx")
+    """A ladder of penalties that are the same for all universes: each ends at the first step with weights, which is the first below its own largest useful penalty."""
+    _, fits = _fits(Tables(spark, sf_dir), fractions=(), lams=_STEPS)
+    return fit.first_nonempty(fits, ["universe"], _STEPS).select("universe", "lam_idx")
 
 
 @query("SELECT universe, asset, round(w / sum(w) OVER (PARTITION BY universe), 8) AS w FROM (SELECT universe, asset, cap / sum(cap) OVER (PARTITION BY universe) AS w FROM wm) WHERE w >= 0.04")
@@ -838,7 +842,7 @@ def in_vs_out(spark, sf_dir):
     return rounded(compare.in_vs_out(p, ["universe"], YEAR["month"]), 5)
 
 
-# Fits beside rules. Everything is fitted or ranked on training dates only; fits have no SQL form, so these have no twins.
+# Fits beside rules. Everything is fitted or ranked on training dates only. The queries and their twins are in ``compared``.
 
 _FIT_METHODS = ("fista", "cd", "admm", "reweighted", "reweighted_relative", "omp")
 
@@ -849,10 +853,10 @@ def _train_caps(rows: DataFrame, caps: DataFrame) -> DataFrame:
 
 
 def _all_methods(rows: DataFrame, caps: DataFrame, methods: tuple[str, ...] = _FIT_METHODS) -> DataFrame:
-    """(universe, method, asset, w) of two rules and the fits on one split."""
+    """(universe, method, asset, w) of three rules and the fits on one split: the largest caps, equal weights on them, the mean of a hundred random portfolios."""
     _, fitted = compare.ladder_fit(rows, methods)
     caps = table(_train_caps(rows, caps))
-    both = compare.compare({"cap": rules.top_n_cap(caps, 10, ["universe"]), "equal": rules.equal_top_n_cap(caps, 10, ["universe"])})
+    both = compare.compare({"cap": rules.top_n_cap(caps, 10, ["universe"]), "equal": rules.equal_top_n_cap(caps, 10, ["universe"]), "random": rules.random_ensemble(caps.select("universe", "asset"), 10, ["universe"], 100)})
     return table(fitted.unionByName(both))
 
 
@@ -866,37 +870,6 @@ def _all_holdout(t: Tables, methods: tuple[str, ...] = _FIT_METHODS) -> DataFram
     return _on_test(rows, _all_methods(rows, t.prices("month").drop("price"), methods), ["method"])
 
 
-@query()
-def method_comparison_all(spark, sf_dir):
-    """Rules and fits on one split, scored on its test dates."""
-    return rounded(_all_holdout(Tables(spark, sf_dir)))
-
-
-@query()
-def multi_universe_all(spark, sf_dir):
-    """Every universe and method; a universe without a fit stays as a row with a reason."""
-    t = Tables(spark, sf_dir)
-    universes = t.read("region").select(F.col("r_name").alias("universe")).unionByName(spark.range(1).select(F.lit("nowhere").alias("universe")))
-    return rounded(compare.with_failures(universes, _all_holdout(t), F.lit("no weights")))
-
-
-@query()
-def pareto_all(spark, sf_dir):
-    """The sweep of every method: names of rules and greedy fits, penalties of the others. ``step`` is N or the penalty's number."""
-    t = Tables(spark, sf_dir)
-    rows = table(t.train_test())
-    caps = table(_train_caps(rows, t.prices("month").drop("price")))
-    _, path = compare.split_fit(rows, ("fista", "reweighted", "reweighted_relative"), moments.FRACTIONS)
-    sweep = path.withColumnRenamed("lam_idx", "step")
-    for n in (3, 5, 8, 12):
-        _, greedy = compare.split_fit(rows, ("omp",), (), n)
-        both = compare.compare({"cap": rules.top_n_cap(caps, n, ["universe"]), "equal": rules.equal_top_n_cap(caps, n, ["universe"]), "omp": greedy.drop("method", "lam_idx")})
-        sweep = sweep.unionByName(both.withColumn("step", F.lit(n)))
-    by = Window.partitionBy("universe", "method").orderBy("n_active", "te").rowsBetween(Window.unboundedPreceding, -1)
-    m = _on_test(rows, table(sweep), ["method", "step"]).select("universe", "method", "step", "n_active", "te", "r2")
-    return rounded(m.withColumn("efficient", F.coalesce(F.col("te") < F.min("te").over(by), F.lit(True))))
-
-
 def _regime_split(t: Tables, n_train: int = 20, n_test: int = 10) -> DataFrame:
     """Every (universe, regime) as a universe of its own, split by its own dates; those with fewer dates are left out."""
     rows = schedule.assign_regimes(panel.align(t.weekly(), t.bench("week")), market.regimes(t.spark))
@@ -905,37 +878,6 @@ def _regime_split(t: Tables, n_train: int = 20, n_test: int = 10) -> DataFrame:
     return table(panel.split(own.join(short, "universe", "left_anti"), n_train, n_test))
 
 
-def _regime_fits(t: Tables, methods: tuple[str, ...] = _FIT_METHODS) -> DataFrame:
-    rows = _regime_split(t)
-    dates = rows.select("universe", F.split("universe", "[|]")[0].alias("u"), "dt").distinct()
-    caps = t.prices("week").select(F.col("universe").alias("u"), "dt", "asset", "cap").join(dates, ["u", "dt"]).drop("u")
-    w = _all_methods(rows.drop("type"), caps, methods)
-    curves = table(compare.split_curves(rows, w, ["method"]))
-    by = ["universe", "method"]
-    scored = compare.in_vs_out(curves, by, YEAR["week"])
-    test = curves.filter("split = 'test'")
-    gap = test.groupBy(*by).agg((F.max(F.abs(F.col("p") - F.col("b"))) * 100).alias("max_gap_pct"))
-    gaps = gap.join(risk.max_cumulative_gap(test, by), by)
-    size = w.groupBy(*by).agg(F.count(F.when(F.col("w") > 1e-6, 1)).alias("n_active"))
-    top = compare.top_holdings(w, by, 3).select(*by, F.array_join(F.transform("top", lambda x: x["asset"]), ",").alias("top"))
-    out = scored.join(gaps, by).join(size, by).join(top, by).join(rows.select("universe", "type").distinct(), "universe")
-    out = compare.regime_verdict(out.withColumns({"r2": F.col("r2_test"), "te_pct": F.col("te_test")})).drop("r2_test", "te_test")
-    parts = F.split("universe", "[|]")
-    return out.withColumns({"regime": parts[1], "universe": parts[0]})
-
-
-@query()
-def regime_fits(spark, sf_dir):
-    """Per universe, regime and method: split, fit (first penalty of the ladder with weights), train and test metrics, top names."""
-    return rounded(_regime_fits(Tables(spark, sf_dir)), 5)
-
-
-@query()
-def regime_fits_type_avg(spark, sf_dir):
-    found = table(_regime_fits(Tables(spark, sf_dir)))
-    return rounded(found.groupBy("method", "type").agg(F.count(F.lit(1)).alias("n"), F.avg("r2").alias("r2_avg"), F.avg("te_pct").alias("te_avg"), F.bool_and("passed").alias("all_passed")), 4)
-
-
 # ---- allocation and reports ------------------------------------------------------------------------
 
 _ACC = """, acc AS (SELECT c_custkey AS account, r_name AS universe, c_acctbal * 100 AS capital FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0),
@@ -1089,4 +1031,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_core(spark, sf_dir)
 
 
-from . import artefacts, fitted, wide  # noqa: E402, F401  (they register their queries)
+from . import artefacts, compared, fitted, wide  # noqa: E402, F401  (they register their queries)
