@@ -6,15 +6,15 @@ left over is the first piece. Full pieces are sequences of their own. The other
 1. every partition packs its items by best fit, largest first;
 2. bins filled to ``close`` or more are final, and so are bins that even the least filled bin left doesn't fit in. The other underfull bins become
    the items of the next round, in new partitions of about ``per_task`` items, so bins of several partitions meet;
-3. rounds end when one partition has packed alone, or when a round merged less than one item a partition. Best fit leaves at most
-   one bin of a partition under half full, so that stop can cost half a sequence a partition of the last round at most.
+3. when a round merges less than one item a partition, only bins up to half full go on: of two others neither fits into the other, and best fit leaves at most one such bin in a
+   partition, so they are ``per_task`` times fewer each round. Rounds end when one partition has packed all that is left, so of all partitions together at most one bin is up to half full.
 
 A round reads and writes one narrow row per item (id and length); pieces find their sequence by joining the rounds' (bin ->
 parent, offset) tables. Each round is written to the shared folder, so a lost executor repeats one round at most.
 
 Nulls: a null text is empty and becomes the end id alone. Ids that are null or repeated are fine: pieces are told apart by a row
 number of the written table. Equal lengths are packed in the order of that number. An empty table gives an empty result. Extra
-columns are ignored.
+columns are ignored. Ids may have any type, which the result keeps.
 """
 
 from __future__ import annotations
@@ -32,15 +32,17 @@ from ..session import ship
 from .bpe import encoder
 from .common import table, text_of
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
+#: Spark's whole numbers as pandas columns that may hold nulls; ids of other types travel as objects.
+WHOLE = {"tinyint": "Int8", "smallint": "Int16", "int": "Int32", "bigint": "Int64"}
 
 
-def _pieces(path: str, size: int, end: int):
+def _pieces(path: str, size: int, end: int, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"].astype(WHOLE.get(kind, "object")), batch["text"], strict=True):
                 ids = np.array([*encode([text])[0], end], dtype="<u4")
                 begin, number = 0, 0
                 while begin < len(ids):
@@ -48,7 +50,7 @@ def _pieces(path: str, size: int, end: int):
                     rows.append((doc, number, begin, stop - begin, zlib.crc32(ids[begin:stop].tobytes())))
                     begin, number = stop, number + 1
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            yield out.astype({"doc_id": WHOLE.get(kind, "object")})
 
     return run
 
@@ -56,7 +58,8 @@ def _pieces(path: str, size: int, end: int):
 def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids in pieces of at most ``size``."""
     ship(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInPandas(_pieces(path, size, end), PIECES)
+    kind = dict(docs.dtypes)[key]
+    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).mapInPandas(_pieces(path, size, end, kind), PIECES.format(kind))
 
 
 def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], list[int]]:
@@ -112,9 +115,10 @@ def pack(items: DataFrame, size: int = 2048, close: float = 0.98, per_task: int
         rounds.append(made)
         bins = made.groupBy("bin").agg(F.max("fill").alias("length"))
         n_bins, least = bins.agg(F.count(F.lit(1)), F.min("length")).first()  # two numbers
-        if tasks == 1 or n - n_bins < tasks:
+        if tasks == 1:
             break
-        left = table(bins.filter((F.col("length") < close * size) & (F.col("length") + least <= size)).select(F.col("bin").alias("item"), "length"))
+        most = size // 2 if n - n_bins < tasks else size - least
+        left = table(bins.filter((F.col("length") < close * size) & (F.col("length") <= most)).select(F.col("bin").alias("item"), "length"))
         n, level = left.count(), level + 1
     if not rounds:
         return full
