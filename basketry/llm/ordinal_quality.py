@@ -15,6 +15,7 @@ usable label all weights are 0 and the thresholds even. Repeated rows, empty tab
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,15 +56,16 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, steps: int = 400, rate: float = 0.1, shrink: float = 3e-5, flat: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by full-batch Adam on the mean log loss. Thresholds are a first one and positive gaps.
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, steps: int = 400, rate: float = 0.1, shrink: float = 3e-5, flat: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights, thresholds, moved) by full-batch Adam on the mean log loss. Thresholds are a first one and positive gaps.
 
-    Ends when no weight changed by more than ``flat`` of the largest one in a step, or after ``steps`` steps.
+    Ends when no weight changed by more than ``flat`` of the largest one in a step, or after ``steps`` steps, which is an early stop: ``moved`` is the last step's largest change
+    over the largest weight, so it says whether the fit had settled.
     """
     w = np.zeros(1 << bits)
     cuts = np.concatenate(([-1.0], np.full(n_grades - 2, 0.5)))  # first, log gaps
     if not len(rows):
-        return w, _thresholds(cuts)
+        return w, _thresholds(cuts), 0.0
     buckets, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
     starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)
     scale = 1 / np.sqrt(50.0)
@@ -85,9 +87,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, st
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        if np.abs(w - before).max() <= flat * np.abs(w).max():
+        moved = float(np.abs(w - before).max() / max(np.abs(w).max(), 1e-300))
+        if moved <= flat:
             break
-    return w * scale, _thresholds(cuts)
+    return w * scale, _thresholds(cuts), moved
 
 
 def _thresholds(cuts: np.ndarray) -> np.ndarray:
@@ -106,23 +109,26 @@ def _featured(bits: int):
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = 8192, bits: int = 18, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """``ratings``: key, grade (0 worst). Returns (weights, thresholds)."""
+    """``ratings``: key, grade (0 worst). Returns (weights, thresholds). Ids may have any type that can be ordered. Warns if the last step still moved a weight by more than a hundredth of the largest."""
     ship(docs.sparkSession)
+    kind = dict(docs.dtypes)[key]
     usable = ratings.filter("grade is not null").groupBy(key).agg(F.min("grade").cast("int").alias("grade"))
     # the bounded sample: at most ``sample`` ids, so both the broadcast and the one task are bounded
     chosen = usable.orderBy(F.xxhash64(F.lit(1), key), key).limit(sample)
     rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(chosen.withColumnRenamed(key, "doc_id")), "doc_id")
     # one row per id, whatever the order of arrival: the text of the least hash
-    every = rows.withColumn("tie", F.xxhash64("text")).mapInArrow(_featured(bits), "doc_id long, grade int, tie long, buckets array<int>")
+    every = rows.withColumn("tie", F.xxhash64("text")).mapInArrow(_featured(bits), f"doc_id {kind}, grade int, tie long, buckets array<int>")
     data = every.groupBy("doc_id").agg(F.min_by(F.struct("grade", "buckets"), "tie").alias("r")).select("doc_id", "r.*")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([*parts] or [pd.DataFrame({"doc_id": [], "grade": [], "buckets": []})])
         got = got.sort_values("doc_id")
-        w, t = fit([*got["buckets"]], got["grade"].to_numpy(dtype=np.int64), n_grades, bits)
-        yield pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "t": [t.tolist()]})
+        w, t, moved = fit([*got["buckets"]], got["grade"].to_numpy(dtype=np.int64), n_grades, bits)
+        yield pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "t": [t.tolist()], "moved": [moved]})
 
-    one = data.repartition(1).mapInPandas(run, "w binary, t array<double>").first()
+    one = data.repartition(1).mapInPandas(run, "w binary, t array<double>, moved double").first()
+    if one["moved"] > 0.01:
+        warnings.warn(f"the fit had not settled: its last step moved a weight by {one['moved']:.2g} of the largest", stacklevel=2)
     return np.frombuffer(one["w"], dtype=np.float32), np.array(one["t"])
 
 
