@@ -14,11 +14,11 @@ have equal anchors at equal offsets, so only suffixes around anchors are sorted:
    and are removed only where ``length`` bytes are equal to a neighbour's.
 4. Removed spans are merged per text in one pass over its sorted spans. Texts without any span take part in no join.
 
-So no byte is removed because of a hash alone: hashes only choose what is compared.
+So in merged buckets no byte is removed because of a hash alone: hashes only choose what is compared.
 
 Identical texts have identical answers, so a text is known by two hashes and its size rather than by its row. A bucket holds about ``per_bucket``
 contexts, and copies of a context count once per run. A bucket of more than ``most`` bytes of contexts (an anchor with very many different
-surroundings) is not merged by one task: its windows are rows, which Spark counts by anchor and a 128-bit BLAKE2 digest, with the same result.
+surroundings) is not merged by one task: its windows are rows, which Spark counts by anchor and a 128-bit BLAKE2 digest. There, and only there, equal digests count as equal bytes.
 
 Nulls: a null text is empty. Texts shorter than ``length`` bytes keep everything. Repeated rows are repeats of each other. Empty tables and extra
 columns, whatever their names, are fine: only key and text are read.
