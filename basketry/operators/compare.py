@@ -64,9 +64,9 @@ def compare(tables: dict[str, DataFrame], include: list[str] | None = None, skip
     return out
 
 
-def pareto(metrics: DataFrame) -> DataFrame:
-    """Metrics of a sweep with its efficient points marked: no other point of the universe has as few names and a lower error."""
-    by = Window.partitionBy("universe").orderBy("n_active", "te").rowsBetween(Window.unboundedPreceding, -1)
+def pareto(metrics: DataFrame, tie: str = "te") -> DataFrame:
+    """Metrics of a sweep with its efficient points marked: no other point of the universe has as few names and a lower error. Of points that are equal in both, the first by ``tie`` counts."""
+    by = Window.partitionBy("universe").orderBy("n_active", "te", tie).rowsBetween(Window.unboundedPreceding, -1)
     best = F.min("te").over(by)
     return metrics.withColumn("efficient", best.isNull() | (F.col("te") < best))
 

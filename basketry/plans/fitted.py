@@ -297,9 +297,12 @@ def retrain_chain(spark, sf_dir):
 # ---- comparisons with fits -------------------------------------------------------------------------
 
 #: Training caps and the rules' weights; metrics on the test dates of weights ``allw2`` (universe, method, step, asset, w).
-_TRAIN_CAPS = """, tcap AS (SELECT universe, asset, sum(cap) AS cap FROM tt JOIN pm USING (universe, dt, asset) WHERE split = 'train' GROUP BY ALL), trank AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY cap DESC, asset) AS rn FROM tcap),
+_TRAIN_CAPS = (
+    queries._RANKED
+    + """,
 rpick AS (SELECT universe, asset, 1.0 / count(*) OVER (PARTITION BY universe, k) AS w1 FROM (SELECT universe, asset, k, row_number() OVER (PARTITION BY universe, k ORDER BY md5(k || ':' || asset), asset) AS rn FROM tcap, range(100) t(k)) WHERE rn <= 10),
 rmean AS (SELECT universe, asset, w1 / sum(w1) OVER (PARTITION BY universe) AS w FROM (SELECT universe, asset, sum(w1) AS w1 FROM rpick GROUP BY universe, asset))"""
+)
 _HELD_OUT = """, pr2 AS (SELECT universe, method, step, dt, sum(w * r) AS p, any_value(y) AS b FROM tt JOIN allw2 USING (universe, asset) WHERE split = 'test' GROUP BY ALL),
 size2 AS (SELECT universe, method, step, count(*) FILTER (w > 1e-6) AS n_active FROM allw2 GROUP BY ALL),
 held2 AS (SELECT universe, method, step, 1 - sum((b - p) * (b - p)) / (var_pop(b) * count(*)) AS r2, stddev_samp(p - b) * sqrt(12) AS te, avg(p - b) / stddev_samp(p - b) * sqrt(12) AS ir, avg(p) / stddev_samp(p) * sqrt(12) AS sharpe FROM pr2 GROUP BY ALL),

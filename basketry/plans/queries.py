@@ -731,13 +731,23 @@ def cumulative_gap(spark, sf_dir):
 
 # ---- comparisons -----------------------------------------------------------------------------------
 
-_HOLD = """, allw AS (SELECT universe, 'cap' AS method, asset, w FROM w10 UNION ALL SELECT universe, 'equal', asset, 0.1 FROM wm WHERE rn <= 10),
-pr AS (SELECT universe, method, dt, sum(w * r) AS p, any_value(y) AS b FROM tt JOIN allw USING (universe, asset) WHERE split = 'test' GROUP BY ALL),
-hold AS (SELECT universe, method, 1 - sum((b - p) * (b - p)) / (var_pop(b) * count(*)) AS r2, stddev_samp(p - b) * sqrt(12) AS te, avg(p - b) / stddev_samp(p - b) * sqrt(12) AS ir, avg(p) / stddev_samp(p) * sqrt(12) AS sharpe, sum((b - p) * (b - p)) AS rss FROM pr GROUP BY ALL) """
+#: Caps over the training dates, and the rules that rank by them.
+_RANKED = """, tcap AS (SELECT universe, asset, sum(cap) AS cap FROM tt JOIN pm USING (universe, dt, asset) WHERE split = 'train' GROUP BY ALL), trank AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY cap DESC, asset) AS rn FROM tcap)"""
+_HOLD = (
+    _RANKED
+    + """, allw AS (SELECT universe, 'cap' AS method, asset, cap / sum(cap) OVER (PARTITION BY universe) AS w FROM trank WHERE rn <= 10 UNION ALL SELECT universe, 'equal', asset, 1.0 / count(*) OVER (PARTITION BY universe) FROM trank WHERE rn <= 10),
+pr AS (SELECT universe, method, dt, sum(w * r) AS p, any_value(y) AS b FROM tt JOIN allw USING (universe, asset) WHERE split = 'test' GROUP BY ALL), hn AS (SELECT universe, method, count(*) AS n_active FROM allw WHERE w > 1e-6 GROUP BY ALL),
+hold AS (SELECT universe, method, any_value(n_active) AS n_active, 1 - sum((b - p) * (b - p)) / (var_pop(b) * count(*)) AS r2, stddev_samp(p - b) * sqrt(12) AS te, avg(p - b) / stddev_samp(p - b) * sqrt(12) AS ir, avg(p) / stddev_samp(p) * sqrt(12) AS sharpe, sum((b - p) * (b - p)) AS rss
+  FROM pr JOIN hn USING (universe, method) GROUP BY ALL) """
+)
+
+
+def _ranked_caps(t: Tables) -> DataFrame:
+    return table(_train_caps(t.train_test(), t.prices("month").drop("price")))
 
 
 def _methods(t: Tables) -> DataFrame:
-    caps = t.caps()
+    caps = _ranked_caps(t)
     return compare.compare({"cap": rules.top_n_cap(caps, 10, ["universe"]), "equal": rules.equal_top_n_cap(caps, 10, ["universe"])})
 
 
@@ -746,7 +756,7 @@ def _holdout(t: Tables, weights: DataFrame, by: list[str]) -> DataFrame:
     return compare.holdout_metrics(weights, test, test.select("universe", "dt", F.col("y").alias("r")).distinct(), by, YEAR["month"])
 
 
-@query(_HOLD + "SELECT universe, method, round(r2, 5) AS r2, round(te, 6) AS te, round(ir, 6) AS ir, round(sharpe, 6) AS sharpe, round(rss, 8) AS rss, CAST(10 AS BIGINT) AS n_active FROM hold")
+@query(_HOLD + "SELECT universe, method, round(r2, 5) AS r2, round(te, 6) AS te, round(ir, 6) AS ir, round(sharpe, 6) AS sharpe, round(rss, 8) AS rss, n_active FROM hold")
 def method_comparison(spark, sf_dir):
     t = Tables(spark, sf_dir)
     out = _holdout(t, _methods(t), ["method"])
@@ -761,21 +771,22 @@ def headline(spark, sf_dir):
 
 
 @query(
-    """, sw AS (SELECT universe, k AS n, asset, cap / sum(cap) OVER (PARTITION BY universe, k) AS w FROM wm, (SELECT unnest([3, 5, 8, 12]) AS k) WHERE rn <= k),
+    _RANKED
+    + """, sw AS (SELECT universe, k AS n, asset, cap / sum(cap) OVER (PARTITION BY universe, k) AS w FROM trank, (SELECT unnest([3, 5, 8, 12]) AS k) WHERE rn <= k),
     pr AS (SELECT universe, n, dt, sum(w * r) AS p, any_value(y) AS b FROM tt JOIN sw USING (universe, asset) WHERE split = 'test' GROUP BY ALL),
-    h AS (SELECT universe, n, stddev_samp(p - b) * sqrt(12) AS te FROM pr GROUP BY ALL), z AS (SELECT universe, n, count(*) AS n_active FROM sw GROUP BY ALL)
-    SELECT universe, n, n_active, round(te, 6) AS te, coalesce(te < min(te) OVER (PARTITION BY universe ORDER BY n_active, te ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS efficient FROM h JOIN z USING (universe, n)"""
+    h AS (SELECT universe, n, round(stddev_samp(p - b) * sqrt(12), 9) AS te FROM pr GROUP BY ALL), z AS (SELECT universe, n, count(*) AS n_active FROM sw GROUP BY ALL)
+    SELECT universe, n, n_active, round(te, 6) AS te, coalesce(te < min(te) OVER (PARTITION BY universe ORDER BY n_active, te, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS efficient FROM h JOIN z USING (universe, n)"""
 )
 def pareto_rules(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    caps, sweep = table(t.caps()), None
+    caps, sweep = _ranked_caps(t), None
     for n in (3, 5, 8, 12):
         one = rules.top_n_cap(caps, n, ["universe"]).withColumn("n", F.lit(n))
         sweep = one if sweep is None else sweep.unionByName(one)
-    return rounded(compare.pareto(_holdout(t, sweep, ["n"]).select("universe", "n", "n_active", "te")))
+    return rounded(compare.pareto(_holdout(t, sweep, ["n"]).select("universe", "n", "n_active", F.round("te", 9).alias("te")), "n"))
 
 
-@query(_HOLD + "SELECT r_name AS universe, n_active, round(r2, 5) AS r2, CASE WHEN n_active IS NULL THEN 'no weights' END AS error FROM (SELECT r_name FROM region UNION ALL SELECT 'nowhere') LEFT JOIN (SELECT universe, r2, CAST(10 AS BIGINT) AS n_active FROM hold WHERE method = 'cap') ON universe = r_name")
+@query(_HOLD + "SELECT r_name AS universe, n_active, round(r2, 5) AS r2, CASE WHEN n_active IS NULL THEN 'no weights' END AS error FROM (SELECT r_name FROM region UNION ALL SELECT 'nowhere') LEFT JOIN (SELECT universe, r2, n_active FROM hold WHERE method = 'cap') ON universe = r_name")
 def multi_universe(spark, sf_dir):
     t = Tables(spark, sf_dir)
     universes = t.read("region").select(F.col("r_name").alias("universe")).unionByName(spark.range(1).select(F.lit("nowhere").alias("universe")))
