@@ -487,7 +487,7 @@ def walkforward_fitted(spark, sf_dir):
 def nav_membership(spark, sf_dir):
     """Books under a membership overlay: non-members' returns count as 0, and only members are held."""
     t = Tables(spark, sf_dir)
-    r, members = table(t.weekly()), table(market.membership(t.lines, "week", 2))
+    r, members = table(t.weekly()), table(market.membership(t.totals("week"), 2))
     config = walkforward.Config(methods=("equal_mean",), lookback=LOOKBACK)
     return rounded(walkforward.target_weights(r, t.bench("week"), config, members=members).drop("method"), 8)
 

@@ -73,9 +73,9 @@ def factors(each: DataFrame) -> DataFrame:
     return side.select("dt", (r("m") - F.col("rf")).alias("mkt_rf"), (r("s") - r("b")).alias("smb"), (r("h") - r("l")).alias("hml"), "rf").dropna()
 
 
-def membership(rows: DataFrame, freq: str, least: int = 1) -> DataFrame:
-    """(universe, dt, asset) of the assets with ``least`` lines in the period."""
-    return rows.groupBy("universe", period(freq).alias("dt"), "asset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
+def membership(each: DataFrame, least: int = 1) -> DataFrame:
+    """(universe, dt, asset) of the assets with ``least`` lines in the period, from the sums of :func:`totals`."""
+    return each.filter(F.col("n") >= least).select("universe", "dt", "asset")
 
 
 # Stress windows of the tables' time span.

@@ -218,7 +218,9 @@ class Tables:
         return schedule.train_windows(r, schedule.monthly(r), LOOKBACK)
 
     def caps(self) -> DataFrame:
-        return self.lines.groupBy("universe", "asset").agg(F.sum("e").alias("cap"))
+        """From the lines, or from sums that are written already."""
+        rows = next(iter(self._totals.values()), self.lines)
+        return rows.groupBy("universe", "asset").agg(F.sum("e").alias("cap"))
 
     def top10(self) -> DataFrame:
         return rules.top_n_cap(self.caps(), 10, ["universe"])
@@ -452,7 +454,7 @@ def train_windows(spark, sf_dir):
 )
 def membership_mask(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    rows = schedule.masked(t.windows(), market.membership(t.lines, "week", 2))
+    rows = schedule.masked(t.windows(), market.membership(t.totals("week"), 2))
     return rounded(rows.groupBy("universe", "rebal_dt", "asset", "active").agg(F.sum("r").alias("total")), 8)
 
 
@@ -903,13 +905,15 @@ def _accounts(t: Tables) -> DataFrame:
 @query(_ACC + "SELECT account, universe, asset, shares FROM bought WHERE shares > 0")
 def allocate_shares(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return allocate.allocate(_accounts(t), t.top10(), panel.latest_prices(t.prices("week"))).select("account", "universe", "asset", "shares")
+    latest = panel.latest_prices(t.prices("week"))
+    return allocate.allocate(_accounts(t), t.top10(), latest).select("account", "universe", "asset", "shares")
 
 
 @query(_ACC + "SELECT account, a.universe, round(capital, 2) AS capital, coalesce(n, 0) AS n_bought, CAST(0 AS BIGINT) AS n_warnings, coalesce(invested, 0) <= capital AS within FROM acc a LEFT JOIN (SELECT account, count(*) AS n, sum(round(shares * price, 2)) AS invested FROM bought WHERE shares > 0 GROUP BY account) b USING (account)")
 def allocation_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = allocate.allocation_summary(_accounts(t), t.top10(), panel.latest_prices(t.prices("week")))
+    latest = panel.latest_prices(t.prices("week"))
+    out = allocate.allocation_summary(_accounts(t), t.top10(), latest)
     return out.select("account", "universe", F.round("capital", 2).alias("capital"), "n_bought", F.size("warnings").cast("long").alias("n_warnings"), (F.col("invested") <= F.col("capital")).alias("within"))
 
 
@@ -1033,7 +1037,8 @@ def short_universes(spark, sf_dir):
 def allocation_warnings(spark, sf_dir):
     """Accounts where some names have no price: one warning for each."""
     t = Tables(spark, sf_dir)
-    out = allocate.allocation_summary(_accounts(t), t.top10(), panel.latest_prices(t.prices("week")).filter("asset < 'Brand#2'"))
+    latest = panel.latest_prices(t.prices("week")).filter("asset < 'Brand#2'")
+    out = allocate.allocation_summary(_accounts(t), t.top10(), latest)
     return out.select("account", "n_bought", F.size("warnings").cast("long").alias("n_warnings"), F.get("warnings", F.lit(0)).alias("first_warning"), F.round("residual", 2).alias("residual"))
 
 

