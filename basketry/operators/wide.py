@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -31,88 +31,97 @@ def _products(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
     return rows.groupBy(by, "asset").agg(F.sum(F.col("x") * F.col(value)).alias(name))
 
 
-def penalties(rows: DataFrame, lam_frac: float, keep, by: str = "universe") -> tuple[DataFrame, DataFrame]:
-    """(by, lam, lam_max) with the same fraction of each universe's largest useful penalty, and (by, asset, c, norm, n) with c = x'y, norm = |x| and n its rows."""
-    c = keep(rows.groupBy(by, "asset").agg(F.sum(F.col("x") * F.col("y")).alias("c"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.count(F.lit(1)).alias("n")))
-    return keep(c.groupBy(by).agg(F.greatest(F.max("c"), F.lit(1e-10)).alias("lam_max")).withColumn("lam", lam_frac * F.col("lam_max"))), c
+def _along(at: str, x: str, e: str) -> Column:
+    """The product of a series, given by places and values, with a vector. Its order of summation is fixed."""
+    return F.aggregate(F.zip_with(at, x, lambda i, v: F.coalesce(v * F.get(F.col(e), i), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+
+
+def _inner(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda u, v: F.coalesce(u * v, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+
+
+def series(rows: DataFrame, keep, by: str = "universe") -> tuple[DataFrame, DataFrame]:
+    """(by, y, lam_max): y in order of dates and the largest useful penalty. (by, asset, at, x, c, norm, n, kind): one row an asset, with the places and values of its dates, c = x'y, norm = |x|,
+    n its rows, and kind, equal for assets with one direction."""
+    order = Window.partitionBy(by).orderBy("dt")  # one row per date
+    dates = keep(rows.groupBy(by, "dt").agg(F.first("y").alias("y")).withColumn("i", F.row_number().over(order) - 1))
+    truth = dates.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "y"))), lambda d: d["y"]).alias("y"))
+    cells = rows.join(dates.select(by, "dt", "i"), [by, "dt"]).groupBy(by, "asset").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("cells"), F.count(F.lit(1)).alias("n"))
+    own = cells.select(by, "asset", F.col("cells.i").alias("at"), F.col("cells.x").alias("x"), "n").withColumn("norm", F.sqrt(_inner("x", "x")))
+    kind = F.xxhash64("at", F.transform("x", lambda v: F.round(v / F.greatest("norm", F.lit(1e-300)), 9)))
+    assets = keep(own.withColumn("kind", kind).join(truth, by).withColumn("c", _along("at", "x", "y")).drop("y"))
+    return keep(truth.join(assets.groupBy(by).agg(F.greatest(F.max("c"), F.lit(1e-10)).alias("lam_max")), by)), assets
 
 
 def wide_fit(rows: DataFrame, lam_frac: float, keep, by: str = "universe", add: int = 100, eps: float = 1e-7, rounds: int = 50, each: DataFrame | None = None, start: DataFrame | None = None, screen: bool = True) -> WideFit:
     """min 1/2 |Xw - y|^2 + sum(lam_j w_j) over w >= 0, where lam is ``lam_frac`` of the largest useful penalty, or ``each`` (by, asset, lam) of its own.
 
-    An active-set search on tables: one task per universe solves exactly for the assets of its working set; one aggregation by date gives the residual e = y - Xw, one by
-    asset its products x'e, so every asset is judged. Those that exceed their penalty most (``add`` of them) join the assets with weights. The
-    objective falls in every round, so no working set comes back. A working set holds as many assets as there are dates, and ``add`` more; ``start`` (by, asset) joins the first one.
+    An active-set search on tables: one task per universe solves exactly for the assets of its working set and gives the residual e = y - Xw; an asset's whole series is one row, so a scan gives the
+    products x'e of all assets, without a shuffle, and every asset is judged. Those that exceed their penalty most (``add`` of them, and of assets with one direction the first only, as its copies then gain nothing)
+    join the assets with weights. The objective falls in every round, so no working set comes back. A working set holds as many assets as there are dates, and ``add`` more; ``start`` (by, asset) joins the
+    first one.
 
     Screening is safe: theta = s e, with the largest s <= 1 that keeps x'theta <= lam for all assets, is a point of the dual problem, whose optimum lies within sqrt(2 gap) of
-    it. An asset with x'theta + |x| sqrt(2 gap) < lam has weight 0 at the optimum and is never read again: as soon as half of the candidates are gone, the rest of the rows is written anew.
+    it. An asset with x'theta + |x| sqrt(2 gap) < lam has weight 0 at the optimum and does not join: as soon as half of the rows are gone, the rest is written anew, and the others are never read again.
 
     It ends when nobody exceeds a penalty by more than ``eps`` of the largest one, and then the fit is the minimizer over all assets; if that takes more than ``rounds``, it raises.
     """
     ship(rows.sparkSession)
-    kind, name = dict(rows.dtypes)[by], dict(rows.dtypes)["asset"]
-    bounds, c = penalties(rows, lam_frac, keep, by)
-    truth = keep(rows.groupBy(by, "dt").agg(F.first("y").alias("y")))
-    if each is None:
-        live = c.join(bounds.select(by, "lam"), by)
-    else:
-        live = c.join(each.select(by, "asset", "lam"), [by, "asset"])
-    live = keep(live.select(by, "asset", "lam", "norm", "n", F.col("c").alias("corr")))
-    level = bounds.select(by, "lam_max")
+    return _fit(*series(rows, keep, by), lam_frac, keep, by, add, eps, rounds, each, start, screen)
+
+
+def _fit(universes: DataFrame, assets: DataFrame, lam_frac: float, keep, by: str, add: int = 100, eps: float = 1e-7, rounds: int = 50, each: DataFrame | None = None, start: DataFrame | None = None, screen: bool = True) -> WideFit:
+    """:func:`wide_fit` on the tables of :func:`series`."""
+    kind, name = dict(assets.dtypes)[by], dict(assets.dtypes)["asset"]
+    lam = each.select(by, "asset", "lam") if each is not None else universes.select(by, (lam_frac * F.col("lam_max")).alias("lam"))
+    data = keep(assets.select(by, "asset", "at", "x", "norm", "n", "kind").join(lam, [by, "asset"] if each is not None else by))
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot(index="dt", columns="asset", values="x").sort_index()
-        x, y = np.nan_to_num(wide.to_numpy(dtype=float)), part.groupby("dt")["y"].first().sort_index().to_numpy(dtype=float)
-        lam = part.groupby("asset")["lam"].first().reindex(wide.columns).to_numpy(dtype=float)
+        part = part.sort_values("asset")
+        y, lam = np.nan_to_num(np.asarray(part["y"].iloc[0], dtype=float)), part["lam"].to_numpy(dtype=float)
+        x = np.zeros((len(y), len(part)))
+        for j, (at, values) in enumerate(zip(part["at"], part["x"], strict=True)):
+            x[at, j] = np.nan_to_num(np.asarray(values, dtype=float))
         d = x.T @ y - lam
         w = kernels.active_set(x.T @ x, d, np.zeros(len(d)), 1e-12 * max(1e-10, float(np.abs(d).max())))
-        chosen = np.flatnonzero(w > 0)
-        return pd.DataFrame({by: [key[0]] * len(chosen), "asset": wide.columns.to_numpy()[chosen], "w": w[chosen]})
-
-    def gaps(w: DataFrame, e: DataFrame) -> DataFrame:
-        """by, s and gap: the scale of the dual point and the duality gap."""
-        sums = truth.join(e, [by, "dt"]).groupBy(by).agg(F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("y") * F.col("e")).alias("ye"), F.sum(F.col("e") * F.col("e")).alias("ee"))
-        s = live.filter("corr > 0").groupBy(by).agg(F.least(F.lit(1.0), F.min(F.col("lam") / F.col("corr"))).alias("s"))
-        price = live.join(w, [by, "asset"]).groupBy(by).agg(F.sum(F.col("lam") * F.col("w")).alias("price"))
-        out = sums.join(s, by, "left").join(price, by, "left").withColumn("s", F.coalesce("s", F.lit(1.0)))
-        dual = F.col("s") * F.col("ye") - F.col("s") * F.col("s") * F.col("ee") / 2
-        return out.select(by, "s", F.greatest(F.col("ee") / 2 + F.coalesce("price", F.lit(0.0)) - dual, F.lit(0.0)).alias("gap"))
-
-    order = Window.partitionBy(by).orderBy(F.desc("over"), "asset")
-    w, data, log = keep(live.select(by, "asset", F.lit(0.0).alias("w")).filter("w > 0")), rows, []
-    e = keep(truth.select(by, "dt", F.col("y").alias("e")))
-    size = lambda: live.agg(F.count(F.lit(1)).alias("assets"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    held = size()
+        held = [{"asset": part["asset"].iloc[j], "w": float(w[j])} for j in np.flatnonzero(w > 0)]
+        return pd.DataFrame({by: [key[0]], "e": [(y - x @ w).tolist()], "price": [float(lam @ w)], "held": [held]})
+
+    shape = f"{by} {kind}, e array<double>, price double, held array<struct<asset: {name}, w: double>>"
+    state = universes.select(by, "y", "lam_max", F.col("y").alias("e"), F.lit(0.0).alias("price"), F.array().cast(f"array<struct<asset: {name}, w: double>>").alias("held"))
+    order = Window.partitionBy(by).orderBy("worst")
+    log = []
     for step in range(rounds + 1):
-        judged = live.join(level, by).withColumn("over", F.col("corr") - F.col("lam"))
-        worst = judged.filter(F.col("over") > eps * F.col("lam_max"))
-        found = keep(gaps(w, e))
-        if worst.isEmpty():
+        scale = data.join(state.select(by, "e"), by).withColumn("corr", _along("at", "x", "e")).filter("corr > 0").groupBy(by).agg(F.least(F.lit(1.0), F.min(F.col("lam") / F.col("corr"))).alias("s"))
+        ye, ee, s = _inner("y", "e"), _inner("e", "e"), F.coalesce("s", F.lit(1.0))
+        found = keep(state.join(scale, by, "left").select(by, "lam_max", "e", s.alias("s"), F.greatest(ee / 2 + F.col("price") - (s * ye - s * s * ee / 2), F.lit(0.0)).alias("gap")))
+        radius = F.sqrt(2 * F.col("gap")) * (1 + 1e-9) + 1e-12
+        safe = F.col("s") * F.col("corr") + F.col("norm") * radius >= F.col("lam") * (1 - 1e-9) if screen else F.lit(True)
+        seen = data.join(found, by).withColumn("corr", _along("at", "x", "e")).withColumns({"over": F.col("corr") - F.col("lam"), "live": safe})
+        worst = F.col("live") & (F.col("over") > eps * F.col("lam_max"))
+        left = seen.agg(F.count_if("live").alias("assets"), F.coalesce(F.sum(F.when(F.col("live"), F.col("n"))), F.lit(0)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("held"), F.count_if(worst).alias("worst")).first()
+        if not left["worst"]:
             break
         if step == rounds:
             raise RuntimeError(f"no optimum within {rounds} rounds")
-        if screen:
-            radius = F.sqrt(2 * F.col("gap")) * (1 + 1e-9) + 1e-12
-            live = keep(live.join(found, by).filter(F.col("s") * F.col("corr") + F.col("norm") * radius >= F.col("lam") * (1 - 1e-9)).drop("s", "gap"))
-            left = size()
-            if 2 * left["rows"] <= held["rows"]:
-                data, held = keep(data.join(live.select(by, "asset"), [by, "asset"], "left_semi")), left
-        log.append({"round": step, "candidates": left["assets"] if screen else held["assets"], "rows": held["rows"]})
-        working = worst.join(live.select(by, "asset"), [by, "asset"], "left_semi").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= add).select(by, "asset")
+        halved = 2 * left["rows"] <= left["held"]
+        log.append({"round": step, "candidates": left["assets"], "rows": left["rows"] if halved else left["held"]})
+        first = F.struct((-F.round(F.col("over") / F.col("lam_max"), 12)).alias("by"), "asset")
+        ranked = seen.filter(worst).groupBy(by, "kind").agg(F.min(first).alias("worst")).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= add)
+        working = ranked.select(by, "worst.asset").unionByName(state.select(by, F.inline("held")).select(by, "asset"))
         if step == 0 and start is not None:
-            working = working.unionByName(start.select(by, "asset").join(live.select(by, "asset"), [by, "asset"], "left_semi"))
-        working = keep(working.unionByName(w.select(by, "asset").join(live.select(by, "asset"), [by, "asset"], "left_semi")).distinct())
-        part = keep(data.join(working, [by, "asset"]).join(live.select(by, "asset", "lam"), [by, "asset"]))
-        w = keep(part.groupBy(by).applyInPandas(run, f"{by} {kind}, asset {name}, w double"))
-        fitted = part.join(w, [by, "asset"]).groupBy(by, "dt").agg(F.sum(F.col("x") * F.col("w")).alias("f"))
-        e = keep(truth.join(fitted, [by, "dt"], "left").select(by, "dt", (F.col("y") - F.coalesce("f", F.lit(0.0))).alias("e")))
-        corr = _products(data.join(e, [by, "dt"]), by, "e", "corr")
-        live = keep(live.drop("corr").join(corr, [by, "asset"]))
-    off = live.join(level, by).join(w, [by, "asset"], "left")
-    over = F.when(F.col("w") > 0, F.abs(F.col("corr") - F.col("lam"))).otherwise(F.greatest(F.col("corr") - F.col("lam"), F.lit(0.0))) / F.col("lam_max")
-    report = level.join(off.groupBy(by).agg(F.max(over).alias("violation")), by, "left").join(found.select(by, "gap"), by)
+            working = working.unionByName(start.select(by, "asset"))
+        if halved:
+            data = keep(seen.filter("live").select(*data.columns))
+        part = data.join(working.distinct(), [by, "asset"]).join(universes.select(by, "y"), by).select(by, "asset", "at", "x", "lam", "y")
+        fits = keep(part.groupBy(by).applyInPandas(run, shape))
+        state = universes.join(fits, by, "left").select(by, "y", "lam_max", *[F.coalesce(fits[c], o).alias(c) for c, o in (("e", F.col("y")), ("price", F.lit(0.0)), ("held", F.array()))])
+    w = state.select(by, F.inline("held"))
+    off = seen.join(w, [by, "asset"], "left").filter("live or w > 0")
+    over = F.when(F.col("w") > 0, F.abs("over")).otherwise(F.greatest("over", F.lit(0.0))) / F.col("lam_max")
+    report = found.select(by, "gap").join(off.groupBy(by).agg(F.max(over).alias("violation")), by, "left")
     report = report.select(by, F.coalesce("violation", F.lit(0.0)).alias("violation"), "gap").withColumn("optimal", F.col("violation") <= eps)
-    return WideFit(w.join(live.select(by, "asset", "lam"), [by, "asset"]).select(by, "asset", "lam", "w"), report, log)
+    return WideFit(w.join(data.select(by, "asset", "lam"), [by, "asset"]).select(by, "asset", "lam", "w"), report, log)
 
 
 def wide_reweighted(rows: DataFrame, lam_frac: float, keep, by: str = "universe", rounds: int = 5, epsilon: float = 1e-3, **how) -> tuple[DataFrame, DataFrame]:
@@ -120,10 +129,11 @@ def wide_reweighted(rows: DataFrame, lam_frac: float, keep, by: str = "universe"
 
     A universe is done when its support (weights above 1e-8) is that of the round before, and is not read again. ``supports``: by, round, n_active, changed (assets that came or went).
     """
+    ship(rows.sparkSession)
     key = dict(rows.dtypes)[by]
-    bounds, c = penalties(rows, lam_frac, keep, by)
-    assets = c.select(by, "asset").join(bounds.select(by, "lam"), by)
-    first = wide_fit(rows, lam_frac, keep, by, **how)
+    bounds, own = series(rows, keep, by)
+    assets = own.select(by, "asset").join(bounds.select(by, (lam_frac * F.col("lam_max")).alias("lam")), by)
+    first = _fit(bounds, own, lam_frac, keep, by, **how)
     w = keep(first.weights.select(by, "asset", "w"))
     done = keep(w.filter("false"))
     supports = keep(bounds.select(by).join(w.filter("w > 1e-8").groupBy(by).agg(F.count(F.lit(1)).alias("n_active")), by, "left").select(by, F.lit(0).alias("round"), F.coalesce("n_active", F.lit(0)).alias("n_active"), F.lit(None).cast("long").alias("changed")))
@@ -131,8 +141,8 @@ def wide_reweighted(rows: DataFrame, lam_frac: float, keep, by: str = "universe"
     for k in range(1, rounds):
         lam = (F.col("lam") / (F.coalesce("w", F.lit(0.0)) + epsilon)).alias("lam")
         each = keep(assets.join(going, by, "left_semi").join(w, [by, "asset"], "left").select(by, "asset", lam))
-        part = rows.join(going, by, "left_semi")
-        new = keep(wide_fit(part, lam_frac, keep, by, each=each, start=w, **how).weights.select(by, "asset", "w"))
+        part = [t.join(going, by, "left_semi") for t in (bounds, own)]
+        new = keep(_fit(*part, lam_frac, keep, by, each=each, start=w, **how).weights.select(by, "asset", "w"))
         old_s, new_s = (x.filter("w > 1e-8").select(by, "asset", F.lit(1).alias(n)) for x, n in ((w, "old"), (new, "new")))
         moves = old_s.join(new_s, [by, "asset"], "full").groupBy(by).agg(F.count("new").alias("n_active"), F.count_if(F.col("old").isNull() | F.col("new").isNull()).alias("changed"))
         moves = keep(going.join(moves, by, "left").select(by, F.lit(k).alias("round"), F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce("changed", F.lit(0)).alias("changed")))

@@ -119,3 +119,26 @@ def test_the_factor_grows_like_a_new_one():
         w, gram, factor, c = kernels.grown_fit(gram, factor, c, w, (x[:, :j].T @ x[:, j]).tolist(), float(x[:, j] @ x[:, j]), float(x[:, j] @ y))
         assert kernels._lower(factor) == pytest.approx(np.linalg.cholesky(x[:, : j + 1].T @ x[:, : j + 1]), abs=1e-9)
         assert w == pytest.approx(kernels.active_set(np.array(gram), np.array(c), np.zeros(j + 1), 1e-12), abs=1e-9)
+
+
+def test_copies_take_no_rounds(spark):
+    """Forty copies of every asset: as many rounds as without copies, the same fit, and all weight on the first copy by name."""
+    x, y = problem(11, 15, 12)
+    single = wide.wide_fit(rows(spark, u=(x, y)), 0.05, table, add=2)
+    copied = wide.wide_fit(rows(spark, u=(np.repeat(x, 40, axis=1), y)), 0.05, table, add=2)
+    want = weights(single.weights, "u", 12)
+    got = np.reshape(weights(copied.weights, "u", 480), (12, 40))
+    assert got[:, 0] == pytest.approx(want, abs=1e-9) and not got[:, 1:].any()
+    assert len(copied.log) == len(single.log) and copied.report.first()["optimal"]
+
+
+def test_few_steps_are_written_a_round(spark):
+    """A round writes a fit and a judgement, and once in a while the rows that are left."""
+    written = []
+
+    def keep(df):
+        written.append(df)
+        return table(df)
+
+    made = wide.wide_fit(rows(spark, u=problem(1, 15, 60)), 0.1, keep, add=2, screen=False)
+    assert len(made.log) > 2 and len(written) <= 2 * len(made.log) + 5
