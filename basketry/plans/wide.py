@@ -25,10 +25,12 @@ _WIDE = """, sup AS (
 def supplier_panel(spark, sf_dir: str, months: int = 24) -> DataFrame:
     """universe, dt, asset, x, y over the last months: more assets than a panel of brands has."""
     t = Tables(spark, sf_dir)
-    rows = t.read("lineitem").join(t.read("supplier"), F.expr("l_suppkey = s_suppkey")).join(t.read("nation"), F.expr("s_nationkey = n_nationkey")).join(t.read("region"), F.expr("n_regionkey = r_regionkey"))
-    lines = rows.select(F.col("r_name").alias("universe"), F.concat(F.lit("S"), "s_suppkey").alias("asset"), F.col("l_shipdate").alias("d"), F.col("l_extendedprice").alias("e"), F.col("l_quantity").alias("q"))
-    each = lines.groupBy("universe", market.period("month").alias("dt"), "asset").agg(F.sum("e").alias("e"), F.sum("q").alias("q"))
-    r = panel.last_n(panel.align(panel.padded_returns(market.prices(each)), t.bench("month")), months)
+    lines = t.read("lineitem").select("l_suppkey", F.col("l_shipdate").alias("d"), F.col("l_extendedprice").alias("e"), F.col("l_quantity").alias("q"))
+    sums = lines.groupBy("l_suppkey", market.period("month").alias("dt")).agg(F.sum("e").alias("e"), F.sum("q").alias("q"))  # names join sums, not lines
+    rows = sums.join(t.read("supplier"), F.expr("l_suppkey = s_suppkey")).join(t.read("nation"), F.expr("s_nationkey = n_nationkey")).join(t.read("region"), F.expr("n_regionkey = r_regionkey"))
+    named = rows.select(F.col("r_name").alias("universe"), F.concat(F.lit("S"), "s_suppkey").alias("asset"), "dt", "e", "q").repartition("universe", "asset")
+    prices = table(market.prices(named.groupBy("universe", "dt", "asset").agg(F.sum("e").alias("e"), F.sum("q").alias("q"))))
+    r = table(panel.last_n(table(panel.align(panel.padded_returns(prices), t.bench("month"))), months))
     return table(panel.standardize(r, True).select("universe", "dt", "asset", "x", "y"))
 
 
