@@ -1,6 +1,6 @@
 """Fits on tables, for universes with more assets than a task can hold.
 
-``rows``: by (one column), dt, asset, x and y. Products with a residual are one aggregation by asset, so every asset is looked at without ever meeting another one; a task
+``rows``: by (one column), dt, asset, x and y. Products with a residual are made asset by asset (from its series in one row, or by an aggregation), so every asset is looked at without ever meeting another one; a task
 holds only the assets that a fit is about to use: a working set, or the greedy fit's own choices. Steps are written by ``keep``.
 """
 
